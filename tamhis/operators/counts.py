@@ -1,34 +1,30 @@
 """Counts, categories, words and column profiles."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamhis.functions import text as X
 from tamhis.operators.curation import digest
 
 
-def column_profile(df: DataFrame, where: Column | None = None) -> DataFrame:
-    """(column, dtype, n, non_null, nulls) per column, from one pass over the table.
+def column_profile(df: DataFrame, stages=None) -> DataFrame:
+    """(stage, column, dtype, n, non_null, nulls), from one pass over the table.
 
-    ``where`` restricts the rows that are counted.
+    ``stages`` maps a name to (row condition or None, columns); by default one stage has all.
     """
-    where = F.lit(True) if where is None else where
-    names = df.columns
-    counts = df.agg(
-        F.count_if(where).alias("_n"),
-        *[F.count_if(where & F.col(c).isNotNull()).alias(c) for c in names],
-    )
-    dtypes = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
-    return (
-        counts.unpivot(["_n"], list(names), "column", "non_null")
-        .select(
-            "column",
-            dtypes[F.col("column")].alias("dtype"),
-            F.col("_n").alias("n"),
-            "non_null",
-            (F.col("_n") - F.col("non_null")).alias("nulls"),
-        )
-    )
+    stages = stages or {"all_rows": (None, df.columns)}
+    dtypes = dict(df.dtypes)
+    entries = []
+    for stage, (where, columns) in stages.items():
+        where = F.lit(True) if where is None else where
+        n = F.count_if(where)
+        for c in columns:
+            non_null = F.count_if(where & F.col(c).isNotNull())
+            entries.append(F.struct(
+                F.lit(stage).alias("stage"), F.lit(c).alias("column"), F.lit(dtypes[c]).alias("dtype"),
+                n.alias("n"), non_null.alias("non_null"), (n - non_null).alias("nulls"),
+            ))
+    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 
 
 def duplicate_rows(df: DataFrame, columns) -> DataFrame:
@@ -83,8 +79,11 @@ def category_share(df: DataFrame, k: int = 6, column: str = "category", other: s
 
 
 def top_words(df: DataFrame, column: str, k: int = 10, longer_than: int = 2) -> DataFrame:
-    """Most frequent words of a text column; case and punctuation are kept."""
-    words = df.select(F.explode(X.words(F.col(column))).alias("word"))
+    """Most frequent words of a text column; case and punctuation are kept.
+
+    Splitting leaves empty strings at the ends, which the length filter drops.
+    """
+    words = df.select(F.explode(F.split(column, f"{X.WS}++")).alias("word"))
     counts = words.filter(F.length("word") > longer_than).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return top(counts, "word", k)
 

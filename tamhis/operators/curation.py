@@ -30,8 +30,7 @@ def long_enough(q: Column, a: Column) -> Column:
 
 def on_topic(q: Column, profile: LanguageProfile = ARABIC) -> Column:
     """Some general keyword and no personal one in the normalised question."""
-    normal = X.normalize(q, profile)
-    return X.has_any(normal, profile.general) & ~X.has_any(normal, profile.personal)
+    return X.has_any(X.normalize(q, profile), profile.general, unless=profile.personal)
 
 
 def is_valid_pair(q: Column, a: Column, profile: LanguageProfile = ARABIC) -> Column:

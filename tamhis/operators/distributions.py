@@ -5,8 +5,8 @@ built by one pass with map-side counting, so hot values cost nothing, and all su
 small table instead of the texts.
 
 The keys of a series are its name and, optionally, a category. Names are listed in the call and
-categories are cut to the top k first (``in_top_categories``), so a table with one row (or ``RANGES``
-rows) per series has a fixed size bound and is broadcast.
+categories are cut to the top k first (``in_top_categories``), so a table with one row per series, or
+one per value range of a series, has a fixed size bound and is broadcast.
 """
 
 import math
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024  # value ranges per series in the two-level running count
+RANGES = 64  # value ranges per factor of e in the two-level running count
 
 
 def value_counts(df: DataFrame, series: dict[str, Column], by=()) -> DataFrame:
@@ -41,22 +41,34 @@ def moments(vc: DataFrame, keys) -> DataFrame:
 def running_counts(vc: DataFrame, keys) -> DataFrame:
     """The value-count table with ``cum`` (rows up to and including the value) and the moments.
 
-    Two levels: each series is cut into at most ``RANGES`` value ranges, the range totals are summed
-    up (a window over at most ``RANGES`` rows per series), and within a range a window adds up the
-    distinct values. No task sorts a whole series.
+    Two levels: values fall into ranges of about 1.6 % width on a logarithmic scale, the range totals
+    are summed up (a window over a few thousand ranges per series; the float format allows no more
+    than 91,000), and within a range a window adds up the distinct values. No task sorts a whole
+    series. Both branches read the same columns of ``vc``, so its shuffle is run once and reused.
     """
     keys = list(keys)
-    span = F.col("hi") - F.col("lo")
-    position = F.when(span > 0, F.floor((F.col("value") - F.col("lo")) / span * RANGES)).otherwise(F.lit(0))
-    ranged = vc.join(F.broadcast(moments(vc, keys)), keys).withColumn("_range", position)
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_sum"))
-        .select(*keys, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    size = F.floor(F.log1p(F.abs("value")) * RANGES)
+    signed = F.when(F.col("value") < 0, -size).otherwise(size)
+    # Never null, and said so: else the join puts a null filter below one branch's shuffle only.
+    ranged = vc.withColumn("_range", F.coalesce(signed, F.lit(0).cast("long")))
+    series = Window.partitionBy(*keys)
+    before = series.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (
+        ranged.groupBy(*keys, "_range")
+        .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("value")).alias("_nv"),
+             F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        .select(
+            *keys, "_range",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+            F.sum("_n").over(series).alias("total"),
+            (F.sum("_nv").over(series) / F.sum("_n").over(series)).alias("mean"),
+            F.min("_lo").over(series).alias("lo"),
+            F.max("_hi").over(series).alias("hi"),
+        )
     )
     inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.join(F.broadcast(offsets), [*keys, "_range"])
+        ranged.join(F.broadcast(ranges), [*keys, "_range"])
         .withColumn("cum", F.col("_before") + F.sum("n").over(inside))
         .drop("_range", "_before")
     )
@@ -242,7 +254,7 @@ def grid_counts(df: DataFrame, pairs, bins: int = 50) -> DataFrame:
     """Two-dimensional bin counts (x, y, x_bin, y_bin, n) for pairs of numeric columns.
 
     Stands in for scatter plots, whose point clouds grow with the data. The column ranges are taken
-    in a pass of their own over the narrow columns and enter as a one-row subquery.
+    in a pass of their own and enter as a one-row subquery, so pass a stored table of the measures.
     """
     columns = sorted({c for pair in pairs for c in pair})
     numbers = df.select([F.col(c).cast("double").alias(c) for c in columns])

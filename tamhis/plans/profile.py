@@ -22,6 +22,18 @@ def answered(raw: DataFrame) -> DataFrame:
     return raw.na.drop(subset=["reply"])
 
 
+def columns(raw: DataFrame) -> DataFrame:
+    """Column profile of all rows, of the body counts where there is a reply, and without them."""
+    names = [c for c in raw.columns if c != "row_id"]
+    counts = ["q_body_count", "a_body_count"]
+    replied = F.col("reply").isNotNull()
+    return N.column_profile(raw, {
+        "all_rows": (None, names),
+        "with_reply": (replied, counts),
+        "without_counts": (replied, [c for c in names if c not in counts]),
+    })
+
+
 def lengths(raw: DataFrame, question: str = "question", reply: str = "reply",
             none_as_text: bool = False) -> DataFrame:
     """(row_id, category, four measures) of the rows that have a reply.
@@ -78,7 +90,7 @@ def profile(raw: DataFrame) -> dict[str, DataFrame]:
     chars = char_lengths(measures)
     top6 = N.in_top_categories(measures, 6)
     return {
-        "column_profile": N.column_profile(raw.select(*data_columns)),
+        "column_profile": columns(raw),
         "duplicate_rows": N.duplicate_rows(raw, data_columns),
         "describe": D.describe(numeric_counts(measures)),
         "histogram": D.histogram(chars),

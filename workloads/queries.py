@@ -129,12 +129,14 @@ def build_rag_docs(spark, sf_dir):
 
 def prompt_messages(spark, sf_dir):
     """Both message lists of every request, one row per message, with the rendered prompt."""
-    asked = A.answered_turns(spark, sf_dir)
-    plain = asked.select("conv_id", "turn", F.lit(False).alias("rag"),
-                         chat.prompt_messages(F.col("question")).alias("m"))
-    rag = asked.select("conv_id", "turn", F.lit(True).alias("rag"),
-                       chat.prompt_messages(F.col("question"), F.col("answer")).alias("m"))
-    both = plain.unionByName(rag).withColumn("prompt", chat.render_messages(F.col("m")))
+    kinds = F.array(*[
+        F.struct(F.lit(context is not None).alias("rag"), chat.prompt_messages(F.col("question"), context).alias("m"))
+        for context in (None, F.col("answer"))
+    ])
+    both = (
+        A.answered_turns(spark, sf_dir).select("conv_id", "turn", F.inline(kinds))
+        .withColumn("prompt", chat.render_messages(F.col("m")))
+    )
     return both.select("conv_id", "turn", "rag", "prompt", F.posexplode("m").alias("pos", "msg")).select(
         "conv_id", "turn", "rag", F.col("pos").cast("long").alias("pos"),
         F.col("msg.role").alias("role"), F.col("msg.content").alias("content"), "prompt",
@@ -161,18 +163,7 @@ def compare_answers(spark, sf_dir):
 # -- profile -----------------------------------------------------------------------------------
 
 def column_profile(spark, sf_dir):
-    raw = A.raw_qa(spark, sf_dir).select(*schemas.RAW_QA.names)
-    counts = ("q_body_count", "a_body_count")
-    stages = {
-        "all_rows": N.column_profile(raw),
-        "with_reply": N.column_profile(raw.select("reply", *counts), F.col("reply").isNotNull()).filter(
-            F.col("column") != "reply"),
-        "without_counts": N.column_profile(PP.answered(raw).drop(*counts)),
-    }
-    first, *rest = [df.select(F.lit(s).alias("stage"), "*") for s, df in stages.items()]
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    return PP.columns(A.raw_qa(spark, sf_dir))
 
 
 def duplicate_rows(spark, sf_dir):
@@ -257,11 +248,11 @@ def violin_summary(spark, sf_dir):
 
 
 def scatter_bins(spark, sf_dir):
-    return D.grid_counts(_lengths(spark, sf_dir), [("question_len", "reply_len")])
+    return D.grid_counts(written(_lengths(spark, sf_dir), "measures"), [("question_len", "reply_len")])
 
 
 def pair_matrix(spark, sf_dir):
-    return PP.pair_matrix(_lengths(spark, sf_dir))
+    return PP.pair_matrix(written(_lengths(spark, sf_dir), "measures"))
 
 
 def pair_diagonal(spark, sf_dir):
