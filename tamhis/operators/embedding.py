@@ -1,39 +1,84 @@
-"""Text encoders: a TF-IDF default on Spark ML and a hook for model encoders."""
+"""Text encoders: a hashed TF-IDF default and a hook for model encoders."""
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.functions.text import WS
 
 
+def lower_words(c: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), f"{WS}++"), "")
+
+
+def _hashing(dim: int):
+    """Arrow helper as a closure, shipped by value: lists of words -> (row, bucket) of every word.
+
+    A word's bucket is the first 16 bits of its md5 modulo ``dim``. Only the distinct words of a batch
+    are hashed.
+    """
+    from hashlib import md5
+
+    def row_and_bucket(words: pa.Array):
+        coded = words.flatten().dictionary_encode()
+        bucket = np.array(
+            [int(md5(w.encode()).hexdigest()[:4], 16) % dim for w in coded.dictionary.to_pylist()], dtype=np.int64
+        )
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        return row, bucket[coded.indices.to_numpy()]
+
+    return row_and_bucket
+
+
 class TfidfEncoder:
-    """Hashed TF-IDF vectors of unit length. Fitting is one pass; encoding needs no shuffle."""
+    """Hashed TF-IDF vectors of unit length; a text without words gets the zero vector.
+
+    Texts are split in the JVM, words are counted in Arrow batches. Fitting is one pass that counts
+    documents per bucket (``dim`` numbers reach the driver); encoding needs no shuffle.
+    """
 
     def __init__(self, dim: int = 256):
+        if not 1 <= dim <= 65536:
+            raise ValueError("dim must be between 1 and 65536")
         self.dim = dim
-        self._model = None
+        self.idf = None
 
     def fit(self, df: DataFrame, column: str) -> "TfidfEncoder":
-        self._model = Pipeline(stages=[
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=f"{WS}+", toLowercase=True),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.dim),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="_unit", p=2.0),
-        ]).fit(df.select(F.coalesce(F.col(column), F.lit("")).alias("_text")))
+        dim, row_and_bucket = self.dim, _hashing(self.dim)
+
+        def buckets_of(words: pa.Array) -> pa.Array:
+            """The distinct buckets of each text, and -1 once per text to count the texts."""
+            row, bucket = row_and_bucket(words)
+            cells = np.unique(np.concatenate([row * (dim + 1) + bucket + 1, np.arange(len(words)) * (dim + 1)]))
+            offsets = np.searchsorted(cells, np.arange(len(words) + 1) * (dim + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(offsets, (cells % (dim + 1) - 1).astype(np.int32))
+
+        present = F.arrow_udf(buckets_of, returnType="array<int>")(lower_words(F.col(column)))
+        counts = dict(df.select(F.explode(present).alias("b")).groupBy("b").agg(F.count(F.lit(1))).collect())
+        n = counts.pop(-1, 0)
+        found = np.array([counts.get(b, 0) for b in range(dim)], dtype=np.float64)
+        self.idf = np.log((n + 1.0) / (found + 1.0))
         return self
 
     def encode(self, df: DataFrame, column: str) -> DataFrame:
-        """Add ``embedding`` (array of float)."""
-        if self._model is None:
+        """Add ``embedding`` (array of double)."""
+        if self.idf is None:
             raise ValueError("fit the encoder first")
-        out = self._model.transform(df.withColumn("_text", F.coalesce(F.col(column), F.lit(""))))
-        return out.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-            "_text", "_words", "_tf", "_idf", "_unit"
-        )
+        dim, idf, row_and_bucket = self.dim, self.idf, _hashing(self.dim)
+
+        def vectors(words: pa.Array) -> pa.Array:
+            n = len(words)
+            row, bucket = row_and_bucket(words)
+            weight = np.bincount(row * dim + bucket, minlength=n * dim).reshape(n, dim) * idf
+            norm = np.sqrt((weight * weight).sum(axis=1, keepdims=True))
+            weight = np.divide(weight, norm, out=np.zeros_like(weight), where=norm > 0)
+            return pa.ListArray.from_arrays(np.arange(0, (n + 1) * dim, dim, dtype=np.int32), weight.ravel())
+
+        to_vectors = F.arrow_udf(vectors, returnType="array<double>")
+        return df.withColumn("embedding", to_vectors(lower_words(F.col(column))))
 
 
 class BatchEncoder:

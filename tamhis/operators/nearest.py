@@ -7,7 +7,7 @@ BLOCK_BYTES = 32 * 1024 * 1024
 
 
 def _top_k(k):
-    """Numpy kernel as closures, which are shipped by value: executors need only numpy and pandas.
+    """Numpy kernel as closures, which are shipped by value: executors need only numpy and pyarrow.
 
     ``merge(best, queries, ids, vectors)`` folds a block of documents into the running k best
     (distance, id) per query. Distances are screened by one matrix product and recomputed exactly for
@@ -55,15 +55,15 @@ def _top_k(k):
                 dist[q0 + touched] = d[pick]
                 who[q0 + touched] = i[pick]
 
-    def table(best, query_ids):
-        import pandas as pd
+    def matrix(column):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
+    def rows(best, query_ids):
         dist, who = best
         keep = np.isfinite(dist)
-        rows = np.nonzero(keep)[0]
-        return pd.DataFrame({"query_id": query_ids[rows], "doc_id": who[keep], "distance": dist[keep]})
+        return {"query_id": query_ids[np.nonzero(keep)[0]], "doc_id": who[keep], "distance": dist[keep]}
 
-    return start, merge, table
+    return start, merge, matrix, rows
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -96,33 +96,31 @@ _FOUND = "query_id long, doc_id long, distance double"
 
 
 def _scan_index(index, queries, k):
-    small = queries.toPandas()
+    start, merge, matrix, rows = _top_k(k)
+    small = queries.toArrow().combine_chunks()
     if not len(small):
         return index.sparkSession.createDataFrame([], _FOUND)
     shared = index.sparkSession.sparkContext.broadcast(
-        (small["query_id"].to_numpy(), small["embedding"].tolist())
+        (small["query_id"].to_numpy(), matrix(small["embedding"].chunk(0)))
     )
-    start, merge, table = _top_k(k)
 
     def scan(batches):
-        import numpy as np
+        import pyarrow as pa
 
         query_ids, vectors = shared.value
-        vectors = np.asarray(vectors, dtype=np.float64)
         best = start(len(query_ids))
         for batch in batches:
             if len(batch):
-                merge(best, vectors, batch["doc_id"].to_numpy(),
-                      np.asarray(batch["embedding"].tolist(), dtype=np.float64))
-        yield table(best, query_ids)
+                merge(best, vectors, batch["doc_id"].to_numpy(), matrix(batch["embedding"]))
+        yield pa.RecordBatch.from_pydict(rows(best, query_ids))
 
-    return index.mapInPandas(scan, _FOUND)
+    return index.mapInArrow(scan, _FOUND)
 
 
 def _by_blocks(index, queries, k, row_bytes, n_queries, block_bytes):
+    start, merge, matrix, rows = _top_k(k)
     n_q = max(1, -(-n_queries * row_bytes // block_bytes))
     n_i = max(1, -(-index.count() * row_bytes // block_bytes))
-    start, merge, table = _top_k(k)
 
     def blocks(df, key, mine, my_count, other, other_count):
         return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(my_count)).cast("int")).withColumn(
@@ -130,14 +128,15 @@ def _by_blocks(index, queries, k, row_bytes, n_queries, block_bytes):
         )
 
     def search(docs, asked):
-        import numpy as np
+        import pyarrow as pa
 
         best = start(len(asked))
         if len(docs) and len(asked):
-            merge(best, np.asarray(asked["embedding"].tolist(), dtype=np.float64), docs["doc_id"].to_numpy(),
-                  np.asarray(docs["embedding"].tolist(), dtype=np.float64))
-        return table(best, asked["query_id"].to_numpy())
+            docs, asked = docs.combine_chunks(), asked.combine_chunks()
+            merge(best, matrix(asked["embedding"].chunk(0)), docs["doc_id"].to_numpy(),
+                  matrix(docs["embedding"].chunk(0)))
+        return pa.table(rows(best, asked["query_id"].to_numpy()))
 
     docs = blocks(index, "doc_id", "_i", n_i, "_q", n_q)
     asked = blocks(queries, "query_id", "_q", n_q, "_i", n_i)
-    return docs.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInPandas(search, _FOUND)
+    return docs.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInArrow(search, _FOUND)

@@ -10,6 +10,7 @@ from tamhis.profiles import ARABIC, LanguageProfile
 from tamhis.streaming.sink import BatchTable, run_available
 
 CURATED = T.StructType([
+    T.StructField("key", T.BinaryType()),
     T.StructField("row_id", T.LongType()),
     T.StructField("instruction", T.StringType()),
     T.StructField("input", T.StringType()),
@@ -22,22 +23,21 @@ def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageP
 
     Gates and cleaning run on the stream. Per batch the first row of each question survives unless an
     earlier batch already has the question; with files that arrive in row order the table equals the
-    batch result. Only the questions of the batch are looked up: the stored table is reduced to them
-    by a semi-join, whose small side Spark can broadcast, before the batch is reduced.
+    batch result. Questions are stored with a 128-bit digest, so a batch is checked against 16 bytes
+    per stored row, reduced to the questions of the batch by a semi-join whose small side Spark can
+    broadcast. ``read().drop("key")`` gives the records.
     """
     table = BatchTable(raw.sparkSession, path, CURATED)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = batch.withColumn("key", F.unhex(F.md5("q"))).persist()
         try:
             records = first_per_key(batch, "q", "row_id").select(
-                "row_id", F.col("q").alias("instruction"), F.lit("").alias("input"), F.col("a").alias("output")
+                "key", "row_id", F.col("q").alias("instruction"), F.lit("").alias("input"),
+                F.col("a").alias("output"),
             )
-            seen = (
-                table.earlier(batch_id).select("instruction")
-                .join(batch.select(F.col("q").alias("instruction")).distinct(), "instruction", "left_semi")
-            )
-            table.write(records.join(seen, "instruction", "left_anti"), batch_id)
+            seen = table.earlier(batch_id).select("key").join(batch.select("key").distinct(), "key", "left_semi")
+            table.write(records.join(seen, "key", "left_anti"), batch_id)
         finally:
             batch.unpersist()
 

@@ -278,6 +278,52 @@ prompted AS (
   SELECT request_id, status, error, {prompt(RAG_SYSTEM, rag_user('message', 'context'))} AS prompt
   FROM asked JOIN contexts USING (query_id))"""
 
+
+
+def buckets(source: str, key: str, column: str, name: str) -> str:
+    return f"""
+{name}_words AS (SELECT {key}, unnest(regexp_split_to_array(lower({column}), '\\s+')) AS w FROM {source}),
+{name}_tf AS (SELECT {key}, ('0x' || md5(w)[1:4])::INT % 256 AS bucket, count(*) AS tf FROM {name}_words WHERE w <> '' GROUP BY ALL)"""
+
+
+def weights(name: str, key: str, idf: str) -> str:
+    return f"""
+{name}_raw AS (SELECT {key}, bucket, tf * idf AS w FROM {name}_tf JOIN {idf} USING (bucket)),
+{name}_weights AS (
+  SELECT {key}, bucket, CASE WHEN norm > 0 THEN w / norm ELSE 0 END AS weight
+  FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {key})) AS norm FROM {name}_raw))"""
+
+
+def idf(source: str) -> str:
+    return f"""
+idf AS (
+  SELECT bucket, ln(((SELECT count(*) FROM {source}) + 1.0::DOUBLE) / (coalesce(df, 0) + 1.0::DOUBLE)) AS idf
+  FROM range(256) AS r(bucket) LEFT JOIN (SELECT bucket, count(*) AS df FROM doc_tf GROUP BY bucket) USING (bucket))"""
+
+
+def vectors(name: str, source: str, key: str) -> str:
+    return f"""
+{name}_vectors AS (
+  SELECT k.{key}, list(coalesce(weight, 0.0::DOUBLE) ORDER BY b) AS embedding
+  FROM (SELECT DISTINCT {key} FROM {source}) AS k CROSS JOIN range(256) AS r(b)
+  LEFT JOIN {name}_weights AS w ON w.{key} = k.{key} AND w.bucket = b GROUP BY k.{key})"""
+
+
+DOCS = f"""
+texts AS (
+  SELECT row_id AS doc_id, {stripped("instruction || ' ' || input")} AS q, {stripped('output')} AS a FROM {{records}}),
+docs AS (
+  SELECT doc_id, {lit(P.DOCUMENT_QUESTION)} || q || {lit(P.DOCUMENT_ANSWER)} || a AS doc_text FROM texts WHERE q <> '' AND a <> '')"""
+
+TFIDF_PROMPTS = CURATED + f""", {DOCS.format(records='curated')}, {REQUESTS},
+asked AS (SELECT request_id, message FROM validated WHERE status = 200),
+{buckets('docs', 'doc_id', 'doc_text', 'doc')}, {idf('docs')}, {weights('doc', 'doc_id', 'idf')}, {vectors('doc', 'docs', 'doc_id')},
+{buckets('asked', 'request_id', 'message', 'ask')}, {weights('ask', 'request_id', 'idf')}, {vectors('ask', 'asked', 'request_id')},
+queries AS (SELECT request_id AS query_id, embedding FROM ask_vectors), {nearest('doc_vectors', 'queries')},
+contexts AS (
+  SELECT query_id AS request_id, string_agg(doc_text, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM hits JOIN docs USING (doc_id) GROUP BY query_id)"""
+
 NUMERIC_COLUMNS = ("q_body_count", "a_body_count", "question_len", "reply_len")
 PAIR_FRAME = """,
 frame AS (SELECT question_len AS "Q Len", reply_len AS "A Len", question_word_count AS "Q Words", answer_word_count AS "A Words" FROM lengths),"""
@@ -317,9 +363,7 @@ ORACLE_SQL = {
     "chat_render": f"""SELECT conv_id, 0::BIGINT AS part,
        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || {lit(ASSISTANT_TURN)} AS chat
      FROM conversations GROUP BY conv_id""",
-    "build_rag_docs": f"""WITH {RECORDS}, d AS (
-      SELECT row_id AS doc_id, {stripped("instruction || ' ' || input")} AS q, {stripped('output')} AS a FROM records)
-    SELECT doc_id, {lit(P.DOCUMENT_QUESTION)} || q || {lit(P.DOCUMENT_ANSWER)} || a AS doc_text FROM d WHERE q <> '' AND a <> ''""",
+    "build_rag_docs": f"WITH {RECORDS}, {DOCS.format(records='records')} SELECT doc_id, doc_text FROM docs",
     "prompt_messages": f"""WITH {ANSWERED}, both_kinds AS (
       SELECT conv_id, turn, FALSE AS rag, {lit(P.SYSTEM_PROMPT)} AS s, question AS u FROM answered
       UNION ALL SELECT conv_id, turn, TRUE, {RAG_SYSTEM}, {rag_user('question', 'answer')} FROM answered)
@@ -392,6 +436,11 @@ ORACLE_SQL = {
     queries AS (SELECT label::BIGINT AS query_id, list(v ORDER BY pos) AS embedding FROM sums GROUP BY label), {nearest('items', 'queries')}
     SELECT query_id, doc_id, round(distance, 6) AS distance, rank FROM hits""",
     "rag_prompts": f"WITH {PROMPTED} SELECT request_id, prompt FROM prompted",
+    "tfidf_embed": f"""WITH {RECORDS}, {DOCS.format(records='records')}, {buckets('docs', 'doc_id', 'doc_text', 'doc')},
+      {idf('docs')}, {weights('doc', 'doc_id', 'idf')}
+    SELECT doc_id, bucket::BIGINT AS bucket, round(weight, 6) AS weight FROM doc_weights WHERE weight <> 0""",
+    "tfidf_rag_prompts": f"""WITH {TFIDF_PROMPTS}
+    SELECT request_id, {prompt(RAG_SYSTEM, rag_user('message', 'context'))} AS prompt FROM asked JOIN contexts USING (request_id)""",
     "stream_requests": f"""WITH {PROMPTED} SELECT request_id, status, error, prompt FROM prompted
     UNION ALL SELECT request_id, status, error, NULL FROM validated WHERE status <> 200""",
     "stream_curate": f"WITH {CURATED} SELECT row_id, instruction, input, output FROM curated",

@@ -220,9 +220,14 @@ def boxplot_overall(spark, sf_dir):
     return _rounded(D.boxplot(PP.char_lengths(_lengths(spark, sf_dir))))
 
 
-def top_category_boxplot(spark, sf_dir):
+def _top_category_counts(spark, sf_dir, label, column):
+    """Value counts of a measure per top category, stored because the summaries read them repeatedly."""
     top = N.in_top_categories(_lengths(spark, sf_dir))
-    vc = D.value_counts(top, {"Question": F.col("question_len")}, ["category"])
+    return written(D.value_counts(top, {label: F.col(column)}, ["category"]), "value-counts")
+
+
+def top_category_boxplot(spark, sf_dir):
+    vc = _top_category_counts(spark, sf_dir, "Question", "question_len")
     return _rounded(D.boxplot(vc, ["category"]))
 
 
@@ -231,8 +236,7 @@ def top_category_mean_ci(spark, sf_dir):
 
 
 def top_category_mean_bootstrap(spark, sf_dir):
-    top = N.in_top_categories(_lengths(spark, sf_dir))
-    vc = D.value_counts(top, {"Answer": F.col("reply_len")}, ["category"])
+    vc = _top_category_counts(spark, sf_dir, "Answer", "reply_len")
     return _rounded(D.mean_interval_bootstrap(vc, "category"))
 
 
@@ -303,8 +307,11 @@ def rag_prompts(spark, sf_dir):
 
 
 def tfidf_embed(spark, sf_dir):
+    """Non-zero weights of the document vectors."""
     docs = PR.documents(A.records(spark, sf_dir))
-    return TfidfEncoder().fit(docs, "doc_text").encode(docs, "doc_text").select("doc_id", "embedding")
+    vectors = TfidfEncoder().fit(docs, "doc_text").encode(docs, "doc_text")
+    weights = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
+    return _rounded(weights.withColumn("bucket", F.col("bucket").cast("long")))
 
 
 def tfidf_rag_prompts(spark, sf_dir):
@@ -337,7 +344,7 @@ def stream_requests(spark, sf_dir):
 def stream_curate(spark, sf_dir):
     base = fresh_path(spark, "stream-curate")
     raw = A.raw_from_documents(_stream(spark, sf_dir, "documents"))
-    return curate_stream(raw, f"{base}/table", f"{base}/checkpoint", LATIN).read()
+    return curate_stream(raw, f"{base}/table", f"{base}/checkpoint", LATIN).read().drop("key")
 
 
 QUERIES = {
