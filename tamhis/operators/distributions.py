@@ -4,9 +4,9 @@ Everything starts from the value-count table: (keys, value, n), one row per dist
 built by one pass with map-side counting, so hot values cost nothing, and all summaries read this
 small table instead of the texts.
 
-The keys of a series are its name and, optionally, a category. Names are listed in the call and
-categories are cut to the top k first (``in_top_categories``), so a table with one row per series, or
-one per value range of a series, has a fixed size bound and is broadcast.
+The keys of a series are its name and, optionally, a category. Series names are listed in the call, so
+a table with one row per name, or one per value range of a name, has a fixed size bound and is
+broadcast. With further keys the number of rows depends on the data and Spark picks the join by size.
 """
 
 import math
@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 RANGES = 64  # value ranges per factor of e in the two-level running count
 
 
+def _small(df: DataFrame, keys) -> DataFrame:
+    """Broadcast a per-series table if its size bound is known."""
+    return F.broadcast(df) if list(keys) == ["series"] else df
+
+
 def value_counts(df: DataFrame, series: dict[str, Column], by=()) -> DataFrame:
     """(by.., series, value, n) for the named numeric expressions; nulls and NaN are left out."""
     wide = df.select(*by, *[c.cast("double").alias(name) for name, c in series.items()])
@@ -68,7 +73,7 @@ def running_counts(vc: DataFrame, keys) -> DataFrame:
     )
     inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ranged.join(F.broadcast(ranges), [*keys, "_range"])
+        ranged.join(_small(ranges, keys), [*keys, "_range"])
         .withColumn("cum", F.col("_before") + F.sum("n").over(inside))
         .drop("_range", "_before")
     )
@@ -122,7 +127,7 @@ def boxplot(vc: DataFrame, keys=("series",), reach: float = 1.5) -> DataFrame:
     value = F.col("value")
     inside = value.between(F.col("low_fence"), F.col("high_fence"))
     return (
-        vc.join(F.broadcast(box), keys)
+        vc.join(_small(box, keys), keys)
         .groupBy(*keys, "count", "q1", "median", "q3")
         .agg(
             F.least(F.min(F.when(inside, value)), F.col("q1")).alias("whisker_low"),
@@ -158,7 +163,7 @@ def histogram(vc: DataFrame, keys=("series",)) -> DataFrame:
         *keys, F.col("min").alias("lo"), bins.alias("bins"), (span / bins).alias("width")
     )
     counts = (
-        vc.join(F.broadcast(shape), keys)
+        vc.join(_small(shape, keys), keys)
         .groupBy(*keys, _bin(F.col("value"), F.col("lo"), F.col("width"), F.col("bins")).alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
@@ -190,7 +195,7 @@ def kde(vc: DataFrame, keys=("series",), points: int = 200, cut: float = 3.0) ->
     x = F.col("start") + F.col("point") * F.col("step")
     z = (x - F.col("value")) / F.col("bw")
     return (
-        vc.join(F.broadcast(shape), keys)
+        vc.join(_small(shape, keys), keys)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(*keys, F.col("point").cast("long").alias("point"), x.alias("x"), "count", "bw")
         .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("s"))
@@ -202,7 +207,7 @@ def kde(vc: DataFrame, keys=("series",), points: int = 200, cut: float = 3.0) ->
 def violin(vc: DataFrame, keys=("series",)) -> DataFrame:
     """Density outline with the quartiles on every row."""
     box = describe(vc, keys).select(*keys, "q1", "median", "q3")
-    return kde(vc, keys, points=100, cut=2.0).join(F.broadcast(box), list(keys))
+    return kde(vc, keys, points=100, cut=2.0).join(_small(box, keys), list(keys))
 
 
 def mean_interval(df: DataFrame, value: str, by: str, z: float = 1.96) -> DataFrame:
@@ -247,7 +252,7 @@ def mean_interval_bootstrap(vc: DataFrame, by: str, draws: int = 1000, seed: int
         .groupBy(by)  # exactly `draws` rows per group
         .agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
     )
-    return moments(vc, [by]).select(by, F.col("total").alias("n"), "mean").join(F.broadcast(means), by)
+    return moments(vc, [by]).select(by, F.col("total").alias("n"), "mean").join(means, by)
 
 
 def grid_counts(df: DataFrame, pairs, bins: int = 50) -> DataFrame:

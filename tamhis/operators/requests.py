@@ -1,6 +1,6 @@
 """Request validation, answer records, answer comparison and reports."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamhis import profiles as P
@@ -51,6 +51,16 @@ def response_records(df: DataFrame, answer: str, elapsed: str, device: str, rag:
     }).drop(*({answer, elapsed} - {"response", "elapsed_seconds"}))
 
 
+def panel(spark: SparkSession, questions) -> DataFrame:
+    """A fixed list of test questions as (question_id, question), numbered from 1."""
+    return spark.createDataFrame(list(enumerate(questions, 1)), "question_id long, question string")
+
+
+def answer_panel(asked: DataFrame, answers: DataFrame, keys=("question_id",)) -> DataFrame:
+    """Every question that has an answer, with it: an equi-join on the question's key."""
+    return asked.join(answers, list(keys))
+
+
 def compare_answers(answers: DataFrame, models, keys=("question_id",)) -> DataFrame:
     """One row per question, one column per model; (keys, model) must be unique."""
     return answers.groupBy(*keys).pivot("model", list(models)).agg(F.max("answer"))

@@ -53,6 +53,7 @@ def test_instruction_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "س", "", "a\nb"), (2, "q", "", "")], "row_id long, instruction string, input string, output string")
     path = str(tmp_path / "out")
     assert writers.write_instructions(df, path) == 2
+    assert writers.write_instructions(df.limit(0), path) == 0
     assert writers.write_instructions(df.limit(1), path) == 1
     lines = [r.value for r in spark.read.text(path).collect()]
     assert lines == ['{"instruction":"س","input":"","output":"a\\nb"}']

@@ -35,6 +35,9 @@ def test_compare_and_report(spark):
                                     "question_id long, model string, answer string")
     got = R.compare_answers(answers, ["base", "tuned"]).orderBy("question_id").collect()
     assert [tuple(r) for r in got] == [(1, "x", "y"), (2, "z", None)]
+    panel = R.panel(spark, ["one?", "two?"])
+    got = R.answer_panel(panel, answers.filter("model = 'base'")).orderBy("question_id").collect()
+    assert [(r.question, r.answer) for r in got] == [("one?", "x"), ("two?", "z")]
     line = spark.createDataFrame([("q", "a")], "question string, answer string").select(R.report_lines()).first()[0]
     assert line == "السؤال: q\nالجواب: a"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamhis.functions import text as X
+from tamhis.operators.requests import answer_panel
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +94,7 @@ def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     given = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return asked.join(given, ["conv_id", "turn"])
+    return answer_panel(asked, given, ["conv_id", "turn"])
 
 
 def answers_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
