@@ -1,9 +1,8 @@
 """Text rules as Column -> Column functions on built-in, JVM-side expressions.
 
-The rules are defined on Unicode white space and digits, while Java's ``\\s`` and ``\\d`` are ASCII.
-The classes are therefore spelled out, which is also much faster than Java's ``(?U)`` flag.
-Quantifiers are possessive where the next character cannot be part of the run, so that every pattern
-is linear in the text, also on megabyte-long tokens.
+The rules are defined on Unicode white space and digits, while Java's ``\\s`` and ``\\d`` are ASCII, so
+the classes are spelled out. Quantifiers are possessive where the next character cannot be part of the
+run, so that every pattern is linear in the text, also on megabyte-long tokens.
 """
 
 from pyspark.sql import Column
@@ -12,13 +11,6 @@ from pyspark.sql import functions as F
 from tamhis.profiles import ARABIC, LanguageProfile
 
 # The characters that count as white space (Unicode White_Space and U+001C..U+001F).
-_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Most characters of a text fall into these two ranges. Testing them first spares Java the walk
-# through the whole class; the classes mean the same without it.
-_COMMON = r"!-~\xa1-\u167f"
-WS = f"[[^{_COMMON}]&&[{_SPACE}]]"
-NWS = f"[{_COMMON}[^{_SPACE}]]"
-_NWS_BUT_AT = rf"[!-?A-~\xa1-\u167f[^@{_SPACE}]]"
 SPACE_CHARS = "".join(
     chr(c) for c in (
         *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -26,6 +18,26 @@ SPACE_CHARS = "".join(
     )
 )
 
+# One composite class for these characters is slow in Java, and much slower still when several tasks
+# of an executor match at once. So the classes are alternations: Latin-1 characters listed one by one
+# (a table lookup), two plain ranges that hold no white space, and the small mixed rest behind a guard.
+_RARE_SPACE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEYOND = r"(?![\x00-\u167f])"
+
+
+def _latin(keep) -> str:
+    return "[" + "".join(rf"\x{c:02x}" for c in range(256) if keep(chr(c))) + "]"
+
+
+def _visible(keep=lambda c: True) -> str:
+    latin = _latin(lambda c: c not in SPACE_CHARS and keep(c))
+    return rf"(?:{latin}+|[\u0100-\u167f]+|[\u3001-\x{{10ffff}}]+|{_BEYOND}[\u1681-\u2fff&&[^{_RARE_SPACE}]]+)"
+
+
+WS = f"(?:{_latin(lambda c: c in SPACE_CHARS)}|{_BEYOND}[{_RARE_SPACE}])"
+NWS = _visible()
+_NWS_BUT_AT = _visible(lambda c: c != "@")
+
 
 def _any_of(words) -> str:
     return "|".join(rf"\Q{w}\E" for w in words)
@@ -67,7 +79,8 @@ def strip_urls(c: Column) -> Column:
 
 def strip_emails(c: Column) -> Column:
     """Drop every token with an ``@``, together with one white space after it."""
-    return F.regexp_replace(c, f"(?<!{NWS}){_NWS_BUT_AT}*+@{NWS}*+{WS}?", "")
+    # \G continues where the last match ended: the group takes the tokens before the next one with an @.
+    return F.regexp_replace(c, rf"\G((?:{_NWS_BUT_AT}*+{WS}++)*+){_NWS_BUT_AT}*+@{NWS}*+{WS}?", "$1")
 
 
 def cut_number_tail(c: Column) -> Column:
