@@ -310,7 +310,8 @@ def tfidf_embed(spark, sf_dir):
     """Non-zero weights of the document vectors."""
     docs = PR.documents(A.records(spark, sf_dir))
     vectors = TfidfEncoder().fit(docs, "doc_text").encode(docs, "doc_text")
-    weights = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).filter("weight <> 0")
+    # outer: a plain posexplode adds a filter on the array's size, which would run the encoder twice
+    weights = vectors.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight")).filter("weight <> 0")
     return _rounded(weights.withColumn("bucket", F.col("bucket").cast("long")))
 
 
