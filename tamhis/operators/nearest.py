@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 32 * 1024 * 1024
 
@@ -14,6 +15,7 @@ def _top_k(k):
     the few pairs that can still enter, so ties are broken by id on exact values.
     """
     import numpy as np
+    import pyarrow as pa
 
     last = np.iinfo(np.int64).max
     tile = 1024
@@ -61,7 +63,7 @@ def _top_k(k):
     def rows(best, query_ids):
         dist, who = best
         keep = np.isfinite(dist)
-        return {"query_id": query_ids[np.nonzero(keep)[0]], "doc_id": who[keep], "distance": dist[keep]}
+        return {"query_id": query_ids.take(pa.array(np.nonzero(keep)[0])), "doc_id": who[keep], "distance": dist[keep]}
 
     return start, merge, matrix, rows
 
@@ -69,8 +71,8 @@ def _top_k(k):
 def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank).
 
-    ``index`` needs (doc_id long, embedding), ``queries`` (query_id long, embedding); ties go to the
-    smaller doc_id. Two ways with the same result, chosen by the measured size of the queries:
+    ``index`` needs (doc_id long, embedding), ``queries`` (query_id of any type, embedding); ties go to
+    the smaller doc_id. Two ways with the same result, chosen by the measured size of the queries:
 
     * up to ``block_bytes`` the queries are broadcast and every task scans its part of the index
       once, keeping k rows per query; the index is not shuffled;
@@ -81,27 +83,27 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
     Either way tasks return only k rows per query, and the last step ranks those.
     """
     index = index.select(F.col("doc_id").cast("long"), "embedding").filter("embedding is not null")
-    queries = queries.select(F.col("query_id").cast("long"), "embedding").filter("embedding is not null")
+    queries = queries.select("query_id", "embedding").filter("embedding is not null")
+    found_schema = T.StructType([
+        queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()),
+    ])
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     row_bytes = 8 * ((size["dim"] or 0) + 1)
     if size["n"] * row_bytes <= block_bytes:
-        found = _scan_index(index, queries, k)
+        found = _scan_index(index, queries, k, found_schema)
     else:
-        found = _by_blocks(index, queries, k, row_bytes, size["n"], block_bytes)
+        found = _by_blocks(index, queries, k, found_schema, row_bytes, size["n"], block_bytes)
     nearest_first = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
 
 
-_FOUND = "query_id long, doc_id long, distance double"
-
-
-def _scan_index(index, queries, k):
+def _scan_index(index, queries, k, schema):
     start, merge, matrix, rows = _top_k(k)
     small = queries.toArrow().combine_chunks()
     if not len(small):
-        return index.sparkSession.createDataFrame([], _FOUND)
+        return index.sparkSession.createDataFrame([], schema)
     shared = index.sparkSession.sparkContext.broadcast(
-        (small["query_id"].to_numpy(), matrix(small["embedding"].chunk(0)))
+        (small["query_id"].chunk(0), matrix(small["embedding"].chunk(0)))
     )
 
     def scan(batches):
@@ -114,10 +116,10 @@ def _scan_index(index, queries, k):
                 merge(best, vectors, batch["doc_id"].to_numpy(), matrix(batch["embedding"]))
         yield pa.RecordBatch.from_pydict(rows(best, query_ids))
 
-    return index.mapInArrow(scan, _FOUND)
+    return index.mapInArrow(scan, schema)
 
 
-def _by_blocks(index, queries, k, row_bytes, n_queries, block_bytes):
+def _by_blocks(index, queries, k, schema, row_bytes, n_queries, block_bytes):
     start, merge, matrix, rows = _top_k(k)
     n_q = max(1, -(-n_queries * row_bytes // block_bytes))
     n_i = max(1, -(-index.count() * row_bytes // block_bytes))
@@ -135,8 +137,8 @@ def _by_blocks(index, queries, k, row_bytes, n_queries, block_bytes):
             docs, asked = docs.combine_chunks(), asked.combine_chunks()
             merge(best, matrix(asked["embedding"].chunk(0)), docs["doc_id"].to_numpy(),
                   matrix(docs["embedding"].chunk(0)))
-        return pa.table(rows(best, asked["query_id"].to_numpy()))
+        return pa.table(rows(best, asked["query_id"].combine_chunks()))
 
     docs = blocks(index, "doc_id", "_i", n_i, "_q", n_q)
     asked = blocks(queries, "query_id", "_q", n_q, "_i", n_i)
-    return docs.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInArrow(search, _FOUND)
+    return docs.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInArrow(search, schema)

@@ -28,7 +28,7 @@ class LanguageProfile:
 
 
 # Keyword lists, signature line beginnings, letter folds and mark range of the
-# Arabic medical corpus. They decide which rows are kept, so they must stay exactly as they are.
+# Arabic profile. They decide which rows are kept, so they must stay exactly as they are.
 ARABIC = LanguageProfile(
     name="arabic",
     personal=(

@@ -14,8 +14,8 @@ def read_raw_qa(spark: SparkSession, path, fmt: str = "parquet", row_id: str | N
                 multi_line: bool = False, extra: T.StructType | None = None) -> DataFrame:
     """Raw question/answer rows plus ``row_id``, which fixes the order for first-wins rules.
 
-    Name the source's own key in ``row_id`` if there is one. Otherwise ids follow file and position
-    within the file. ``extra`` adds fields such as instruction/output; ``multi_line`` reads a JSON
+    Name the source's own key in ``row_id`` if there is one. Otherwise ids are unique and grow within a
+    file, but Spark decides in which order several files follow each other. ``extra`` adds fields such as instruction/output; ``multi_line`` reads a JSON
     file that is one array.
     """
     schema = T.StructType([*RAW_QA.fields, *(extra.fields if extra else [])])

@@ -53,6 +53,14 @@ def test_fewer_documents_than_k(spark, block_bytes):
     assert nearest(index, asked.limit(0), 3, block_bytes).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 25, 100])
+def test_text_query_ids(spark, block_bytes):
+    index = vectors(spark, "doc_id", [3, 4], [[0.0, 1.0], [1.0, 0.0]])
+    asked = spark.createDataFrame([(f"q{i}", [float(i % 2), 0.2]) for i in range(12)], "query_id string, embedding array<double>")
+    got = {r.query_id: r.doc_id for r in nearest(index, asked, 1, block_bytes).collect()}
+    assert got == {f"q{i}": 4 if i % 2 else 3 for i in range(12)}
+
+
 def test_tfidf_equals_plain_python(spark):
     texts = ["The cat the dog", "cat bird", "", None, " dog dog dog ", "the"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string").repartition(3)
@@ -110,3 +118,27 @@ def test_missing_index_rows_give_an_empty_context(spark):
     requests = spark.createDataFrame([("r", 1, "hi", [0.0])],
                                      "request_id string, query_id long, message string, embedding array<float>")
     assert f"{P.REFERENCE_HEADER}\n\n\n{P.QUESTION_HEADER}\nhi" in R.rag_prompts(requests, index).first()["prompt"]
+
+
+def test_executors_do_not_need_the_package(tmp_path):
+    """The functions sent to Python workers are shipped whole, so only numpy and pyarrow must be installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tamhis.operators.embedding import _hashing
+    from tamhis.operators.nearest import _top_k
+
+    shipped = tmp_path / "functions.pkl"
+    shipped.write_bytes(cloudpickle.dumps((_top_k(2), _hashing(16))))
+    code = (
+        "import pickle, sys, numpy as np, pyarrow as pa\n"
+        f"(start, merge, matrix, rows), hashing = pickle.load(open({str(shipped)!r}, 'rb'))\n"
+        "best = start(1)\n"
+        "merge(best, np.zeros((1, 2)), np.array([4, 5]), np.array([[1.0, 0.0], [0.0, 0.0]]))\n"
+        "assert rows(best, pa.array(['x']))['doc_id'].tolist() == [5, 4]\n"
+        "assert len(hashing(pa.array([['a', 'b'], []]))[0]) == 2\n"
+        "assert 'tamhis' not in sys.modules\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=120)

@@ -114,9 +114,9 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_query_vectors(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a conversation get the vector of the same number."""
+    """Requests of a conversation get the vector of the same number, or none."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return df.withColumn("query_id", F.col("conv_id")).join(vectors, "query_id")
+    return df.withColumn("query_id", F.col("conv_id")).join(vectors, "query_id", "left")
 
 
 def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,14 +269,14 @@ hits AS (
 
 PROMPTED = REQUESTS + f""",
 idx AS (SELECT doc_id, text AS doc_text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
-asked AS (SELECT v.*, vec_id AS query_id, embedding FROM validated v JOIN embeddings ON vec_id = conv_id WHERE status = 200),
+asked AS (SELECT *, conv_id AS query_id FROM validated WHERE status = 200),
 queries AS (SELECT DISTINCT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT conv_id FROM asked)),
 {nearest('idx', 'queries')},
 contexts AS (
   SELECT query_id, string_agg(doc_text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN idx USING (doc_id) GROUP BY query_id),
 prompted AS (
-  SELECT request_id, status, error, {prompt(RAG_SYSTEM, rag_user('message', 'context'))} AS prompt
-  FROM asked JOIN contexts USING (query_id))"""
+  SELECT request_id, status, error, {prompt(RAG_SYSTEM, rag_user('message', "coalesce(context, '')"))} AS prompt
+  FROM asked LEFT JOIN contexts USING (query_id))"""
 
 
 
@@ -440,7 +440,7 @@ ORACLE_SQL = {
       {idf('docs')}, {weights('doc', 'doc_id', 'idf')}
     SELECT doc_id, bucket::BIGINT AS bucket, round(weight, 6) AS weight FROM doc_weights WHERE weight <> 0""",
     "tfidf_rag_prompts": f"""WITH {TFIDF_PROMPTS}
-    SELECT request_id, {prompt(RAG_SYSTEM, rag_user('message', 'context'))} AS prompt FROM asked JOIN contexts USING (request_id)""",
+    SELECT request_id, {prompt(RAG_SYSTEM, rag_user('message', "coalesce(context, '')"))} AS prompt FROM asked LEFT JOIN contexts USING (request_id)""",
     "stream_requests": f"""WITH {PROMPTED} SELECT request_id, status, error, prompt FROM prompted
     UNION ALL SELECT request_id, status, error, NULL FROM validated WHERE status <> 200""",
     "stream_curate": f"WITH {CURATED} SELECT row_id, instruction, input, output FROM curated",

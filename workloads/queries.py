@@ -321,7 +321,7 @@ def tfidf_rag_prompts(spark, sf_dir):
     encoder = TfidfEncoder().fit(PR.documents(curated), "doc_text")
     index = written(PR.build_index(curated, encoder), "index")
     asked = R.validate_requests(A.requests(spark, sf_dir)).filter("status = 200")
-    asked = asked.select("request_id", F.xxhash64("message").alias("query_id"), "message")
+    asked = asked.select("request_id", F.col("request_id").alias("query_id"), "message")
     return PR.rag_prompts(encoder.encode(asked, "message"), index).select("request_id", "prompt")
 
 
