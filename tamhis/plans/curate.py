@@ -7,20 +7,28 @@ from tamhis.operators import curation as C
 from tamhis.profiles import ARABIC, LanguageProfile
 
 
-def clean_valid_pairs(raw: DataFrame, profile: LanguageProfile = ARABIC) -> DataFrame:
-    """(row_id, q, a) of the valid pairs, cleaned. No shuffle; also works on a stream.
+def valid_pairs(raw: DataFrame, profile: LanguageProfile = ARABIC) -> DataFrame:
+    """(row_id, q, a) of the valid pairs, the question cleaned. No shuffle; also works on a stream.
 
     The gates see the raw texts, so a cleaned text may be short or empty.
     """
     qa = C.with_qa(raw).select("row_id", "q", "a")
-    return C.cleaned(qa.filter(C.is_valid_pair(F.col("q"), F.col("a"), profile)), ("q", "a"), profile)
+    return C.cleaned(qa.filter(C.is_valid_pair(F.col("q"), F.col("a"), profile)), ("q",), profile)
+
+
+def as_records(pairs: DataFrame, profile: LanguageProfile = ARABIC) -> DataFrame:
+    """Clean the answers and project to instruction records. Last, so that only kept answers are cleaned."""
+    return (
+        C.cleaned(pairs, ("a",), profile)
+        .withColumn("input", F.lit(""))
+        .withColumnsRenamed({"q": "instruction", "a": "output"})
+    )
 
 
 def curate(raw: DataFrame, profile: LanguageProfile = ARABIC) -> DataFrame:
     """(row_id, instruction, input, output); the first valid row of each cleaned question wins."""
-    return C.first_per_key(clean_valid_pairs(raw, profile), "q", "row_id").select(
-        "row_id", F.col("q").alias("instruction"), F.lit("").alias("input"), F.col("a").alias("output")
-    )
+    first = C.first_per_key(valid_pairs(raw, profile), "q", "row_id")
+    return as_records(first, profile).select("row_id", "instruction", "input", "output")
 
 
 def curation_funnel(raw: DataFrame, profile: LanguageProfile = ARABIC) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.operators.curation import first_per_key
-from tamhis.plans.curate import clean_valid_pairs
+from tamhis.plans.curate import as_records, valid_pairs
 from tamhis.profiles import ARABIC, LanguageProfile
 from tamhis.streaming.sink import BatchTable, run_available
 
@@ -21,7 +21,7 @@ CURATED = T.StructType([
 def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageProfile = ARABIC) -> BatchTable:
     """Curate a stream of raw rows into a table of instruction records.
 
-    Gates and cleaning run on the stream. Per batch the first row of each question survives unless an
+    Gates run on the stream. Per batch the first row of each question survives unless an
     earlier batch already has the question; with files that arrive in row order the table equals the
     batch result. Questions are stored with a 128-bit digest, so a batch is checked against 16 bytes
     per stored row, reduced to the questions of the batch by a semi-join whose small side Spark can
@@ -32,14 +32,11 @@ def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageP
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("key", F.unhex(F.md5("q"))).persist()
         try:
-            records = first_per_key(batch, "q", "row_id").select(
-                "key", "row_id", F.col("q").alias("instruction"), F.lit("").alias("input"),
-                F.col("a").alias("output"),
-            )
+            first = first_per_key(batch, "q", "row_id")
             seen = table.earlier(batch_id).select("key").join(batch.select("key").distinct(), "key", "left_semi")
-            table.write(records.join(seen, "key", "left_anti"), batch_id)
+            table.write(as_records(first.join(seen, "key", "left_anti"), profile), batch_id)
         finally:
             batch.unpersist()
 
-    run_available(clean_valid_pairs(raw, profile), handle, checkpoint)
+    run_available(valid_pairs(raw, profile), handle, checkpoint)
     return table

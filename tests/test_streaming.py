@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tamhis.plans.curate import clean_valid_pairs, curate
+from tamhis.plans.curate import valid_pairs, curate
 from tamhis.plans.retrieval import plain_prompts
 from tamhis.profiles import LATIN
 from tamhis.schemas import REQUEST
@@ -60,7 +60,7 @@ def test_request_stream_without_index(spark, tmp_path):
 def test_gates_run_on_a_stream_without_state(spark, tmp_path):
     raw = A.raw_qa(spark, SF)
     land(raw, str(tmp_path / "in"), 0)
-    pairs = clean_valid_pairs(stream(spark, raw.schema, str(tmp_path / "in")), LATIN)
+    pairs = valid_pairs(stream(spark, raw.schema, str(tmp_path / "in")), LATIN)
     query = pairs.writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert spark.table("pairs").count() == clean_valid_pairs(raw, LATIN).count() > 0
+    assert spark.table("pairs").count() == valid_pairs(raw, LATIN).count() > 0
