@@ -72,10 +72,10 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
     """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank).
 
     ``index`` needs (doc_id long, embedding), ``queries`` (query_id of any type, embedding); ties go to
-    the smaller doc_id. Two ways with the same result, chosen by the measured size of the queries:
+    the smaller doc_id. Two ways with the same result, chosen by the size of the queries:
 
-    * up to ``block_bytes`` the queries are broadcast and every task scans its part of the index
-      once, keeping k rows per query; the index is not shuffled;
+    * up to ``block_bytes`` (checked by fetching no more than that) the queries are broadcast and every
+      task scans its part of the index once, keeping k rows per query; the index is not shuffled;
     * beyond it both sides are cut into blocks of about ``block_bytes`` by a hash of the id, and each
       pair of blocks is one task's work. Blocks do not depend on the vectors, so copies cannot make
       a block hot.
@@ -87,19 +87,24 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
     found_schema = T.StructType([
         queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()),
     ])
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    row_bytes = 8 * ((size["dim"] or 0) + 1)
-    if size["n"] * row_bytes <= block_bytes:
-        found = _scan_index(index, queries, k, found_schema)
+    sample = index.first()
+    if sample is None:
+        found = index.sparkSession.createDataFrame([], found_schema)
     else:
-        found = _by_blocks(index, queries, k, found_schema, row_bytes, size["n"], block_bytes)
+        row_bytes = 8 * (len(sample["embedding"]) + 1)
+        most = max(1, block_bytes // row_bytes)
+        few = queries.limit(most + 1).toArrow()  # at most one row more than may be broadcast
+        if len(few) <= most:
+            found = _scan_index(index, few, k, found_schema)
+        else:
+            found = _by_blocks(index, queries, k, found_schema, row_bytes, block_bytes)
     nearest_first = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
 
 
 def _scan_index(index, queries, k, schema):
     start, merge, matrix, rows = _top_k(k)
-    small = queries.toArrow().combine_chunks()
+    small = queries.combine_chunks()
     if not len(small):
         return index.sparkSession.createDataFrame([], schema)
     shared = index.sparkSession.sparkContext.broadcast(
@@ -119,9 +124,9 @@ def _scan_index(index, queries, k, schema):
     return index.mapInArrow(scan, schema)
 
 
-def _by_blocks(index, queries, k, schema, row_bytes, n_queries, block_bytes):
+def _by_blocks(index, queries, k, schema, row_bytes, block_bytes):
     start, merge, matrix, rows = _top_k(k)
-    n_q = max(1, -(-n_queries * row_bytes // block_bytes))
+    n_q = max(1, -(-queries.count() * row_bytes // block_bytes))
     n_i = max(1, -(-index.count() * row_bytes // block_bytes))
 
     def blocks(df, key, mine, my_count, other, other_count):
