@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 32 * 1024 * 1024
+RESULT_ROW_BYTES = 64  # generous size of (query_id, doc_id, distance, rank)
 
 
 def _top_k(k):
@@ -80,7 +81,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
       pair of blocks is one task's work. Blocks do not depend on the vectors, so copies cannot make
       a block hot.
 
-    Either way tasks return only k rows per query, and the last step ranks those.
+    Either way tasks return only k rows per query, and the last step ranks those. A result known to be
+    small is marked for broadcast, so that fetching the texts of the hits does not shuffle the index.
     """
     index = index.select(F.col("doc_id").cast("long"), "embedding").filter("embedding is not null")
     queries = queries.select("query_id", "embedding").filter("embedding is not null")
@@ -88,6 +90,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
         queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()),
     ])
     sample = index.first()
+    small = True
     if sample is None:
         found = index.sparkSession.createDataFrame([], found_schema)
     else:
@@ -96,10 +99,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
         few = queries.limit(most + 1).toArrow()  # at most one row more than may be broadcast
         if len(few) <= most:
             found = _scan_index(index, few, k, found_schema)
+            small = len(few) * k * RESULT_ROW_BYTES <= block_bytes
         else:
             found = _by_blocks(index, queries, k, found_schema, row_bytes, block_bytes)
+            small = False
     nearest_first = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    return found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+    hits = found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+    return F.broadcast(hits) if small else hits
 
 
 def _scan_index(index, queries, k, schema):

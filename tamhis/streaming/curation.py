@@ -17,6 +17,9 @@ CURATED = T.StructType([
     T.StructField("output", T.StringType()),
 ])
 
+BROADCAST_BYTES = 32 * 1024 * 1024
+KEY_BYTES = 64  # generous size of a 16-byte key in a hash table
+
 
 def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageProfile = ARABIC) -> BatchTable:
     """Curate a stream of raw rows into a table of instruction records.
@@ -24,17 +27,21 @@ def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageP
     Gates run on the stream. Per batch the first row of each question survives unless an
     earlier batch already has the question; with files that arrive in row order the table equals the
     batch result. Questions are stored with a 128-bit digest, so a batch is checked against 16 bytes
-    per stored row, reduced to the questions of the batch by a semi-join whose small side Spark can
-    broadcast. ``read().drop("key")`` gives the records.
+    per stored row. The stored keys are first reduced to those of the batch, which leaves at most as
+    many as the batch has; a batch counted to be small is broadcast, and the stored keys are then
+    scanned without a shuffle. ``read().drop("key")`` gives the records.
     """
     table = BatchTable(raw.sparkSession, path, CURATED)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("key", F.unhex(F.md5("q"))).persist()
         try:
-            first = first_per_key(batch, "q", "row_id")
-            seen = table.earlier(batch_id).select("key").join(batch.select("key").distinct(), "key", "left_semi")
-            table.write(as_records(first.join(seen, "key", "left_anti"), profile), batch_id)
+            few = batch.count() * KEY_BYTES <= BROADCAST_BYTES
+            small = F.broadcast if few else (lambda keys: keys)
+            asked = small(batch.select("key").distinct())
+            seen = small(table.earlier(batch_id).select("key").join(asked, "key", "left_semi"))
+            first = first_per_key(batch, "q", "row_id").join(seen, "key", "left_anti")
+            table.write(as_records(first, profile), batch_id)
         finally:
             batch.unpersist()
 

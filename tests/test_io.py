@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tamhis.plans.curate import curate
 from tamhis.schemas import INSTRUCTION
 from tamhis.sources import readers, writers
 from tamhis.workspace import shared_dir, written
@@ -76,3 +77,12 @@ def test_written_tables_live_in_the_configured_folder(spark):
     assert df.count() == 5
     assert all(shared_dir(spark) in f for f in df.inputFiles())
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_curation_reads_only_the_columns_it_needs(spark, tmp_path):
+    columns = "q_body string, a_body string, category string, q_body_count double, a_body_count double, question string, reply string, id long"
+    spark.createDataFrame([(None, None, "c", None, None, "q", "r", 1)], columns).write.parquet(str(tmp_path / "raw"))
+    raw = readers.read_raw_qa(spark, str(tmp_path / "raw"), row_id="id")
+    plan = curate(raw)._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan"):]
+    assert "reply" in scan and "category" not in scan and "q_body_count" not in scan

@@ -113,6 +113,16 @@ def test_prompts(spark):
                      "<|im_start|>assistant\n")
 
 
+def test_the_index_texts_are_not_shuffled(spark):
+    index = spark.range(1000).select(
+        F.col("id").alias("doc_id"), F.lit("text").alias("doc_text"), F.array(F.col("id").cast("float")).alias("embedding"))
+    queries = spark.createDataFrame([(1, [3.2])], "query_id long, embedding array<float>")
+    contexts = R.retrieve_context(index, queries)
+    assert contexts.first()["context"] == "text\n\ntext"
+    plan = contexts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_missing_index_rows_give_an_empty_context(spark):
     index = spark.createDataFrame([], "doc_id long, doc_text string, embedding array<float>")
     requests = spark.createDataFrame([("r", 1, "hi", [0.0])],

@@ -5,6 +5,7 @@ from tamhis.plans.curate import valid_pairs, curate
 from tamhis.plans.retrieval import plain_prompts
 from tamhis.profiles import LATIN
 from tamhis.schemas import REQUEST
+from tamhis.streaming import curation
 from tamhis.streaming.curation import CURATED, curate_stream
 from tamhis.streaming.requests import prompt_stream
 from tamhis.streaming.sink import BatchTable
@@ -23,7 +24,9 @@ def stream(spark, schema, path):
             .option("recursiveFileLookup", True).parquet(path))
 
 
-def test_incremental_curation_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_bytes", [curation.BROADCAST_BYTES, 0])
+def test_incremental_curation_equals_batch(spark, tmp_path, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(curation, "BROADCAST_BYTES", broadcast_bytes)
     raw = A.raw_qa(spark, SF)
     cuts = [0, 250, 500, 750, 1000]
     for part, (low, high) in enumerate(zip(cuts, cuts[1:])):
