@@ -20,33 +20,54 @@ def _top_k(k):
 
     last = np.iinfo(np.int64).max
     tile = 1024
+    eps = 1e-9  # far above the rounding error of the product, relative to |q|^2 + |v|^2
 
     def start(n):
         return np.full((n, k), np.inf), np.full((n, k), last, dtype=np.int64)
 
+    def first_copies(ids, vectors):
+        """Mask of the k smallest ids of each distinct vector; ties go to the smaller id, so no other copy
+        can be among the k nearest of any query."""
+        packed = np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()
+        group = np.unique(packed, return_inverse=True)[1]
+        order = np.lexsort((ids, group))
+        place = np.arange(len(ids)) - np.searchsorted(group[order], group[order])
+        mask = np.empty(len(ids), dtype=bool)
+        mask[order] = place < k
+        return mask
+
     def merge(best, queries, ids, vectors):
         dist, who = best
         q_norm = (queries * queries).sum(axis=1)
         v_norm = (vectors * vectors).sum(axis=1)
+        # probes . targets = |v|^2 - 2qv - eps |v|^2: a lower bound of the squared distance without the
+        # query's own part, from one product
+        probes = np.hstack([-2.0 * queries, np.ones((len(queries), 1))])
+        targets = np.hstack([vectors, (1.0 - eps) * v_norm[:, None]])
+        spread = 2.0 * eps * (q_norm + v_norm.max()) + 1e-12
         for v0 in range(0, len(ids), tile):
-            v = vectors[v0:v0 + tile]
+            block = targets[v0:v0 + tile].T
+            useful = None
             for q0 in range(0, len(queries), tile):
-                q = queries[q0:q0 + tile]
-                qn, vn = q_norm[q0:q0 + tile, None], v_norm[None, v0:v0 + tile]
-                rough = qn + vn - 2.0 * (q @ v.T)
-                slack = 1e-9 * (qn + vn) + 1e-12
-                bound = dist[q0:q0 + tile, -1:] ** 2
-                if rough.shape[1] >= k:
-                    kth = np.partition(rough + slack, k - 1, axis=1)[:, k - 1:k]
-                    bound = np.minimum(bound, kth)
-                qi, vi = np.nonzero(rough - slack <= bound)
+                part = slice(q0, q0 + tile)
+                low = probes[part] @ block
+                limit = dist[part, -1] ** 2 - (1.0 - eps) * q_norm[part] + 1e-12
+                open_ = np.isinf(limit)
+                if open_.any() and block.shape[1] >= k:
+                    kth = np.partition(low[open_], k - 1, axis=1)[:, k - 1]
+                    limit[open_] = kth + spread[part][open_]
+                qi, vi = np.nonzero(low <= limit[:, None])
+                if len(qi) > 8 * k * len(low):  # many ties: most are copies that cannot enter
+                    if useful is None:
+                        useful = first_copies(ids[v0:v0 + tile], vectors[v0:v0 + tile])
+                    qi, vi = qi[useful[vi]], vi[useful[vi]]
                 if not len(qi):
                     continue
                 exact = np.empty(len(qi))
                 for p0 in range(0, len(qi), 65536):
-                    part = slice(p0, p0 + 65536)
-                    gap = q[qi[part]] - v[vi[part]]
-                    exact[part] = np.sqrt((gap * gap).sum(axis=1))
+                    some = slice(p0, p0 + 65536)
+                    gap = queries[q0 + qi[some]] - vectors[v0 + vi[some]]
+                    exact[some] = np.sqrt((gap * gap).sum(axis=1))
                 touched = np.unique(qi)
                 rows = np.concatenate([qi, np.repeat(touched, k)])
                 d = np.concatenate([exact, dist[q0 + touched].ravel()])

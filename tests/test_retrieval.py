@@ -32,7 +32,7 @@ def test_both_ways_equal_brute_force(spark, block_bytes, k):
     rng = np.random.default_rng(0)
     docs = rng.normal(size=(300, 8)).astype(np.float32)
     docs[50:150] = docs[50]  # a group of copies holds a third of the rows
-    queries = np.vstack([rng.normal(size=(37, 8)).astype(np.float32), docs[50:53]])
+    queries = np.vstack([rng.normal(size=(10, 8)).astype(np.float32), docs[50:80]])
     index = vectors(spark, "doc_id", range(1000, 1300), docs).repartition(5)
     asked = vectors(spark, "query_id", range(40), queries)
     got = {}
