@@ -34,9 +34,12 @@ def _visible(keep=lambda c: True) -> str:
     return rf"(?:{latin}+|[\u0100-\u167f]+|[\u3001-\x{{10ffff}}]+|{_BEYOND}[\u1681-\u2fff&&[^{_RARE_SPACE}]]+)"
 
 
-WS = f"(?:{_latin(lambda c: c in SPACE_CHARS)}|{_BEYOND}[{_RARE_SPACE}])"
-NWS = _visible()
-_NWS_BUT_AT = _visible(lambda c: c != "@")
+def _space(keep=lambda c: True) -> str:
+    return f"(?:{_latin(lambda c: c in SPACE_CHARS and keep(c))}|{_BEYOND}[{_RARE_SPACE}])"
+
+
+WS, _WS_IN_LINE = _space(), _space(lambda c: c != "\n")
+NWS, _NWS_BUT_AT = _visible(), _visible(lambda c: c != "@")
 
 
 def _any_of(words) -> str:
@@ -73,6 +76,11 @@ def normalize(c: Column, profile: LanguageProfile = ARABIC) -> Column:
 
 # -- cleaning ----------------------------------------------------------------------------------
 
+# Second branch of the two cutting rules: a line break that starts no tail is matched as a whole and put
+# back, so that the search goes on behind it and a long run of blank lines is read only once.
+_OTHER_BREAK = rf"(\n{WS}*+)"
+
+
 def strip_urls(c: Column) -> Column:
     return F.regexp_replace(c, f"(?:http|www){NWS}++", "")
 
@@ -85,14 +93,16 @@ def strip_emails(c: Column) -> Column:
 
 def cut_number_tail(c: Column) -> Column:
     """Cut from the first line that holds only digits to the end of the text."""
-    return F.regexp_replace(c, rf"(?ds)(?<!\n)\n{WS}*+\p{{Nd}}++{WS}*(?:\n.*)?$", "")
+    tail = rf"\n{WS}*+\p{{Nd}}++{_WS_IN_LINE}*+(?:\n.*+)?$"
+    return F.regexp_replace(c, f"(?ds){tail}|{_OTHER_BREAK}", "$1")
 
 
 def cut_signature(c: Column, profile: LanguageProfile = ARABIC) -> Column:
     """Cut from the first line that begins with a signature marker to the end of the text."""
     if not profile.signatures:
         return c
-    return F.regexp_replace(c, rf"(?s)(?<!\n)\n{WS}*+(?:{_any_of(profile.signatures)}).*+", "")
+    tail = rf"\n{WS}*+(?:{_any_of(profile.signatures)}).*+"
+    return F.regexp_replace(c, f"(?s){tail}|{_OTHER_BREAK}", "$1")
 
 
 def collapse_spaces(c: Column) -> Column:

@@ -28,6 +28,7 @@ CHOSEN = [
     "a b", "a\x1cb c", "a   b", "a\nد. احمد\nz", "list\n1. one\n2. two", "n\n12", "n\n12\n",
     "n\r\n12\r\nz", "a   b (3 spaces)", "a\r\r\rb", "\n\n\nx", "راااائع", "السُّكَّرِيّ 1000", "😀😀😀ok",
     "a\n 3 \n\nrest", "wwwhat", "@", "tail\n7 x", "\x85a\x85", "a\n5 ", "مرحبا‏‏‏x", "x\n٣\x85",
+    "a \n 5", "a\r\n5\r\n", "a \t\n\nد. x", "\n5", " \n 5 x", "a\n5\x85", "a\n5 \u2028\nx", "a\u2028\n5",
     "a@b@c d@ e", "\n \n\n5\n", "a\n\n\nالمصدر: x", "ends with 5\n5", "no\n5 x\n6",
 ]
 ALPHABET = [
@@ -111,9 +112,16 @@ def test_missing_texts(spark):
     assert row.select(X.word_count(c, True), X.char_count(c, True)).first() == (1, 4)
 
 
-def test_long_tokens_and_runs_are_linear(spark):
-    long = spark.createDataFrame([("x" * 300_000 + " a@b " + "\n" * 100_000 + "y" * 300_000,)], "t string")
-    assert long.select(X.clean(F.col("t"))).first()[0] == "x" * 300_000 + " " + "y" * 300_000
+@pytest.mark.parametrize("run", ["\n", "\n ", " \n\t", "\u2003\n", "\r\n"])
+def test_long_tokens_and_runs_are_linear(spark, run):
+    n = 300_000
+    text = "x" * n + " a@b " + run * n + "y" * n
+    long = spark.createDataFrame([(text,), (text + "\n5" + run * n,), (text + run * n + "د. " + "z" * n,)], "t string")
+    want = "x" * n + " " + "y" * n
+    assert [r.c for r in long.select(X.clean(F.col("t")).alias("c")).collect()] == [want] * 3
+    assert [r.c for r in cleaned(long, ["t"]).select(F.col("t").alias("c")).collect()] == [want] * 3
+    counts = long.select(X.word_count(F.col("t")), X.has_words(F.col("t"), 4)).collect()
+    assert [tuple(r) for r in counts] == [(3, False), (4, True), (5, True)]
 
 
 def test_profiles_reject_unusable_words():
