@@ -20,9 +20,9 @@ SPACE_CHARS = "".join(
 
 # One composite class for these characters is slow in Java, and much slower still when several tasks
 # of an executor match at once. So the classes are alternations: Latin-1 characters listed one by one
-# (a table lookup), two plain ranges that hold no white space, and the small mixed rest behind a guard.
-_RARE_SPACE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BEYOND = r"(?![\x00-\u167f])"
+# (a table lookup), plain ranges that hold no white space, and the small mixed range, whose characters
+# are looked at a second time.
+_RARE_SPACE = r"[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def _latin(keep) -> str:
@@ -31,11 +31,11 @@ def _latin(keep) -> str:
 
 def _visible(keep=lambda c: True) -> str:
     latin = _latin(lambda c: c not in SPACE_CHARS and keep(c))
-    return rf"(?:{latin}+|[\u0100-\u167f]+|[\u3001-\x{{10ffff}}]+|{_BEYOND}[\u1681-\u2fff&&[^{_RARE_SPACE}]]+)"
+    return rf"(?:{latin}+|[\u0100-\u167f]+|[\u3001-\x{{10ffff}}]+|[\u1681-\u2fff](?<!{_RARE_SPACE}))"
 
 
 def _space(keep=lambda c: True) -> str:
-    return f"(?:{_latin(lambda c: c in SPACE_CHARS and keep(c))}|{_BEYOND}[{_RARE_SPACE}])"
+    return rf"(?:{_latin(lambda c: c in SPACE_CHARS and keep(c))}|[\u1680-\u3000](?<={_RARE_SPACE}))"
 
 
 WS, _WS_IN_LINE = _space(), _space(lambda c: c != "\n")
