@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tamhis.llm import (
-    decontamination, language_id, packing, quality, simhash, token_counts, toxicity,
+    decontamination, language_id, language_model, packing, quality, simhash, token_counts, toxicity,
 )
 from tamhis.llm.common import held_out
 
@@ -46,6 +46,12 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_model_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score_texts(docs, ~held_out("doc_id", 5, 1)).select(
+        "doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_packing(spark, sf_dir):
     tokenizer = packing.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
@@ -59,6 +65,6 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op7_benchmark_decontamination, op9_packing, op10_quality,
+    op1_token_counts, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
 )}
 ORACLE_SQL = {}
