@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tamhis.llm import (
-    decontamination, language_id, language_model, packing, quality, simhash, token_counts, toxicity,
+    decontamination, language_id, language_model, packing, quality, simhash, token_counts, toxicity, url_filter,
 )
 from tamhis.llm.common import held_out
 
@@ -42,6 +42,17 @@ def op5_toxicity(spark, sf_dir):
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The rules of the query.
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op6_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_benchmark_decontamination(spark, sf_dir):
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +76,6 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
+    op1_token_counts, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
 )}
 ORACLE_SQL = {}
