@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tamhis.llm import (
-    decontamination, language_id, language_model, packing, quality, simhash, token_counts, toxicity, url_filter,
+    decontamination, embedding_dedup, language_id, language_model, packing, quality, simhash, token_counts, toxicity, url_filter,
 )
 from tamhis.llm.common import held_out
 
@@ -18,6 +18,10 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
 
 
+def op2_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
@@ -76,6 +80,25 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
+    op1_token_counts, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
 )}
-ORACLE_SQL = {}
+ORACLE_SQL = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        link AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+            ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION
+            SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        degree AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN part USING (vec_id) LEFT JOIN degree USING (vec_id)""",
+}
