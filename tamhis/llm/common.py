@@ -79,6 +79,19 @@ _ARROW = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.s
           T.IntegerType: pa.int32()}
 
 
+_KEPT: dict = {}
+
+
+def kept(kind: str, content, make: Callable):
+    """An object that the tasks of a Python worker share, made anew when the content it depends on changes.
+
+    For tables of words already worked out: what they hold depends on the words alone, and their size is bounded.
+    """
+    if kind not in _KEPT or _KEPT[kind][0] != content:
+        _KEPT[kind] = (content, make())
+    return _KEPT[kind][1]
+
+
 class Numbering(dict):
     """Word -> number in order of first sight; ``learn`` is called with every new word.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tamhis.llm.common import Lists, col, text_slices
+from tamhis.llm.common import Lists, col, kept, text_slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -19,8 +19,8 @@ LINEAR_TOKENS = 1024
 GROUP_SEQUENCES = 256
 #: Largest tokenizer file that is sent to the executors.
 TOKENIZER_BYTES = 64 << 20
-#: Distinct chunks whose ids a task keeps.
-CHUNKS = 600_000
+#: Distinct chunks whose ids a Python worker keeps.
+CHUNKS = 1_500_000
 
 
 class Encoder:
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = kept("encoder", hash(shared.value), lambda: Encoder(shared.value))
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         kind = None
 

@@ -15,10 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tamhis.llm.common import Growing, Numbering, map_texts
+from tamhis.llm.common import Growing, Numbering, kept, map_texts
 
 #: Largest vocabulary file that is read and sent to the executors.
 VOCABULARY_BYTES = 64 << 20
+#: Distinct words whose counts a Python worker keeps.
+WORDS = 1_000_000
 WORD_START = b" "
 
 
@@ -102,10 +104,13 @@ def count_tokens(docs: DataFrame, pieces: Iterable[bytes], text: str = "text", k
     """
     shared = docs.sparkSession.sparkContext.broadcast(list(pieces))
 
-    def start():
+    def table():
         counts = Growing(np.int64)
         automaton = LongestMatch(shared.value)
-        words = Numbering(lambda w: counts.append(automaton.count(WORD_START + w)), counts.clear)
+        return counts, Numbering(lambda w: counts.append(automaton.count(WORD_START + w)), counts.clear, WORDS)
+
+    def start():
+        counts, words = kept("token counts", hash(tuple(shared.value)), table)
 
         def compute(texts):
             rows = []
