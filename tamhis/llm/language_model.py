@@ -35,9 +35,11 @@ PRIORS = (0, 300.0, 300.0)
 #: Text of a shard, in bytes.
 SHARD_BYTES = 64 << 20
 #: Different words and n-grams that a counting task holds before it hands them on.
-TASK_WORDS, TASK_GRAMS = 1_000_000, 8_000_000
+TASK_WORDS, TASK_GRAMS = 500_000, 3_000_000
+#: N-grams that are collected before they are folded into a task's table.
+FOLD_GRAMS = 1_000_000
 #: Different words whose class or count a task keeps at hand.
-WORDS_HELD = 500_000
+WORDS_HELD = 300_000
 #: Texts are read in lanes of so many words that advance together.
 LANE = 256
 END, RARE, FIRST = 0, 1, 2  # class numbers
@@ -116,26 +118,41 @@ def _count_grams(shared):
                 known[w] = number.get(word_key(w), RARE)
             return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
+        def fold(shard):
+            """Fold what has been collected of a shard into its table."""
+            table, own, others = held[shard]
+            parts = [table]
+            for arrays, used in ((own, 1), (others, 0)):
+                if arrays:
+                    keys, n = np.unique(np.concatenate(arrays), return_counts=True)
+                    parts.append((keys, n * used))
+            keys, n = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
+            held[shard] = ((keys[first], np.add.reduceat(n[order], first) if len(first) else n), [], [])
+
         def flush():
-            for shard, (own, others) in held.items():
-                keys, n = np.unique(np.concatenate([*own, np.empty(0, np.int64)]), return_counts=True)
-                only = np.setdiff1d(np.concatenate([*others, np.empty(0, np.int64)]), keys)
-                keys, n = np.concatenate([keys, only]), np.concatenate([n, np.zeros(len(only), np.int64)])
+            for shard in list(held):
+                fold(shard)
+                keys, n = held.pop(shard)[0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(keys), shard)), pa.array(keys), pa.array(n)], ["shard", "gram", "n"])
-            held.clear()
 
         held, size = {}, 0
         for batch in batches:
             for part in text_slices(batch, 0):
                 for text, learn, shard in zip(*(c.to_pylist() for c in part.columns)):
-                    own, others = held.setdefault(shard, ([], []))
                     pairs, triples = class_grams(classes(text))
+                    _, own, others = held.setdefault(shard, ((np.empty(0, np.int64), np.empty(0, np.int64)), [], []))
                     (own if learn else others).extend((pairs, triples))
                     size += 2 * len(pairs)
-                if size >= TASK_GRAMS:
+                    if size >= FOLD_GRAMS:
+                        for k in held:
+                            fold(k)
+                        size = 0
+                if sum(len(t[0][0]) for t in held.values()) >= TASK_GRAMS:
                     yield from flush()
-                    size = 0
         yield from flush()
 
     return run
@@ -155,6 +172,7 @@ class Automaton:
         p3 = (triple_counts + m2 * p2[outer]) / (pair_counts[inner] + m2)
         self.root = np.log10(class_probs)
         self.pair_weight, self.triple_weight = np.log10(p2), np.log10(p3)
+        del p3, inner
         self.pair_state = 1 + self.classes + np.arange(len(pairs))
         self.triple_state = self.pair_state[outer] if len(outer) else outer
         one, two = np.log10(m1 / (class_counts + m1)), np.log10(m2 / (pair_counts + m2))
@@ -255,39 +273,42 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
     return rows.select("shard", "key", "text").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(scorer, out)
 
 
+def _table(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once (several tasks may have asked for a shard), and their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return keys[first], counts[order[first]]
+
+
 def _scorer(number, counts, probs, total, distinct, names):
     scale = total + 0.5 * (distinct + 1)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         is_word, ids, c = (answers.column(n).to_numpy() for n in ("is_word", "id", "c"))
-        tables = []
-        for chosen in (is_word, ~is_word):
-            keys, first = np.unique(ids[chosen], return_index=True)
-            tables.append((keys, c[chosen][first].astype(np.float64)))
-        (word_ids, word_counts), (grams, gram_counts) = tables
+        word_ids, word_counts = _table(ids[is_word], c[is_word])
+        grams, gram_counts = _table(ids[~is_word], c[~is_word])
+        del is_word, ids, c
         split = int(np.searchsorted(grams, _TRIPLE))
         automaton = Automaton(grams[:split], gram_counts[:split], grams[split:], gram_counts[split:], counts, probs)
-        known, table = {}, {"class": [], "count": []}
+        del gram_counts
+        known, size, classes = {}, np.empty(0), np.empty(0, np.int64)
         end_base = math.log10((counts[END] + 0.5) / scale)
         columns = [[] for _ in names[1:]]
-        batches = [p for b in texts.select(["key", "text"]).combine_chunks().to_batches() for p in text_slices(b, 1)]
-        for part in batches:
+        for part in (p for b in texts.select(["key", "text"]).to_batches() for p in text_slices(b, 1)):
             found = [words_of(t) for t in part.column(1).to_pylist()]
+            if len(known) > WORDS_HELD:
+                known, size, classes = {}, size[:0], classes[:0]
             new = list(set().union(*found).difference(known))
-            if len(known) + len(new) > 2 * WORDS_HELD:
-                known, table = {}, {"class": [], "count": []}
-                new = list(set().union(*found))
-            if new:
-                keys = np.array([word_key(w) for w in new], np.int64)
-                at, hit = Automaton._arcs(word_ids, keys)
-                size = np.where(hit, word_counts[at] if len(word_counts) else 0, 0)
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                table["count"].append(size)
-                table["class"].append(np.array([number.value.get(k, RARE) for k in keys.tolist()], np.int64))
-                table = {n: [np.concatenate(v)] for n, v in table.items()}
+            keys = np.array([word_key(w) for w in new], np.int64)
+            at, hit = Automaton._arcs(word_ids, keys)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            size = np.concatenate([size, np.where(hit, word_counts[at] if len(word_counts) else 0, 0)])
+            classes = np.concatenate([classes, np.array([number.value.get(k, RARE) for k in keys.tolist()], np.int64)])
+            del new, keys, at, hit
             lines = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in found]
-            classes = table["class"][0] if table["class"] else np.empty(0, np.int64)
-            size = table["count"][0] if table["count"] else np.empty(0)
+            del found
             base = np.log10((size + 0.5) / scale)
             inner = np.where(classes == RARE, base - math.log10(probs[RARE]), 0.0) if total else np.zeros(len(base))
             by_class = automaton.read([classes[x] for x in lines]) if total else np.zeros(len(lines))

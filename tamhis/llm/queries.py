@@ -87,8 +87,8 @@ ORACLE_SQL = {
         WITH RECURSIVE good AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         link AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
             ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
