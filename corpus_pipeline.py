@@ -13,23 +13,21 @@ from tamhis.operators.curation import first_per_key
 from tamhis.workspace import written
 
 
-def _labelled(spark, docs, sf_dir, label):
-    """Documents with a label; only the key and the label are added."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", label).dropna()
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents whose toxicity score is below 0.5."""
     score = fresh("toxicity", docs.columns)
-    model = toxicity.fit(_labelled(spark, docs, sf_dir, "toxic"))
+    model = toxicity.fit(docs, _labels(spark, sf_dir))
     return toxicity.score(docs, model, keep=docs.columns, out=score).filter(col(score) < 0.5).drop(score)
 
 
 def drop_low_quality(spark, docs, sf_dir):
     """Documents whose quality score is 0.5 or more."""
     score = fresh("quality", docs.columns)
-    model = quality.fit(_labelled(spark, docs, sf_dir, "quality"))
+    model = quality.fit(docs, _labels(spark, sf_dir))
     return quality.score(docs, model, keep=docs.columns, out=score).filter(col(score) >= 0.5).drop(score)
 
 

@@ -5,10 +5,13 @@ from collections.abc import Callable, Iterable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamhis.workspace import written
+
 #: Texts are handed to numpy in slices of at most so many rows or bytes (one longer text is a slice of its own).
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
@@ -79,6 +82,42 @@ _ARROW = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.s
           T.IntegerType: pa.int32()}
 
 
+def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, seed: int) -> DataFrame:
+    """(h, key, t, label) of the different texts among ``rows`` labelled documents per class with the smallest hash.
+
+    The bound is what lets the chosen keys be broadcast, so that no text is shuffled but the chosen ones. Copies and
+    most near copies are one text: those whose shingles of five words have the same smallest hash ``h``. Labels other than
+    0 and 1, null keys and null texts are left out; a text with both labels counts as 1.
+    """
+    known = labels.select(col(key).alias("key"), col(label).cast("long").alias("label")).filter("label in (0, 1) and key is not null")
+    known = docs.select(col(key).alias("key")).join(known, "key").groupBy("key").agg(F.max("label").alias("label"))
+    order = F.xxhash64("key", F.lit(seed))
+    chosen = [known.filter(F.col("label") == c).orderBy(order, "key").limit(rows) for c in (0, 1)]
+    texts = docs.select(col(key).alias("key"), col(text).cast("string").alias("t")).filter("t is not null")
+    picked = texts.join(F.broadcast(chosen[0].union(chosen[1])), "key")
+    hashed = map_texts(picked.withColumn("text", F.col("t")), "text", ["key", "t", "label"], [("h", T.LongType())],
+                       lambda: lambda found: [[least_shingle(t) for t in found]])
+    one = Window.partitionBy("h").orderBy(F.desc("label"), "key")
+    ranked = hashed.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    return written(ranked.select("h", "key", F.col("t").cast("binary").alias("t"), "label"), "labelled")
+
+
+def least_shingle(text: bytes, words: int = 5) -> int:
+    """The smallest 64-bit hash of a text's shingles (of the whole text if it has fewer words)."""
+    found = text.lower().split()
+    if len(found) < words:
+        return xxhash.xxh64_intdigest(b" ".join(found)) >> 1
+    return min(xxhash.xxh64_intdigest(b" ".join(found[i:i + words])) for i in range(len(found) - words + 1)) >> 1
+
+
+def class_weights(docs: DataFrame, labels: DataFrame, label: str, key: str, chosen: np.ndarray) -> np.ndarray:
+    """Vote weights of the classes 0 and 1 that undo a balanced choice of examples; the larger is 1."""
+    known = docs.select(col(key).alias("key")).join(labels.select(col(key).alias("key"), col(label).cast("long").alias("c")), "key")
+    sizes = dict(known.filter("c in (0, 1)").groupBy("c").count().collect())
+    share = np.array([sizes.get(c, 0) / max(1, int((chosen == c).sum())) for c in (0, 1)])
+    return share / max(share.max(), 1e-9)
+
+
 _KEPT: dict = {}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import Lists, Numbering, col, map_texts, text_slices
+from tamhis.llm.common import Lists, Numbering, class_weights, col, map_texts, sample, text_slices
 
 #: Features are hashed to so many columns; the model keeps so many latent dimensions and examples per class.
 COLUMNS, DIMENSIONS, EXAMPLES = 4096, 32, 2000
@@ -85,16 +85,14 @@ class QualityModel:
         return np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), 0.5)
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "quality", seed: int = 0) -> QualityModel:
-    """Learn from rows whose text is not null and whose label is 0 or 1; others are ignored.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text",
+        seed: int = 0) -> QualityModel:
+    """Learn from the rows of ``docs`` and their labels (key, 0 or 1).
 
-    Document frequencies cover all of them (a vector of ``COLUMNS`` counts per task). The latent space is fitted to,
-    and the neighbours are, the ``EXAMPLES`` different texts per class with the smallest hash, a documented
-    bound; copies count once (with both labels: as 1). An empty table gives a model that scores 0.5.
+    Document frequencies cover all of ``docs`` (a vector of ``COLUMNS`` counts per task). The latent space is fitted to,
+    and the neighbours are, the different texts among the ``EXAMPLES`` labelled documents per class with the smallest
+    hash, a documented bound (see ``sample``). Without labels the model scores 0.5.
     """
-    rows = train.select(col(text).cast("string").cast("binary").alias("t"), col(label).cast("long").alias("label"))
-    rows = rows.filter("t is not null and label in (0, 1)")
-
     def frequencies(batches):
         read, total, n = Reader(), np.zeros(COLUMNS, np.int64), 0
         for batch in batches:
@@ -102,23 +100,12 @@ def fit(train: DataFrame, text: str = "text", label: str = "quality", seed: int
                 for t in part.column(0).to_pylist():
                     total[read(t)[0]] += 1
                 n += part.num_rows
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, COLUMNS)), pa.array(np.append(n, total))], ["at", "n"])
 
-    counted = dict(rows.select("t").mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n")).collect())
+    texts = docs.select(col(text).cast("string").cast("binary").alias("t"))
+    counted = dict(texts.mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n")).collect())
     total = counted.pop(-1, 0)
-    df = np.zeros(COLUMNS)
-    df[list(counted)] = list(counted.values())
-    idf = np.log((1 + total) / (1 + df)) + 0.1
-
-    # hashes first: whole texts are read again only for the chosen ones
-    hashed = rows.select(F.md5("t").alias("h"), "label", "t")
-    order = F.xxhash64("h", F.lit(seed))
-    heads = hashed.groupBy("h").agg(F.max("label").alias("label"))
-    chosen = [heads.filter(F.col("label") == c).orderBy(order, "h").limit(EXAMPLES) for c in (0, 1)]
-    sizes = dict(heads.groupBy("label").count().collect())
-    picked = F.broadcast(chosen[0].union(chosen[1]))
+    idf = np.log((1 + total) / (1 + np.array([counted.get(i, 0) for i in range(COLUMNS)], np.float64))) + 0.1
 
     def sparse(batches):
         read = Reader()
@@ -129,18 +116,18 @@ def fit(train: DataFrame, text: str = "text", label: str = "quality", seed: int
                     [part.column(0), part.column(1), pa.array([v[0] for v in vectors], pa.list_(pa.int64())),
                      pa.array([v[1] for v in vectors], pa.list_(pa.float64()))], ["h", "label", "at", "weight"])
 
-    matched = hashed.drop("label").join(picked, "h").select("h", "label", "t")
-    vectors = matched.mapInArrow(sparse, "h string, label long, at array<long>, weight array<double>")
-    found = sorted(vectors.dropDuplicates(["h"]).collect(), key=lambda r: (r["label"], r["h"]))
+    different = sample(docs, labels, label, key, text, EXAMPLES, seed).select("h", "label", "t")
+    vectors = different.mapInArrow(sparse, "h long, label long, at array<long>, weight array<double>")
+    found = sorted(vectors.collect(), key=lambda r: (r["label"], r["h"]))
     matrix = np.zeros((len(found), COLUMNS), np.float32)
     for i, r in enumerate(found):
         matrix[i, r["at"]] = np.array(r["weight"]) * idf[r["at"]]
     norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     basis = principal(matrix / np.where(norm > 0, norm, 1), DIMENSIONS)
-    labels = np.array([r["label"] for r in found], np.int64)
-    share = np.array([sizes.get(c, 0) / max(1, (labels == c).sum()) for c in (0, 1)])
-    model = QualityModel((idf[:, None] * basis).astype(np.float32), np.zeros((0, basis.shape[1]), np.float32), labels,
-                         (share / max(share.max(), 1e-9))[labels] if len(labels) else np.zeros(0))
+    labels_of = np.array([r["label"] for r in found], np.int64)
+    share = class_weights(docs, labels, label, key, labels_of)
+    model = QualityModel((idf[:, None] * basis).astype(np.float32), np.zeros((0, basis.shape[1]), np.float32), labels_of,
+                         share[labels_of] if len(labels_of) else np.zeros(0))
     model.vectors = model.latent([(np.array(r["at"], np.int64), np.array(r["weight"])) for r in found])
     return model
 

@@ -33,15 +33,9 @@ def op4_language_id(spark, sf_dir):
     return language_id.identify(docs, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def labelled(spark, sf_dir, modulus, value, label):
-    """Documents with their label, without the held-out remainder; the few labelled ids are sent, not texts."""
-    docs = table(spark, sf_dir, "documents").filter(~held_out("doc_id", modulus, value)).select("doc_id", "text")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", label).dropna(), "doc_id")
-
-
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled(spark, sf_dir, 5, 0, "toxic"))
+    model = toxicity.fit(docs.filter(~held_out("doc_id", 5, 0)), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -74,7 +68,7 @@ def op9_packing(spark, sf_dir):
 
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(labelled(spark, sf_dir, 3, 1, "quality"))
+    model = quality.fit(docs.filter(~held_out("doc_id", 3, 1)), table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select(
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import Lists, Numbering, col, map_texts, text_slices
+from tamhis.llm.common import Lists, Numbering, class_weights, col, map_texts, sample, text_slices
 from tamhis.workspace import written
 
 #: Terms are words and their beginnings of these lengths (which catch inflected forms).
 PREFIXES = (4, 5)
-#: Size of the model: terms that tell the classes apart best, most frequent terms, examples per class.
-TELLING_TERMS, FREQUENT_TERMS, EXAMPLES = 1500, 500, 2000
-#: A telling term must occur in so many different labelled texts.
-MIN_TEXTS = 5
+#: The labelled rows that terms are chosen from: so many per class.
+FIT_ROWS = 10_000
+#: Size of the model: terms that tell the classes apart best, and examples per class.
+TELLING_TERMS, EXAMPLES = 2000, 1000
+#: A telling term must occur in so many different labelled texts, and have so large a chi-square.
+MIN_TEXTS, MIN_CHI = 4, 20
+#: The term of all words without a telling one, and its idf: how much their number weighs.
+OTHER, OTHER_IDF = b"", 1.0
 BLOCK = 64
 NEIGHBOURS = 15
-#: Weight of the vote "not toxic" that every text gets besides its neighbours.
-PRIOR = 0.5
+#: Votes weigh cosine to this power, over squared distance.
+SHARPNESS = 4
 TASK_TERMS = 500_000
 _STRIP = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -55,7 +59,7 @@ class ToxicityModel:
         bound = weight @ self.most[at]
         order = np.argsort(-bound, kind="stable")
         best, found = np.empty(0, np.float32), np.empty(0, np.int64)
-        done, step = 0, 2
+        done, step = 0, 4
         while done < len(order):
             floor = best[k - 1] if len(best) >= k else 0.0
             blocks = order[done:done + step]
@@ -63,34 +67,45 @@ class ToxicityModel:
             if not len(blocks):
                 break
             first = self.start[blocks][:, at]
-            size = self.start[blocks][:, at + 1] - first
-            size, first = size.ravel(), first.ravel()
-            spots = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            q = np.repeat(np.tile(weight, len(blocks)), size)
-            numbers, inverse = np.unique(self.example[spots], return_inverse=True)
-            sims = np.bincount(inverse, self.weight[spots] * q, len(numbers))
-            best, found = np.concatenate([best, sims]), np.concatenate([found, numbers])
-            top = np.lexsort((found, -best))[:k]
-            best, found = best[top], found[top]
+            size = (self.start[blocks][:, at + 1] - first).ravel()
+            ends = np.cumsum(size)
+            spots = np.repeat(first.ravel() - (ends - size), size) + np.arange(int(ends[-1]))
+            sims = np.bincount(self.example[spots], self.weight[spots] * np.repeat(np.tile(weight, len(blocks)), size),
+                               len(self.labels))
+            numbers = np.nonzero(sims)[0]
+            best, found = np.concatenate([best, sims[numbers]]), np.concatenate([found, numbers])
+            if len(best) > k:
+                top = np.lexsort((found, -best))[:k] if len(best) < 200 else self._top(best, found, k)
+                best, found = best[top], found[top]
             done += step
-            step *= 2
-        return found, best
-
-
-def _vector(vocabulary_ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, n = np.unique(vocabulary_ids, return_counts=True)
-    weight = (1 + np.log(n)) * idf[at]
+            step *= 4
+        order = np.lexsort((found, -best))
+        return found[order], best[order]
+
+    @staticmethod
+    def _top(best, found, k):
+        cut = np.partition(best, len(best) - k)[len(best) - k]
+        rows = np.nonzero(best >= cut)[0]
+        return rows[np.lexsort((found[rows], -best[rows]))[:k]]
+
+
+def _vector(numbers: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit TF-IDF vector of a text's term numbers: terms and weights."""
+    counts = np.bincount(numbers, minlength=len(idf))
+    at = np.nonzero(counts)[0]
+    weight = (1 + np.log(counts[at])) * idf[at]
     norm = np.sqrt((weight * weight).sum())
     return at, (weight / norm if norm else weight).astype(np.float32)
 
 
 class _Reader:
-    """Numbers of the known terms in a text."""
+    """Numbers of the terms in a text; a word without a known term counts as ``OTHER``, term 0."""
 
     def __init__(self, vocabulary):
         self.lists = Lists()
-        self.words = Numbering(lambda w: self.lists.append([vocabulary[t] for t in terms(w) if t in vocabulary]),
-                               self.lists.clear)
+        self.words = Numbering(
+            lambda w: self.lists.append([vocabulary[t] for t in terms(w) if t in vocabulary] or [vocabulary[OTHER]]),
+            self.lists.clear)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         if not text:
@@ -130,33 +145,26 @@ def _count_terms(batches):
         yield flush()
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", seed: int = 0) -> ToxicityModel:
-    """Learn from rows whose text is not null and whose label is 0 or 1; others are ignored.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
+        seed: int = 0) -> ToxicityModel:
+    """Learn from the rows of ``docs`` and their labels (key, 0 or 1).
 
-    Term statistics cover all different labelled texts (a text with both labels counts as toxic; copies count
-    once, so a large group of copies teaches no more than one). Telling terms are those with the largest
-    chi-square, if it is significant; the most frequent ones join them as a background. The examples are
-    the ``EXAMPLES`` texts per class with the smallest hash, a documented bound; ties go to the smaller key. Without a
-    toxic example everything scores 0.
+    Terms are chosen on a bounded sample (see ``sample``) by the largest chi-square. Copies and most near copies count
+    once there, so a large group of them teaches no more than one. The terms' document frequencies cover all of ``docs``. The examples are the ``EXAMPLES`` sampled texts per
+    class with the smallest hash. Without a toxic example everything scores 0.
     """
-    spark = train.sparkSession
-    rows = train.select(col(text).cast("string").alias("t"), col(label).cast("long").alias("label"), col(key).alias("key"))
-    rows = rows.filter("t is not null and label in (0, 1)")
-    different = written(rows.groupBy(F.md5(F.col("t").cast("binary")).alias("h")).agg(
-        F.max_by(F.struct(F.col("t").cast("binary").alias("t"), F.col("key")), F.struct(F.lit(0))).alias("one"),
-        F.max("label").alias("label")).select("h", "one.t", "one.key", "label"), "labelled")
+    spark = docs.sparkSession
+    different = sample(docs, labels, label, key, text, FIT_ROWS, seed)
     total, toxic = (int(x or 0) for x in different.select(F.count("*"), F.sum("label")).first())
     counted = different.select("t", "label").mapInArrow(_count_terms, "term binary, n long, toxic long")
     table = written(counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")), "terms")
     a, n = F.col("toxic").cast("double"), F.col("n").cast("double")
     expected = n * toxic / max(total, 1)
     chi = (a - expected) * (a - expected) / (expected * (1 - n / (total + 1)) + 1e-9)
-    telling = table.filter(f"n >= {MIN_TEXTS}").withColumn("chi", chi).filter("chi > 15").orderBy(
-        F.desc("chi"), "term").limit(TELLING_TERMS).select("term", "n").collect()
-    frequent = table.filter(f"n >= {MIN_TEXTS}").orderBy(F.desc("n"), "term").limit(FREQUENT_TERMS).select("term", "n").collect()
-    df = {bytes(r[0]): r[1] for r in [*telling, *frequent]}
-    vocabulary = {t: i for i, t in enumerate(sorted(df))}
-    idf = np.log((total + 1) / np.array([df[t] for t in vocabulary], np.float64).reshape(-1))
+    telling = table.filter(f"n >= {MIN_TEXTS}").withColumn("chi", chi).filter(f"chi >= {MIN_CHI}").orderBy(
+        F.desc("chi"), "term").limit(TELLING_TERMS).select("term").collect()
+    vocabulary = {t: i for i, t in enumerate(sorted({OTHER, *(bytes(r[0]) for r in telling)}))}
+    idf = _idf(docs.select(col(text).cast("string").cast("binary").alias("t")), vocabulary)
     order = F.xxhash64("h", F.lit(seed))
     chosen = [different.filter(F.col("label") == c).orderBy(order, "h").limit(EXAMPLES).select("t", "label", "key") for c in (0, 1)]
     shared = spark.sparkContext.broadcast((vocabulary, idf))
@@ -171,11 +179,31 @@ def fit(train: DataFrame, text: str = "text", label: str = "toxic", key: str = "
                     [part.column(1), part.column(2), pa.array([r[0] for r in rows], pa.list_(pa.int64())),
                      pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["label", "key", "at", "weight"])
 
-    kind = rows.schema["key"].dataType.simpleString()
+    kind = different.schema["key"].dataType.simpleString()
     found = chosen[0].union(chosen[1]).mapInArrow(
         vectors, f"label long, key {kind}, at array<long>, weight array<float>").collect()
-    shares = np.array([total - toxic, toxic]) / np.maximum(np.bincount([r["label"] for r in found], minlength=2), 1)
-    return index(vocabulary, idf, found, shares / max(shares.max(), 1e-9))
+    prior = class_weights(docs, labels, label, key, np.array([r["label"] for r in found], np.int64))
+    return index(vocabulary, idf, found, prior)
+
+
+def _idf(texts: DataFrame, vocabulary) -> np.ndarray:
+    """Inverse document frequencies over all texts; each task sends one row per term."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches):
+        read, counts, n = _Reader(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            for part in text_slices(batch, 0):
+                n += part.num_rows
+                for t in part.column(0).to_pylist():
+                    counts[np.unique(read(t))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(counts))), pa.array(np.append(n, counts))], ["at", "n"])
+
+    found = dict(texts.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect())
+    total = found.pop(-1, 0)
+    idf = np.log((total + 1) / (np.array([found.get(i, 0) for i in range(len(vocabulary))], np.float64) + 1))
+    idf[vocabulary[OTHER]] = OTHER_IDF
+    return idf
 
 
 def index(vocabulary, idf, examples, prior) -> ToxicityModel:
@@ -202,16 +230,21 @@ def index(vocabulary, idf, examples, prior) -> ToxicityModel:
 
 
 def vote(labels: np.ndarray, sims: np.ndarray, prior: np.ndarray) -> float:
-    """Share of toxic votes; a neighbour's vote falls with its squared distance 2 - 2 cos."""
-    weight = prior[labels] * sims / (2 - 2 * np.minimum(sims, 1) + 0.1)
-    return float((weight * labels).sum() / (weight.sum() + PRIOR * prior[0])) if len(labels) else 0.0
+    """Share of toxic votes; a neighbour's vote falls with its squared distance 2 - 2 cos.
+
+    The balanced choice of examples is undone by half (on a log scale): between catching all and sparing all.
+    """
+    if not len(labels):
+        return 0.0
+    weight = np.sqrt(prior[labels]) * sims ** SHARPNESS / (2 - 2 * np.minimum(sims, 1) + 0.1)
+    return float((weight * labels).sum() / weight.sum())
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep=("doc_id",), out: str = "score",
           evidence: str | None = None) -> DataFrame:
     """``keep`` columns and ``out`` (double, 0 to 1) of every whole text.
 
-    Null and empty texts, and texts without a known term, have no neighbour and score 0. With ``evidence``, a column of
+    Null and blank texts have no neighbour and score 0, and so does everything under a model without a toxic example. With ``evidence``, a column of
     that name lists the neighbours as ``key:label:cosine``. Rows are independent.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
