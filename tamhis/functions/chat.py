@@ -71,3 +71,9 @@ def render_messages(messages: Column, generation_prompt: bool = True) -> Column:
     """Chat text of an array of (role, content) structs."""
     body = F.array_join(F.transform(messages, lambda m: F.concat(turn(m["role"], m["content"]), F.lit("\n"))), "")
     return F.concat(body, F.lit(ASSISTANT_TURN)) if generation_prompt else body
+
+
+def panel_prompt(question: Column) -> Column:
+    """Chat text of a panel question: the template with the question filled in, then the question itself."""
+    system = F.concat(F.lit(P.PANEL_HEAD), question, F.lit(P.PANEL_TAIL))
+    return F.concat(turn("system", system), F.lit("\n"), turn("user", question), F.lit("\n" + ASSISTANT_TURN))

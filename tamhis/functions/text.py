@@ -141,10 +141,12 @@ def has_words(c: Column, n: int) -> Column:
 
 
 def has_any(c: Column, keywords, unless=()) -> Column:
-    """True if any of the keywords is a substring and none of ``unless`` is.
+    """True if any of the keywords is a substring and none of ``unless`` is; false without keywords.
 
     One pattern instead of an OR chain of ``contains``: the chain would repeat the (computed)
     argument once per keyword as soon as Catalyst pushes the filter below its projection.
     """
+    if not keywords:
+        return F.lit(False)
     found = f"(?:{_any_of(keywords)})"
     return c.rlike(f"(?s)^(?!.*(?:{_any_of(unless)})).*{found}" if unless else found)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64  # value ranges per factor of e in the two-level running count
+RANGES = 128  # value ranges per series in the two-level running count
 
 
 def _small(df: DataFrame, keys) -> DataFrame:
@@ -43,19 +43,29 @@ def moments(vc: DataFrame, keys) -> DataFrame:
     )
 
 
+def _ranged(vc: DataFrame, keys) -> DataFrame:
+    """Add ``_range``: which of about ``RANGES`` ranges, with equally many distinct values each, a value lies in.
+
+    The edges are approximate quantiles of the distinct values, a bounded array per series.
+    """
+    shares = [i / RANGES for i in range(1, RANGES)]
+    value = F.when(F.col("n") > 0, F.col("value"))  # reads the same columns as the other branches, to share their shuffle
+    edges = vc.groupBy(*keys).agg(F.percentile_approx(value, shares, 20 * RANGES).alias("_edges"))
+    below = F.size(F.filter("_edges", lambda e: e < F.col("value")))
+    # Never null, and said so: else the join puts a null filter below one branch's shuffle only.
+    return vc.join(_small(edges, keys), keys).withColumn("_range", F.coalesce(below, F.lit(0))).drop("_edges")
+
+
 def running_counts(vc: DataFrame, keys) -> DataFrame:
     """The value-count table with ``cum`` (rows up to and including the value) and the moments.
 
-    Two levels: values fall into ranges of about 1.6 % width on a logarithmic scale, the range totals
-    are summed up (a window over a few thousand ranges per series; the float format allows no more
-    than 91,000), and within a range a window adds up the distinct values. No task sorts a whole
-    series. Both branches read the same columns of ``vc``, so its shuffle is run once and reused.
+    Two levels: values fall into ranges, the range totals are summed up (a window over ``RANGES`` rows per
+    series), and within a range a window adds up the distinct values. The ranges follow the data, so no task
+    sorts a whole series, however close its values lie. All branches read the same columns of ``vc``, so its shuffle
+    is run once and reused.
     """
     keys = list(keys)
-    size = F.floor(F.log1p(F.abs("value")) * RANGES)
-    signed = F.when(F.col("value") < 0, -size).otherwise(size)
-    # Never null, and said so: else the join puts a null filter below one branch's shuffle only.
-    ranged = vc.withColumn("_range", F.coalesce(signed, F.lit(0).cast("long")))
+    ranged = _ranged(vc, keys)
     series = Window.partitionBy(*keys)
     before = series.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
@@ -221,38 +231,44 @@ def mean_interval(df: DataFrame, value: str, by: str, z: float = 1.96) -> DataFr
     )
 
 
-def mean_interval_bootstrap(vc: DataFrame, by: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and percentile-bootstrap 95 % interval per group, from a value-count table.
+def _poisson_limits(bits: int = 32) -> list[int]:
+    """Limits of the Poisson(1) distribution function on ``bits``-bit numbers; the rest beyond them is nil."""
+    total, term, limits = 0.0, math.exp(-1), []
+    for k in range(1, 13):
+        total += term
+        term /= k
+        limits.append(math.floor(total * 2**bits))
+    return limits
 
-    Resampling n rows with replacement is drawn per distinct value: a value that occurs n times gets
-    a Poisson(n) weight in each draw. The cost depends on the number of distinct values, not of rows.
-    The generator is seeded by the value, so the result does not depend on the partitioning.
-    """
-    schema = f"{by} string, draw long, w double, wv double"
-
-    def resample(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            for group, part in batch.groupby(by, sort=False):
-                w = np.zeros(draws)
-                wv = np.zeros(draws)
-                for key, value, n in zip(part["_seed"], part["value"], part["n"]):
-                    drawn = np.random.default_rng([seed, int(key) & 0xFFFFFFFFFFFFFFFF]).poisson(n, draws)
-                    w += drawn
-                    wv += drawn * value
-                yield pd.DataFrame({by: group, "draw": np.arange(draws), "w": w, "wv": wv})
 
+POISSON_LIMITS = _poisson_limits()
+
+
+def mean_interval_bootstrap(df: DataFrame, value: str, by: str, key: str, draws: int = 1000, buckets: int = 100,
+                            seed: int = 42) -> DataFrame:
+    """Mean and percentile 95 % interval per group by a bucketed bootstrap.
+
+    Rows are summed up in a fixed number of buckets by md5(seed, key). In each draw a bucket counts as often as
+    a Poisson(1) number taken from md5(seed, draw, bucket) says. Everything is a fixed function of the keys,
+    so the interval does not depend on partitioning, and the work after the first sum does not grow with the rows.
+    """
+    def number(*parts):
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 8), 16, 10).cast("long")
+
+    rows = df.filter(F.col(value).isNotNull()).select(
+        by, F.col(value).cast("double").alias("v"), F.pmod(number(F.col(key).cast("string")), F.lit(buckets)).alias("bucket"))
+    sums = rows.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = number(F.col("draw").cast("string"), F.col("bucket").cast("string"))
+    weight = sum(((F.col("u") >= limit).cast("long") for limit in POISSON_LIMITS), F.lit(0).cast("long"))
     means = (
-        vc.select(by, "value", "n", F.xxhash64(by, "value").alias("_seed"))
-        .mapInPandas(resample, schema)
-        .groupBy(by, "draw")
-        .agg((F.sum("wv") / F.sum("w")).alias("m"))
+        drawn.withColumn("u", u).withColumn("w", weight)
+        .groupBy(by, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
         .groupBy(by)  # exactly `draws` rows per group
         .agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
     )
-    return moments(vc, [by]).select(by, F.col("total").alias("n"), "mean").join(means, by)
+    whole = sums.groupBy(by).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+    return whole.join(means, by)
 
 
 def grid_counts(df: DataFrame, pairs, bins: int = 50) -> DataFrame:
@@ -272,16 +288,18 @@ def grid_counts(df: DataFrame, pairs, bins: int = 50) -> DataFrame:
         return _bin(F.col(c), lo, (hi - lo) / F.lit(float(bins)), F.lit(bins))
 
     def cell(x, y):
-        return F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.struct(
+        return F.when(F.col(f"{x}_bin").isNotNull() & F.col(f"{y}_bin").isNotNull(), F.struct(
             F.lit(x).alias("x"), F.lit(y).alias("y"),
             F.col(f"{x}_bin").alias("x_bin"), F.col(f"{y}_bin").alias("y_bin"),
         ))
 
+    # Rows are first counted by all their bins, and only those counts are dealt to the pairs.
+    binned = [F.when(F.col(c).isNotNull(), index(c)).alias(f"{c}_bin") for c in columns]
     return (
-        numbers.withColumn("r", ranges)
-        .select(*columns, *[index(c).alias(f"{c}_bin") for c in columns])
-        .select(F.explode(F.array(*[cell(x, y) for x, y in pairs])).alias("c"))
+        numbers.withColumn("r", ranges).select(*binned)
+        .groupBy(*[f"{c}_bin" for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+        .select("n", F.explode(F.array(*[cell(x, y) for x, y in pairs])).alias("c"))
         .filter("c is not null")
         .groupBy("c.x", "c.y", "c.x_bin", "c.y_bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )

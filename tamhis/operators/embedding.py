@@ -33,11 +33,16 @@ def _hashing(dim: int):
     return row_and_bucket
 
 
+#: Dense vectors that are made at a time, in bytes.
+SLICE_BYTES = 16 << 20
+
+
 class TfidfEncoder:
     """Hashed TF-IDF vectors of unit length; a text without words gets the zero vector.
 
-    Texts are split in the JVM, words are counted in Arrow batches. Fitting is one pass that counts
-    documents per bucket (``dim`` numbers reach the driver); encoding needs no shuffle.
+    Texts are split in the JVM and counted in Arrow batches, once: ``counts`` adds the sparse (bucket, tf) list of each
+    text, from which ``fit_counts`` learns (``dim`` numbers reach the driver) and ``weights`` computes, both on
+    built-in functions. Store the counts to use them twice. ``fit`` and ``encode`` do it all for a text column.
     """
 
     def __init__(self, dim: int = 256):
@@ -46,39 +51,77 @@ class TfidfEncoder:
         self.dim = dim
         self.idf = None
 
-    def fit(self, df: DataFrame, column: str) -> "TfidfEncoder":
+    def counts(self, df: DataFrame, column: str, out: str = "tf") -> DataFrame:
+        """Add ``out``: array of (bucket, n), buckets ascending."""
         dim, row_and_bucket = self.dim, _hashing(self.dim)
 
-        def buckets_of(words: pa.Array) -> pa.Array:
-            """The distinct buckets of each text, and -1 once per text to count the texts."""
+        def count(words: pa.Array) -> pa.Array:
             row, bucket = row_and_bucket(words)
-            cells = np.unique(np.concatenate([row * (dim + 1) + bucket + 1, np.arange(len(words)) * (dim + 1)]))
-            offsets = np.searchsorted(cells, np.arange(len(words) + 1) * (dim + 1)).astype(np.int32)
-            return pa.ListArray.from_arrays(offsets, (cells % (dim + 1) - 1).astype(np.int32))
-
-        present = F.arrow_udf(buckets_of, returnType="array<int>")(lower_words(F.col(column)))
-        counts = dict(df.select(F.explode(present).alias("b")).groupBy("b").agg(F.count(F.lit(1))).collect())
-        n = counts.pop(-1, 0)
-        found = np.array([counts.get(b, 0) for b in range(dim)], dtype=np.float64)
-        self.idf = np.log((n + 1.0) / (found + 1.0))
+            cells, n = np.unique(row * dim + bucket, return_counts=True)
+            offsets = np.searchsorted(cells, np.arange(len(words) + 1) * dim).astype(np.int32)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array((cells % dim).astype(np.int32)), pa.array(n.astype(np.int32))], ["bucket", "n"])
+            return pa.ListArray.from_arrays(offsets, pairs)
+
+        counted = F.arrow_udf(count, returnType="array<struct<bucket:int,n:int>>")
+        return df.withColumn(out, counted(lower_words(F.col(column))))
+
+    def fit_counts(self, df: DataFrame, column: str = "tf") -> "TfidfEncoder":
+        present = F.concat(F.array(F.lit(-1)), F.transform(column, lambda x: x["bucket"]))
+        found = dict(df.select(F.explode(present).alias("b")).groupBy("b").agg(F.count(F.lit(1))).collect())
+        n = found.pop(-1, 0)
+        df_of = np.array([found.get(b, 0) for b in range(self.dim)], dtype=np.float64)
+        self.idf = np.log((n + 1.0) / (df_of + 1.0))
         return self
 
-    def encode(self, df: DataFrame, column: str) -> DataFrame:
-        """Add ``embedding`` (array of double)."""
+    def weights(self, df: DataFrame, column: str = "tf", out: str = "weights") -> DataFrame:
+        """Add ``out``: array of (bucket, weight) of a unit vector, from the counts."""
         if self.idf is None:
             raise ValueError("fit the encoder first")
-        dim, idf, row_and_bucket = self.dim, self.idf, _hashing(self.dim)
+        idf = F.array(*[F.lit(float(x)) for x in self.idf]) if self.dim <= 1024 else None
+        if idf is None:  # too long for a literal
+            table = df.sparkSession.createDataFrame([(self.idf.tolist(),)], "idf array<double>")
+            df, idf = df.withColumn("_idf", table.scalar()), F.col("_idf")
+        raw = df.withColumn(out, F.transform(column, lambda x: F.struct(
+            x["bucket"].alias("bucket"), (x["n"] * F.element_at(idf, x["bucket"] + 1)).alias("weight"))))
+        norm = F.sqrt(F.aggregate(out, F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
+        raw = raw.withColumn("_norm", norm)
+        scaled = F.transform(out, lambda x: F.struct(
+            x["bucket"].alias("bucket"), F.when(F.col("_norm") > 0, x["weight"] / F.col("_norm")).otherwise(0.0).alias("weight")))
+        return raw.withColumn(out, scaled).drop("_norm", "_idf")
+
+    def dense(self, df: DataFrame, column: str = "weights", out: str = "embedding") -> DataFrame:
+        """Replace the sparse weights by ``out`` (array of double), a bounded slice of rows at a time."""
+        rows, dim = max(1, SLICE_BYTES // (8 * self.dim)), self.dim
+        rest = [c for c in df.columns if c != column]
+        narrow = df.select(*rest, F.transform(column, lambda x: x["bucket"]).alias("_bucket"),
+                           F.transform(column, lambda x: x["weight"]).alias("_weight"))
+        schema = T.StructType([*narrow.schema.fields[:-2], T.StructField(out, T.ArrayType(T.DoubleType()))])
+        names = schema.names
 
-        def vectors(words: pa.Array) -> pa.Array:
-            n = len(words)
-            row, bucket = row_and_bucket(words)
-            weight = np.bincount(row * dim + bucket, minlength=n * dim).reshape(n, dim) * idf
-            norm = np.sqrt((weight * weight).sum(axis=1, keepdims=True))
-            weight = np.divide(weight, norm, out=np.zeros_like(weight), where=norm > 0)
-            return pa.ListArray.from_arrays(np.arange(0, (n + 1) * dim, dim, dtype=np.int32), weight.ravel())
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
 
-        to_vectors = F.arrow_udf(vectors, returnType="array<double>")
-        return df.withColumn("embedding", to_vectors(lower_words(F.col(column))))
+            for batch in batches:
+                for k in range(0, batch.num_rows, rows):
+                    part = batch.slice(k, rows)
+                    bucket, weight = part.columns[-2:]
+                    n = part.num_rows
+                    matrix = np.zeros((n, dim))
+                    sizes = np.diff(bucket.offsets.to_numpy())
+                    matrix[np.repeat(np.arange(n), sizes), bucket.flatten().to_numpy()] = weight.flatten().to_numpy()
+                    vectors = pa.ListArray.from_arrays(np.arange(0, (n + 1) * dim, dim, dtype=np.int32), matrix.ravel())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-2], vectors], names)
+
+        return narrow.mapInArrow(run, schema)
+
+    def fit(self, df: DataFrame, column: str) -> "TfidfEncoder":
+        return self.fit_counts(self.counts(df.select(column), column, "tf"))
+
+    def encode(self, df: DataFrame, column: str) -> DataFrame:
+        """Add ``embedding`` (array of double)."""
+        return self.dense(self.weights(self.counts(df, column, "_tf"), "_tf", "_weights").drop("_tf"), "_weights")
 
 
 class BatchEncoder:

@@ -1,11 +1,15 @@
 """Exact nearest neighbours by Euclidean distance (flat search)."""
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamhis.workspace import release, written
+
 BLOCK_BYTES = 32 * 1024 * 1024
-RESULT_ROW_BYTES = 64  # generous size of (query_id, doc_id, distance, rank)
 
 
 def _top_k(k):
@@ -79,98 +83,82 @@ def _top_k(k):
                 dist[q0 + touched] = d[pick]
                 who[q0 + touched] = i[pick]
 
-    def matrix(column):
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    def by_length(ids, column):
+        """(length, ids, matrix) for every length of vector in a list column."""
+        sizes = np.diff(column.offsets.to_numpy())
+        for size in np.unique(sizes):
+            rows = np.nonzero(sizes == size)[0]
+            vectors = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+            yield int(size), rows, ids[rows], vectors.astype(np.float64).reshape(len(rows), -1)
 
     def rows(best, query_ids):
         dist, who = best
         keep = np.isfinite(dist)
         return {"query_id": query_ids.take(pa.array(np.nonzero(keep)[0])), "doc_id": who[keep], "distance": dist[keep]}
 
-    return start, merge, matrix, rows
+    return start, merge, by_length, rows
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank).
+def comparable(c: Column) -> Column:
+    """True for a vector of finite numbers; false for a null or empty one and for one with a null, NaN or infinity."""
+    finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & (F.size(c) > 0), F.lit(False))
+
 
-    ``index`` needs (doc_id long, embedding), ``queries`` (query_id of any type, embedding); ties go to
-    the smaller doc_id. Two ways with the same result, chosen by the size of the queries:
+def left_out(vectors: DataFrame) -> DataFrame:
+    """One row: how many rows of an index or of queries have no comparable vector."""
+    return vectors.agg(F.count(F.when(~comparable(F.col("embedding")), 1)).alias("n_left_out"))
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank), stored in the shared folder.
 
-    * up to ``block_bytes`` (checked by fetching no more than that) the queries are broadcast and every
-      task scans its part of the index once, keeping k rows per query; the index is not shuffled;
-    * beyond it both sides are cut into blocks of about ``block_bytes`` by a hash of the id, and each
-      pair of blocks is one task's work. Blocks do not depend on the vectors, so copies cannot make
-      a block hot.
+    ``index`` needs (doc_id long, embedding), ``queries`` (query_id of any type, unique, embedding); ties go to the
+    smaller doc_id. A query is compared with the vectors of its own length; rows without a vector of finite
+    numbers are left out on both sides (``left_out`` counts them), and so are queries without any hit.
 
-    Either way tasks return only k rows per query, and the last step ranks those. A result known to be
-    small is marked for broadcast, so that fetching the texts of the hits does not shuffle the index.
+    The queries are stored once and cut by a hash into blocks of about ``block_bytes``, counted with their
+    ids. For each block the index is scanned where it lies: tasks keep k rows per query of the broadcast block,
+    so the index is never shuffled or copied, and the block is released before the next one.
     """
-    index = index.select(F.col("doc_id").cast("long"), "embedding").filter("embedding is not null")
-    queries = queries.select("query_id", "embedding").filter("embedding is not null")
+    index = index.select(F.col("doc_id").cast("long"), "embedding").filter(comparable(F.col("embedding")))
+    queries = written(queries.select("query_id", "embedding").filter(comparable(F.col("embedding"))), "queries")
     found_schema = T.StructType([
         queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()),
     ])
-    sample = index.first()
-    small = True
-    if sample is None:
-        found = index.sparkSession.createDataFrame([], found_schema)
-    else:
-        row_bytes = 8 * (len(sample["embedding"]) + 1)
-        most = max(1, block_bytes // row_bytes)
-        few = queries.limit(most + 1).toArrow()  # at most one row more than may be broadcast
-        if len(few) <= most:
-            found = _scan_index(index, few, k, found_schema)
-            small = len(few) * k * RESULT_ROW_BYTES <= block_bytes
-        else:
-            found = _by_blocks(index, queries, k, found_schema, row_bytes, block_bytes)
-            small = False
+    id_bytes = F.coalesce(F.octet_length(F.to_json(F.struct("query_id"))), F.lit(0))
+    size = queries.agg(F.sum(id_bytes + 8 * (F.size("embedding") + 2 * k))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     nearest_first = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    hits = found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
-    return F.broadcast(hits) if small else hits
+    parts = []
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        found, shared = _scan_index(index, block, k, found_schema)
+        hits = found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
+        parts.append(written(hits, "hits"))
+        if shared is not None:
+            shared.destroy()
+    release(queries)
+    return reduce(DataFrame.union, parts)
 
 
 def _scan_index(index, queries, k, schema):
-    start, merge, matrix, rows = _top_k(k)
-    small = queries.combine_chunks()
-    if not len(small):
-        return index.sparkSession.createDataFrame([], schema)
-    shared = index.sparkSession.sparkContext.broadcast(
-        (small["query_id"].chunk(0), matrix(small["embedding"].chunk(0)))
-    )
+    start, merge, by_length, rows = _top_k(k)
+    if not len(queries):
+        return index.sparkSession.createDataFrame([], schema), None
+    ids = queries["query_id"].chunk(0)
+    blocks = {n: (ids.take(at), vectors) for n, at, _, vectors in by_length(np.arange(len(ids)), queries["embedding"].chunk(0))}
+    shared = index.sparkSession.sparkContext.broadcast(blocks)
 
     def scan(batches):
         import pyarrow as pa
 
-        query_ids, vectors = shared.value
-        best = start(len(query_ids))
+        best = {n: start(len(own)) for n, (own, _) in shared.value.items()}
         for batch in batches:
-            if len(batch):
-                merge(best, vectors, batch["doc_id"].to_numpy(), matrix(batch["embedding"]))
-        yield pa.RecordBatch.from_pydict(rows(best, query_ids))
-
-    return index.mapInArrow(scan, schema)
-
-
-def _by_blocks(index, queries, k, schema, row_bytes, block_bytes):
-    start, merge, matrix, rows = _top_k(k)
-    n_q = max(1, -(-queries.count() * row_bytes // block_bytes))
-    n_i = max(1, -(-index.count() * row_bytes // block_bytes))
-
-    def blocks(df, key, mine, my_count, other, other_count):
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(my_count)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_count - 1)))
-        )
-
-    def search(docs, asked):
-        import pyarrow as pa
-
-        best = start(len(asked))
-        if len(docs) and len(asked):
-            docs, asked = docs.combine_chunks(), asked.combine_chunks()
-            merge(best, matrix(asked["embedding"].chunk(0)), docs["doc_id"].to_numpy(),
-                  matrix(docs["embedding"].chunk(0)))
-        return pa.table(rows(best, asked["query_id"].combine_chunks()))
+            for n, _, doc_ids, vectors in by_length(batch["doc_id"].to_numpy(), batch["embedding"]):
+                if n in best:
+                    merge(best[n], shared.value[n][1], doc_ids, vectors)
+        for n, (own, _) in shared.value.items():
+            yield pa.RecordBatch.from_pydict(rows(best[n], own))
 
-    docs = blocks(index, "doc_id", "_i", n_i, "_q", n_q)
-    asked = blocks(queries, "query_id", "_q", n_q, "_i", n_i)
-    return docs.groupBy("_i", "_q").cogroup(asked.groupBy("_i", "_q")).applyInArrow(search, schema)
+    return index.mapInArrow(scan, schema), shared

@@ -57,8 +57,8 @@ def panel(spark: SparkSession, questions) -> DataFrame:
 
 
 def answer_panel(asked: DataFrame, answers: DataFrame, keys=("question_id",)) -> DataFrame:
-    """Every question that has an answer, with it: an equi-join on the question's key."""
-    return asked.join(answers, list(keys))
+    """Every question with its answer, ``''`` where there is none: a left equi-join on the question's key."""
+    return asked.join(answers, list(keys), "left").withColumn("answer", F.coalesce("answer", F.lit("")))
 
 
 def compare_answers(answers: DataFrame, models, keys=("question_id",)) -> DataFrame:

@@ -78,8 +78,36 @@ def pair_matrix(df: DataFrame, bins: int = 20) -> DataFrame:
     return D.grid_counts(frame, [(x, y) for x in frame.columns for y in frame.columns if x != y], bins)
 
 
+def body_counts(raw: DataFrame) -> DataFrame:
+    """count, mean, std, quartiles of the body counts and of the word counts among answered rows."""
+    measures = answered(raw).select(
+        "q_body_count", "a_body_count",
+        X.word_count(F.col("question")).alias("question_word_count"),
+        X.word_count(F.col("reply")).alias("answer_word_count"),
+    )
+    return D.describe(D.value_counts(measures, {c: F.col(c) for c in measures.columns}))
+
+
+def categories(raw: DataFrame) -> DataFrame:
+    """Answered rows per category, those without one under ``None``."""
+    return N.category_counts(answered(raw), none_label="None")
+
+
+def correlations(raw: DataFrame) -> DataFrame:
+    """Pearson matrix of body counts and lengths among answered rows."""
+    frame = answered(raw).select(
+        "q_body_count", "a_body_count",
+        X.char_count(F.col("question")).alias("question_len"), X.char_count(F.col("reply")).alias("reply_len"))
+    return N.correlations(frame, frame.columns)
+
+
+def top_category_counts(measures: DataFrame) -> DataFrame:
+    """Value counts of the question lengths in the six most frequent categories."""
+    return D.value_counts(N.in_top_categories(measures, 6), {"Question": F.col("question_len")}, ["category"])
+
+
 def profile(raw: DataFrame) -> dict[str, DataFrame]:
-    """All summaries by name.
+    """All summaries by name; all but the first two are about the answered rows.
 
     The texts are read for the profile tables and once for the narrow measure table, which is written
     to the shared folder; the distribution summaries read that.
@@ -88,11 +116,11 @@ def profile(raw: DataFrame) -> dict[str, DataFrame]:
     measures = written(lengths(raw), "measures")
     data_columns = [c for c in raw.columns if c != "row_id"]
     chars = char_lengths(measures)
-    top6 = N.in_top_categories(measures, 6)
     return {
         "column_profile": columns(raw),
         "duplicate_rows": N.duplicate_rows(raw, data_columns),
         "describe": D.describe(numeric_counts(measures)),
+        "describe_counts": body_counts(raw),
         "histogram": D.histogram(chars),
         "histogram_curve": D.kde(chars, cut=0.0),
         "kde": D.kde(chars),
@@ -102,17 +130,11 @@ def profile(raw: DataFrame) -> dict[str, DataFrame]:
         "scatter": D.grid_counts(measures, [("question_len", "reply_len")]),
         "pair_matrix": pair_matrix(measures),
         "pair_diagonal": D.kde(numeric_counts(measures)),
-        "category_counts": N.category_counts(kept, none_label="None"),
-        "category_share": N.category_share(measures),
-        "top_category_boxplot": D.boxplot(
-            D.value_counts(top6, {"Question": F.col("question_len")}, ["category"]), ["category"]),
-        "top_category_mean": D.mean_interval(top6, "reply_len", "category"),
-        "correlations": N.correlations(
-            raw.na.drop(subset=["reply"]).select(
-                "q_body_count", "a_body_count",
-                X.char_count(F.col("question")).alias("question_len"),
-                X.char_count(F.col("reply")).alias("reply_len")),
-            ["q_body_count", "a_body_count", "question_len", "reply_len"]),
+        "category_counts": categories(raw),
+        "category_share": N.category_share(kept),
+        "top_category_boxplot": D.boxplot(top_category_counts(measures), ["category"]),
+        "top_category_mean": D.mean_interval(N.in_top_categories(measures, 6), "reply_len", "category"),
+        "correlations": correlations(raw),
         "top_words_questions": N.top_words(kept, "question"),
         "top_words_answers": N.top_words(kept, "reply"),
     }

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamhis.functions import chat
-from tamhis.operators.nearest import nearest
+from tamhis.operators.nearest import comparable, nearest
+from tamhis.workspace import written
 
 
 def documents(records: DataFrame, doc_id: str = "row_id") -> DataFrame:
@@ -16,12 +17,16 @@ def documents(records: DataFrame, doc_id: str = "row_id") -> DataFrame:
 
 
 def build_index(records: DataFrame, encoder, doc_id: str = "row_id") -> DataFrame:
-    """(doc_id, doc_text, embedding), to be stored with ``write_index``."""
-    return encoder.encode(documents(records, doc_id), "doc_text").select("doc_id", "doc_text", "embedding")
+    """(doc_id, doc_text, embedding), stored in the shared folder: searches read it in several passes, and each
+    document should be encoded once. ``write_index`` keeps it elsewhere."""
+    return written(encoder.encode(documents(records, doc_id), "doc_text").select("doc_id", "doc_text", "embedding"), "index")
 
 
 def retrieve_context(index: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
-    """(query_id, context): the k nearest document texts, nearest first, a blank line between them."""
+    """(query_id, context): the k nearest document texts, nearest first, a blank line between them.
+
+    ``index`` must be a stored table: its vectors and its texts are read in separate passes.
+    """
     hits = nearest(index, queries, k)
     texts = hits.join(index.select("doc_id", "doc_text"), "doc_id")
     ranked = F.array_sort(F.collect_list(F.struct("rank", "doc_text")))  # k entries
@@ -31,17 +36,25 @@ def retrieve_context(index: DataFrame, queries: DataFrame, k: int = 2) -> DataFr
 
 
 def rag_prompts(requests: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
-    """Add ``prompt`` to requests (query_id, message, embedding ..).
+    """Add ``prompt`` to requests (message, embedding ..).
 
-    Equal queries are looked up once. Without any document the context is empty.
+    Every request gets the context of its own vector; equal vectors are looked up once. The requests are stored
+    first, so that each is encoded once. A request without a vector of finite numbers gets the plain prompt; one
+    for which the index holds no vector of the same length gets an empty reference part.
     """
-    queries = requests.groupBy("query_id").agg(F.any_value("embedding").alias("embedding"))
-    contexts = retrieve_context(index, queries, k)
-    messages = chat.prompt_messages(F.col("message"), F.coalesce("context", F.lit("")))
+    vector, key = F.col("embedding"), "_vector"
+    keyed = F.when(comparable(vector), F.concat_ws(
+        ":", F.size(vector), F.xxhash64(vector), F.xxhash64(F.lit(1), vector)))
+    requests = written(requests.withColumn(key, keyed), "requests")
+    queries = requests.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("query_id")).agg(
+        F.any_value("embedding").alias("embedding"))  # equal up to the digest
+    contexts = retrieve_context(index, queries, k).withColumnRenamed("query_id", key)
+    plain = chat.render_messages(chat.prompt_messages(F.col("message")))
+    found = chat.render_messages(chat.prompt_messages(F.col("message"), F.coalesce("context", F.lit(""))))
     return (
-        requests.drop("embedding").join(contexts, "query_id", "left")
-        .withColumn("prompt", chat.render_messages(messages))
-        .drop("context")
+        requests.drop("embedding").join(contexts, key, "left")
+        .withColumn("prompt", F.when(F.col(key).isNull(), plain).otherwise(found))
+        .drop("context", key)
     )
 
 

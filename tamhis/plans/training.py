@@ -20,3 +20,8 @@ def template_records(records: DataFrame) -> DataFrame:
 def training_set(records: DataFrame, key: str = "row_id", test_share: float = 0.05, seed: int = 42) -> DataFrame:
     """(key, text, split). Pass a stored table: the split scans its key column three times."""
     return split_exact(chatml_records(records).select(key, "text"), key, test_share, seed)
+
+
+def split_sizes(training: DataFrame) -> DataFrame:
+    """(split, n): rows of each part."""
+    return training.groupBy("split").agg(F.count(F.lit(1)).alias("n"))

@@ -78,6 +78,15 @@ TEMPLATE_HEAD = (
     "### السؤال:\n"
 )
 TEMPLATE_MIDDLE = "\n\n### الإجابة:\n"
+PANEL_HEAD = (
+    "أنت مساعد طبي ذكي وموثوق باللغة العربية. دورك الأساسي هو تقديم معلومات طبية عامة، وتثقيف صحي "
+    "بأسلوب علمي، دقيق، ومبسط.\n"
+    "يجب أن تكون إجابتك مفصلة، ومنسقة في نقاط مرتبة (Bullet points) لتسهيل القراءة.\n"
+    "أجب على السؤال الطبي التالي بدقة:\n"
+    "\n"
+    "### السؤال:\n"
+)
+PANEL_TAIL = "\n\n### الإجابة:\n"
 END_OF_TEXT = "<|im_end|>"
 REPORT_QUESTION = "السؤال: "
 REPORT_ANSWER = "الجواب: "

@@ -15,8 +15,9 @@ def read_raw_qa(spark: SparkSession, path, fmt: str = "parquet", row_id: str | N
     """Raw question/answer rows plus ``row_id``, which fixes the order for first-wins rules.
 
     Name the source's own key in ``row_id`` if there is one. Otherwise ids are unique and grow within a
-    file, but Spark decides in which order several files follow each other. ``extra`` adds fields such as instruction/output; ``multi_line`` reads a JSON
-    file that is one array.
+    file, but Spark decides in which order several files follow each other. ``extra`` adds fields such as
+    instruction/output. ``multi_line`` reads a JSON file that is one array, or a CSV file whose quoted fields hold line
+    breaks; such files are read by one task each, so they should be many and small.
     """
     schema = T.StructType([*RAW_QA.fields, *(extra.fields if extra else [])])
     if row_id is not None:
@@ -25,39 +26,52 @@ def read_raw_qa(spark: SparkSession, path, fmt: str = "parquet", row_id: str | N
     if fmt == "json":
         reader = reader.option("multiLine", multi_line)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+        reader = reader.options(header=True, multiLine=multi_line, quote='"', escape='"')
     df = reader.load(path)
     return df.withColumn("row_id", F.col(row_id) if row_id else F.monotonically_increasing_id())
 
 
 def read_jsonl_strict(spark: SparkSession, path, schema: T.StructType = INSTRUCTION) -> DataFrame:
-    """JSON lines; blank lines are skipped, a malformed line fails the job."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines; blank lines are skipped, a line that is not exactly one JSON object fails the job."""
+    parsed = _parsed(spark, path, schema)
+    checked = F.when(F.col("record").isNull(), F.raise_error(
+        F.concat(F.lit("not one JSON object: "), F.substring("line", 1, 200))).cast(schema)).otherwise(F.col("record"))
+    return parsed.select(checked.alias("record")).select("record.*")
 
 
 def read_jsonl_tolerant(spark: SparkSession, path, schema: T.StructType = INSTRUCTION) -> DataFrame:
-    """JSON lines; malformed and blank lines are skipped, missing text fields become ``''``."""
-    return _tolerant(spark, path, schema).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT).na.fill("")
+    """JSON lines; blank lines and lines that are not exactly one JSON object are skipped, missing text fields
+    become ``''``."""
+    return _parsed(spark, path, schema).filter("record is not null").select("record.*").na.fill("")
 
 
 def rejected_lines(spark: SparkSession, path, schema: T.StructType = INSTRUCTION) -> DataFrame:
-    """The lines ``read_jsonl_tolerant`` skips, as (line)."""
-    return _tolerant(spark, path, schema).filter(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"))
+    """The lines ``read_jsonl_tolerant`` skips, as (line); blank ones are not listed."""
+    return _parsed(spark, path, schema).filter("record is null").select("line")
 
 
-def _tolerant(spark, path, schema):
-    """Parsed from text lines: the JSON source would refuse a scan of the corrupt column alone."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+def _parsed(spark, path, schema):
+    """(line, record): every line that is not blank (Unicode white space), with a null record unless the line is one
+    object. A line is read as the only element of an array, so that nothing may stand before or after the object."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"}
+    full = T.ArrayType(T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]))
     lines = spark.read.text(path).filter(~is_blank(F.col("value")))
-    return lines.select(F.from_json("value", full, options).alias("r")).select("r.*")
+    records = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), full, options)
+    one = F.col("records")[0]
+    whole = (F.size("records") == 1) & one[_CORRUPT].isNull() & F.ltrim(F.col("value")).startswith("{")
+    kept = F.struct(*[one[f.name].alias(f.name) for f in schema])
+    return lines.withColumn("records", records).select(
+        F.col("value").alias("line"), F.when(F.coalesce(whole, F.lit(False)), kept).alias("record"))
 
 
-def read_training_csv(spark: SparkSession, path) -> DataFrame:
-    """CSV with a ``text`` column; quoted fields may hold line breaks and doubled quotes."""
+def read_training_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+    """CSV with a ``text`` column; quoted fields may hold doubled quotes and, with ``multi_line``, line breaks.
+
+    With it a file is read by one task, so files should be many and small.
+    """
     return (
         spark.read.schema(TRAINING_TEXT)
-        .options(header=True, multiLine=True, quote='"', escape='"')
+        .options(header=True, multiLine=multi_line, quote='"', escape='"')
         .csv(path)
     )
 

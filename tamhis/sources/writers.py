@@ -30,6 +30,7 @@ def write_training(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def write_report(df: DataFrame, path: str, question: str = "question", answer: str = "answer") -> None:
-    """Text report with two lines per answered question."""
-    df.select(report_lines(question, answer).alias("value")).write.mode("overwrite").text(path)
+def write_report(df: DataFrame, path: str, order_by, question: str = "question", answer: str = "answer") -> None:
+    """Text report with two lines per question, in the order of ``order_by`` through the files (range-partitioned)."""
+    lines = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
+    lines.select(report_lines(question, answer).alias("value")).write.mode("overwrite").text(path)

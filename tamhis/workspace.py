@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder of its own: on a cluster the
+    Only a local session without that setting, such as a test's, gets a temporary folder of its own: on a cluster the
     executors could not see it, so there a missing setting is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if configured:
         return configured
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tamhis-"))
     return sc.getCheckpointDir()
@@ -36,3 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table made by ``written``, once nothing reads it any more; other tables are left alone."""
+    base, jvm = shared_dir(df.sparkSession).rstrip("/"), df.sparkSession._jvm
+    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        parent = jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+        if path.getParent() == fs.makeQualified(parent) or path.getParent().toUri().getPath() == parent.toUri().getPath():
+            fs.delete(path, True)

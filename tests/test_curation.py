@@ -1,10 +1,13 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamhis.operators import curation as C
-from tamhis.plans.curate import curate, curation_funnel
+from tamhis.plans.curate import curate, curation_funnel, valid_pairs
 from tamhis.schemas import RAW_QA
 from tamhis.profiles import LATIN
+from workloads import adapters as A
 
 LONG = "يجب على المريض ان يشرب الماء وان ينام جيدا وان يراجع الطبيب كل شهر مرة واحدة على الاقل"
 COLUMNS = "row_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RAW_QA)
@@ -95,3 +98,16 @@ def test_first_per_key_keeps_one_row_of_a_hot_key(spark):
 def test_digest_tells_null_from_empty_and_boundaries(spark):
     df = spark.createDataFrame([("a", "b"), ("ab", ""), ("ab", None), (None, "ab"), ("1:a", ""), ("a", "b")], "x string, y string")
     assert df.select(C.digest("x", "y")).distinct().count() == 5
+
+
+@pytest.mark.parametrize("lists", [{"personal": ()}, {"general": ()}, {"personal": (), "general": ()}])
+def test_empty_keyword_lists(spark, lists):
+    """Nothing matches an empty list: no personal word refuses, no general word keeps."""
+    profile = replace(LATIN, **lists)
+    rows = A.raw_qa(spark, "/root/testdata/sf0.001")
+    flags = C.gate_flags(C.with_qa(rows), profile)
+    valid = valid_pairs(rows, profile).count()
+    funnel = curation_funnel(rows, profile).first()
+    assert valid == flags.filter(C.reject_reason().isNull()).count() == funnel.n_not_personal
+    assert curate(rows, profile).count() == funnel.n_unique
+    assert (valid > 0) == ("general" not in lists)

@@ -91,6 +91,14 @@ def test_single_row_has_no_deviation(spark):
     assert (row["count"], row["std"], row["median"]) == (1, None, 3.0)
 
 
+@pytest.mark.parametrize("low, high", [(0.0, 0.01), (36.5, 37.5)])
+def test_ranges_follow_the_data(spark, low, high):
+    """However close the values lie, no range holds more than a small share of them."""
+    vc = spark.range(100_000).select(F.lit("v").alias("series"), (low + (high - low) * F.rand(3)).alias("value"), F.lit(1).cast("long").alias("n"))
+    sizes = [r["count"] for r in D._ranged(vc, ["series"]).groupBy("_range").count().collect()]
+    assert len(sizes) > 0.9 * D.RANGES and max(sizes) < 2.5 * sum(sizes) / D.RANGES
+
+
 def test_empty_input(spark):
     vc = D.value_counts(spark.createDataFrame([], "v double"), {"v": F.col("v")})
     assert D.describe(vc).count() == D.histogram(vc).count() == D.ecdf(vc).count() == 0
@@ -98,17 +106,17 @@ def test_empty_input(spark):
 
 def test_bootstrap_is_close_to_normal_and_independent_of_partitions(spark):
     rng = np.random.default_rng(3)
-    rows = [("a", float(x)) for x in np.round(rng.normal(100, 20, 2000))] + [("b", 5.0)] * 10
-    df = spark.createDataFrame(rows, "category string, v double")
+    rows = [("a", float(x)) for x in np.round(rng.normal(100, 20, 5000))] + [("b", 5.0)] * 10 + [("b", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, category string, v double")
     normal = {r.category: r for r in D.mean_interval(df, "v", "category").collect()}
     runs = []
     for partitions in (1, 5):
-        vc = D.value_counts(df, {"v": F.col("v")}, ["category"]).repartition(partitions)
-        runs.append({r.category: r for r in D.mean_interval_bootstrap(vc, "category").collect()})
+        found = D.mean_interval_bootstrap(df.repartition(partitions), "v", "category", "id")
+        runs.append({r.category: r for r in found.collect()})
     first, second = runs
     assert first["a"].mean == pytest.approx(normal["a"].mean)
-    assert first["a"].ci_low == pytest.approx(normal["a"].ci_low, abs=0.3)
-    assert first["a"].ci_high == pytest.approx(normal["a"].ci_high, abs=0.3)
+    assert first["a"].ci_low == pytest.approx(normal["a"].ci_low, abs=0.15)
+    assert first["a"].ci_high == pytest.approx(normal["a"].ci_high, abs=0.15)
     assert first["a"].ci_low == pytest.approx(second["a"].ci_low, rel=1e-9)
     assert (first["b"].ci_low, first["b"].ci_high) == (5.0, 5.0)
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tamhis.plans.curate import curate
 from tamhis.schemas import INSTRUCTION
 from tamhis.sources import readers, writers
-from tamhis.workspace import shared_dir, written
+from tamhis.workspace import release, shared_dir, written
 
 
 def write(path, text):
@@ -33,6 +34,21 @@ def test_tolerant_jsonl(spark, tmp_path):
     assert readers.rejected_lines(spark, path).count() == 2
 
 
+BAD = ["{'instruction': 'x'}", '{"output": "x"} junk', '{"output": "x"}{"output": "y"}', '[{"output": "x"}]', '"text"', "{broken"]
+
+
+def test_lines_that_are_not_one_object(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", "\n".join([*BAD, "\u00a0", '  {"output": "good"} ']) + "\n")
+    assert [r.output for r in readers.read_jsonl_tolerant(spark, path).collect()] == ["good"]
+    assert sorted(r.line for r in readers.rejected_lines(spark, path).collect()) == sorted(BAD)
+    for k, line in enumerate(BAD):
+        one = write(tmp_path / f"{k}.jsonl", GOOD + line + "\n")
+        with pytest.raises(Exception, match="not one JSON object"):
+            readers.read_jsonl_strict(spark, one).collect()
+    blank = write(tmp_path / "blank.jsonl", GOOD + "\u00a0\n")
+    assert readers.read_jsonl_strict(spark, blank).count() == 1
+
+
 def test_csv_with_line_breaks_and_quotes(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'text\n"one\ntwo ""quoted"", end"\nplain\n')
     assert [r.text for r in readers.read_training_csv(spark, path).collect()] == ['one\ntwo "quoted", end', "plain"]
@@ -65,9 +81,11 @@ def test_index_report_and_training(spark, tmp_path):
     index = spark.createDataFrame([(1, "t", [0.5, 0.25])], "doc_id long, doc_text string, embedding array<double>")
     writers.write_index(index, str(tmp_path / "index"))
     assert readers.read_index(spark, str(tmp_path / "index")).first()["embedding"] == [0.5, 0.25]
-    qa = spark.createDataFrame([("q", "a")], "question string, answer string")
-    writers.write_report(qa, str(tmp_path / "report"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["السؤال: q", "الجواب: a"]
+    qa = spark.createDataFrame([(i, f"q{i}", "a") for i in range(50)], "n long, question string, answer string").repartition(7)
+    writers.write_report(qa, str(tmp_path / "report"), "n")
+    files = sorted((tmp_path / "report").glob("part-*"))
+    lines = "".join(f.read_text() for f in files).splitlines()
+    assert lines == [x for i in range(50) for x in (f"السؤال: q{i}", "الجواب: a")]
     writers.write_training(spark.createDataFrame([("x", "train"), ("y", "test")], "text string, split string"), str(tmp_path / "t"))
     assert [r.text for r in spark.read.json(str(tmp_path / "t/split=test")).collect()] == ["y"]
 
@@ -79,6 +97,17 @@ def test_written_tables_live_in_the_configured_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def test_release_deletes_what_was_written_and_nothing_else(spark, tmp_path):
+    df = written(spark.range(5), "numbers")
+    folder = df.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder)
+    release(df)
+    assert not os.path.exists(folder)
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    release(spark.read.parquet(str(tmp_path / "own")))
+    assert (tmp_path / "own").exists()
+
+
 def test_curation_reads_only_the_columns_it_needs(spark, tmp_path):
     columns = "q_body string, a_body string, category string, q_body_count double, a_body_count double, question string, reply string, id long"
     spark.createDataFrame([(None, None, "c", None, None, "q", "r", 1)], columns).write.parquet(str(tmp_path / "raw"))

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import connect, same
+from workloads.oracle import ORACLE_SQL
+from workloads.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"top_category_mean_bootstrap"}
 
 
 @pytest.fixture(scope="module")
@@ -15,16 +16,13 @@ def con():
 
 
 def test_registry():
-    assert set(entry.oracle_sql()) == set(entry.queries()) - ROWS_ONLY
+    assert set(ORACLE_SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
-    df = entry.queries()[key](spark, SF)
-    if key in ROWS_ONLY:
-        assert df.count() > 0
-    else:
-        assert same(df, con, entry.oracle_sql()[key]) == ""
+    assert same(QUERIES[key](spark, SF), con, ORACLE_SQL[key]) == ""
 
 
 def test_entry(spark):
@@ -50,7 +48,7 @@ def test_summaries_read_the_texts_once(spark, key):
     assert plan(entry.queries()[key](spark, SF)).count("FileScan") == 1
 
 
-@pytest.mark.parametrize("key", sorted(k for k in entry.queries() if not k.startswith("stream_")))
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if not k.startswith("stream_")))
 def test_no_cross_joins(spark, key):
     text = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text

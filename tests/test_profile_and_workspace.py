@@ -3,11 +3,41 @@ import pytest
 from tamhis.plans.profile import profile
 from tamhis.workspace import shared_dir
 from workloads import adapters as A
+from workloads.queries import QUERIES
+
+
+#: Entry of the profile -> registered query with the same rows.
+KEYS = {
+    "column_profile": "column_profile", "duplicate_rows": "duplicate_rows", "describe": "describe_lengths",
+    "describe_counts": "describe_numeric", "histogram": "length_histogram", "ecdf": "length_ecdf",
+    "boxplot": "boxplot_overall", "violin": "violin_summary", "scatter": "scatter_bins", "pair_matrix": "pair_matrix",
+    "pair_diagonal": "pair_diagonal", "category_counts": "category_counts", "category_share": "category_share",
+    "top_category_boxplot": "top_category_boxplot", "top_category_mean": "top_category_mean_ci",
+    "correlations": "corr_matrix", "top_words_questions": "top_words_questions", "top_words_answers": "top_words_answers",
+}
+CURVES = {"kde": "overlap", "histogram_curve": "histogram"}
+
+
+def rows(df):
+    """Rows in order; numbers with five digits that count: the queries round theirs."""
+    names = sorted(df.columns)
+    return sorted((tuple(float(f"{v:.5g}") if isinstance(v, float) else v for v in (r[c] for c in names)) for r in df.collect()), key=repr)
+
+
+def test_every_entry_of_the_profile_equals_its_query(spark):
+    sf = "/root/testdata/sf0.001"
+    got = profile(A.raw_qa(spark, sf))
+    assert set(got) == {*KEYS, *CURVES}
+    for entry, key in KEYS.items():
+        want = QUERIES[key](spark, sf)
+        assert rows(got[entry].select(want.columns)) == rows(want), entry
+    curves = QUERIES["length_kde"](spark, sf)
+    for entry, curve in CURVES.items():
+        assert rows(got[entry]) == rows(curves.filter(f"curve = '{curve}'").drop("curve")), entry
 
 
 def test_profile_has_every_summary(spark):
     got = profile(A.raw_qa(spark, "/root/testdata/sf0.001"))
-    assert len(got) == 19
     assert [name for name, df in got.items() if df.count() == 0] == []
     assert got["kde"].filter("density < 0").count() == 0
     assert {r.series for r in got["describe"].collect()} == {"Q Len", "A Len", "Q Words", "A Words"}
@@ -28,6 +58,7 @@ class _Session:
 
 
 def test_a_cluster_needs_a_shared_folder():
-    with pytest.raises(RuntimeError):
-        shared_dir(_Session("yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(_Session(master))
     assert shared_dir(_Session("yarn", "hdfs:///shared")) == "hdfs:///shared"

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tamhis import profiles as P
-from tamhis.functions.chat import render_messages, prompt_messages
+from tamhis.functions.chat import panel_prompt, prompt_messages, render_messages
 from tamhis.operators import requests as R
 from tamhis.operators.chat import render_conversations
 from tamhis.schemas import REQUEST
@@ -36,8 +36,8 @@ def test_compare_and_report(spark):
     got = R.compare_answers(answers, ["base", "tuned"]).orderBy("question_id").collect()
     assert [tuple(r) for r in got] == [(1, "x", "y"), (2, "z", None)]
     panel = R.panel(spark, ["one?", "two?"])
-    got = R.answer_panel(panel, answers.filter("model = 'base'")).orderBy("question_id").collect()
-    assert [(r.question, r.answer) for r in got] == [("one?", "x"), ("two?", "z")]
+    got = R.answer_panel(panel, answers.filter("model = 'tuned'")).orderBy("question_id").collect()
+    assert [(r.question, r.answer) for r in got] == [("one?", "y"), ("two?", "")]  # every question is listed
     line = spark.createDataFrame([("q", "a")], "question string, answer string").select(R.report_lines()).first()[0]
     assert line == "السؤال: q\nالجواب: a"
 
@@ -45,13 +45,22 @@ def test_compare_and_report(spark):
 def test_conversations_are_whole_and_in_order(spark):
     turns = spark.range(700).select(
         F.when(F.col("id") < 600, 1).otherwise(2).alias("conv_id"),
-        F.when(F.col("id") < 600, F.col("id")).otherwise(F.col("id") - 600).alias("turn"),
+        (F.when(F.col("id") < 600, F.col("id")).otherwise(F.col("id") - 600) * 1000).alias("turn"),
         F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id")).alias("text")).repartition(7)
-    rows = render_conversations(turns).orderBy("conv_id", "part").collect()
-    assert [(r.conv_id, r.part) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0)]
-    whole = "".join(r.chat for r in rows if r.conv_id == 1)
-    assert whole == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(600)) + "<|im_start|>assistant\n"
+    want = "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(600)) + "<|im_start|>assistant\n"
+    rows = render_conversations(turns).orderBy("conv_id").collect()
+    assert [(r.conv_id, r.part) for r in rows] == [(1, 0), (2, 0)] and rows[0].chat == want
+    parts = render_conversations(turns, turns_per_row=256).orderBy("conv_id", "part").collect()
+    assert [(r.conv_id, r.part, r.chat.count("<|im_end|>")) for r in parts] == [(1, 0, 256), (1, 1, 256), (1, 2, 88), (2, 0, 100)]
+    assert "".join(r.chat for r in parts if r.conv_id == 1) == want
     assert render_conversations(turns, generation_prompt=False).filter("conv_id = 2").first()["chat"].endswith("<|im_end|>\n")
+    assert "Join" not in render_conversations(turns)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_panel_prompt(spark):
+    got = spark.createDataFrame([("q?",)], "q string").select(panel_prompt(F.col("q"))).first()[0]
+    assert got == (f"<|im_start|>system\n{P.PANEL_HEAD}q?{P.PANEL_TAIL}<|im_end|>\n<|im_start|>user\nq?<|im_end|>\n"
+                   "<|im_start|>assistant\n")
 
 
 def test_render_messages(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tamhis import profiles as P
 from tamhis.operators.embedding import BatchEncoder, TfidfEncoder
-from tamhis.operators.nearest import nearest
+from tamhis.operators.nearest import left_out, nearest
 from tamhis.plans import retrieval as R
 
 
@@ -26,9 +26,9 @@ def brute_force(queries, docs, k):
     return want
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 25, 3000])  # broadcast; blocks
+@pytest.mark.parametrize("block_bytes", [1 << 25, 3000])  # one block; several
 @pytest.mark.parametrize("k", [1, 2, 5])
-def test_both_ways_equal_brute_force(spark, block_bytes, k):
+def test_any_block_size_equals_brute_force(spark, block_bytes, k):
     rng = np.random.default_rng(0)
     docs = rng.normal(size=(300, 8)).astype(np.float32)
     docs[50:150] = docs[50]  # a group of copies holds a third of the rows
@@ -53,6 +53,27 @@ def test_fewer_documents_than_k(spark, block_bytes):
     assert nearest(index, asked.limit(0), 3, block_bytes).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 25, 500])
+def test_unusable_vectors_leave_the_other_hits_alone(spark, block_bytes):
+    rng = np.random.default_rng(1)
+    docs, asked = rng.normal(size=(200, 4)).astype(np.float32), rng.normal(size=(6, 4)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(docs)]
+    bad = [(1000, [float("nan"), 0.0, 0.0, 0.0]), (1001, [float("inf"), 0.0, 0.0, 0.0]), (1002, [None, 0.0, 0.0, 0.0]),
+           (1003, [0.0, 0.0]), (1004, []), (1005, None)]
+    schema = "doc_id long, embedding array<float>"
+    index = spark.createDataFrame(rows[:90] + bad + rows[90:], schema).coalesce(2)
+    queries = spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in enumerate(asked)] + [(10, [float("nan")] * 4), (11, None), (12, [0.0, 0.1])],
+        "query_id long, embedding array<float>")
+    got = {}
+    for r in nearest(index, queries, 2, block_bytes).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.doc_id
+    want = brute_force(dict(enumerate(asked.astype(float))), dict(enumerate(docs.astype(float))), 2)
+    assert got.pop(12) == {1: 1003}  # a query meets the vectors of its own length
+    assert got == {q: {1: hits[0][1], 2: hits[1][1]} for q, hits in want.items()}
+    assert left_out(index).first()[0] == 5 and left_out(queries).first()[0] == 2
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 25, 100])
 def test_text_query_ids(spark, block_bytes):
     index = vectors(spark, "doc_id", [3, 4], [[0.0, 1.0], [1.0, 0.0]])
@@ -113,7 +134,47 @@ def test_prompts(spark):
                      "<|im_start|>assistant\n")
 
 
-def test_the_index_texts_are_not_shuffled(spark):
+def test_requests_of_one_id_keep_their_own_context(spark):
+    index = spark.createDataFrame([(1, "zero", [0.0]), (2, "five", [5.0])], "doc_id long, doc_text string, embedding array<float>")
+    requests = spark.createDataFrame([("a", 1, "m", [0.0]), ("b", 1, "m", [5.0]), ("c", 1, "m", None), ("d", 1, "m", [float("nan")])],
+                                     "request_id string, query_id long, message string, embedding array<float>")
+    got = {r.request_id: r.prompt for r in R.rag_prompts(requests, index, k=1).collect()}
+    assert "zero" in got["a"] and "five" not in got["a"] and "five" in got["b"] and "zero" not in got["b"]
+    plain = R.plain_prompts(requests).first()["prompt"]
+    assert got["c"] == got["d"] == plain
+
+
+def test_every_text_is_encoded_once(spark, tmp_path):
+    def make():
+        import os
+        import uuid
+
+        def model(texts):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as file:
+                file.write("\n".join(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    log = str(tmp_path)
+    records = spark.range(30).select(F.col("id").alias("row_id"), F.repeat(F.lit("q"), (F.col("id") + 1).cast("int")).alias("instruction"),
+                                     F.lit("").alias("input"), F.lit("a").alias("output"))
+    requests = spark.range(20).select(F.col("id").cast("string").alias("request_id"), F.repeat(F.lit("m"), (F.col("id") + 1).cast("int")).alias("message"))
+    encoder = BatchEncoder(make)
+    R.rag_prompts(encoder.encode(requests, "message"), R.build_index(records, encoder)).collect()
+    seen = [t for f in tmp_path.iterdir() for t in f.read_text().split("\n medical answer: a")[0:] if t.strip()]
+    lines = [t for f in tmp_path.iterdir() for t in f.read_text().split("\n") if t.startswith(("medical question", "m"))]
+    assert seen and len(lines) == 50 and len(set(lines)) == 50
+
+
+def test_dense_vectors_of_any_width(spark):
+    df = spark.createDataFrame([(i, f"w{i} w{i % 7}") for i in range(300)], "doc_id long, t string")
+    encoder = TfidfEncoder(20000).fit(df, "t")
+    rows = encoder.encode(df, "t").collect()
+    assert len(rows) == 300 and all(len(r.embedding) == 20000 and abs(sum(x * x for x in r.embedding) - 1) < 1e-9 for r in rows)
+
+
+def test_few_hits_do_not_shuffle_the_index_texts(spark):
     index = spark.range(1000).select(
         F.col("id").alias("doc_id"), F.lit("text").alias("doc_text"), F.array(F.col("id").cast("float")).alias("embedding"))
     queries = spark.createDataFrame([(1, [3.2])], "query_id long, embedding array<float>")

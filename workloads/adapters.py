@@ -17,7 +17,8 @@ def raw_from_documents(documents: DataFrame, *extra: Column) -> DataFrame:
     """Raw question/answer rows: the first line is the question, the rest the answer.
 
     French and Spanish rows fill the q_body/a_body pair and end in a signature, the others fill
-    question/reply and end in a rating line. A text of one line has no answer.
+    question/reply and end in a rating line. All rows have body counts. A text of one line has no answer; every
+    53rd row has no category.
     """
     body = F.col("lang").isin("fr", "es")
     first = F.substring_index("text", "\n", 1)
@@ -30,9 +31,9 @@ def raw_from_documents(documents: DataFrame, *extra: Column) -> DataFrame:
         F.col("doc_id").alias("row_id"),
         F.when(body, F.col("first")).alias("q_body"),
         F.when(body, signed).alias("a_body"),
-        F.col("source").alias("category"),
-        F.when(body, X.word_count(F.col("first"))).cast("double").alias("q_body_count"),
-        F.when(body, X.word_count(signed)).cast("double").alias("a_body_count"),
+        F.when(F.col("doc_id") % 53 != 0, F.col("source")).alias("category"),
+        X.word_count(F.col("first")).cast("double").alias("q_body_count"),
+        X.word_count(F.when(body, signed).otherwise(rated)).cast("double").alias("a_body_count"),
         F.when(~body, F.col("first")).alias("question"),
         F.when(~body, rated).alias("reply"),
         *extra,
@@ -88,8 +89,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests_from_turns(table(spark, sf_dir, "conversations"))
 
 
-def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, question, answer): user turns with the assistant turn after them."""
+def panel_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, question, answer): every user turn with the assistant turn after it, if there is one."""
     turns = table(spark, sf_dir, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     given = turns.filter("role = 'assistant'").select(
@@ -97,6 +98,11 @@ def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_panel(asked, given, ["conv_id", "turn"])
 
 
+def answered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, question, answer): user turns with the assistant turn after them."""
+    return panel_turns(spark, sf_dir).filter("answer <> ''")
+
+
 def answers_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, model, answer): two answers per question, from two stand-in models."""
     return (
@@ -114,9 +120,27 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_query_vectors(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a conversation get the vector of the same number, or none."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return df.withColumn("query_id", F.col("conv_id")).join(vectors, "query_id", "left")
+    """Requests get the vector numbered by their conversation and turn, if there is one: requests of a conversation
+    share their ``query_id`` but not their vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), "embedding")
+    turn = F.substring_index("request_id", "-", -1).cast("long")
+    asked = df.withColumns({"query_id": F.col("conv_id"), "vector_id": F.col("conv_id") * 3 + turn})
+    return asked.join(vectors, "vector_id", "left").drop("vector_id")
+
+
+def spoiled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, embedding): every 97th vector is spoiled in one of four ways."""
+    v, way = F.col("embedding"), F.floor(F.col("vec_id") / 97) % 4
+    middle = F.slice(v, 2, F.size(v) - 2)
+    first = F.array(v[0])
+
+    def ending(x):
+        return F.concat(first, middle, F.array(F.lit(x).cast("float")))
+
+    spoiled = (F.when(way == 0, ending(float("nan"))).when(way == 1, ending(float("inf"))).when(way == 2, ending(None))
+               .otherwise(F.concat(first, middle)))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 97 == 0, spoiled).otherwise(v).alias("embedding"))
 
 
 def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from tamhis import profiles as P
 from tamhis.functions.chat import ASSISTANT_TURN
+from tamhis.operators.distributions import POISSON_LIMITS
 from tamhis.profiles import LATIN
 
 
@@ -23,9 +24,9 @@ raw AS (
   SELECT doc_id AS row_id, lang,
          CASE WHEN body THEN first END AS q_body,
          CASE WHEN body THEN signed END AS a_body,
-         source AS category,
-         CASE WHEN body THEN len(regexp_extract_all(first, '\\S+'))::DOUBLE END AS q_body_count,
-         CASE WHEN body THEN len(regexp_extract_all(signed, '\\S+'))::DOUBLE END AS a_body_count,
+         source, CASE WHEN doc_id % 53 <> 0 THEN source END AS category,
+         len(regexp_extract_all(first, '\\S+'))::DOUBLE AS q_body_count,
+         len(regexp_extract_all(CASE WHEN body THEN signed ELSE rated END, '\\S+'))::DOUBLE AS a_body_count,
          CASE WHEN NOT body THEN first END AS question,
          CASE WHEN NOT body THEN rated END AS reply
   FROM pieces)"""
@@ -44,8 +45,9 @@ def words(c: str) -> str:
     return f"len(regexp_extract_all({c}, '\\S+'))"
 
 
-def normalized(c: str) -> str:
-    folded = f"translate({c}, {lit(LATIN.fold_from)}, {lit(LATIN.fold_to)})"
+def normalized(c: str, marks: str = "") -> str:
+    bare = f"regexp_replace({c}, {lit(marks)}, '', 'g')" if marks else c
+    folded = f"translate({bare}, {lit(LATIN.fold_from)}, {lit(LATIN.fold_to)})"
     return f"""(
       SELECT coalesce(string_agg(l[i], '' ORDER BY i), '')
       FROM (SELECT string_split({folded}, '') AS l) AS chars, unnest(range(1, len(l) + 1)) AS t(i)
@@ -54,9 +56,10 @@ def normalized(c: str) -> str:
 
 
 def any_of(c: str, needles) -> str:
-    return "(" + " OR ".join(f"contains({c}, {lit(n)})" for n in needles) + ")"
+    return "FALSE" if not needles else "(" + " OR ".join(f"contains({c}, {lit(n)})" for n in needles) + ")"
 
 
+# The four cleaning patterns in this dialect.
 def no_urls(c: str) -> str:
     return rf"regexp_replace({c}, 'http\S+|www\S+', '', 'g')"
 
@@ -85,21 +88,28 @@ def cleaned(c: str) -> str:
     return one_space(no_signature(no_number_tail(no_emails(no_urls(c)))))
 
 
-GATES = QA + f""",
-normal AS (SELECT *, {normalized('q')} AS nq FROM qa),
+def gates(personal=LATIN.personal, marks: str = "") -> str:
+    return QA + f""",
+normal AS (SELECT *, {normalized('q', marks)} AS nq FROM qa),
 gates AS (
   SELECT row_id, q, a, q <> '' AND a <> '' AS non_empty,
          {words('a')} >= 15 AND {words('q')} >= 3 AS long_enough,
-         {any_of('nq', LATIN.general)} AS general, {any_of('nq', LATIN.personal)} AS personal
+         {any_of('nq', LATIN.general)} AS general, {any_of('nq', personal)} AS personal
   FROM normal)"""
 
-CURATED = GATES + f""",
+
+def curated(gated: str) -> str:
+    return gated + f""",
 clean AS (
   SELECT row_id, {cleaned('q')} AS instruction, '' AS input, {cleaned('a')} AS output
   FROM gates WHERE non_empty AND long_enough AND general AND NOT personal),
 curated AS (
   SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY instruction ORDER BY row_id) = 1)"""
 
+
+GATES, MARKS = gates(), "[.,]"
+CURATED = curated(GATES)
+
 NOISY = """
 noisy AS (
   SELECT doc_id, 'see http://x.example/' || doc_id || ' or www.x.example' || chr(10) || text || ' ask me@' || source
@@ -140,6 +150,11 @@ answered AS (
   SELECT u.conv_id, u.turn, u.text AS question, s.text AS answer
   FROM conversations u JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = u.turn + 1
   WHERE u.role = 'user' AND s.role = 'assistant')"""
+PANEL = """
+panel AS (
+  SELECT u.conv_id, u.turn, u.text AS question, coalesce(s.text, '') AS answer
+  FROM conversations u LEFT JOIN conversations s ON s.conv_id = u.conv_id AND s.turn = u.turn + 1 AND s.role = 'assistant'
+  WHERE u.role = 'user')"""
 
 LENGTHS = RAW + f""",
 lengths AS (
@@ -173,6 +188,10 @@ stats AS (
   FROM vals GROUP BY {key})"""
 
 
+DESCRIBED = """SELECT {keys}, cnt AS count, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(q1, 6) AS q1,
+           round(median, 6) AS median, round(q3, 6) AS q3, round(hi, 6) AS max FROM stats"""
+
+
 def boxplot(key: str) -> str:
     return f"""
 fenced AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS hf FROM stats)
@@ -228,7 +247,7 @@ SELECT word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY word ORDER BY
 
 
 def correlations(columns) -> str:
-    return f"WITH {RAW}, frame AS (SELECT q_body_count, a_body_count, length(question) AS question_len, length(reply) AS reply_len FROM raw)\n" + \
+    return f"WITH {RAW}, frame AS (SELECT q_body_count, a_body_count, length(question) AS question_len, length(reply) AS reply_len FROM raw WHERE reply IS NOT NULL)\n" + \
         "\nUNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS r FROM frame"
                             for x in columns for y in columns)
 
@@ -258,26 +277,42 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || {key}), {key}) AS
 TEST_ROW = "CASE WHEN r <= ceil(n * 0.05::DOUBLE) THEN 'test' ELSE 'train' END AS split"
 
 
+FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
 def nearest(index: str, queries: str) -> str:
     return f"""
 pairs AS (
   SELECT q.query_id, d.doc_id, list_distance(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS distance
-  FROM {queries} q, {index} d),
+  FROM (SELECT * FROM {queries} WHERE {FINITE}) q JOIN (SELECT * FROM {index} WHERE {FINITE}) d ON len(q.embedding) = len(d.embedding)),
 hits AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM pairs QUALIFY rank <= 2)"""
 
 
+SPOILED = """
+items AS (
+  SELECT vec_id AS doc_id, CASE
+    WHEN vec_id % 97 <> 0 THEN embedding
+    WHEN vec_id // 97 % 4 = 0 THEN list_append(embedding[:-2], 'nan'::FLOAT)
+    WHEN vec_id // 97 % 4 = 1 THEN list_append(embedding[:-2], 'inf'::FLOAT)
+    WHEN vec_id // 97 % 4 = 2 THEN list_append(embedding[:-2], NULL)
+    ELSE embedding[:-2] END AS embedding
+  FROM embeddings)"""
+
 PROMPTED = REQUESTS + f""",
 idx AS (SELECT doc_id, text AS doc_text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
-asked AS (SELECT *, conv_id AS query_id FROM validated WHERE status = 200),
-queries AS (SELECT DISTINCT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT conv_id FROM asked)),
+asked AS (
+  SELECT v.*, embedding FROM validated v
+  LEFT JOIN embeddings ON vec_id = conv_id * 3 + split_part(request_id, '-', 2)::BIGINT WHERE status = 200),
+queries AS (SELECT request_id AS query_id, embedding FROM asked),
 {nearest('idx', 'queries')},
 contexts AS (
-  SELECT query_id, string_agg(doc_text, chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN idx USING (doc_id) GROUP BY query_id),
+  SELECT query_id AS request_id, string_agg(doc_text, chr(10) || chr(10) ORDER BY rank) AS context
+  FROM hits JOIN idx USING (doc_id) GROUP BY query_id),
 prompted AS (
-  SELECT request_id, status, error, {prompt(RAG_SYSTEM, rag_user('message', "coalesce(context, '')"))} AS prompt
-  FROM asked LEFT JOIN contexts USING (query_id))"""
-
+  SELECT request_id, status, error, CASE WHEN embedding IS NULL THEN {prompt(lit(P.SYSTEM_PROMPT), 'message')}
+         ELSE {prompt(RAG_SYSTEM, rag_user('message', "coalesce(context, '')"))} END AS prompt
+  FROM asked LEFT JOIN contexts USING (request_id))"""
 
 
 def buckets(source: str, key: str, column: str, name: str) -> str:
@@ -340,9 +375,20 @@ ORACLE_SQL = {
     "curate_qa": f"WITH {CURATED} SELECT row_id, instruction, input, output FROM curated",
     "scan_raw": f"WITH {RAW} SELECT row_id, {RAW_COLUMNS} FROM raw",
     "head_n": f"WITH {RAW} SELECT row_id, substr(coalesce(question, q_body), 1, 300) AS preview FROM raw ORDER BY row_id LIMIT 5",
-    "qa_report": f"WITH {ANSWERED} SELECT conv_id, turn, {lit(P.REPORT_QUESTION)} || question || chr(10) || {lit(P.REPORT_ANSWER)} || answer AS lines FROM answered",
+    "qa_report": f"WITH {PANEL} SELECT conv_id, turn, {lit(P.REPORT_QUESTION)} || question || chr(10) || {lit(P.REPORT_ANSWER)} || answer AS lines FROM panel",
+    "panel_prompts": f"""WITH {PANEL} SELECT conv_id, turn,
+       {prompt(f"{lit(P.PANEL_HEAD)} || question || {lit(P.PANEL_TAIL)}", 'question')} AS prompt FROM panel""",
+    "roundtrip_raw": f"WITH {RAW} SELECT row_id, {RAW_COLUMNS} FROM raw",
+    "roundtrip_instructions": f"WITH {RECORDS} SELECT instruction, input, output FROM records",
+    "roundtrip_tolerant": f"WITH {RECORDS} SELECT instruction, input, output FROM records WHERE row_id % 7 <> 0",
+    "roundtrip_csv": "SELECT text FROM documents",
+    "roundtrip_index": """SELECT doc_id, text AS doc_text, embedding[1]::DOUBLE AS first, len(embedding) AS dim
+       FROM documents JOIN embeddings ON vec_id = doc_id""",
+    "roundtrip_training": f"WITH {CURATED}, {SPLIT.format(key='row_id', table='curated')} SELECT row_id, {CHATML} AS text, {TEST_ROW} FROM ranked",
+    "batch_encoder": """SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, chr(10), '')) AS n_breaks
+       FROM documents""",
     "coalesce_qa": f"""WITH {RAW}, more AS (
-      SELECT *, CASE WHEN lang = 'de' THEN 'Q: ' || category END AS instruction, CASE WHEN lang = 'de' THEN '' END AS output FROM raw)
+      SELECT *, CASE WHEN lang = 'de' THEN 'Q: ' || source END AS instruction, CASE WHEN lang = 'de' THEN '' END AS output FROM raw)
     SELECT row_id, {first_of('instruction', 'question', 'q_body')} AS q, {first_of('output', 'reply', 'a_body')} AS a FROM more""",
     "length_gate": f"WITH {QA} SELECT row_id, q, a FROM qa WHERE q <> '' AND a <> '' AND {words('a')} >= 15 AND {words('q')} >= 3",
     "keyword_gate": f"WITH {GATES} SELECT row_id, q FROM gates WHERE general AND NOT personal",
@@ -363,6 +409,12 @@ ORACLE_SQL = {
     "chat_render": f"""SELECT conv_id, 0::BIGINT AS part,
        string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || {lit(ASSISTANT_TURN)} AS chat
      FROM conversations GROUP BY conv_id""",
+    "chat_render_parts": f"""WITH numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r, count(*) OVER (PARTITION BY conv_id) AS total
+      FROM conversations)
+    SELECT conv_id, r // 2 AS part, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)
+           || CASE WHEN r // 2 = (any_value(total) - 1) // 2 THEN {lit(ASSISTANT_TURN)} ELSE '' END AS chat
+    FROM numbered GROUP BY conv_id, r // 2""",
     "build_rag_docs": f"WITH {RECORDS}, {DOCS.format(records='records')} SELECT doc_id, doc_text FROM docs",
     "prompt_messages": f"""WITH {ANSWERED}, both_kinds AS (
       SELECT conv_id, turn, FALSE AS rag, {lit(P.SYSTEM_PROMPT)} AS s, question AS u FROM answered
@@ -380,15 +432,17 @@ ORACLE_SQL = {
     "duplicate_rows": f"""WITH {RAW}, g AS (SELECT count(*) AS c FROM raw GROUP BY {RAW_COLUMNS})
     SELECT sum(c)::BIGINT AS n_rows, count(*) AS n_distinct, (sum(c) - count(*))::BIGINT AS duplicates FROM g""",
     "describe_numeric": f"""WITH {RAW}, vals AS (
-      SELECT 'q_body_count' AS series, q_body_count AS value FROM raw WHERE q_body_count IS NOT NULL
-      UNION ALL SELECT 'a_body_count', a_body_count FROM raw WHERE a_body_count IS NOT NULL
-      UNION ALL SELECT 'question_word_count', {words('question')}::DOUBLE FROM raw WHERE question IS NOT NULL
+      SELECT 'q_body_count' AS series, q_body_count AS value FROM raw WHERE reply IS NOT NULL
+      UNION ALL SELECT 'a_body_count', a_body_count FROM raw WHERE reply IS NOT NULL
+      UNION ALL SELECT 'question_word_count', {words('question')}::DOUBLE FROM raw WHERE reply IS NOT NULL
       UNION ALL SELECT 'answer_word_count', {words('reply')}::DOUBLE FROM raw WHERE reply IS NOT NULL), {stats('series')}
-    SELECT series, cnt AS count, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(q1, 6) AS q1,
-           round(median, 6) AS median, round(q3, 6) AS q3, round(hi, 6) AS max FROM stats""",
-    "category_counts": f"WITH {RAW} SELECT coalesce(CASE WHEN reply IS NOT NULL THEN category END, 'None') AS category, count(*) AS n FROM raw GROUP BY 1",
+    {DESCRIBED.format(keys='series')}""",
+    "describe_lengths": f"WITH {NUMBERS}, {stats('series')} {DESCRIBED.format(keys='series')}",
+    "describe_events": f"""WITH vals AS (SELECT event_type, 'value' AS series, value FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+      {stats('event_type, series')} {DESCRIBED.format(keys='event_type, series')}""",
+    "category_counts": f"WITH {RAW} SELECT coalesce(category, 'None') AS category, count(*) AS n FROM raw WHERE reply IS NOT NULL GROUP BY 1",
     "category_value_counts": f"WITH {RAW} SELECT category, count(*) AS n FROM raw WHERE reply IS NOT NULL AND category IS NOT NULL GROUP BY 1 ORDER BY n DESC, category",
-    "category_share": f"""WITH {RAW}, c AS (SELECT category, count(*) AS n FROM raw WHERE category IS NOT NULL GROUP BY 1),
+    "category_share": f"""WITH {RAW}, c AS (SELECT category, count(*) AS n FROM raw WHERE reply IS NOT NULL AND category IS NOT NULL GROUP BY 1),
       r AS (SELECT *, row_number() OVER (ORDER BY n DESC, category) > 6 AS is_rest FROM c),
       s AS (SELECT CASE WHEN is_rest THEN 'Other' ELSE category END AS label, is_rest, sum(n)::BIGINT AS n FROM r GROUP BY 1, 2)
     SELECT label, is_rest, n, round(100.0::DOUBLE * n / (SELECT sum(n)::BIGINT FROM c), 1) AS percent FROM s""",
@@ -409,6 +463,15 @@ ORACLE_SQL = {
     "top_category_mean_ci": f"""WITH {TOP6} SELECT category, count(reply_len) AS n, round(avg(reply_len), 6) AS mean,
        round(avg(reply_len) - 1.96::DOUBLE * stddev_samp(reply_len) / sqrt(count(reply_len)), 6) AS ci_low,
        round(avg(reply_len) + 1.96::DOUBLE * stddev_samp(reply_len) / sqrt(count(reply_len)), 6) AS ci_high FROM top6 GROUP BY category""",
+    "top_category_mean_bootstrap": f"""WITH {TOP6}, sums AS (
+      SELECT category, ('0x' || md5('42:' || row_id)[1:8])::BIGINT % 100 AS bucket, count(*) AS n, sum(reply_len)::DOUBLE AS s
+      FROM top6 WHERE reply_len IS NOT NULL GROUP BY ALL),
+    drawn AS (SELECT *, ('0x' || md5('42:' || draw || ':' || bucket)[1:8])::BIGINT AS u FROM sums, range(1000) AS t(draw)),
+    weighted AS (SELECT *, len(list_filter({POISSON_LIMITS}, lambda x: u >= x)) AS w FROM drawn),
+    means AS (SELECT category, draw, sum(w * s) / nullif(sum(w * n), 0) AS m FROM weighted GROUP BY ALL),
+    whole AS (SELECT category, sum(n)::BIGINT AS n, sum(s) / sum(n) AS mean FROM sums GROUP BY category)
+    SELECT category, any_value(n) AS n, round(any_value(mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low,
+           round(quantile_cont(m, 0.975), 6) AS ci_high FROM means JOIN whole USING (category) GROUP BY category""",
     "length_kde": f"""WITH {CHARS}, {stats('series')}, {kde(200, 3.0, 'overlap')}, {kde(200, 0.0, 'overlay')}
     SELECT 'overlap' AS curve, series, point, round(x, 6) AS x, round(density, 9) AS density FROM overlap
     UNION ALL SELECT 'histogram', series, point, round(x, 6), round(density, 9) FROM overlay""",
@@ -430,7 +493,11 @@ ORACLE_SQL = {
        count(DISTINCT CASE WHEN non_empty AND long_enough AND general AND NOT personal THEN {cleaned('q')} END) AS n_unique FROM gates""",
     "split_95_5": f"WITH {SPLIT.format(key='doc_id', table='documents')} SELECT doc_id, {TEST_ROW} FROM ranked",
     "training_set": f"WITH {CURATED}, {SPLIT.format(key='row_id', table='curated')} SELECT row_id, {CHATML} AS text, {TEST_ROW} FROM ranked",
-    "knn_top2": f"""WITH items AS (SELECT vec_id AS doc_id, embedding FROM embeddings),
+    "split_sizes": f"""WITH {CURATED}, {SPLIT.format(key='row_id', table='curated')}, parts AS (SELECT {TEST_ROW} FROM ranked)
+    SELECT split, count(*) AS n FROM parts GROUP BY split""",
+    "curate_marks": f"WITH {curated(gates(personal=(), marks=MARKS))} SELECT row_id, instruction, input, output FROM curated",
+    "normalize_marks": text_rule(normalized("text", MARKS)),
+    "knn_top2": f"""WITH {SPOILED},
     parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
     sums AS (SELECT label, pos, avg(v) AS v FROM parts GROUP BY ALL),
     queries AS (SELECT label::BIGINT AS query_id, list(v ORDER BY pos) AS embedding FROM sums GROUP BY label), {nearest('items', 'queries')}

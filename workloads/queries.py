@@ -1,6 +1,8 @@
 """One callable per registered query: (spark, sf_dir) -> DataFrame."""
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamhis import schemas
@@ -11,7 +13,7 @@ from tamhis.operators import curation as C
 from tamhis.operators import distributions as D
 from tamhis.operators import requests as R
 from tamhis.operators.chat import render_conversations
-from tamhis.operators.embedding import TfidfEncoder
+from tamhis.operators.embedding import BatchEncoder, TfidfEncoder
 from tamhis.operators.nearest import nearest
 from tamhis.operators.split import split_exact
 from tamhis.plans import curate as PC
@@ -19,12 +21,16 @@ from tamhis.plans import profile as PP
 from tamhis.plans import retrieval as PR
 from tamhis.plans import training as PT
 from tamhis.profiles import LATIN
-from tamhis.sources.readers import head
+from tamhis.sources.readers import head, read_index, read_jsonl_strict, read_jsonl_tolerant, read_raw_qa, read_training_csv
+from tamhis.sources.writers import write_index, write_instructions, write_training
 from tamhis.streaming.curation import curate_stream
 from tamhis.streaming.requests import prompt_stream
 from tamhis.workspace import fresh_path, written
 from workloads import adapters as A
 
+#: A profile with marks to strip and without personal keywords.
+MARKS = replace(LATIN, name="marks", personal=(), strip_marks="[.,]")
+
 
 def _rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
@@ -55,10 +61,68 @@ def head_n(spark, sf_dir):
 
 
 def qa_report(spark, sf_dir):
-    panel = A.answered_turns(spark, sf_dir)
+    panel = A.panel_turns(spark, sf_dir)
     return panel.select("conv_id", "turn", R.report_lines().alias("lines"))
 
 
+def panel_prompts(spark, sf_dir):
+    return A.panel_turns(spark, sf_dir).select("conv_id", "turn", chat.panel_prompt(F.col("question")).alias("prompt"))
+
+
+# -- sources and sinks, each written to the shared folder and read back --------------------------
+
+def roundtrip_raw(spark, sf_dir):
+    path = fresh_path(spark, "raw")
+    A.raw_qa(spark, sf_dir).withColumnRenamed("row_id", "key").write.json(path, ignoreNullFields=False)
+    return read_raw_qa(spark, path, "json", row_id="key").select("row_id", *schemas.RAW_QA.names)
+
+
+def roundtrip_instructions(spark, sf_dir):
+    path = fresh_path(spark, "instructions")
+    write_instructions(A.records(spark, sf_dir), path)
+    return read_jsonl_strict(spark, path)
+
+
+def roundtrip_tolerant(spark, sf_dir):
+    """Lines of which every seventh is spoiled in one of five ways."""
+    path = fresh_path(spark, "lines")
+    good = F.to_json(F.struct(*schemas.INSTRUCTION.names))
+    way = F.floor(F.col("row_id") / 7) % 5
+    bad = (F.when(way == 0, F.lit("{'instruction': 'x'}")).when(way == 1, F.concat(good, F.lit(" junk")))
+           .when(way == 2, F.concat(good, good)).when(way == 3, F.concat(F.lit("["), good, F.lit("]")))
+           .otherwise(F.lit("\u00a0")))
+    A.records(spark, sf_dir).select(F.when(F.col("row_id") % 7 == 0, bad).otherwise(good).alias("value")).write.text(path)
+    return read_jsonl_tolerant(spark, path)
+
+
+def roundtrip_csv(spark, sf_dir):
+    path = fresh_path(spark, "csv")
+    texts = A.table(spark, sf_dir, "documents").select("text")
+    texts.write.options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+    return read_training_csv(spark, path)
+
+
+def roundtrip_index(spark, sf_dir):
+    path = fresh_path(spark, "index")
+    write_index(A.index(spark, sf_dir), path)
+    return read_index(spark, path).select("doc_id", "doc_text", F.col("embedding")[0].cast("double").alias("first"),
+                                          F.size("embedding").cast("long").alias("dim"))
+
+
+def roundtrip_training(spark, sf_dir):
+    path = fresh_path(spark, "training")
+    write_training(training_set(spark, sf_dir), path)
+    return spark.read.schema("row_id long, text string, split string").json(path)
+
+
+def batch_encoder(spark, sf_dir):
+    """Vectors of a stand-in model: characters and line breaks."""
+    encoder = BatchEncoder(lambda: lambda texts: [[len(t), t.count("\n")] for t in texts])
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoder.encode(docs, "text").select(
+        "doc_id", F.col("embedding")[0].cast("long").alias("n_chars"), F.col("embedding")[1].cast("long").alias("n_breaks"))
+
+
 # -- gates -------------------------------------------------------------------------------------
 
 def coalesce_qa(spark, sf_dir):
@@ -123,6 +187,10 @@ def chat_render(spark, sf_dir):
     return render_conversations(A.table(spark, sf_dir, "conversations"))
 
 
+def chat_render_parts(spark, sf_dir):
+    return render_conversations(A.table(spark, sf_dir, "conversations"), turns_per_row=2)
+
+
 def build_rag_docs(spark, sf_dir):
     return PR.documents(A.records(spark, sf_dir))
 
@@ -171,30 +239,30 @@ def duplicate_rows(spark, sf_dir):
 
 
 def describe_numeric(spark, sf_dir):
-    raw = A.raw_qa(spark, sf_dir)
-    measures = raw.select(
-        "q_body_count", "a_body_count",
-        X.word_count(F.col("question")).alias("question_word_count"),
-        X.word_count(F.col("reply")).alias("answer_word_count"),
-    )
-    return _rounded(D.describe(D.value_counts(measures, {c: F.col(c) for c in measures.columns})))
+    return _rounded(PP.body_counts(A.raw_qa(spark, sf_dir)))
 
 
-def category_counts(spark, sf_dir):
-    labelled = _category_with_gaps(spark, sf_dir)
-    return N.category_counts(labelled, none_label="None")
+def describe_lengths(spark, sf_dir):
+    return _rounded(D.describe(PP.numeric_counts(_lengths(spark, sf_dir))))
 
 
-def category_value_counts(spark, sf_dir):
-    return N.category_counts(_category_with_gaps(spark, sf_dir)).orderBy(F.desc("n"), "category")
+def describe_events(spark, sf_dir):
+    """A continuous column: nearly every value is different."""
+    events = A.table(spark, sf_dir, "events")
+    vc = D.value_counts(events, {"value": F.col("value")}, ["event_type"])
+    return _rounded(D.describe(vc, ["event_type", "series"]))
 
 
-def _category_with_gaps(spark, sf_dir):
-    return A.raw_qa(spark, sf_dir).select(F.when(F.col("reply").isNotNull(), F.col("category")).alias("category"))
+def category_counts(spark, sf_dir):
+    return PP.categories(A.raw_qa(spark, sf_dir))
+
+
+def category_value_counts(spark, sf_dir):
+    return N.category_counts(PP.answered(A.raw_qa(spark, sf_dir))).orderBy(F.desc("n"), "category")
 
 
 def category_share(spark, sf_dir):
-    return N.category_share(A.raw_qa(spark, sf_dir))
+    return N.category_share(PP.answered(A.raw_qa(spark, sf_dir)))
 
 
 def top_words_answers(spark, sf_dir):
@@ -206,10 +274,7 @@ def top_words_questions(spark, sf_dir):
 
 
 def corr_matrix(spark, sf_dir):
-    frame = A.raw_qa(spark, sf_dir).select(
-        "q_body_count", "a_body_count",
-        X.char_count(F.col("question")).alias("question_len"), X.char_count(F.col("reply")).alias("reply_len"))
-    return _rounded(N.correlations(frame, frame.columns))
+    return _rounded(PP.correlations(A.raw_qa(spark, sf_dir)))
 
 
 def length_histogram(spark, sf_dir):
@@ -220,15 +285,9 @@ def boxplot_overall(spark, sf_dir):
     return _rounded(D.boxplot(PP.char_lengths(_lengths(spark, sf_dir))))
 
 
-def _top_category_counts(spark, sf_dir, label, column):
-    """Value counts of a measure per top category, stored because the summaries read them repeatedly."""
-    top = N.in_top_categories(_lengths(spark, sf_dir))
-    return written(D.value_counts(top, {label: F.col(column)}, ["category"]), "value-counts")
-
-
 def top_category_boxplot(spark, sf_dir):
-    vc = _top_category_counts(spark, sf_dir, "Question", "question_len")
-    return _rounded(D.boxplot(vc, ["category"]))
+    # stored because the summaries read it repeatedly
+    return _rounded(D.boxplot(written(PP.top_category_counts(_lengths(spark, sf_dir)), "value-counts"), ["category"]))
 
 
 def top_category_mean_ci(spark, sf_dir):
@@ -236,8 +295,8 @@ def top_category_mean_ci(spark, sf_dir):
 
 
 def top_category_mean_bootstrap(spark, sf_dir):
-    vc = _top_category_counts(spark, sf_dir, "Answer", "reply_len")
-    return _rounded(D.mean_interval_bootstrap(vc, "category"))
+    top = N.in_top_categories(_lengths(spark, sf_dir))
+    return _rounded(D.mean_interval_bootstrap(top, "reply_len", "category", "row_id"))
 
 
 def length_kde(spark, sf_dir):
@@ -294,9 +353,22 @@ def training_set(spark, sf_dir):
     return PT.training_set(written(curate_qa(spark, sf_dir), "curated"))
 
 
+def split_sizes(spark, sf_dir):
+    return PT.split_sizes(training_set(spark, sf_dir))
+
+
+def curate_marks(spark, sf_dir):
+    """Curation with a profile that strips marks and names no personal keyword."""
+    return PC.curate(A.raw_qa(spark, sf_dir), MARKS)
+
+
+def normalize_marks(spark, sf_dir):
+    return A.noisy_text(spark, sf_dir).select("doc_id", X.normalize(F.col("text"), MARKS).alias("text"))
+
+
 def knn_top2(spark, sf_dir):
-    """The two nearest vectors to the mean vector of each label."""
-    vectors = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    """The two nearest vectors to the mean vector of each label, among vectors of which some are unusable."""
+    vectors = A.spoiled_vectors(spark, sf_dir)
     return _rounded(nearest(vectors, A.label_means(spark, sf_dir), 2).withColumn("rank", F.col("rank").cast("long")))
 
 
@@ -308,10 +380,10 @@ def rag_prompts(spark, sf_dir):
 
 def tfidf_embed(spark, sf_dir):
     """Non-zero weights of the document vectors."""
-    docs = PR.documents(A.records(spark, sf_dir))
-    vectors = TfidfEncoder().fit(docs, "doc_text").encode(docs, "doc_text")
-    # outer: a plain posexplode adds a filter on the array's size, which would run the encoder twice
-    weights = vectors.select("doc_id", F.posexplode_outer("embedding").alias("bucket", "weight")).filter("weight <> 0")
+    encoder = TfidfEncoder()
+    counts = written(encoder.counts(PR.documents(A.records(spark, sf_dir)), "doc_text").select("doc_id", "tf"), "tf")
+    vectors = encoder.fit_counts(counts).weights(counts)
+    weights = vectors.select("doc_id", F.inline("weights")).filter("weight <> 0")
     return _rounded(weights.withColumn("bucket", F.col("bucket").cast("long")))
 
 
@@ -319,9 +391,9 @@ def tfidf_rag_prompts(spark, sf_dir):
     """Curated documents, embedded and indexed; prompts for all accepted requests."""
     curated = written(curate_qa(spark, sf_dir), "curated")
     encoder = TfidfEncoder().fit(PR.documents(curated), "doc_text")
-    index = written(PR.build_index(curated, encoder), "index")
+    index = PR.build_index(curated, encoder)
     asked = R.validate_requests(A.requests(spark, sf_dir)).filter("status = 200")
-    asked = asked.select("request_id", F.col("request_id").alias("query_id"), "message")
+    asked = asked.select("request_id", "message")
     return PR.rag_prompts(encoder.encode(asked, "message"), index).select("request_id", "prompt")
 
 
@@ -353,6 +425,14 @@ QUERIES = {
     "scan_raw": scan_raw,
     "head_n": head_n,
     "qa_report": qa_report,
+    "panel_prompts": panel_prompts,
+    "roundtrip_raw": roundtrip_raw,
+    "roundtrip_instructions": roundtrip_instructions,
+    "roundtrip_tolerant": roundtrip_tolerant,
+    "roundtrip_csv": roundtrip_csv,
+    "roundtrip_index": roundtrip_index,
+    "roundtrip_training": roundtrip_training,
+    "batch_encoder": batch_encoder,
     "coalesce_qa": coalesce_qa,
     "length_gate": length_gate,
     "keyword_gate": keyword_gate,
@@ -370,6 +450,7 @@ QUERIES = {
     "template_prompt": template_prompt,
     "chatml_records": chatml_records,
     "chat_render": chat_render,
+    "chat_render_parts": chat_render_parts,
     "build_rag_docs": build_rag_docs,
     "prompt_messages": prompt_messages,
     "validate_requests": validate_requests,
@@ -378,6 +459,8 @@ QUERIES = {
     "column_profile": column_profile,
     "duplicate_rows": duplicate_rows,
     "describe_numeric": describe_numeric,
+    "describe_lengths": describe_lengths,
+    "describe_events": describe_events,
     "category_counts": category_counts,
     "category_value_counts": category_value_counts,
     "category_share": category_share,
@@ -400,6 +483,9 @@ QUERIES = {
     "curation_funnel": curation_funnel,
     "split_95_5": split_95_5,
     "training_set": training_set,
+    "split_sizes": split_sizes,
+    "curate_marks": curate_marks,
+    "normalize_marks": normalize_marks,
     "knn_top2": knn_top2,
     "rag_prompts": rag_prompts,
     "tfidf_embed": tfidf_embed,
