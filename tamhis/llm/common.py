@@ -79,7 +79,7 @@ def map_texts(docs: DataFrame, text: str, keep: Sequence[str], out: Sequence[tup
 
 
 _ARROW = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BooleanType: pa.bool_(),
-          T.IntegerType: pa.int32()}
+          T.IntegerType: pa.int32(), T.BinaryType: pa.binary()}
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, seed: int) -> DataFrame:

@@ -16,6 +16,7 @@ of bounded text; each shard asks for the words and n-grams that it holds, and ge
 """
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import col, text_slices
+from tamhis.llm.common import col, map_texts, text_slices
 from tamhis.workspace import written
 
 #: Words that are classes of their own.
@@ -167,14 +168,15 @@ class Automaton:
         a, b = pairs >> 16 & 0xFFFF, pairs & 0xFFFF
         m1, m2 = PRIORS[1], PRIORS[2]
         p2 = (pair_counts + m1 * class_probs[b]) / (class_counts[a] + m1)
-        inner = np.searchsorted(pairs, _PAIR | triples >> 16 & 0xFFFFFFFF)
-        outer = np.searchsorted(pairs, _PAIR | triples & 0xFFFFFFFF)
-        p3 = (triple_counts + m2 * p2[outer]) / (pair_counts[inner] + m2)
         self.root = np.log10(class_probs)
-        self.pair_weight, self.triple_weight = np.log10(p2), np.log10(p3)
-        del p3, inner
-        self.pair_state = 1 + self.classes + np.arange(len(pairs))
-        self.triple_state = self.pair_state[outer] if len(outer) else outer
+        self.pair_weight, self.pair_state = np.log10(p2), 1 + self.classes + np.arange(len(pairs))
+        self.triple_weight, self.triple_state = np.empty(len(triples)), np.empty(len(triples), np.int32)
+        for k in range(0, len(triples), 1 << 18):  # in pieces, for the sake of memory
+            some = slice(k, k + (1 << 18))
+            inner = np.searchsorted(pairs, _PAIR | triples[some] >> 16 & 0xFFFFFFFF)
+            outer = np.searchsorted(pairs, _PAIR | triples[some] & 0xFFFFFFFF)
+            self.triple_weight[some] = np.log10((triple_counts[some] + m2 * p2[outer]) / (pair_counts[inner] + m2))
+            self.triple_state[some] = self.pair_state[outer]
         one, two = np.log10(m1 / (class_counts + m1)), np.log10(m2 / (pair_counts + m2))
         self.fail_weight = np.concatenate([[0.0], one, two])
         self.fail_state = np.concatenate([np.zeros(1 + self.classes, np.int64), 1 + b])
@@ -270,7 +272,9 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
         T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [
         T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
     scorer = _scorer(number, counts, probs, int(total), int(distinct), out.names)
-    return rows.select("shard", "key", "text").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(scorer, out)
+    packed = map_texts(rows, "text", ["shard", "key"], [("packed", T.BinaryType())],
+                       lambda: lambda found: [[zlib.compress(t or b"", 1) for t in found]])
+    return packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(scorer, out)
 
 
 def _table(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,8 +300,8 @@ def _scorer(number, counts, probs, total, distinct, names):
         known, size, classes = {}, np.empty(0), np.empty(0, np.int64)
         end_base = math.log10((counts[END] + 0.5) / scale)
         columns = [[] for _ in names[1:]]
-        for part in (p for b in texts.select(["key", "text"]).to_batches() for p in text_slices(b, 1)):
-            found = [words_of(t) for t in part.column(1).to_pylist()]
+        for part in (p for b in texts.select(["key", "packed"]).to_batches() for p in text_slices(b, 1)):
+            found = [words_of(zlib.decompress(t)) for t in part.column(1).to_pylist()]
             if len(known) > WORDS_HELD:
                 known, size, classes = {}, size[:0], classes[:0]
             new = list(set().union(*found).difference(known))
