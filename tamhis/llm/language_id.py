@@ -126,29 +126,28 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMod
 
 
 def _keyed(spelled: DataFrame, names) -> DataFrame:
-    """(key, gram, counts): the looked-up form of every spelling (gram 0) and its n-grams (1)."""
+    """(key, gram, counts): the looked-up form of every spelling (gram 0) and its n-grams (1), summed up per batch."""
+    def rows(keys, kind, counts):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.string()), pa.array(np.full(len(keys), kind)), *[pa.array(c) for c in counts.T.copy()]],
+            ["key", "gram", *names])
+
     def run(batches):
         for batch in batches:
             counts = np.stack([np.asarray(c, np.int64) for c in batch.columns[1:]], axis=1)
-            sums = ({}, {})
-            for word, row in zip(batch.column(0).to_pylist(), counts):
-                key = word_key(word)
-                if not key:
-                    continue
-                sums[0][key] = sums[0][key] + row if key in sums[0] else row
-                for n in range(1, min(LONGEST_GRAM, len(key) + 2) + 1):
-                    for g in grams(key, n):
-                        if g in sums[1]:
-                            sums[1][g] = sums[1][g] + row
-                        else:
-                            sums[1][g] = row
-            keys = [*sums[0], *sums[1]]
+            keys = [word_key(w) for w in batch.column(0).to_pylist()]
+            kept = np.array([i for i, k in enumerate(keys) if k], np.int64)
+            keys, counts = [k for k in keys if k], counts[kept]
+            number, ids, sizes = {}, [], []
+            for key in keys:
+                own = [g for n in range(1, min(LONGEST_GRAM, len(key) + 2) + 1) for g in grams(key, n)]
+                ids += [number.setdefault(g, len(number)) for g in own]
+                sizes.append(len(own))
+            of = np.repeat(np.arange(len(keys)), sizes)
+            sums = [np.bincount(ids, counts[of, i], len(number)) for i in range(len(names))] if keys else []
             if keys:
-                stacked = np.stack([*sums[0].values(), *sums[1].values()])
-                kind = np.repeat(np.array([0, 1], np.int64), [len(sums[0]), len(sums[1])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.string()), pa.array(kind), *[pa.array(stacked[:, i]) for i in range(len(names))]],
-                    ["key", "gram", *names])
+                yield rows(keys, 0, counts)
+                yield rows(list(number), 1, np.stack(sums, axis=1).astype(np.int64))
 
     return spelled.mapInArrow(run, ", ".join(["key string", "gram long", *[f"{c} long" for c in names]]))
 
