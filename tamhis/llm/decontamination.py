@@ -66,10 +66,13 @@ def seeds(hashes: np.ndarray, mask: Sequence[int]) -> np.ndarray:
 
 
 def masks_for(words: int) -> list[tuple[int, ...]]:
-    """Positions read in an item of so many words: the masks, or all words of an item too short for them."""
+    """Positions read in an item of so many words. One too short for the masks has three of its own length, each of which
+    ignores every third word, so that any one substitution leaves a mask whole."""
     if words < SHORTEST:
         return []
-    return [tuple(range(words))] if words < len(GROUPS) else MASKS
+    if words < len(GROUPS):
+        return [tuple(i for i in range(words) if i % 3 != k) for k in range(3)]
+    return MASKS
 
 
 class Items:
