@@ -12,7 +12,7 @@ from tamhis.workspace import written
 
 THRESHOLD = 0.98
 #: Vectors of a shard: what one task holds, twice.
-SHARD_ROWS = 4096
+SHARD_ROWS = 16_384
 #: First beam of a search; it is doubled until the audit of a task passes.
 BEAM = 32
 #: An audit compares so many queries with all vectors of the shard: all links and this share of the nearest eight.
@@ -62,14 +62,19 @@ def _load(table: pa.Table) -> tuple[pa.Table, np.ndarray, Hnsw]:
 
 
 def _hits(graph: Hnsw, queries: np.ndarray, own, beam: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs above ``floor``; a query whose whole beam is above it is asked again with a wider one."""
+    """(query, node) pairs above ``floor``; a query whose whole beam is above it is asked again with a wider one, until
+    that would be a large part of the shard: then the products are taken, which is exact and cheaper."""
     rows, found = [], []
     left = np.arange(len(queries))
     while len(left):
-        beam = min(beam, len(graph.vectors))
+        if beam * 8 > len(graph.vectors):
+            q, node = _all(graph.vectors, queries[left], floor)
+            rows.append(left[q])
+            found.append(node)
+            break
         ids, sims = graph.search(queries[left], beam, None if own is None else own[left])
         good = (ids >= 0) & (sims >= floor)
-        full = good.all(axis=1) & (beam < len(graph.vectors))
+        full = good.all(axis=1)
         r, c = np.nonzero(good & ~full[:, None])
         rows.append(left[r])
         found.append(ids[r, c])
@@ -83,7 +88,7 @@ def _search(threshold: float):
 
     def search(index: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(index) or not len(asked):
-            return pa.table([pa.array([], pa.int64())] * 4, ["a", "b", "size_a", "size_b"])
+            return pa.table([pa.array([], pa.int64())] * 3, _LINKS)
         index, units, graph = _load(index)
         asked = asked.sort_by("rep")
         queries = _units(asked.column("vector"))
@@ -95,25 +100,48 @@ def _search(threshold: float):
         beam = BEAM
         while True:
             q, node = _hits(graph, queries, own, beam, floor)
-            if beam >= len(reps):
-                if not _audit(exact, nearest, graph, queries, own, sample, beam, threshold, q, node):
-                    q, node = _all(units, queries, threshold)  # parts of the graph cannot be reached
-                break
-            if _audit(exact, nearest, graph, queries, own, sample, beam, threshold, q, node):
+            if beam * 8 > len(reps) or _audit(exact, nearest, graph, queries, own, sample, beam, threshold, q, node):
                 break
             beam *= 2
         cosine = np.concatenate([np.einsum("id,id->i", queries[q[k:k + 65536]], units[node[k:k + 65536]])
                                  for k in range(0, len(q), 65536)]) if len(q) else np.empty(0)
         keep = (cosine >= threshold) & (own_reps[q] != reps[node])
-        q, node = q[keep], node[keep]
-        a, b, sa, sb = own_reps[q], reps[node], asked.column("size").to_numpy()[q], index.column("size").to_numpy()[node]
-        turn = a > b
-        columns = [np.where(turn, b, a), np.where(turn, a, b), np.where(turn, sb, sa), np.where(turn, sa, sb)]
-        return pa.table([pa.array(c) for c in columns], ["a", "b", "size_a", "size_b"])
+        sizes = np.concatenate([asked.column("size").to_numpy(), index.column("size").to_numpy()])
+        return _links(np.concatenate([own_reps, reps]), sizes, q[keep], node[keep] + len(own_reps), own is not None)
 
     return search
 
 
+def _links(reps: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool) -> pa.Table:
+    """(rep, n, root) of every linked node: vectors linked to it here, and the smallest rep of its part.
+
+    One row per node, not one per link, so a dense group costs no more than its size. ``same``: both sides are one shard,
+    so that a link may have been found from either end.
+    """
+    if same:
+        b = b - len(reps) // 2
+        n = len(reps) // 2
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        code = np.unique(low * n + high)
+        a, b = code // n, code % n
+    count = np.bincount(a, sizes[b], len(reps)) + np.bincount(b, sizes[a], len(reps))
+    root = np.argsort(np.argsort(reps, kind="stable"), kind="stable")  # rank by rep, so that the smallest rep wins
+    order = np.argsort(reps, kind="stable")
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = np.minimum(low, low[order[low]])
+        if (low == root).all():
+            break
+        root = low
+    at = np.nonzero(count)[0]
+    return pa.table([pa.array(reps[at]), pa.array(count[at].astype(np.int64)), pa.array(reps[order[root[at]]])], _LINKS)
+
+
+_LINKS = ["rep", "n", "root"]
+
+
 def _audit(exact, nearest, graph, queries, own, sample, beam, threshold, q, node) -> bool:
     n = len(graph.vectors)
     got = set((q * n + node).tolist())
@@ -161,14 +189,13 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
         "grp", F.pmod(F.xxhash64("rep"), F.col("shards")).alias("shard"), "shards", "rep", "size", "vector",
         F.xxhash64("rep", F.lit(2)).alias("draw"))
     graphs = written(dealt.groupBy("grp", "shard").applyInArrow(_build, _GRAPH), "graphs")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    index = graphs.select("grp", F.col("shard").alias("i"), every.alias("j"), "rep", "size", "vector", "level", "links")
-    asked = graphs.select("grp", every.alias("i"), F.col("shard").alias("j"), "rep", "size", "vector")
-    pairs = written(index.groupBy("grp", "i", "j").cogroup(asked.groupBy("grp", "i", "j")).applyInArrow(
-        _search(threshold), "a long, b long, size_a long, size_b long").distinct(), "vector-links")
-    both = pairs.select(F.col("a").alias("rep"), F.col("size_b").alias("n")).union(pairs.select("b", "size_a"))
-    links = both.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    shard, last = F.col("shard"), F.col("shards") - 1
+    index = graphs.select("grp", shard.alias("i"), F.explode(F.sequence(shard, last)).alias("j"), "rep", "size", "vector", "level", "links")
+    asked = graphs.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), shard)).alias("i"), shard.alias("j"), "rep", "size", "vector")
+    linked = written(index.groupBy("grp", "i", "j").cogroup(asked.groupBy("grp", "i", "j")).applyInArrow(
+        _search(threshold), "rep long, n long, root long"), "vector-links")
+    links = linked.groupBy("rep").agg(F.sum("n").alias("n"))
+    parts = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     found = classes.drop("vector").join(links, "rep", "left").join(parts, "rep", "left").select(
         F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("grp").alias("kg"),
         (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
