@@ -10,38 +10,50 @@ from tamhis.profiles import ARABIC, LanguageProfile
 from tamhis.streaming.sink import BatchTable, run_available
 
 CURATED = T.StructType([
-    T.StructField("key", T.BinaryType()),
     T.StructField("row_id", T.LongType()),
     T.StructField("instruction", T.StringType()),
     T.StructField("input", T.StringType()),
     T.StructField("output", T.StringType()),
 ])
+#: 128-bit digests of the stored questions, in folders by their first byte.
+KEYS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("prefix", T.IntegerType())])
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 KEY_BYTES = 64  # generous size of a 16-byte key in a hash table
 
 
+def key_table(spark, path: str) -> BatchTable:
+    return BatchTable(spark, f"{path.rstrip('/')}-keys", KEYS, "prefix")
+
+
 def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageProfile = ARABIC) -> BatchTable:
     """Curate a stream of raw rows into a table of instruction records.
 
     Gates run on the stream. Per batch the first row of each question survives unless an
     earlier batch already has the question; with files that arrive in row order the table equals the
-    batch result. Questions are stored with a 128-bit digest, so a batch is checked against 16 bytes
-    per stored row. The stored keys are first reduced to those of the batch, which leaves at most as
-    many as the batch has; a batch counted to be small is broadcast, and the stored keys are then
-    scanned without a shuffle. ``read().drop("key")`` gives the records.
+    batch result. Questions are also stored as 128-bit digests in a table of their own, by the digest's first byte, and a
+    batch reads only the folders of the digests it has: at most 16 bytes per stored row. The stored keys are first
+    reduced to those of the batch; a batch counted to be small is broadcast, and the stored keys are then
+    scanned without a shuffle. ``compact`` of the returned table and of ``key_table`` merges the batches' files.
     """
-    table = BatchTable(raw.sparkSession, path, CURATED)
+    table, keys = BatchTable(raw.sparkSession, path, CURATED), key_table(raw.sparkSession, path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("key", F.unhex(F.md5("q"))).persist()
+        batch = batch.withColumn("key", F.unhex(F.md5("q")))
+        batch = batch.withColumn("prefix", F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int")).persist()
         try:
             few = batch.count() * KEY_BYTES <= BROADCAST_BYTES
-            small = F.broadcast if few else (lambda keys: keys)
-            asked = small(batch.select("key").distinct())
-            seen = small(table.earlier(batch_id).select("key").join(asked, "key", "left_semi"))
-            first = first_per_key(batch, "q", "row_id").join(seen, "key", "left_anti")
-            table.write(as_records(first, profile), batch_id)
+            small = F.broadcast if few else (lambda df: df)
+            asked = batch.select("key", "prefix").distinct()
+            present = [r[0] for r in asked.select("prefix").distinct().collect()]  # 256 at most
+            earlier = keys.earlier(batch_id).filter(F.col("prefix").isin(present)).select("key")
+            seen = small(earlier.join(small(asked.select("key")), "key", "left_semi"))
+            first = first_per_key(batch, "q", "row_id").join(seen, "key", "left_anti").persist()
+            try:
+                table.write(as_records(first, profile), batch_id)
+                keys.write(first.repartition(F.col("prefix")), batch_id)
+            finally:
+                first.unpersist()
         finally:
             batch.unpersist()
 

@@ -21,8 +21,8 @@ def prompt_stream(requests: DataFrame, path: str, checkpoint: str, attach=None,
     """Validate a stream of requests and store their prompts.
 
     Refused requests are stored with their status and no prompt. With an ``index``, ``attach`` maps
-    the accepted requests of a batch to (query_id, embedding) added to their columns, and the prompt
-    holds the k nearest documents. Without one, no index is read.
+    the accepted requests of a batch to their columns with ``embedding`` added, and the prompt
+    holds the k nearest documents; a request without a vector gets the plain prompt. Without an index none is read.
     """
     table = BatchTable(requests.sparkSession, path, PROMPTS)
 

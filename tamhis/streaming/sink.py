@@ -1,7 +1,6 @@
 """A parquet table written batch by batch, safe to re-run."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -9,32 +8,68 @@ class BatchTable:
     """Parquet table with one ``batch_id`` folder per micro-batch.
 
     A batch that runs again after a failure overwrites its own folder and, by reading only
-    ``earlier`` batches, computes the same rows: each batch takes effect once.
+    ``earlier`` batches, computes the same rows: each batch takes effect once. ``compact`` merges old batches into one
+    folder, ``upto-`` its last batch, which takes the place of all batches up to it as soon as it is complete.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: str | None = None):
+        self.spark, self.path, self.schema, self.partition_by = spark, path, schema, partition_by
 
     def write(self, df: DataFrame, batch_id: int) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self._write(df, str(batch_id))
 
     def read(self) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self._stored().drop("batch_id")
+        return self._stored(None)
 
     def earlier(self, batch_id: int) -> DataFrame:
-        if not self._exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self._stored().filter(F.col("batch_id") < batch_id).drop("batch_id")
+        return self._stored(batch_id)
+
+    def batches(self) -> list[int]:
+        """Numbers of the batches in folders of their own."""
+        return sorted(self._folders()[1])
+
+    def compact(self) -> None:
+        """Merge all batches but the newest, which may have to run again; call it when no stream writes."""
+        upto, batches = self._folders()
+        old = sorted(batches)[:-1]
+        if len(old) + bool(upto) < 2:
+            return
+        self._write(self._stored(old[-1] + 1), f"upto-{old[-1]}")
+        for b in old:
+            self._delete(str(b))
+        for u in upto:
+            self._delete(f"upto-{u}")
 
-    def _stored(self):
-        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
-        return self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+    def _write(self, df: DataFrame, folder: str) -> None:
+        writer = df.select(*self.schema.names).write.mode("overwrite")
+        (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/batch_id={folder}")
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, folder: str) -> None:
+        path, fs = self._fs()
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"batch_id={folder}"), True)
+
+    def _folders(self) -> tuple[list[int], list[int]]:
+        """Numbers of the complete ``upto`` folders, and of the batches after the last of them."""
+        path, fs = self._fs()
+        if not fs.exists(path):
+            return [], []
+        folders = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch_id=")]
+        done = [p.getName()[9:] for p in folders if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        upto = sorted(int(n[5:]) for n in done if n.startswith("upto-"))
+        return upto, sorted(int(n) for n in done if n.isdigit() and (not upto or int(n) > upto[-1]))
+
+    def _stored(self, before: int | None) -> DataFrame:
+        upto, batches = self._folders()
+        folders = [f"upto-{u}" for u in upto[-1:]] + [str(b) for b in batches if before is None or b < before]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        schema = T.StructType([*self.schema.fields, T.StructField("batch_id", T.StringType())])
+        reader = self.spark.read.schema(schema).option("basePath", self.path)
+        return reader.parquet(*[f"{self.path}/batch_id={f}" for f in folders]).select(*self.schema.names)
 
 
 def run_available(stream: DataFrame, handle, checkpoint: str) -> None:

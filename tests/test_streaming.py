@@ -6,7 +6,7 @@ from tamhis.plans.retrieval import plain_prompts
 from tamhis.profiles import LATIN
 from tamhis.schemas import REQUEST
 from tamhis.streaming import curation
-from tamhis.streaming.curation import CURATED, curate_stream
+from tamhis.streaming.curation import CURATED, KEYS, curate_stream, key_table
 from tamhis.streaming.requests import prompt_stream
 from tamhis.streaming.sink import BatchTable
 from workloads import adapters as A
@@ -34,14 +34,14 @@ def test_incremental_curation_equals_batch(spark, tmp_path, monkeypatch, broadca
         if part == 1:  # the first run sees two files, the second run the rest
             curate_stream(stream(spark, raw.schema, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), LATIN)
     table = curate_stream(stream(spark, raw.schema, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), LATIN)
-    got = sorted(tuple(r) for r in table.read().drop("key").collect())
+    got = sorted(tuple(r) for r in table.read().collect())
     assert got == sorted(tuple(r) for r in curate(raw, LATIN).collect())
     assert len(list((tmp_path / "out").glob("batch_id=*"))) == 4
 
 
 def test_a_batch_that_runs_twice_takes_effect_once(spark, tmp_path):
     table = BatchTable(spark, str(tmp_path / "t"), CURATED)
-    rows = spark.createDataFrame([(b"k", 1, "q", "", "a")], CURATED)
+    rows = spark.createDataFrame([(1, "q", "", "a")], CURATED)
     assert table.read().count() == table.earlier(0).count() == 0
     for _ in range(2):
         table.write(rows, 0)
@@ -49,6 +49,38 @@ def test_a_batch_that_runs_twice_takes_effect_once(spark, tmp_path):
     assert table.read().count() == table.earlier(1).count() == 1
 
 
+def test_compaction_keeps_the_rows_and_the_newest_batch(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "prefix")
+    for b in range(4):
+        table.write(spark.createDataFrame([(bytes([b, k]), k) for k in range(3)], KEYS), b)
+    for _ in range(2):
+        table.compact()
+        assert table.batches() == [3] and table.read().count() == 12 and table.earlier(3).count() == 9
+    table.write(spark.createDataFrame([(b"x", 1)], KEYS), 3)  # runs again
+    table.write(spark.createDataFrame([(b"y", 2)], KEYS), 4)
+    assert table.read().count() == 11 and table.read().filter("prefix = 1").count() == 4
+    table.compact()
+    assert table.batches() == [4] and sorted(p.name for p in (tmp_path / "t").glob("batch*")) == ["batch_id=4", "batch_id=upto-3"]
+    assert table.read().count() == 11
+
+
+def test_a_batch_reads_only_the_folders_of_its_keys(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "prefix")
+    table.write(spark.createDataFrame([(bytes([k]), k) for k in range(40)], KEYS), 0)
+    plan = table.earlier(1).filter("prefix in (3, 7)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [prefix" in plan
+
+
+def test_curation_after_compaction(spark, tmp_path):
+    raw = A.raw_qa(spark, SF)
+    for part, (low, high) in enumerate([(0, 300), (300, 600), (600, 1000)]):
+        land(raw.filter((F.col("row_id") >= low) & (F.col("row_id") < high)), str(tmp_path / "in"), part)
+        table = curate_stream(stream(spark, raw.schema, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), LATIN)
+        table.compact()
+        key_table(spark, str(tmp_path / "out")).compact()
+    assert sorted(tuple(r) for r in table.read().collect()) == sorted(tuple(r) for r in curate(raw, LATIN).collect())
+
+
 def test_request_stream_without_index(spark, tmp_path):
     rows = [("a", "hello", None, None), ("b", "x", None, None), ("c", "  ", 100, 0.5)]
     land(spark.createDataFrame(rows, REQUEST), str(tmp_path / "in"), 0)
