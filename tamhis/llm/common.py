@@ -14,6 +14,8 @@ from tamhis.workspace import written
 
 #: Texts are handed to numpy in slices of at most so many rows or bytes (one longer text is a slice of its own).
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Classes of so large a part of all rows are joined apart.
+HOT = 1000
 
 
 def col(name: str) -> Column:
@@ -110,6 +112,20 @@ def least_shingle(text: bytes, words: int = 5) -> int:
     return min(xxhash.xxh64_intdigest(b" ".join(found[i:i + words])) for i in range(len(found) - words + 1)) >> 1
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Equi-join of ``rows`` with unique ``classes`` that names their sizes, safe against classes of any share of the rows.
+
+    Classes of at least a ``HOT`` part of all rows, of which there are no more than ``HOT``, are broadcast; only the rows
+    of the others are shuffled.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    limit = max(2, -(-total // HOT))
+    hot = F.broadcast(classes.filter(F.col(size) >= limit))
+    rest = rows.join(F.broadcast(classes.filter(F.col(size) >= limit).select(*keys)), list(keys), "left_anti")
+    both = [rows.join(hot, list(keys)), rest.join(classes.filter(F.col(size) < limit), list(keys))]
+    return both[0].unionByName(both[1])
+
+
 def class_weights(docs: DataFrame, labels: DataFrame, label: str, key: str, chosen: np.ndarray) -> np.ndarray:
     """Vote weights of the classes 0 and 1 that undo a balanced choice of examples; the larger is 1."""
     known = docs.select(col(key).alias("key")).join(labels.select(col(key).alias("key"), col(label).cast("long").alias("c")), "key")

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamhis.llm.common import col
+from tamhis.llm.common import col, join_classes
 from tamhis.llm.components import connected_components
 from tamhis.llm.hnsw import Hnsw
 from tamhis.workspace import written
@@ -196,11 +196,11 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
         _search(threshold), "rep long, n long, root long"), "vector-links")
     links = linked.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    found = classes.drop("vector").join(links, "rep", "left").join(parts, "rep", "left").select(
-        F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("grp").alias("kg"),
-        (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    joined = rows.select("key", "grp", "h1", "h2").join(
-        found, (F.col("grp") == F.col("kg")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
-    component = F.coalesce("component", "key")
-    return joined.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-                         component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
+    found = written(classes.drop("vector").join(links, "rep", "left").join(parts, "rep", "left").select(
+        "grp", "h1", "h2", "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "rep").alias("component")), "vector-components")
+    joined = join_classes(own.select("key", "grp", "h1", "h2"), found, ["grp", "h1", "h2"], "size").select("key", "n_links", "component")
+    alone = rows.filter("not linkable").select("key", F.lit(0).cast("long"), F.col("key"))
+    component = F.col("component")
+    return joined.union(alone).select(F.col("key").alias(key), "n_links", component.alias("component_id"),
+                                      F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import col, fresh, map_texts
+from tamhis.llm.common import col, fresh, join_classes, map_texts
 from tamhis.llm.components import connected_components
 from tamhis.workspace import written
 
@@ -186,12 +186,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, k
     marked = with_fingerprints(docs.withColumn(own, col(key)), fingerprint_col, text, [*keep, own], words)
     marked = written(marked, "fingerprints")
     fp = col(fingerprint_col)
-    classes = written(marked.groupBy(fp.alias("fp")).agg(F.min(col(own)).alias("least")), "classes")
+    classes = written(marked.groupBy(fp.alias("fp")).agg(F.min(col(own)).alias("least"), F.count("*").alias("size")), "classes")
     parts = connected_components(links(classes.select("fp"), max_bits))
     named = classes.join(parts, classes["fp"] == parts["node"]).select("fp", "least", "component")
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     linked = named.join(smallest, "component").select("fp", "smallest")
-    of = classes.join(linked, "fp", "left").select(
-        F.col("fp").alias(fresh("fp", marked.columns)), F.coalesce("smallest", "least").alias(component_col))
-    found = of.columns[0]
-    return marked.join(of, fp == col(found)).select(*[col(c) for c in keep], fp, col(component_col))
+    size = fresh("size", [*marked.columns, component_col])
+    of = written(classes.join(linked, "fp", "left").select(
+        F.col("fp").alias(fingerprint_col), F.coalesce("smallest", "least").alias(component_col), F.col("size").alias(size)), "components")
+    found = join_classes(marked, of, [fingerprint_col], size)
+    return found.select(*[col(c) for c in keep], fp, col(component_col))
