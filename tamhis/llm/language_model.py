@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import col, map_texts, text_slices
+from tamhis.llm.common import col, first_rows, largest, map_texts, text_slices
 from tamhis.workspace import written
 
 #: Words that are classes of their own.
@@ -36,13 +36,13 @@ PRIORS = (0, 300.0, 300.0)
 #: Text of a shard, in bytes.
 SHARD_BYTES = 64 << 20
 #: Different words and n-grams that a counting task holds before it hands them on.
-TASK_WORDS, TASK_GRAMS = 500_000, 3_000_000
+TASK_WORDS, TASK_GRAMS = 300_000, 3_000_000
 #: N-grams that are collected before they are folded into a task's table.
 FOLD_GRAMS = 1_000_000
 #: Different words whose class or count a task keeps at hand.
-WORDS_HELD = 300_000
+WORDS_HELD = 150_000
 #: Texts are read in lanes of so many words that advance together.
-LANE = 256
+LANE = 64
 END, RARE, FIRST = 0, 1, 2  # class numbers
 END_WORD = 0  # stands for the end in the table of words
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -257,7 +257,8 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
     heads = words.filter("head")
     total, distinct = heads.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    top = heads.filter(F.col("word") != END_WORD).orderBy(F.desc("c"), "word").limit(CLASSES).select("word", "c").collect()
+    top = first_rows(heads.filter(F.col("word") != END_WORD), CLASSES, largest(F.col("c")), F.desc("c"), F.col("word"))
+    top = top.select("word", "c").collect()
     ends = heads.filter(F.col("word") == END_WORD).select("c").first()
     number = spark.sparkContext.broadcast({r[0]: i + FIRST for i, r in enumerate(top)})
     counts = np.array([ends[0] if ends else 0, 0, *[r[1] for r in top]], np.float64)
