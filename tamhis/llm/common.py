@@ -93,14 +93,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str,
     """
     known = labels.select(col(key).alias("key"), col(label).cast("long").alias("label")).filter("label in (0, 1) and key is not null")
     known = docs.select(col(key).alias("key")).join(known, "key").groupBy("key").agg(F.max("label").alias("label"))
+    known = written(known, "known-labels")
     order = F.xxhash64("key", F.lit(seed))
-    chosen = [known.filter(F.col("label") == c).orderBy(order, "key").limit(rows) for c in (0, 1)]
+    chosen = [first_rows(known.filter(F.col("label") == c), rows, hashed(order), order, F.col("key")) for c in (0, 1)]
     texts = docs.select(col(key).alias("key"), col(text).cast("string").alias("t")).filter("t is not null")
     picked = texts.join(F.broadcast(chosen[0].union(chosen[1])), "key")
-    hashed = map_texts(picked.withColumn("text", F.col("t")), "text", ["key", "t", "label"], [("h", T.LongType())],
+    marked = map_texts(picked.withColumn("text", F.col("t")), "text", ["key", "t", "label"], [("h", T.LongType())],
                        lambda: lambda found: [[least_shingle(t) for t in found]])
     one = Window.partitionBy("h").orderBy(F.desc("label"), "key")
-    ranked = hashed.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
+    ranked = marked.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
     return written(ranked.select("h", "key", F.col("t").cast("binary").alias("t"), "label"), "labelled")
 
 
@@ -112,6 +113,30 @@ def least_shingle(text: bytes, words: int = 5) -> int:
     return min(xxhash.xxh64_intdigest(b" ".join(found[i:i + words])) for i in range(len(found) - words + 1)) >> 1
 
 
+def first_rows(df: DataFrame, n: int, bucket: Column, *order: Column) -> DataFrame:
+    """The first ``n`` rows of a stored table by ``order``.
+
+    ``bucket`` is a long that never falls along the order and has few values. Their counts tell where the n-th row lies, so
+    that only rows up to there are ranked; a plain top-n would send n rows of every task to one place.
+    """
+    held, last = 0, None
+    for b, size in sorted(df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()):
+        held, last = held + size, b
+        if held >= n:
+            break
+    return (df.filter(bucket <= last) if last is not None else df).orderBy(*order).limit(n)
+
+
+def largest(c: Column) -> Column:
+    """A bucket for ``first_rows`` in descending order of a number of at least one: sixteen to a power of two."""
+    return -F.floor(F.log2(F.greatest(c.cast("double"), F.lit(1.0))) * 16)
+
+
+def hashed(c: Column) -> Column:
+    """A bucket for ``first_rows`` in ascending order of a 64-bit hash: its first twelve bits."""
+    return F.shiftright(c, 52).cast("long")
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """Equi-join of ``rows`` with unique ``classes`` that names their sizes, safe against classes of any share of the rows.
 

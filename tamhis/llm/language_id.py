@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import Growing, Numbering, col, map_texts, text_slices
+from tamhis.llm.common import Growing, Numbering, col, first_rows, largest, map_texts, text_slices
 from tamhis.workspace import written
 
 #: Size of the model: entries are the most frequent words and n-grams, whatever the size of the corpus.
@@ -111,7 +111,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMod
 
     def top(df, n):
         total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-        found = df.withColumn("total", total).orderBy(F.desc("total"), "key").limit(n).drop("total").collect()
+        table = written(df.withColumn("total", total), "language-counts")
+        found = first_rows(table, n, largest(F.col("total")), F.desc("total"), F.col("key")).drop("total").collect()
         return {r[0]: i for i, r in enumerate(found)}, np.array([r[1:] for r in found], np.float64).reshape(-1, len(names))
 
     words, word_counts = top(by_key, MAX_WORDS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import Lists, Numbering, class_weights, col, map_texts, sample, text_slices
+from tamhis.llm.common import Lists, Numbering, class_weights, col, first_rows, largest, map_texts, sample, text_slices
 from tamhis.workspace import written
 
 #: Terms are words and their beginnings of these lengths (which catch inflected forms).
@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     a, n = F.col("toxic").cast("double"), F.col("n").cast("double")
     expected = n * toxic / max(total, 1)
     chi = (a - expected) * (a - expected) / (expected * (1 - n / (total + 1)) + 1e-9)
-    telling = table.filter(f"n >= {MIN_TEXTS}").withColumn("chi", chi).filter(f"chi >= {MIN_CHI}").orderBy(
-        F.desc("chi"), "term").limit(TELLING_TERMS).select("term").collect()
+    telling = table.filter(f"n >= {MIN_TEXTS}").withColumn("chi", chi).filter(f"chi >= {MIN_CHI}")
+    telling = first_rows(telling, TELLING_TERMS, largest(F.col("chi")), F.desc("chi"), F.col("term")).select("term").collect()
     vocabulary = {t: i for i, t in enumerate(sorted({OTHER, *(bytes(r[0]) for r in telling)}))}
     idf = _idf(docs.select(col(text).cast("string").cast("binary").alias("t")), vocabulary)
     order = F.xxhash64("h", F.lit(seed))
