@@ -35,6 +35,8 @@ CLASSES = 1024
 PRIORS = (0, 300.0, 300.0)
 #: Text of a shard, in bytes.
 SHARD_BYTES = 64 << 20
+#: Files of more than a shard whose cuts are broadcast.
+CUT_FILES = 100_000
 #: Different words and n-grams that a counting task holds before it hands them on.
 TASK_WORDS, TASK_GRAMS = 300_000, 3_000_000
 #: N-grams that are collected before they are folded into a task's table.
@@ -67,9 +69,13 @@ def sharded(docs: DataFrame, key: str, text: str, learn) -> DataFrame:
     """
     rows = docs.select(col(key).alias("key"), col(text).cast("string").cast("binary").alias("text"), learn.alias("learn"),
                        F.input_file_name().alias("file"))
-    largest = rows.groupBy("file").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = max(1, -(-largest // SHARD_BYTES))
-    part = F.pmod(F.xxhash64("key", "text"), F.lit(parts))
+    sizes = written(rows.groupBy("file").agg(F.ceil(F.sum(F.length("text")) / F.lit(SHARD_BYTES)).alias("parts")), "files")
+    cut = sizes.filter("parts > 1")
+    if cut.count() <= CUT_FILES:
+        rows = rows.join(F.broadcast(cut), "file", "left")
+    else:  # too many to broadcast: every file is cut like the largest, which is as right with more shards
+        rows = rows.withColumn("parts", F.lit(cut.agg(F.max("parts")).first()[0]))
+    part = F.pmod(F.xxhash64("key", "text"), F.coalesce("parts", F.lit(1)))
     return rows.select("key", "text", "learn", F.xxhash64("file", part).alias("shard"))
 
 

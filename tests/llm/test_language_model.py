@@ -44,9 +44,10 @@ def plain(texts, learn, classes):
     return out, p1, p3, [*top, "</s>", None]
 
 
-@pytest.mark.parametrize("classes, lane, shard", [(3, 256, 64 << 20), (100, 2, 20)])
-def test_scores_equal_the_formulas(spark, monkeypatch, classes, lane, shard):
+@pytest.mark.parametrize("classes, shard, cut", [(3, 64 << 20, 9), (100, 20, 9), (100, 500, 0)])
+def test_scores_equal_the_formulas(spark, monkeypatch, classes, shard, cut):
     monkeypatch.setattr(L, "CLASSES", classes)
+    monkeypatch.setattr(L, "CUT_FILES", cut)
     monkeypatch.setattr(L, "SHARD_BYTES", shard)
     texts = TEXTS + [" ".join(f"w{i % 7} the cat" for i in range(300))]
     learn = [i not in (6, 7) for i in range(len(texts))]
