@@ -160,7 +160,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ``capacity`` ids; the last few of a task are shorter, of lengths that are powers of two, so there
     is no padding. Ties in length or cost go to the earlier document or sequence. Each task packs the documents
     it reads, so nothing is shuffled; a sequence id is made of the task's partition and a running
-    number, so a task that runs again replaces its own sequences. An empty table gives no rows.
+    number, so a task that runs again replaces its own sequences. Pass a stored table: a task that reads the same rows
+    again packs them the same way. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     narrow = docs.select(col(key).alias(key), col(text).cast("string").cast("binary").alias("bytes_" + key))
