@@ -16,7 +16,9 @@ SHARD_ROWS = 16_384
 #: First beam of a search; it is doubled until the audit of a task passes.
 BEAM = 32
 #: An audit compares so many queries with all vectors of the shard: all links and this share of the nearest eight.
-AUDIT, AUDIT_NEAREST, AUDIT_RECALL = 64, 8, 0.95
+AUDIT, AUDIT_NEAREST, AUDIT_RECALL = 64, 8, 0.9
+#: A beam that has been widened to more than this part of a shard is replaced by products with the whole shard.
+WIDEST = 1 / 16
 
 
 def usable(v: Column) -> Column:
@@ -65,21 +67,21 @@ def _hits(graph: Hnsw, queries: np.ndarray, own, beam: int, floor: float) -> tup
     """(query, node) pairs above ``floor``; a query whose whole beam is above it is asked again with a wider one, until
     that would be a large part of the shard: then the products are taken, which is exact and cheaper."""
     rows, found = [], []
-    left = np.arange(len(queries))
+    left, n = np.arange(len(queries)), len(graph.vectors)
     while len(left):
-        if beam * 8 > len(graph.vectors):
-            q, node = _all(graph.vectors, queries[left], floor)
-            rows.append(left[q])
-            found.append(node)
-            break
-        ids, sims = graph.search(queries[left], beam, None if own is None else own[left])
+        ids, sims = graph.search(queries[left], min(beam, n), None if own is None else own[left])
         good = (ids >= 0) & (sims >= floor)
-        full = good.all(axis=1)
+        full = good.all(axis=1) & (beam < n)
         r, c = np.nonzero(good & ~full[:, None])
         rows.append(left[r])
         found.append(ids[r, c])
         left = left[full]
         beam *= 2
+        if len(left) and beam > n * WIDEST:
+            q, node = _all(graph.vectors, queries[left], floor)
+            rows.append(left[q])
+            found.append(node)
+            break
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -98,11 +100,9 @@ def _search(threshold: float):
         exact = queries[sample] @ units.T
         nearest = np.argsort(-exact, axis=1)[:, :AUDIT_NEAREST]
         beam = BEAM
-        while True:
-            q, node = _hits(graph, queries, own, beam, floor)
-            if beam * 8 > len(reps) or _audit(exact, nearest, graph, queries, own, sample, beam, threshold, q, node):
-                break
+        while beam < len(reps) and not _audit(exact, nearest, graph, queries[sample], own if own is None else own[sample], beam, floor):
             beam *= 2
+        q, node = _hits(graph, queries, own, beam, floor) if beam < len(reps) or BEAM >= len(reps) else _all(units, queries, threshold)
         cosine = np.concatenate([np.einsum("id,id->i", queries[q[k:k + 65536]], units[node[k:k + 65536]])
                                  for k in range(0, len(q), 65536)]) if len(q) else np.empty(0)
         keep = (cosine >= threshold) & (own_reps[q] != reps[node])
@@ -142,15 +142,15 @@ def _links(reps: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, sa
 _LINKS = ["rep", "n", "root"]
 
 
-def _audit(exact, nearest, graph, queries, own, sample, beam, threshold, q, node) -> bool:
-    n = len(graph.vectors)
-    got = set((q * n + node).tolist())
-    r, c = np.nonzero(exact >= threshold)
-    if not all(x in got for x in (sample[r] * n + c).tolist()):
+def _audit(exact, nearest, graph, queries, own, beam, floor) -> bool:
+    """Whether a beam finds all links of the sampled queries and most of their nearest vectors."""
+    q, node = _hits(graph, queries, own, beam, floor)
+    got = np.zeros(exact.shape, bool)
+    got[q, node] = True
+    if (~got & (exact >= floor + 1e-4)).any():
         return False
-    ids, _ = graph.search(queries[sample], beam, None if own is None else own[sample])
-    same = (ids[:, :, None] == nearest[:, None, :]).any(axis=1)
-    return same.mean() >= AUDIT_RECALL
+    ids, _ = graph.search(queries, beam, own)
+    return (ids[:, :, None] == nearest[:, None, :]).any(axis=1).mean() >= AUDIT_RECALL
 
 
 def _all(units, queries, threshold):
