@@ -163,13 +163,15 @@ _KEPT: dict = {}
 
 
 def kept(kind: str, content, make: Callable):
-    """An object that the tasks of a Python worker share, made anew when the content it depends on changes.
+    """An object that the tasks of a Python worker share, made anew when its kind or the content it depends on changes.
 
-    For tables of words already worked out: what they hold depends on the words alone, and their size is bounded.
+    For tables of words already worked out: what they hold depends on the words alone, and their size is bounded. A
+    worker keeps one such object at a time.
     """
-    if kind not in _KEPT or _KEPT[kind][0] != content:
-        _KEPT[kind] = (content, make())
-    return _KEPT[kind][1]
+    if _KEPT.get("of") != (kind, content):
+        _KEPT.clear()
+        _KEPT.update(of=(kind, content), made=make())
+    return _KEPT["made"]
 
 
 class Numbering(dict):

@@ -1,5 +1,6 @@
 """Language identification by word frequencies with backoff to character n-grams."""
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import Growing, Numbering, col, first_rows, largest, map_texts, text_slices
+from tamhis.llm.common import Growing, Numbering, col, first_rows, kept, largest, map_texts, text_slices
 from tamhis.workspace import written
 
 #: Size of the model: entries are the most frequent words and n-grams, whatever the size of the corpus.
@@ -17,6 +18,8 @@ LONGEST_GRAM = 4
 SMOOTHING = 0.5
 #: Different words of a language that a counting task holds before it hands them on.
 TASK_WORDS = 500_000
+#: Different words whose scores a Python worker keeps.
+WORDS_HELD = 1_000_000
 UNDETERMINED = "und"
 
 
@@ -137,8 +140,8 @@ def _keyed(spelled: DataFrame, names) -> DataFrame:
         for batch in batches:
             counts = np.stack([np.asarray(c, np.int64) for c in batch.columns[1:]], axis=1)
             keys = [word_key(w) for w in batch.column(0).to_pylist()]
-            kept = np.array([i for i, k in enumerate(keys) if k], np.int64)
-            keys, counts = [k for k in keys if k], counts[kept]
+            usable = np.array([i for i, k in enumerate(keys) if k], np.int64)
+            keys, counts = [k for k in keys if k], counts[usable]
             number, ids, sizes = {}, [], []
             for key in keys:
                 own = [g for n in range(1, min(LONGEST_GRAM, len(key) + 2) + 1) for g in grams(key, n)]
@@ -161,7 +164,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep=("d
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def start():
+    token = uuid.uuid4().hex  # tells this model's tables from another's
+
+    def table():
         m = shared.value
         logs = Growing(np.float32, width=max(1, len(m.languages)))
         lettered = Growing(np.bool_)
@@ -175,7 +180,11 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep=("d
             logs.clear()
             lettered.clear()
 
-        words = Numbering(learn, forget)
+        return logs, lettered, Numbering(learn, forget, WORDS_HELD)
+
+    def start():
+        m = shared.value
+        logs, lettered, words = kept("language scores", token, table)
 
         def compute(texts):
             langs, scores = [], []
