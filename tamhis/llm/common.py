@@ -70,7 +70,10 @@ def map_texts(docs: DataFrame, text: str, keep: Sequence[str], out: Sequence[tup
     names = schema.names
 
     def run(batches):
+        _KEPT["used"] = False
         compute = start()
+        if not _KEPT["used"]:
+            _KEPT.clear()  # what an earlier operator left in this worker
         for batch in batches:
             for part in text_slices(batch, len(keep)):
                 results = compute(part.column(len(keep)).to_pylist())
@@ -166,11 +169,12 @@ def kept(kind: str, content, make: Callable):
     """An object that the tasks of a Python worker share, made anew when its kind or the content it depends on changes.
 
     For tables of words already worked out: what they hold depends on the words alone, and their size is bounded. A
-    worker keeps one such object at a time.
+    worker keeps one such object at a time, until an operator that needs none runs in it.
     """
     if _KEPT.get("of") != (kind, content):
         _KEPT.clear()
         _KEPT.update(of=(kind, content), made=make())
+    _KEPT["used"] = True
     return _KEPT["made"]
 
 
