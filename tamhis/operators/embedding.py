@@ -84,11 +84,11 @@ class TfidfEncoder:
             df, idf = df.withColumn("_idf", table.scalar()), F.col("_idf")
         raw = df.withColumn(out, F.transform(column, lambda x: F.struct(
             x["bucket"].alias("bucket"), (x["n"] * F.element_at(idf, x["bucket"] + 1)).alias("weight"))))
+        # the norm goes in as an array: named inside the lambda, it would be computed again for every entry
         norm = F.sqrt(F.aggregate(out, F.lit(0.0), lambda a, x: a + x["weight"] * x["weight"]))
-        raw = raw.withColumn("_norm", norm)
-        scaled = F.transform(out, lambda x: F.struct(
-            x["bucket"].alias("bucket"), F.when(F.col("_norm") > 0, x["weight"] / F.col("_norm")).otherwise(0.0).alias("weight")))
-        return raw.withColumn(out, scaled).drop("_norm", "_idf")
+        scaled = F.zip_with(out, F.array_repeat(norm, F.size(out)), lambda x, n: F.struct(
+            x["bucket"].alias("bucket"), F.when(n > 0, x["weight"] / n).otherwise(0.0).alias("weight")))
+        return raw.withColumn(out, scaled).drop("_idf")
 
     def dense(self, df: DataFrame, column: str = "weights", out: str = "embedding") -> DataFrame:
         """Replace the sparse weights by ``out`` (array of double), a bounded slice of rows at a time."""
