@@ -70,10 +70,7 @@ def map_texts(docs: DataFrame, text: str, keep: Sequence[str], out: Sequence[tup
     names = schema.names
 
     def run(batches):
-        _KEPT["used"] = False
-        compute = start()
-        if not _KEPT["used"]:
-            _KEPT.clear()  # what an earlier operator left in this worker
+        compute = started(start)
         for batch in batches:
             for part in text_slices(batch, len(keep)):
                 results = compute(part.column(len(keep)).to_pylist())
@@ -178,6 +175,15 @@ def kept(kind: str, content, make: Callable):
     return _KEPT["made"]
 
 
+def started(start: Callable):
+    """``start()``, after which the worker holds nothing that an earlier operator left in it."""
+    _KEPT["used"] = False
+    compute = start()
+    if not _KEPT["used"]:
+        _KEPT.clear()
+    return compute
+
+
 class Numbering(dict):
     """Word -> number in order of first sight; ``learn`` is called with every new word.
 

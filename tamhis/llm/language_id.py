@@ -19,7 +19,7 @@ SMOOTHING = 0.5
 #: Different words of a language that a counting task holds before it hands them on.
 TASK_WORDS = 500_000
 #: Different words whose scores a Python worker keeps.
-WORDS_HELD = 1_000_000
+WORDS_HELD = 600_000
 UNDETERMINED = "und"
 
 
@@ -59,7 +59,7 @@ class LanguageModel:
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
             known = [self.grams[g] for g in grams(word, n) if g in self.grams]
             if known:
-                return self.gram_logs[known].mean(axis=0)
+                return np.add.reduce(self.gram_logs[known]) / len(known)
         return np.zeros(len(self.languages), np.float32)
 
 
