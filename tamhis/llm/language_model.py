@@ -34,11 +34,11 @@ CLASSES = 1024
 #: By length of the history: how many occurrences the shorter history is worth.
 PRIORS = (0, 300.0, 300.0)
 #: Text of a shard, in bytes.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Files of more than a shard whose cuts are broadcast.
 CUT_FILES = 100_000
 #: Different words and n-grams that a counting task holds before it hands them on.
-TASK_WORDS, TASK_GRAMS = 300_000, 3_000_000
+TASK_WORDS, TASK_GRAMS = 400_000, 3_000_000
 #: N-grams that are collected before they are folded into a task's table.
 FOLD_GRAMS = 1_000_000
 #: Different words whose class or count a task keeps at hand.
