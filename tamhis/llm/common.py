@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tamhis.workspace import written
 
 #: Texts are handed to numpy in slices of at most so many rows or bytes (one longer text is a slice of its own).
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 #: Classes of so large a part of all rows are joined apart.
 HOT = 1000
 
