@@ -1,18 +1,21 @@
 """N-gram scores of whole texts by a weighted backoff automaton.
 
-Words are grouped into classes: the most frequent words are classes of their own, all others one class,
-and the end of a text is another (which also stands before its beginning). The probability of a word is that
-of its class after the classes before it, times that of the word in its class. Class n-grams are smoothed with the
-next shorter history,
+Every word of a training text is a class of its own, unseen words are one class, and the end of a text is another
+(which also stands before its beginning). With ``CLASSES`` set, only so many words are classes of their own and
+the others join the unseen ones; the probability of a word is that of its class after the classes before it,
+times that of the word in its class. Class n-grams are smoothed with the next shorter history,
 
-    P(x | h) = (c(h x) + m P(x | h')) / (c(h) + m),        m = PRIORS[length of h],
+    P(x | h) = (c(h x) + m P(x | h')) / (c(h) + m),        m = max(PRIORS[length of h], d(h)),
 
+where d(h) is how many different classes follow a class, and of a pair the bound min(c(h), d(last of h)),
 down to the word frequencies themselves, (c + 0.5) / (N + 0.5 (V + 1)), so all probabilities sum to one. As an
 automaton: a history that occurs is a state, an n-gram an arc with its weight, and every state has a failure arc to the
 next shorter history that carries log m / (c(h) + m).
 
 The counts cover every training text and grow with the corpus, so no task holds them all. Documents are cut into shards
-of bounded text; each shard asks for the words and n-grams that it holds, and gets a sub-automaton with just these.
+of bounded text; each shard asks for the words and n-grams that it holds. N-grams travel as 64-bit hashes of their words'
+hashes, packed by range of the hash; a range is summed up in one place, and its answers go back to the shards. A
+shard reads its texts a bounded part at a time, each part with the sub-automaton of just its own n-grams.
 """
 
 import math
@@ -21,6 +24,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,12 +33,14 @@ from pyspark.sql import types as T
 from tamhis.llm.common import col, first_rows, largest, map_texts, text_slices
 from tamhis.workspace import written
 
-#: Words that are classes of their own.
-CLASSES = 1024
+#: So many of the most frequent words are classes of their own; None: all words.
+CLASSES = None
 #: By length of the history: how many occurrences the shorter history is worth.
 PRIORS = (0, 300.0, 300.0)
 #: Text of a shard, in bytes.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: Text whose n-grams make one range of hashes, in bytes, and the least number of ranges.
+RANGE_BYTES, LEAST_RANGES = 8 << 20, 64
 #: Files of more than a shard whose cuts are broadcast.
 CUT_FILES = 100_000
 #: Different words and n-grams that a counting task holds before it hands them on.
@@ -45,10 +51,12 @@ FOLD_GRAMS = 1_000_000
 WORDS_HELD = 150_000
 #: Texts are read in lanes of so many words that advance together.
 LANE = 64
-END, RARE, FIRST = 0, 1, 2  # class numbers
-END_WORD = 0  # stands for the end in the table of words
+#: Words that are numbered together, and the longest piece of a text among them; numbers have ``BITS`` bits.
+PART_WORDS, LINE_WORDS, BITS = 1 << 20, 1 << 19, 21
+END, RARE = 0, 1  # class numbers, and the keys that stand for them among the words' keys
+NO_WORD = 2  # a key that no word has
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_PAIR, _TRIPLE = 2 << 48, 3 << 48
+_NUMBER, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -56,27 +64,29 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def word_key(word: bytes) -> int:
-    """XXH64 as a signed long; the end's key is left free."""
+    """XXH64 as a signed long; the three keys above are left free."""
     h = xxhash.xxh64_intdigest(word)
-    return (h - (1 << 64) if h >> 63 else h) or 1
+    return h - (1 << 64) if h >> 63 else max(h, NO_WORD + 1)
 
 
-def sharded(docs: DataFrame, key: str, text: str, learn) -> DataFrame:
-    """(key, text, learn, shard): the texts of a file, cut by a hash into shards of about ``SHARD_BYTES``.
+def sharded(docs: DataFrame, key: str, text: str, learn) -> tuple[DataFrame, int]:
+    """(key, text, learn, shard): the texts of a file, cut by a hash into shards of about ``SHARD_BYTES``; bytes of all texts.
 
     File and text alone decide, so every pass over the same rows sees the same shards however it is split into tasks.
     Rows that come from no file are cut in the same way.
     """
     rows = docs.select(col(key).alias("key"), col(text).cast("string").cast("binary").alias("text"), learn.alias("learn"),
                        F.input_file_name().alias("file"))
-    sizes = written(rows.groupBy("file").agg(F.ceil(F.sum(F.length("text")) / F.lit(SHARD_BYTES)).alias("parts")), "files")
-    cut = sizes.filter("parts > 1")
+    size = F.sum(F.length("text"))
+    sizes = written(rows.groupBy("file").agg(F.ceil(size / F.lit(SHARD_BYTES)).alias("parts"), size.alias("bytes")), "files")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    cut = sizes.filter("parts > 1").drop("bytes")
     if cut.count() <= CUT_FILES:
         rows = rows.join(F.broadcast(cut), "file", "left")
     else:  # too many to broadcast: every file is cut like the largest, which is as right with more shards
         rows = rows.withColumn("parts", F.lit(cut.agg(F.max("parts")).first()[0]))
     part = F.pmod(F.xxhash64("key", "text"), F.coalesce("parts", F.lit(1)))
-    return rows.select("key", "text", "learn", F.xxhash64("file", part).alias("shard"))
+    return rows.select("key", "text", "learn", F.xxhash64("file", part).alias("shard")), total
 
 
 def _count_words(batches):
@@ -87,7 +97,7 @@ def _count_words(batches):
             keys = [word_key(w) for w in counts] + [word_key(w) for w in only]
             n = [*counts.values(), *[0] * len(only)]
             if ends[shard]:
-                keys.append(END_WORD)
+                keys.append(END)
                 n.append(ends[shard] - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), shard)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())],
@@ -109,88 +119,180 @@ def _count_words(batches):
 
 def class_grams(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs and triples (packed) of a text's classes between two ends."""
-    line = np.concatenate([[END], classes, [END]])
-    return _PAIR | line[:-1] << 16 | line[1:], _TRIPLE | line[:-2] << 32 | line[1:-1] << 16 | line[2:]
+    return _packed(np.concatenate([[END], classes, [END]]))
 
 
-def _count_grams(shared):
+def _packed(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = line[:-1] << BITS | line[1:]
+    return pairs, pairs[:-1] << BITS | line[2:]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> np.uint64(33)) * np.uint64(factor)
+    return x ^ x >> np.uint64(33)
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of the pairs of words with the keys a and b (all unsigned)."""
+    return _mixed(_mixed(a + np.uint64(0x9E3779B97F4A7C15)) + b)
+
+
+def triple_keys(pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _mixed(pairs * np.uint64(0xD6E8FEB86659FD93) + c)
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max()))).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, the sum of n and the head of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n, heads[order[first]]
+
+
+_NOTHING = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+
+
+def _count_grams(shared, ranges):
+    """(range, shards, which, heads, head, grams, counts) of a task: the n-grams of a range of hashes, the shards that hold
+    them, the first words of pairs, and the training counts (0 for those of other texts only)."""
     def run(batches):
-        number, known = shared.value, {}
+        own_class, known = shared.value, {}
 
-        def classes(text):
+        def keys_of(text):
             found = words_of(text)
             if len(known) > WORDS_HELD:
                 known.clear()
             for w in set(found).difference(known):
-                known[w] = number.get(word_key(w), RARE)
-            return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+                k = word_key(w)
+                known[w] = k if own_class is None or k in own_class else RARE
+            line = np.empty(len(found) + 2, np.int64)
+            line[0] = line[-1] = END
+            line[1:-1] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            return line.view(np.uint64)
 
         def fold(shard):
             """Fold what has been collected of a shard into its table."""
             table, own, others = held[shard]
             parts = [table]
             for arrays, used in ((own, 1), (others, 0)):
-                if arrays:
-                    keys, n = np.unique(np.concatenate(arrays), return_counts=True)
-                    parts.append((keys, n * used))
-            keys, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
-            held[shard] = ((keys[first], np.add.reduceat(n[order], first) if len(first) else n), [], [])
+                parts += [(keys, np.full(len(keys), used), heads) for keys, heads in arrays]
+            held[shard] = (_summed(*(np.concatenate(x) for x in zip(*parts))), [], [])
 
         def flush():
-            for shard in list(held):
+            shards = np.array(list(held), np.int64)
+            for shard in held:
                 fold(shard)
-                keys, n = held.pop(shard)[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), shard)), pa.array(keys), pa.array(n)], ["shard", "gram", "n"])
+            tables = [held[s][0] for s in held]
+            keys, n, heads = (np.concatenate(x) for x in zip(*tables))
+            which = np.repeat(np.arange(len(shards)), [len(t[0]) for t in tables])
+            held.clear()
+            place = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            order = np.argsort(place, kind="stable")
+            place, keys, n, heads, which = place[order], keys[order], n[order], heads[order], which[order]
+            at, first = np.unique(place, return_index=True)
+            rows = []
+            for start, stop in zip(first, [*first[1:], len(keys)]):
+                here, index = np.unique(which[start:stop], return_inverse=True)
+                first_words, head = np.unique(heads[start:stop], return_inverse=True)
+                rows.append((shards[here].tobytes(), _narrow(index), first_words.tobytes(), _narrow(head),
+                             keys[start:stop].tobytes(), _narrow(n[start:stop])))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at.astype(np.int64)), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(6)]],
+                ["range", "shards", "which", "heads", "head", "grams", "counts"])
 
         held, size = {}, 0
         for batch in batches:
             for part in text_slices(batch, 0):
                 for text, learn, shard in zip(*(c.to_pylist() for c in part.columns)):
-                    pairs, triples = class_grams(classes(text))
-                    _, own, others = held.setdefault(shard, ((np.empty(0, np.int64), np.empty(0, np.int64)), [], []))
-                    (own if learn else others).extend((pairs, triples))
+                    line = keys_of(text)
+                    pairs = pair_keys(line[:-1], line[1:])
+                    _, own, others = held.setdefault(shard, (_NOTHING, [], []))
+                    triples = triple_keys(pairs[:-1], line[2:])
+                    (own if learn else others).extend(
+                        ((pairs, line[:-1]), (triples, np.full(len(triples), NO_WORD, np.uint64))))
                     size += 2 * len(pairs)
                     if size >= FOLD_GRAMS:
                         for k in held:
                             fold(k)
                         size = 0
                 if sum(len(t[0][0]) for t in held.values()) >= TASK_GRAMS:
-                    yield from flush()
-        yield from flush()
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     return run
 
 
+def _answer(asked: pa.Table) -> pa.Table:
+    """(shard, grams, counts) with the training counts over all shards of the n-grams of one range, for every shard that holds
+    them, and a row (heads, followers) with the number of its different pairs by first word."""
+    keys, shards, heads, counts = [], [], [], []
+    for own, which, words, head, grams, n in zip(*(asked.column(c).to_pylist() for c in asked.column_names[1:])):
+        keys.append(np.frombuffer(grams, np.uint64))
+        shards.append(np.frombuffer(own, np.int64)[_wide(which, len(keys[-1]))])
+        heads.append(np.frombuffer(words, np.int64)[_wide(head, len(keys[-1]))])
+        counts.append(_wide(n, len(keys[-1])))
+    keys, shards, heads, counts = map(np.concatenate, (keys, shards, heads, counts))
+    names, shards = np.unique(shards, return_inverse=True)
+    order = np.lexsort((shards, keys))
+    keys, shards, heads, counts = keys[order], shards[order], heads[order], counts[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    total = np.add.reduceat(counts, np.nonzero(new)[0])[np.cumsum(new) - 1]
+    first, followers = np.unique(heads[new & (total > 0) & (heads != NO_WORD)], return_counts=True)
+    once = (new | np.concatenate([[True], shards[1:] != shards[:-1]])) & (total > 0)
+    keys, shards, total = keys[once], shards[once], total[once]
+    order = np.argsort(shards, kind="stable")
+    keys, total = keys[order], total[order]
+    ends = np.searchsorted(shards[order], np.arange(len(names) + 1))
+    some = np.nonzero(ends[1:] > ends[:-1])[0]
+    cuts = [slice(ends[i], ends[i + 1]) for i in some]
+    none, longs = [None] * len(cuts), pa.list_(pa.int64())
+    return pa.table([pa.array([*names[some].tolist(), None], pa.int64()),
+                     pa.array([*(keys[c].tobytes() for c in cuts), None], pa.binary()),
+                     pa.array([*(_narrow(total[c]) for c in cuts), None], pa.binary()),
+                     pa.array([*none, first], longs), pa.array([*none, followers], longs)],
+                    ["shard", "grams", "counts", "heads", "followers"])
+
+
 class Automaton:
     """States are histories, numbered: 0 the empty one, 1 + class, then the pairs that occur."""
 
-    def __init__(self, pairs, pair_counts, triples, triple_counts, class_counts, class_probs):
+    def __init__(self, pairs, pair_counts, triples, triple_counts, class_counts, class_probs, followers=0):
         self.classes = len(class_probs)
         self.pairs, self.triples = pairs, triples
-        a, b = pairs >> 16 & 0xFFFF, pairs & 0xFFFF
-        m1, m2 = PRIORS[1], PRIORS[2]
-        p2 = (pair_counts + m1 * class_probs[b]) / (class_counts[a] + m1)
+        a, b = pairs >> BITS, pairs & _NUMBER
+        followers = np.broadcast_to(followers, self.classes)
+        m1 = np.maximum(PRIORS[1], followers)
+        m2 = np.maximum(PRIORS[2], np.minimum(pair_counts, followers[b]))
+        p2 = (pair_counts + m1[a] * class_probs[b]) / (class_counts[a] + m1[a])
         self.root = np.log10(class_probs)
         self.pair_weight, self.pair_state = np.log10(p2), 1 + self.classes + np.arange(len(pairs))
         self.triple_weight, self.triple_state = np.empty(len(triples)), np.empty(len(triples), np.int32)
         for k in range(0, len(triples), 1 << 18):  # in pieces, for the sake of memory
             some = slice(k, k + (1 << 18))
-            inner = np.searchsorted(pairs, _PAIR | triples[some] >> 16 & 0xFFFFFFFF)
-            outer = np.searchsorted(pairs, _PAIR | triples[some] & 0xFFFFFFFF)
-            self.triple_weight[some] = np.log10((triple_counts[some] + m2 * p2[outer]) / (pair_counts[inner] + m2))
+            inner = np.searchsorted(pairs, triples[some] >> BITS)
+            outer = np.searchsorted(pairs, triples[some] & _TWO)
+            self.triple_weight[some] = np.log10((triple_counts[some] + m2[inner] * p2[outer]) / (pair_counts[inner] + m2[inner]))
             self.triple_state[some] = self.pair_state[outer]
         one, two = np.log10(m1 / (class_counts + m1)), np.log10(m2 / (pair_counts + m2))
         self.fail_weight = np.concatenate([[0.0], one, two])
         self.fail_state = np.concatenate([np.zeros(1 + self.classes, np.int64), 1 + b])
-        self.tail = np.concatenate([[0], np.arange(self.classes), pairs & 0xFFFFFFFF])  # classes of the history, packed
+        self.tail = np.concatenate([[0], np.arange(self.classes), pairs])  # classes of the history, packed
 
     def start(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The state after two classes (the longest history that is a state)."""
-        at, found = self._arcs(self.pairs, _PAIR | before << 16 | last)
+        at, found = self._arcs(self.pairs, before << BITS | last)
         return np.where(found, 1 + self.classes + at, 1 + last)
 
     @staticmethod
@@ -204,12 +306,12 @@ class Automaton:
         """Next states and log10 probabilities: failure arcs are followed until a state has an arc for the class."""
         score, after = np.zeros(len(state)), 1 + read
         left = np.arange(len(state))
-        for table, kind, low, weight, to in (
-                (self.triples, _TRIPLE, 1 + self.classes, self.triple_weight, self.triple_state),
-                (self.pairs, _PAIR, 1, self.pair_weight, self.pair_state)):
+        for table, low, weight, to in (
+                (self.triples, 1 + self.classes, self.triple_weight, self.triple_state),
+                (self.pairs, 1, self.pair_weight, self.pair_state)):
             deep = state[left] >= low
             rows = left[deep]
-            at, found = self._arcs(table, kind | self.tail[state[rows]] << 16 | read[rows])
+            at, found = self._arcs(table, self.tail[state[rows]] << BITS | read[rows])
             hit, miss = rows[found], rows[~found]
             score[hit] += weight[at[found]]
             after[hit] = to[at[found]]
@@ -221,18 +323,24 @@ class Automaton:
         return after, score
 
     def read(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text's classes, its end included.
+        """log10 probability of each text's classes, its end included."""
+        lines = [np.concatenate([[END], t, [END]]) for t in texts]
+        return self.read_lines(np.concatenate(lines), np.array([len(x) for x in lines]), np.ones(len(lines), np.int64))
+
+    def read_lines(self, line: np.ndarray, size: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """log10 probability of every line (``size`` classes of ``line``) after its first one (the end) or two classes.
 
-        The texts are cut into lanes that are read from left to right, all lanes one word at a time; a lane that does
+        The lines are cut into lanes that are read from left to right, all lanes one word at a time; a lane that does
         not begin a text starts in the state its two classes before lead to.
         """
-        owner = np.repeat(np.arange(len(texts)), [-(-(len(t) + 1) // LANE) for t in texts])
-        first = np.concatenate([np.arange(0, len(t) + 1, LANE) for t in texts])
-        line = np.concatenate([np.append(np.append(END, t), END) for t in texts])  # a text's classes between two ends
-        base = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
-        begin = base[owner] + first  # what stands before the lane's first word
+        lanes = -(-(size - given) // LANE)
+        owner = np.repeat(np.arange(len(size)), lanes)
+        first = (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        base = np.concatenate([[0], np.cumsum(size)])
+        begin = base[owner] + given[owner] - 1 + first  # what stands before the lane's first word
         stop = np.minimum(begin + LANE, base[owner + 1] - 1)
-        state = np.where(first > 0, self.start(line[np.maximum(begin - 1, 0)], line[begin]), 1 + END)
+        inside = begin > base[owner]
+        state = np.where(inside, self.start(line[np.maximum(begin - 1, 0)], line[begin]), 1 + END)
         total = np.zeros(len(owner))
         order = np.argsort(begin - stop, kind="stable")  # longest lanes first, so that the active ones are a prefix
         state, begin, length = state[order], begin[order], (stop - begin)[order]
@@ -242,7 +350,7 @@ class Automaton:
                 break
             state[:active], score = self.step(state[:active], line[begin[:active] + 1 + k])
             total[order[:active]] += score
-        return np.bincount(owner, total, len(texts))
+        return np.bincount(owner, total, len(size))
 
 
 def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,7 +362,7 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
     probability is 1 and both scores 0. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    rows = sharded(docs, key, text, F.coalesce(learn, F.lit(False)))
+    rows, volume = sharded(docs, key, text, F.coalesce(learn, F.lit(False)))
     seen = rows.select("text", "learn", "shard").mapInArrow(_count_words, "shard long, word long, n long")
     every = Window.partitionBy("word")
     words = written(seen.withColumns({
@@ -263,71 +371,147 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
     heads = words.filter("head")
     total, distinct = heads.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    top = first_rows(heads.filter(F.col("word") != END_WORD), CLASSES, largest(F.col("c")), F.desc("c"), F.col("word"))
-    top = top.select("word", "c").collect()
-    ends = heads.filter(F.col("word") == END_WORD).select("c").first()
-    number = spark.sparkContext.broadcast({r[0]: i + FIRST for i, r in enumerate(top)})
-    counts = np.array([ends[0] if ends else 0, 0, *[r[1] for r in top]], np.float64)
-    counts[RARE] = total - counts.sum()
-    probs = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-    probs[RARE] = 1 - probs[END] - probs[FIRST:].sum()
-    seen_grams = rows.select("text", "learn", "shard").mapInArrow(_count_grams(number), "shard long, gram long, n long")
-    grams = written(seen_grams.withColumn("c", F.sum("n").over(Window.partitionBy("gram"))).filter("c > 0").drop("n"), "grams")
-    answers = words.select("shard", F.lit(True).alias("is_word"), F.col("word").alias("id"), "c").union(
-        grams.select("shard", F.lit(False), "gram", "c"))
+    ends = heads.filter(F.col("word") == END).select("c").first()
+    ends = ends[0] if ends else 0
+    own_class, rare = None, (0, 0.5 / (total + 0.5 * (distinct + 1)), 0)  # count, probability, followers
+    if CLASSES is not None:
+        top = first_rows(heads.filter(F.col("word") != END), CLASSES, largest(F.col("c")), F.desc("c"), F.col("word"))
+        own_class = dict(top.select("word", "c").collect())
+        counts = np.array([ends, *own_class.values()], np.float64)
+        rare = total - counts.sum(), 1 - ((counts + 0.5) / (total + 0.5 * (distinct + 1))).sum()
+    shared = spark.sparkContext.broadcast(own_class)
+    ranges = max(LEAST_RANGES, -(-volume // RANGE_BYTES))
+    asked = rows.select("text", "learn", "shard").mapInArrow(
+        _count_grams(shared, ranges), "range long, shards binary, which binary, heads binary, head binary, grams binary, counts binary")
+    grams = written(asked.groupBy("range").applyInArrow(
+        _answer, "shard long, grams binary, counts binary, heads array<long>, followers array<long>"), "grams")
+    pairs = grams.filter("shard IS NULL").select(F.explode(F.arrays_zip("heads", "followers")).alias("p"))
+    followers = written(pairs.groupBy(F.col("p.heads").alias("word")).agg(F.sum("p.followers").alias("followers")).filter(
+        F.col("followers") > PRIORS[1]), "followers")
+    if CLASSES is not None:
+        after = followers.filter(F.col("word") == RARE).first()
+        rare += (after[1] if after else 0,)
+    none = F.lit(None)
+    words = words.join(followers, "word", "left")
+    answers = words.select("shard", "word", "c", "followers", none.cast("binary").alias("grams"), none.cast("binary").alias("counts")).union(
+        grams.filter("shard IS NOT NULL").select("shard", *[none.cast("long")] * 3, "grams", "counts"))
     out = T.StructType([T.StructField(key, rows.schema["key"].dataType)] + [
         T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [
         T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
-    scorer = _scorer(number, counts, probs, int(total), int(distinct), out.names)
+    scorer = _scorer(shared, int(ends), rare, int(total), int(distinct), out.names)
     packed = map_texts(rows, "text", ["shard", "key"], [("packed", T.BinaryType())],
                        lambda: lambda found: [[zlib.compress(t or b"", 1) for t in found]])
     return packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(scorer, out)
 
 
-def _table(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order, each once (several tasks may have asked for a shard), and their counts."""
+def _table(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Keys in order, each once (several tasks may have asked for a shard), and their columns."""
     order = np.argsort(keys)
     keys = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
-    return keys[first], counts[order[first]]
+    return [keys[first], *(c[order[first]] for c in columns)]
 
 
-def _scorer(number, counts, probs, total, distinct, names):
+def _look_up(table: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of the keys, 0 for those that are not in the (ordered) table; asked in order, which is kinder to the cache."""
+    order = np.argsort(keys)
+    at, found = Automaton._arcs(table, keys[order])
+    out = [np.zeros(len(keys), np.int64) for _ in columns]
+    for values, column in zip(out, columns):
+        values[order[found]] = column[at[found]]
+    return out
+
+
+def _read_part(line: np.ndarray, size: np.ndarray, given: np.ndarray, count_of, grams, gram_counts, rare, scale) -> np.ndarray:
+    """log10 probability of every line of word keys, by the automaton of just these lines' n-grams."""
+    alphabet, line = np.unique(np.concatenate([np.array([END, RARE], np.uint64), line]), return_inverse=True)
+    line = line[2:]
+    counts, followers = (x.astype(np.float64) for x in count_of(alphabet))
+    probs = (counts + 0.5) / scale
+    counts[RARE], probs[RARE], followers[RARE] = rare
+    pairs, triples = _packed(line)
+    ends = np.cumsum(size)[:-1]
+    pairs = np.unique(np.delete(pairs, ends - 1))
+    # no triple goes over the end of a line; a line has two classes at least
+    triples = np.unique(np.delete(triples, np.concatenate([ends - 2, ends - 1]))) if len(triples) else triples
+    pair_counts, = _look_up(grams, pair_keys(alphabet[pairs >> BITS], alphabet[pairs & _NUMBER]), gram_counts)
+    inner = triples >> BITS
+    before = pair_keys(alphabet[inner >> BITS], alphabet[inner & _NUMBER])
+    triple_counts, = _look_up(grams, triple_keys(before, alphabet[triples & _NUMBER]), gram_counts)
+    seen, deep = pair_counts > 0, triple_counts > 0
+    automaton = Automaton(pairs[seen], pair_counts[seen], triples[deep], triple_counts[deep], counts, probs, followers)
+    return automaton.read_lines(line, size, given)
+
+
+def _scorer(shared, ends, rare, total, distinct, names):
     scale = total + 0.5 * (distinct + 1)
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        is_word, ids, c = (answers.column(n).to_numpy() for n in ("is_word", "id", "c"))
-        word_ids, word_counts = _table(ids[is_word], c[is_word])
-        grams, gram_counts = _table(ids[~is_word], c[~is_word])
-        del is_word, ids, c
-        split = int(np.searchsorted(grams, _TRIPLE))
-        automaton = Automaton(grams[:split], gram_counts[:split], grams[split:], gram_counts[split:], counts, probs)
-        del gram_counts
-        known, size, classes = {}, np.empty(0), np.empty(0, np.int64)
-        end_base = math.log10((counts[END] + 0.5) / scale)
+        own_class = shared.value
+        is_word = answers.column("word").is_valid()
+        of_words = answers.select(["word", "c", "followers"]).filter(is_word)
+        word_ids, word_counts, followers = _table(
+            of_words.column("word").to_numpy().view(np.uint64), of_words.column("c").to_numpy(),
+            pc.fill_null(of_words.column("followers"), 0).to_numpy())
+        packed = answers.select(["grams", "counts"]).filter(pc.invert(is_word))
+        parts = [(np.frombuffer(g, np.uint64), c) for g, c in zip(*(packed.column(n).to_pylist() for n in ("grams", "counts")))]
+        del of_words, packed
+        parts.sort(key=lambda p: p[0][0])  # ranges follow each other
+        grams = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in parts]])
+        gram_counts = np.concatenate([np.empty(0, np.int64), *[_wide(c, len(g)) for g, c in parts]])
+        del parts
+        known, size, keys = {}, np.empty(0, np.int64), np.empty(0, np.uint64)
+        end_base = math.log10((ends + 0.5) / scale)
         columns = [[] for _ in names[1:]]
+        scores = np.zeros(len(texts))
+        waiting, held = [], 0  # (text's number, line, classes given), and their words
+
+        def count_of(alphabet):
+            return _look_up(word_ids, alphabet, word_counts, followers)
+
+        def read():
+            owner, lines, given = zip(*waiting)
+            by_line = _read_part(np.concatenate(lines), np.array([len(x) for x in lines]), np.array(given), count_of, grams,
+                                 gram_counts, rare, scale)
+            np.add.at(scores, np.array(owner), by_line)
+            waiting.clear()
+
         for part in (p for b in texts.select(["key", "packed"]).to_batches() for p in text_slices(b, 1)):
             found = [words_of(zlib.decompress(t)) for t in part.column(1).to_pylist()]
             if len(known) > WORDS_HELD:
-                known, size, classes = {}, size[:0], classes[:0]
+                known, size, keys = {}, size[:0], keys[:0]
             new = list(set().union(*found).difference(known))
-            keys = np.array([word_key(w) for w in new], np.int64)
-            at, hit = Automaton._arcs(word_ids, keys)
+            new_keys = np.array([word_key(w) for w in new], np.int64).view(np.uint64)
+            new_size, _ = count_of(new_keys)
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            size = np.concatenate([size, np.where(hit, word_counts[at] if len(word_counts) else 0, 0)])
-            classes = np.concatenate([classes, np.array([number.value.get(k, RARE) for k in keys.tolist()], np.int64)])
-            del new, keys, at, hit
+            own = new_size > 0
+            if own_class is not None:
+                own = np.array([k in own_class for k in new_keys.view(np.int64).tolist()], bool)
+            size = np.concatenate([size, new_size])
+            keys = np.concatenate([keys, np.where(own, new_keys, np.uint64(RARE))])
             lines = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in found]
-            del found
+            del found, new, new_keys, new_size
             base = np.log10((size + 0.5) / scale)
-            inner = np.where(classes == RARE, base - math.log10(probs[RARE]), 0.0) if total else np.zeros(len(base))
-            by_class = automaton.read([classes[x] for x in lines]) if total else np.zeros(len(lines))
-            columns[0] += [len(x) + 1 for x in lines]
-            columns[1] += [int((size[x] > 0).sum()) + int(counts[END] > 0) for x in lines]
-            columns[2] += [total] * len(lines)
-            columns[3] += [float(base[x].sum()) + end_base for x in lines]
-            columns[4] += [float(s + inner[x].sum()) for s, x in zip(by_class, lines)]
+            inner = np.where(keys == RARE, base - math.log10(rare[1]), 0.0) if total else np.zeros(len(base))
+            for x in lines:
+                if total:
+                    number = len(columns[0])
+                    scores[number] += inner[x].sum()
+                    line = np.concatenate([np.zeros(1, np.uint64), keys[x], np.zeros(1, np.uint64)])
+                    for k in range(0, len(x) + 1, LINE_WORDS):  # words k to k + LINE_WORDS after one or two before them
+                        waiting.append((number, line[max(0, k - 1): k + 1 + LINE_WORDS], 2 if k else 1))
+                        held += len(waiting[-1][1])
+                        if held >= PART_WORDS:
+                            read()
+                            held = 0
+                columns[0].append(len(x) + 1)
+                columns[1].append(int((size[x] > 0).sum()) + int(ends > 0))
+                columns[2].append(total)
+                columns[3].append(float(base[x].sum()) + end_base)
+        if waiting:
+            read()
+        columns[4] = scores
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.table([texts.column("key"), *[pa.array(v, k) for v, k in zip(columns, kinds)]], names)
 

@@ -91,3 +91,19 @@ def test_words_of_other_texts_are_better_predicted_than_by_frequency(spark):
 
     got = op8_language_model_scoring(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert (got.score > got.base_score).mean() > 0.9
+
+
+@pytest.mark.parametrize("part, line", [(1 << 20, 1 << 19), (50, 7)])
+def test_rare_words_have_ngrams_of_their_own(spark, monkeypatch, part, line):
+    monkeypatch.setattr(L, "PART_WORDS", part)
+    monkeypatch.setattr(L, "LINE_WORDS", line)
+    monkeypatch.setattr(L, "SHARD_BYTES", 4000)
+    frequent = " ".join(f"w{i} w{i}" for i in range(1500))
+    texts = [frequent, *["rare pair here"] * 2, "rare pair here", "here pair rare", "rare", " ".join(f"r{i % 40}" for i in range(200))]
+    learn = [True, True, True, False, False, True, True]
+    docs = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, learn))], "doc_id long, text string, learn boolean")
+    got = {r.doc_id: tuple(r)[1:] for r in L.score_texts(docs.repartition(3), F.col("learn")).collect()}
+    want = plain(texts, learn, 10**9)[0]
+    for i, row in enumerate(want):
+        assert got[i][:3] == row[:3] and got[i][3:] == pytest.approx(row[3:], rel=1e-9)
+    assert got[3][4] > got[4][4] + 0.1  # the same words in an order that was seen
