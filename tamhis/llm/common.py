@@ -66,7 +66,7 @@ def map_texts(docs: DataFrame, text: str, keep: Sequence[str], out: Sequence[tup
     tmp = fresh("text_bytes", [*docs.columns, *made])
     narrow = docs.select(*[col(c) for c in keep], col(text).cast("string").cast("binary").alias(tmp))
     schema = T.StructType([*narrow.schema.fields[:-1], *[T.StructField(n, t) for n, t in out]])
-    kinds = [_ARROW[type(t)] for _, t in out]
+    kinds = [pa.list_(_ARROW[type(t.elementType)]) if isinstance(t, T.ArrayType) else _ARROW[type(t)] for _, t in out]
     names = schema.names
 
     def run(batches):

@@ -50,3 +50,20 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = op4_language_id(spark, sf).join(docs, "doc_id").filter("held_out")
     assert got.filter("lang = lang_pred").count() >= 0.98 * got.count() > 200
+
+
+def test_a_frequent_language_does_not_displace_a_rare_one(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26 ** k % 26] for k in range(5)) for i in range(0, 60_000 * 197, 197)]
+    train = [(" ".join(words[k:k + 500] * 3), "en") for k in range(0, len(words), 500)] + [("αβγδ εζηθ λαβγδικ", "xx")]
+    model = L.fit(spark.createDataFrame(train, "text string, lang string"))
+    rows = [(1, "αβγδ εζηθ"), (2, "αβγδικλ"), (3, f"{words[0]} {words[-1]}"), (4, "εζηθ " * 3), (4, "εζηθ " * 3), (5, "шшш"), (6, "7 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = L.identify(docs, model).collect()
+    want = {1: "xx", 2: "xx", 3: "en", 4: "xx", 5: "en", 6: "und"}
+    assert len(got) == len(rows) and all(r.lang_pred == want[r.doc_id] for r in got)
+    scores = {r.doc_id: r.score for r in got}
+    for i, words_of in ((1, ["αβγδ", "εζηθ"]), (2, ["αβγδικλ"]), (4, ["εζηθ"] * 3)):
+        total = sum(model.scores(w).astype(float) for w in words_of)
+        assert scores[i] == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-5)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1 and scores[5] == pytest.approx(0.5)
