@@ -15,8 +15,11 @@ THRESHOLD = 0.98
 SHARD_ROWS = 16_384
 #: First beam of a search; it is doubled until the audit of a task passes.
 BEAM = 32
-#: An audit compares so many queries with all vectors of the shard: all links and this share of the nearest eight.
-AUDIT, AUDIT_NEAREST, AUDIT_RECALL = 64, 8, 0.9
+#: Queries are compared with all vectors of the shard until so many, and this part of them, have a link. On these a beam must
+#: find all links and this share of the nearest eight before the graph is asked for the other queries.
+AUDIT, AUDIT_PART, AUDIT_NEAREST, AUDIT_RECALL = 64, 1 / 128, 8, 0.95
+#: Queries that are compared with all vectors at a time.
+BLOCK = 512
 #: A beam that has been widened to more than this part of a shard is replaced by products with the whole shard.
 WIDEST = 1 / 16
 
@@ -96,13 +99,27 @@ def _search(threshold: float):
         queries = _units(asked.column("vector"))
         reps, own_reps = index.column("rep").to_numpy(), asked.column("rep").to_numpy()
         own = np.arange(len(reps)) if len(reps) == len(own_reps) and (reps == own_reps).all() else None
-        sample = np.argsort((own_reps * np.int64(-7046029254386353131)) ^ np.int64(0x5851F42D), kind="stable")[:AUDIT]
-        exact = queries[sample] @ units.T
-        nearest = np.argsort(-exact, axis=1)[:, :AUDIT_NEAREST]
-        beam = BEAM
-        while beam < len(reps) and not _audit(exact, nearest, graph, queries[sample], own if own is None else own[sample], beam, floor):
-            beam *= 2
-        q, node = _hits(graph, queries, own, beam, floor) if beam < len(reps) or BEAM >= len(reps) else _all(units, queries, threshold)
+        order = np.argsort((own_reps * np.int64(-7046029254386353131)) ^ np.int64(0x5851F42D), kind="stable")
+        need, linked, done = max(AUDIT, int(len(order) * AUDIT_PART)), np.empty(0, np.int64), 0
+        hits = []
+        while done < len(order) and len(linked) < need:
+            block = order[done:done + BLOCK]
+            q, node = _all(units, queries[block], threshold)
+            hits.append((block[q], node))
+            linked = np.concatenate([linked, np.unique(block[q[own_reps[block[q]] != reps[node]]])])
+            done += BLOCK
+        rest = order[done:]
+        if len(rest):  # where links are rarer, all queries have been compared and nothing is left to the graph
+            sample = linked[:need]
+            exact = queries[sample] @ units.T
+            nearest = np.argsort(-exact, axis=1)[:, :AUDIT_NEAREST]
+            part = lambda which: None if own is None else own[which]
+            beam, widest = BEAM, max(BEAM, len(reps) * WIDEST)
+            while beam <= widest and not _audit(exact, nearest, graph, queries[sample], part(sample), beam, floor):
+                beam *= 2
+            q, node = _hits(graph, queries[rest], part(rest), beam, floor) if beam <= widest else _all(units, queries[rest], threshold)
+            hits.append((rest[q], node))
+        q, node = (np.concatenate(x) for x in zip(*hits))
         cosine = np.concatenate([np.einsum("id,id->i", queries[q[k:k + 65536]], units[node[k:k + 65536]])
                                  for k in range(0, len(q), 65536)]) if len(q) else np.empty(0)
         keep = (cosine >= threshold) & (own_reps[q] != reps[node])
@@ -169,8 +186,10 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     are one node with a size; rows that repeat a key are vectors of their own that share its component.
 
     Each label's vectors are cut into shards of about ``SHARD_ROWS``, so a label may hold any share of the rows. A task
-    builds one shard's graph; every shard is then asked for every block of its label's vectors, with beams that widen until
-    an audit against exact products passes (a graph that never passes is replaced by blocked products).
+    builds one shard's graph; every shard is then asked for every block of its label's vectors. Queries are compared exactly
+    until enough of them have links to audit the graph with; the others are searched, with beams that widen until the
+    audit passes (a graph that never passes is replaced by blocked products). A pair of shards with fewer linked queries is
+    compared exactly as a whole.
     """
     v = col(embedding).cast("array<double>")
     rows = vectors.select(col(key).cast("long").alias("key"), v.alias("vector"), col(label).cast("string").alias("label"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tamhis.llm import embedding_dedup as E
@@ -67,3 +68,38 @@ def test_null_and_repeated_keys(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicate_vectors(table).collect()), key=str)
     assert got[-1] == (None, 0, None) and {c for k, _, c in got if k} <= {3, 5}
     assert E.near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_rare_links_are_found_where_the_graph_does_not_lead(monkeypatch):
+    monkeypatch.setattr(E, "BEAM", 256)  # wide enough for the nearest of random vectors
+    own = np.random.default_rng(3)
+    x = own.standard_normal((2000, 16))
+    asked = own.standard_normal((2000, 16))
+    lost = [300, 900, 1500]
+    asked[[10, 20, 30]] = x[lost] + 0.01 * own.standard_normal((3, 16))
+
+    def table(first, vectors):
+        n = len(vectors)
+        return pa.table({"grp": ["g"] * n, "shard": [0] * n, "shards": [2] * n, "rep": np.arange(first, first + n), "size": [1] * n,
+                         "vector": [v.tolist() for v in vectors], "draw": own.integers(0, 1 << 62, n)})
+
+    index = E._build(table(0, x))
+    links = [[[-1 if k in lost else k for k in level] for level in node] for node in index.column("links").to_pylist()]
+    index = index.set_column(index.column_names.index("links"), "links", pa.array(links, pa.list_(pa.list_(pa.int32()))))
+    found = E._search(0.98)(index, table(7000, asked)).to_pydict()
+    assert set(found["rep"]) >= {*lost, 7010, 7020, 7030} and found["n"] == [1] * len(found["n"])
+
+
+def test_link_recall_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARD_ROWS", 700)
+    own = np.random.default_rng(4)
+    x = own.standard_normal((4000, 16))
+    for i in range(1000, 2600):  # groups of three
+        x[i] = x[i % 800] + own.standard_normal(16) * 0.04
+    x = x.astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = dict((r.vec_id, r.n_links) for r in E.near_duplicate_vectors(table).collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 2000 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
+    print("link recall", sum(got.values()), "of", want.sum())
