@@ -33,13 +33,10 @@ def drop_low_quality(spark, docs, sf_dir):
 
 def drop_near_duplicates(spark, docs, sf_dir):
     """The document with the smallest id of every group of near-duplicates (rows without an id come last)."""
-    fp, component = (fresh(n, docs.columns) for n in ("fingerprint_bits", "component_id"))
+    fp, component, group = (fresh(n, docs.columns) for n in ("fingerprint_bits", "component_id", "group"))
     found = simhash.near_duplicates(
-        docs, words=3, max_bits=2, keep=docs.columns, fingerprint_col=fp, component_col=component)
+        docs, words=3, max_bits=2, keep=docs.columns, fingerprint_col=fp, component_col=component, group_col=group)
     order = [F.col("doc_id").asc_nulls_last(), col(fp), F.xxhash64("text")]
-    group = fresh("group", found.columns)
-    # groups without any id are told apart by their fingerprint
-    found = found.withColumn(group, F.coalesce(col(component).cast("string"), F.concat(F.lit("f"), col(fp).cast("string"))))
     return first_per_key(found, group, order).select(docs.columns)
 
 

@@ -173,16 +173,18 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id",
                     text: str = "text", keep=("doc_id",), fingerprint_col: str = "fingerprint_bits",
-                    component_col: str = "component_id") -> DataFrame:
+                    component_col: str = "component_id", group_col: str | None = None) -> DataFrame:
     """``keep`` columns, the fingerprint (long) and the component (smallest ``key`` reachable by links).
 
     Every row takes part. Equal fingerprints are one class, counted before anything is shuffled, so copies
     cost nothing; null and blank texts have fingerprint 0 and are linked like any other; a class all of whose
     keys are null has a null component. Repeated rows get the same component. An empty table gives no
-    rows. Input columns named like the two result columns are left out.
+    rows. With ``group_col``, a column of that name holds the smallest fingerprint reachable by links, which names the
+    component whatever the keys are. Input columns named like the result columns are left out.
     """
-    keep = [c for c in keep if c.lower() not in (fingerprint_col.lower(), component_col.lower())]
-    own = fresh("own_key", [*keep, fingerprint_col, component_col])
+    made = [fingerprint_col, component_col, *([group_col] if group_col else [])]
+    keep = [c for c in keep if c.lower() not in [m.lower() for m in made]]
+    own = fresh("own_key", [*keep, *made])
     marked = with_fingerprints(docs.withColumn(own, col(key)), fingerprint_col, text, [*keep, own], words)
     marked = written(marked, "fingerprints")
     fp = col(fingerprint_col)
@@ -190,9 +192,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, k
     parts = connected_components(links(classes.select("fp"), max_bits))
     named = classes.join(parts, classes["fp"] == parts["node"]).select("fp", "least", "component")
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
-    linked = named.join(smallest, "component").select("fp", "smallest")
-    size = fresh("size", [*marked.columns, component_col])
+    linked = named.join(smallest, "component").select("fp", "smallest", "component")
+    size = fresh("size", [*marked.columns, *made])
     of = written(classes.join(linked, "fp", "left").select(
-        F.col("fp").alias(fingerprint_col), F.coalesce("smallest", "least").alias(component_col), F.col("size").alias(size)), "components")
+        F.col("fp").alias(fingerprint_col), F.coalesce("smallest", "least").alias(component_col),
+        *([F.coalesce("component", "fp").alias(group_col)] if group_col else []), F.col("size").alias(size)), "components")
     found = join_classes(marked, of, [fingerprint_col], size)
-    return found.select(*[col(c) for c in keep], fp, col(component_col))
+    return found.select(*[col(c) for c in keep], *[col(c) for c in made])

@@ -92,3 +92,18 @@ def test_stages_take_an_empty_table(spark):
 
 def test_run(spark):
     assert C.run(spark, "/root/testdata/sf0.001").count() > 0 and C.ORACLE_SQL is None
+
+
+def test_groups_of_near_copies_do_not_depend_on_ids(spark):
+    base, near = [f"w{i}" for i in range(400)], None
+    for i in range(400):  # a copy one or two bits away
+        text = " ".join([*base[:i], "other", *base[i + 1:]])
+        if 1 <= (simhash.fingerprint(text.encode()) ^ simhash.fingerprint(" ".join(base).encode())).bit_count() <= 2:
+            near = text
+            break
+    rows = [(7, "one text of its own about ships"), (7, "quite another one on the growing of apples"), (None, " ".join(base)), (None, near)]
+    assert near
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = C.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 7) == sorted(t for _, t in rows[:2])
+    assert len([r for r in kept if r.doc_id is None]) == 1
