@@ -41,18 +41,27 @@ def held_out(key: str, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(key, modulus) == value, F.lit(True))
 
 
-def text_slices(batch: pa.RecordBatch, column: int):
-    """Slices of a batch with bounded text volume."""
-    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+def byte_lengths(column: pa.Array) -> np.ndarray:
+    """Bytes of every value of a string or binary column; none for null."""
+    return np.asarray(pc.fill_null(pc.binary_length(column), 0))
+
+
+def bounded(batch: pa.RecordBatch, volumes: np.ndarray, rows: int, volume: int):
+    """Slices of a batch of at most so many rows and so much volume; one larger row is a slice of its own."""
     at = 0
-    ends = np.cumsum(lengths, dtype=np.int64)
+    ends = np.cumsum(volumes, dtype=np.int64)
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        stop = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right"))))
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + volume, "right"))))
         yield batch.slice(at, stop - at)
         at = stop
 
 
+def text_slices(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with bounded text volume."""
+    return bounded(batch, byte_lengths(batch.column(column)), SLICE_ROWS, SLICE_BYTES)
+
+
 def map_texts(docs: DataFrame, text: str, keep: Sequence[str], out: Sequence[tuple[str, T.DataType]],
               start: Callable[[], Callable[[list], list]]) -> DataFrame:
     """The columns ``keep`` of every row and the columns ``out`` computed from its text.

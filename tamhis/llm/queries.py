@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tamhis.llm import (
-    decontamination, embedding_dedup, language_id, language_model, packing, quality, simhash, token_counts, toxicity, url_filter,
+    byte_bpe, decontamination, embedding_dedup, language_id, language_model, packing, quality, simhash, token_counts, toxicity, url_filter,
 )
 from tamhis.llm.common import held_out
 
@@ -73,8 +73,14 @@ def op10_quality(spark, sf_dir):
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_byte_bpe(spark, sf_dir):
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    return byte_bpe.digest(byte_bpe.decode(ids, ranks))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
+    op1_token_counts, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality, op13_byte_bpe,
 )}
 ORACLE_SQL = {
     "op2_embedding_near_dedup": """
