@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tamhis.llm import (
-    byte_bpe, decontamination, embedding_dedup, language_id, language_model, packing, quality, simhash, token_counts, toxicity, url_filter,
+    byte_bpe, decontamination, embedding_dedup, language_id, language_model, packing, quality, ranked_search, simhash, token_counts, toxicity, url_filter,
 )
 from tamhis.llm.common import held_out
 
@@ -73,6 +73,10 @@ def op10_quality(spark, sf_dir):
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -80,9 +84,32 @@ def op13_byte_bpe(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality, op13_byte_bpe,
+    op1_token_counts, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
+    op11_ranked_search, op13_byte_bpe,
 )}
 ORACLE_SQL = {
+    "op11_ranked_search": """
+        WITH doc AS (
+            SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM documents),
+        item AS (
+            SELECT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        tf AS (SELECT row, doc_id, term, count(*) AS tf FROM doc GROUP BY ALL),
+        size AS (SELECT row, sum(tf)::BIGINT AS n FROM tf GROUP BY row),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+        weight AS (
+            SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tf, total GROUP BY term),
+        asked AS (SELECT item_id, term, count(*) AS q FROM item GROUP BY ALL),
+        scored AS (
+            SELECT item_id, row, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (row), total GROUP BY ALL)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20""",
     "op2_embedding_near_dedup": """
         WITH RECURSIVE good AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
