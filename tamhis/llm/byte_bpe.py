@@ -20,7 +20,7 @@ WORDS, WORD_IDS = 500_000, 6_000_000
 #: Words of more bytes contract all occurrences of their best pair at once.
 SHORT_BYTES = 256
 #: Rows and bytes (or ids) that go to the database at a time; one longer text goes alone.
-ROWS, VOLUME = 2048, 6 << 20
+ROWS, VOLUME = 2048, 3 << 20
 #: A run of ids that is decoded as one has at most so many.
 RUN_IDS = 64
 
@@ -108,6 +108,12 @@ def _connect() -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _store(con, name: str, rows: dict) -> None:
+    con.register("found", pa.table(rows))
+    con.execute(f"CREATE TABLE {name} AS SELECT * FROM found")
+    con.unregister("found")
+
+
 def _query(con, name: str, rows: dict, sql: str) -> pa.Table:
     con.register(name, pa.table(rows))
     found = con.sql(sql).to_arrow_table().combine_chunks()
@@ -119,17 +125,28 @@ def _lists(flat, sizes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
 
 
+class Decoder:
+    """Bytes of lists of ids, each list decoded by an aggregation in the order of its places."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.con = _connect()
+        _store(self.con, "vocabulary", {"id": np.array(list(ranks.values()), np.int32), "piece": [t.decode("latin-1") for t in ranks]})
+
+    def pieces(self, flat: np.ndarray, sizes) -> list[bytes]:
+        found = _query(self.con, "runs", {"run": np.arange(len(sizes), dtype=np.int32), "ids": _lists(flat, sizes)}, DECODE)
+        return [p.encode("latin-1") for p in found.column("piece").to_pylist()]
+
+
 class Encoder:
-    """Token ids of texts. The ids of a (bounded) number of different words are kept."""
+    """Token ids of texts, and the bytes these stand for. Those of a (bounded) number of different words are kept."""
 
-    def __init__(self, content: bytes, pattern: str, at_once: bool):
+    def __init__(self, content: bytes, pattern: str, at_once: bool, with_bytes: bool = False):
         self.ranks, self.findall, self.at_once = parse(content), regex.compile(pattern).findall, at_once
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.con, table = _connect(), merge_table(self.ranks)
-        self.con.register("found", pa.table({"a": table[:, 0], "b": table[:, 1], "rank": table[:, 2].astype(np.int64)}))
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM found")
-        self.con.unregister("found")
-        self.number, self.ids = {}, Lists(np.int32)
+        _store(self.con, "merges", {"a": table[:, 0], "b": table[:, 1], "rank": table[:, 2].astype(np.int64)})
+        self.decoder = Decoder(self.ranks) if with_bytes else None
+        self.number, self.ids, self.bytes = {}, Lists(np.int32), Lists(np.uint8)
 
     def _learn(self, words: list[str]) -> None:
         whole, short, long = [], [], []
@@ -140,7 +157,8 @@ class Encoder:
                 whole.append((w, rank))
             else:
                 (long if self.at_once and len(b) > SHORT_BYTES else short).append((w, b))
-        self._keep([w for w, _ in whole], np.array([r for _, r in whole], np.int32), np.ones(len(whole), np.int64))
+        if whole:
+            self._keep([w for w, _ in whole], np.array([r for _, r in whole], np.int32), np.ones(len(whole), np.int64))
         for part, sql in ((short, ENCODE), (long, ENCODE_LONG)):
             if part:
                 start = self.single[np.frombuffer(b"".join(b for _, b in part), np.uint8)]
@@ -150,50 +168,49 @@ class Encoder:
                 self._keep([w for w, _ in part], lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
 
     def _keep(self, words, flat, sizes) -> None:
-        first, before = len(self.number), self.ids.flat.n
+        first = len(self.number)
         self.number.update(zip(words, range(first, first + len(words))))
-        self.ids.flat.extend(flat)
-        self.ids.start.extend(before + np.cumsum(sizes))
+        self.ids.extend(flat, sizes)
+        if self.decoder:
+            pieces = self.decoder.pieces(flat, sizes)
+            self.bytes.extend(np.frombuffer(b"".join(pieces), np.uint8), [len(p) for p in pieces])
 
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
+    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other and how many each has; likewise the bytes they stand for."""
         if len(self.number) >= WORDS or self.ids.flat.n >= WORD_IDS:
-            self.number.clear()
-            self.ids.clear()
+            for table in (self.number, self.ids, self.bytes):
+                table.clear()
         split = [self.findall(t.decode("utf-8", "replace")) if t else [] for t in texts]
         new = set().union(*split).difference(self.number)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         words = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
-        ids, sizes = self.ids.gather(words)
-        ends = np.append(0, np.cumsum(sizes))
-        return ids, np.diff(ends[np.append(0, np.cumsum([len(s) for s in split]))])
+        last = np.append(0, np.cumsum([len(s) for s in split]))
+        out = []
+        for lists in (self.ids, self.bytes) if self.decoder else (self.ids,):
+            flat, sizes = lists.gather(words)
+            out += [flat, np.diff(np.append(0, np.cumsum(sizes))[last])]
+        return tuple(out)
 
 
-class Decoder:
-    """Bytes of token ids. Ids are cut into runs before tokens that begin with white space, after 64 at the latest; the
-    bytes of a (bounded) number of different runs are kept."""
+class RunDecoder(Decoder):
+    """Bytes of long lists of ids, which are cut into runs before tokens that begin with white space, after 64 at the
+    latest. The bytes of a (bounded) number of different runs are kept."""
 
     def __init__(self, content: bytes):
         ranks = parse(content)
-        self.con, self.number, self.bytes = _connect(), {}, Lists(np.uint8)
+        super().__init__(ranks)
+        self.number, self.bytes = {}, Lists(np.uint8)
         self.known = np.zeros(max(ranks.values()) + 1, bool)
         self.begins = self.known.copy()
         for token, rank in ranks.items():
             self.known[rank], self.begins[rank] = True, token[:1].isspace()
-        self.con.register("found", pa.table({
-            "id": np.array(list(ranks.values()), np.int32), "piece": [t.decode("latin-1") for t in ranks]}))
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM found")
-        self.con.unregister("found")
 
     def _learn(self, runs: list[bytes]) -> None:
-        ids = _lists(np.frombuffer(b"".join(runs), np.int32), [len(r) // 4 for r in runs])
-        found = _query(self.con, "runs", {"run": np.arange(len(runs), dtype=np.int32), "ids": ids}, DECODE)
-        first, before = len(self.number), self.bytes.flat.n
-        pieces = [p.encode("latin-1") for p in found.column("piece").to_pylist()]
+        first = len(self.number)
+        pieces = self.pieces(np.frombuffer(b"".join(runs), np.int32), [len(r) // 4 for r in runs])
         self.number.update(zip(runs, range(first, first + len(runs))))
-        self.bytes.flat.extend(np.frombuffer(b"".join(pieces), np.uint8))
-        self.bytes.start.extend(before + np.cumsum([len(p) for p in pieces]))
+        self.bytes.extend(np.frombuffer(b"".join(pieces), np.uint8), [len(p) for p in pieces])
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list:
         """The bytes of each list of ids; None for one with an id that is not in the vocabulary."""
@@ -204,42 +221,51 @@ class Decoder:
         good = (ids >= 0) & (ids < len(self.known))
         good[good] = self.known[ids[good]]
         wrong = np.diff(np.append(0, np.cumsum(~good))[ends]) > 0
-        ids = np.where(good, ids, 0).astype(np.int32)
+        ids = np.where(good, ids, np.argmax(self.known)).astype(np.int32)
         place = np.arange(len(ids)) - np.repeat(ends[:-1], sizes)
         cuts = np.flatnonzero((place % RUN_IDS == 0) | self.begins[ids])
         raw, edge = ids.tobytes(), np.append(cuts, len(ids)) * 4
         runs = [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
         new = set(runs).difference(self.number)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         flat, lengths = self.bytes.gather(np.fromiter(map(self.number.__getitem__, runs), np.int64, len(runs)))
         bounds = np.append(0, np.cumsum(lengths))[np.searchsorted(cuts, ends)].tolist()
         whole = flat.tobytes()
         return [None if w else whole[a:b] for w, a, b in zip(wrong.tolist(), bounds[:-1], bounds[1:])]
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep=None, out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep=None, out: str = "ids", decoded: str | None = None) -> DataFrame:
     """The columns ``keep`` (all) of every row and ``out``, the array of the token ids of its whole text.
 
     ``ranks`` is the content of a rank file (``read_ranks``), ``pattern`` cuts a text into words, each encoded by
     itself: a word that is a token is that token, any other is contracted pair by pair, lowest rank first and leftmost of equals.
+    ``decoded`` names a column for the bytes that the ids stand for; it costs less here than by ``decode``, as the ids of a
+    word are decoded once.
+
     A null or empty text has no ids (an empty array), bytes that are no UTF-8 count as U+FFFD, strings of special tokens are
     ordinary text. Rows are neither moved nor joined, so repeated rows and null keys stay as they are; a column named like
-    ``out`` is replaced; an empty table gives no rows. A task holds a slice of texts, the words it has met (bounded) and
+    a new one is replaced; an empty table gives no rows. A task holds a slice of texts, the words it has met (bounded) and
     some fifty bytes for each byte of the longest word.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, orderly(parse(ranks))))
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
-    tmp = fresh("text_bytes", [*docs.columns, out])
-    narrow = docs.select(*[col(c) for c in keep], col(text).cast("string").cast("binary").alias(tmp))
-    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, orderly(parse(ranks)), decoded is not None))
+    made = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)]
+    made += [T.StructField(decoded, T.BinaryType(), False)] if decoded is not None else []
+    names = [f.name.lower() for f in made]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
+    narrow = docs.select(*[col(c) for c in keep], col(text).cast("string").cast("binary").alias(fresh("text_bytes", [*docs.columns, *names])))
+    schema = T.StructType([*narrow.schema.fields[:-1], *made])
 
     def run(batches):
-        encoder = kept("bpe-encoder", hash(shared.value), lambda: Encoder(*shared.value))
+        encoder = kept("bpe", hash(shared.value), lambda: Encoder(*shared.value))
         for batch in batches:
             for part in bounded(batch, byte_lengths(batch.column(len(keep))), ROWS, VOLUME):
-                ids, sizes = encoder.encode(part.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(ids, sizes)], schema.names)
+                ids, sizes, *more = encoder.encode(part.column(len(keep)).to_pylist())
+                columns = [*part.columns[:-1], _lists(ids, sizes)]
+                if more:
+                    ends = np.append(0, np.cumsum(more[1])).astype(np.int32)
+                    columns.append(pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(more[0])]))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return narrow.mapInArrow(run, schema)
 
@@ -257,7 +283,7 @@ def decode(rows: DataFrame, ranks: bytes, ids: str = "ids", keep=None, out: str
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        decoder = kept("bpe-decoder", hash(shared.value), lambda: Decoder(shared.value))
+        decoder = kept("bpe-decoder", hash(shared.value), lambda: RunDecoder(shared.value))
         for batch in batches:
             sizes = np.diff(batch.column(len(keep)).offsets.to_numpy())
             for part in bounded(batch, sizes, ROWS, VOLUME // 4):

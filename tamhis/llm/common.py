@@ -258,6 +258,12 @@ class Lists:
         self.flat.extend(values)
         self.start.append(self.flat.n)
 
+    def extend(self, flat, sizes) -> None:
+        """Several lists, given one after the other and by their sizes."""
+        before = self.flat.n
+        self.flat.extend(flat)
+        self.start.extend(before + np.cumsum(sizes, dtype=np.int64))
+
     def clear(self) -> None:
         self.flat.clear()
         self.start.n = 1

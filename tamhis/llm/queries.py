@@ -79,8 +79,7 @@ def op11_ranked_search(spark, sf_dir):
 
 def op13_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
-    return byte_bpe.digest(byte_bpe.decode(ids, ranks))
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -19,7 +19,8 @@ ODD = [
 
 
 def encoded(texts, at_once=True, content=RANKS):
-    ids, sizes = B.Encoder(content, public_tokenizers.PATTERN, at_once).encode([t.encode() for t in texts])
+    ids, sizes, raw, lengths = B.Encoder(content, public_tokenizers.PATTERN, at_once, True).encode([t.encode() for t in texts])
+    assert [x.tobytes() for x in np.split(raw, np.cumsum(lengths)[:-1])] == [t.encode() for t in texts]
     return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
@@ -69,7 +70,9 @@ def test_edges_and_round_trip(spark):
     texts = [*ODD, None, "again", "again"]
     rows = [(i if t != "again" else 7, t, 5, "x") for i, t in enumerate(texts)] + [(None, "no key", 5, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int, text_bytes string")
+    both = B.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded")
     out = B.decode(B.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert both.columns == out.columns and sorted(map(str, both.collect())) == sorted(map(str, out.collect()))
     assert out.columns == ["doc_id", "text", "text_bytes", "ids", "decoded"]
     got = out.collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
