@@ -4,9 +4,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tamhis.llm import (
-    byte_bpe, decontamination, embedding_dedup, language_id, language_model, packing, quality, ranked_search, simhash, token_counts, toxicity, url_filter,
+    byte_bpe, conversation_repair, decontamination, embedding_dedup, language_id, language_model, packing, quality, ranked_search, simhash, token_counts, toxicity, url_filter,
 )
 from tamhis.llm.common import held_out
+from tamhis.workspace import written
 
 
 def table(spark, sf_dir, name):
@@ -77,6 +78,33 @@ def op11_ranked_search(spark, sf_dir):
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def damaged(rows):
+    """Conversations with faults: by a number of each row it is dropped (0), emptied (1), loses its full stops (2), is
+    repeated (3) or becomes the user's (4)."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat_ws(":", text["conv_id"], text["turn"]).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", text["role"].alias("role"), text["text"].alias("text"), fault.alias("fault")).filter("fault <> 0")
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    fixed = conversation_repair.repair(damaged(rows))
+    out = rows.select("conv_id").distinct()
+    for part in (fixed.conversations, conversation_repair.transcripts(fixed.messages)):
+        part = part.withColumnRenamed("conv_id", "own_id")
+        out = out.join(part, out["conv_id"].eqNullSafe(part["own_id"]), "left").drop("own_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    result = written(out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")), "repaired")
+    fixed.release()
+    return result
+
+
 def op13_byte_bpe(spark, sf_dir):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.digest(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"], decoded="decoded"))
@@ -84,7 +112,7 @@ def op13_byte_bpe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_language_id, op5_toxicity, op6_url_filter, op7_benchmark_decontamination, op8_language_model_scoring, op9_packing, op10_quality,
-    op11_ranked_search, op13_byte_bpe,
+    op11_ranked_search, op12_conversation_repair, op13_byte_bpe,
 )}
 ORACLE_SQL = {
     "op11_ranked_search": """

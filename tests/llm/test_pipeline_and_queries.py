@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registry():
     names = entry.queries()
-    assert [len([n for n in names if re.match(rf"op{k}_", n)]) for k in (*range(1, 11), 13)] == [1] * 11 and "pipeline" in names
+    assert [len([n for n in names if re.match(rf"op{k}_", n)]) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(ORACLE_SQL) <= set(QUERIES)
 
 
