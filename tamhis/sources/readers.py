@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from tamhis.functions.text import is_blank
 from tamhis.schemas import INDEX, INSTRUCTION, RAW_QA, TRAINING_TEXT
+from tamhis.sources.order import in_file_order
 
 _CORRUPT = "_corrupt_record"
 
@@ -14,8 +15,8 @@ def read_raw_qa(spark: SparkSession, path, fmt: str = "parquet", row_id: str | N
                 multi_line: bool = False, extra: T.StructType | None = None) -> DataFrame:
     """Raw question/answer rows plus ``row_id``, which fixes the order for first-wins rules.
 
-    Name the source's own key in ``row_id`` if there is one. Otherwise ids are unique and grow within a
-    file, but Spark decides in which order several files follow each other. ``extra`` adds fields such as
+    Name the source's own key in ``row_id`` if there is one. Otherwise rows are numbered from 0 in the order of
+    the files' paths and of the rows in them, which takes a scan that counts them (``order.in_file_order``). ``extra`` adds fields such as
     instruction/output. ``multi_line`` reads a JSON file that is one array, or a CSV file whose quoted fields hold line
     breaks; such files are read by one task each, so they should be many and small.
     """
@@ -28,7 +29,7 @@ def read_raw_qa(spark: SparkSession, path, fmt: str = "parquet", row_id: str | N
     if fmt == "csv":
         reader = reader.options(header=True, multiLine=multi_line, quote='"', escape='"')
     df = reader.load(path)
-    return df.withColumn("row_id", F.col(row_id) if row_id else F.monotonically_increasing_id())
+    return df.withColumn("row_id", F.col(row_id)) if row_id else in_file_order(df, "row_id", fmt)
 
 
 def read_jsonl_strict(spark: SparkSession, path, schema: T.StructType = INSTRUCTION) -> DataFrame:
