@@ -1,12 +1,13 @@
 """Scans. All schemas are declared; nothing is inferred."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.functions.text import is_blank
 from tamhis.schemas import INDEX, INSTRUCTION, RAW_QA, TRAINING_TEXT
 from tamhis.sources.order import in_file_order
+from tamhis.workspace import release, written
 
 _CORRUPT = "_corrupt_record"
 
@@ -40,10 +41,37 @@ def read_jsonl_strict(spark: SparkSession, path, schema: T.StructType = INSTRUCT
     return parsed.select(checked.alias("record")).select("record.*")
 
 
-def read_jsonl_tolerant(spark: SparkSession, path, schema: T.StructType = INSTRUCTION) -> DataFrame:
+def read_jsonl_tolerant(spark: SparkSession, path, schema: T.StructType = INSTRUCTION, seen: Observation | None = None) -> DataFrame:
     """JSON lines; blank lines and lines that are not exactly one JSON object are skipped, missing text fields
-    become ``''``."""
-    return _parsed(spark, path, schema).filter("record is not null").select("record.*").na.fill("")
+    become ``''``.
+
+    ``seen`` counts in the same pass: once an action has run, ``seen.get`` has the numbers of ``lines`` that are not blank
+    and of those ``rejected``.
+    """
+    parsed = _parsed(spark, path, schema)
+    if seen is not None:
+        parsed = parsed.observe(
+            seen, F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("record").isNull(), 1)).alias("rejected"))
+    return parsed.filter("record is not null").select("record.*").na.fill("")
+
+
+class TooManyRejects(ValueError):
+    """A source with a larger share of unreadable lines than allowed."""
+
+
+def read_jsonl_within(spark: SparkSession, path, max_share: float, schema: T.StructType = INSTRUCTION) -> tuple[DataFrame, dict]:
+    """(records, counts) of a tolerant reading, or ``TooManyRejects`` if over ``max_share`` of the lines are rejected.
+
+    The lines are parsed once: the records are stored in the shared folder while the counts (``lines``, ``rejected``) are
+    taken, and deleted again if there are too many rejects, so nothing downstream sees a part of a broken source.
+    """
+    seen = Observation()
+    records = written(read_jsonl_tolerant(spark, path, schema, seen), "records")
+    counts = dict(seen.get)
+    if counts["rejected"] > max_share * counts["lines"]:
+        release(records)
+        raise TooManyRejects(f"{counts['rejected']} of {counts['lines']} lines are not one JSON object each: {path}")
+    return records, counts
 
 
 def rejected_lines(spark: SparkSession, path, schema: T.StructType = INSTRUCTION) -> DataFrame:

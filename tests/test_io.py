@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tamhis.plans.curate import curate
@@ -34,6 +35,23 @@ def test_tolerant_jsonl(spark, tmp_path):
     assert readers.rejected_lines(spark, path).count() == 2
 
 
+def test_rejects_are_counted_in_the_same_pass(spark, tmp_path):
+    path = write(tmp_path / "a.jsonl", GOOD * 6 + "\n{broken\n \nplain\n")
+    seen = Observation()
+    df = readers.read_jsonl_tolerant(spark, path, seen=seen)
+    assert df.count() == 6 and seen.get == {"lines": 8, "rejected": 2}
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    before = set(os.listdir(shared_dir(spark)))
+    records, counts = readers.read_jsonl_within(spark, path, 0.25)
+    assert records.count() == 6 and counts == {"lines": 8, "rejected": 2}
+    release(records)
+    with pytest.raises(readers.TooManyRejects, match="2 of 8"):
+        readers.read_jsonl_within(spark, path, 0.24)
+    assert set(os.listdir(shared_dir(spark))) == before  # nothing of a refused source is left
+    empty, counts = readers.read_jsonl_within(spark, write(tmp_path / "b.jsonl", "\n"), 0.0)
+    assert empty.count() == 0 and counts == {"lines": 0, "rejected": 0}
+
+
 BAD = ["{'instruction': 'x'}", '{"output": "x"} junk', '{"output": "x"}{"output": "y"}', '[{"output": "x"}]', '"text"', "{broken"]
 
 

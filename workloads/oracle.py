@@ -371,6 +371,13 @@ def text_rule(expression: str) -> str:
     return f"WITH {NOISY} SELECT doc_id, {expression} AS text FROM noisy"
 
 
+#: The order of rows in files that are named a to e and hold remainders of the row ids modulo 16.
+FILE_ORDER = f"""{RAW},
+filed AS (
+  SELECT row_number() OVER (ORDER BY file, row_id) - 1 AS row_id, {RAW_COLUMNS}
+  FROM (SELECT *, CASE row_id % 16 WHEN 3 THEN 'a' WHEN 0 THEN 'c' WHEN 1 THEN 'd' WHEN 2 THEN 'd' WHEN 4 THEN 'e' ELSE 'b' END AS file FROM raw))"""
+
+
 ORACLE_SQL = {
     "curate_qa": f"WITH {CURATED} SELECT row_id, instruction, input, output FROM curated",
     "scan_raw": f"WITH {RAW} SELECT row_id, {RAW_COLUMNS} FROM raw",
@@ -381,6 +388,15 @@ ORACLE_SQL = {
     "roundtrip_raw": f"WITH {RAW} SELECT row_id, {RAW_COLUMNS} FROM raw",
     "roundtrip_instructions": f"WITH {RECORDS} SELECT instruction, input, output FROM records",
     "roundtrip_tolerant": f"WITH {RECORDS} SELECT instruction, input, output FROM records WHERE row_id % 7 <> 0",
+    "reject_budget": f"""WITH {RECORDS},
+spoiled AS (SELECT *, row_id % 7 = 0 AS bad, row_id % 7 = 0 AND (row_id // 7) % 5 = 4 AS blank FROM records)
+SELECT input, count(*) FILTER (NOT bad) AS records, (SELECT count(*) FROM spoiled WHERE NOT blank) AS lines,
+       (SELECT count(*) FROM spoiled WHERE bad AND NOT blank) AS rejected
+FROM spoiled GROUP BY input HAVING count(*) FILTER (NOT bad) > 0""",
+    "roundtrip_file_order": f"WITH {FILE_ORDER} SELECT row_id, {RAW_COLUMNS} FROM filed",
+    "dedup_file_order": f"""WITH {FILE_ORDER},
+pairs AS (SELECT row_id, coalesce(nullif(question, ''), nullif(q_body, ''), '') AS q, coalesce(nullif(reply, ''), nullif(a_body, ''), '') AS a FROM filed)
+SELECT min(row_id) AS row_id, q, arg_min(a, row_id) AS a FROM pairs GROUP BY q""",
     "roundtrip_csv": "SELECT text FROM documents",
     "roundtrip_index": """SELECT doc_id, text AS doc_text, embedding[1]::DOUBLE AS first, len(embedding) AS dim
        FROM documents JOIN embeddings ON vec_id = doc_id""",

@@ -21,11 +21,11 @@ from tamhis.plans import profile as PP
 from tamhis.plans import retrieval as PR
 from tamhis.plans import training as PT
 from tamhis.profiles import LATIN
-from tamhis.sources.readers import head, read_index, read_jsonl_strict, read_jsonl_tolerant, read_raw_qa, read_training_csv
+from tamhis.sources.readers import head, read_index, read_jsonl_strict, read_jsonl_tolerant, read_jsonl_within, read_raw_qa, read_training_csv
 from tamhis.sources.writers import write_index, write_instructions, write_training
 from tamhis.streaming.curation import curate_stream
 from tamhis.streaming.requests import prompt_stream
-from tamhis.workspace import fresh_path, written
+from tamhis.workspace import fresh_path, release, written
 from workloads import adapters as A
 
 #: A profile with marks to strip and without personal keywords.
@@ -83,8 +83,33 @@ def roundtrip_instructions(spark, sf_dir):
     return read_jsonl_strict(spark, path)
 
 
-def roundtrip_tolerant(spark, sf_dir):
-    """Lines of which every seventh is spoiled in one of five ways."""
+#: Files by name: which remainders of the row ids modulo 16 each holds. Their sizes do not follow their names.
+FILES = {"a": (3, 3), "b": (5, 15), "c": (0, 0), "d": (1, 2), "e": (4, 4)}
+
+
+def _in_files(spark, sf_dir):
+    """Raw rows without a key, dealt to files of very different sizes."""
+    path = fresh_path(spark, "files")
+    raw = written(A.raw_qa(spark, sf_dir), "raw")
+    for name, (low, high) in FILES.items():
+        part = raw.filter((F.col("row_id") % 16).between(low, high)).orderBy("row_id").select(*schemas.RAW_QA.names)
+        part.write.json(f"{path}/{name}", ignoreNullFields=False)
+    release(raw)
+    return read_raw_qa(spark, f"{path}/*", "json")
+
+
+def roundtrip_file_order(spark, sf_dir):
+    """Rows numbered in the order of files and lines."""
+    return _in_files(spark, sf_dir).select("row_id", *schemas.RAW_QA.names)
+
+
+def dedup_file_order(spark, sf_dir):
+    """The first row of every question in the order of files and lines."""
+    return C.first_per_key(C.with_qa(_in_files(spark, sf_dir)), "q", "row_id").select("row_id", "q", "a")
+
+
+def _spoiled_lines(spark, sf_dir):
+    """Path of lines of which every seventh is spoiled in one of five ways."""
     path = fresh_path(spark, "lines")
     good = F.to_json(F.struct(*schemas.INSTRUCTION.names))
     way = F.floor(F.col("row_id") / 7) % 5
@@ -92,7 +117,18 @@ def roundtrip_tolerant(spark, sf_dir):
            .when(way == 2, F.concat(good, good)).when(way == 3, F.concat(F.lit("["), good, F.lit("]")))
            .otherwise(F.lit("\u00a0")))
     A.records(spark, sf_dir).select(F.when(F.col("row_id") % 7 == 0, bad).otherwise(good).alias("value")).write.text(path)
-    return read_jsonl_tolerant(spark, path)
+    return path
+
+
+def roundtrip_tolerant(spark, sf_dir):
+    return read_jsonl_tolerant(spark, _spoiled_lines(spark, sf_dir))
+
+
+def reject_budget(spark, sf_dir):
+    """Records of a source with at most a quarter of unreadable lines, and how many there were."""
+    records, counts = read_jsonl_within(spark, _spoiled_lines(spark, sf_dir), 0.25)
+    kept = records.groupBy("input").agg(F.count(F.lit(1)).alias("records"))
+    return kept.select("input", "records", *[F.lit(counts[c]).cast("long").alias(c) for c in ("lines", "rejected")])
 
 
 def roundtrip_csv(spark, sf_dir):
@@ -429,6 +465,9 @@ QUERIES = {
     "roundtrip_raw": roundtrip_raw,
     "roundtrip_instructions": roundtrip_instructions,
     "roundtrip_tolerant": roundtrip_tolerant,
+    "reject_budget": reject_budget,
+    "roundtrip_file_order": roundtrip_file_order,
+    "dedup_file_order": dedup_file_order,
     "roundtrip_csv": roundtrip_csv,
     "roundtrip_index": roundtrip_index,
     "roundtrip_training": roundtrip_training,
