@@ -1,15 +1,15 @@
-"""Exact nearest neighbours by Euclidean distance (flat search)."""
-
-from functools import reduce
+"""Exact nearest neighbours by Euclidean distance, over the cells of an index."""
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamhis.operators.cells import Cells, _geometry, build_cells, comparable, deal
 from tamhis.workspace import release, written
 
-BLOCK_BYTES = 32 * 1024 * 1024
+#: Queries of a block have at most so many bytes.
+BLOCK_BYTES = 1 << 20
 
 
 def _top_k(k):
@@ -99,66 +99,225 @@ def _top_k(k):
     return start, merge, by_length, rows
 
 
-def comparable(c: Column) -> Column:
-    """True for a vector of finite numbers; false for a null or empty one and for one with a null, NaN or infinity."""
-    finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(finite & (F.size(c) > 0), F.lit(False))
-
-
 def left_out(vectors: DataFrame) -> DataFrame:
     """One row: how many rows of an index or of queries have no comparable vector."""
     return vectors.agg(F.count(F.when(~comparable(F.col("embedding")), 1)).alias("n_left_out"))
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank), stored in the shared folder.
+def _blocks(queries: DataFrame, pivots: dict, block_bytes: int) -> DataFrame:
+    """(block, dim, keys, cells, reaches, vectors): queries of one length, neighbours together."""
+    dealt = deal(queries, "query_id", pivots)
+    order = [F.col("dim"), F.col("cell"), F.col("reach"), F.xxhash64("query_id")]
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("keys", T.ArrayType(dealt.schema["query_id"].dataType)),
+        *[T.StructField(n, T.BinaryType()) for n in ("cells", "reaches", "vectors")]])
+    names = schema.names
 
-    ``index`` needs (doc_id long, embedding), ``queries`` (query_id of any type, unique, embedding); ties go to the
-    smaller doc_id. A query is compared with the vectors of its own length; rows without a vector of finite
-    numbers are left out on both sides (``left_out`` counts them), and so are queries without any hit.
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number, held = TaskContext.get().partitionId() << 32, None
+
+        def block(table):
+            nonlocal number
+            number += 1
+            keys = table.column("query_id").combine_chunks()
+            whole = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            raw = [table.column("cell").to_numpy().astype("<i4"), table.column("reach").to_numpy().astype("<f8"), flat]
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([table.column("dim")[0].as_py()], pa.int32()), whole,
+                *[pa.array([x.tobytes()], pa.binary()) for x in raw]], names)
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            dims = np.asarray(held.column("dim"))
+            edges = np.append(np.flatnonzero(np.diff(dims, prepend=-1)), len(dims)).tolist()
+            at = 0
+            for a, b in zip(edges[:-1], edges[1:]):
+                at, rows = a, max(1, min(1024, block_bytes // (8 * int(dims[a]))))
+                while b - at >= rows or at < b < len(dims):
+                    n = min(rows, b - at)
+                    yield block(held.slice(at, n))
+                    at += n
+            held = held.slice(at)
+        if held is not None and held.num_rows:
+            yield block(held)
 
-    The queries are stored once and cut by a hash into blocks of about ``block_bytes``, counted with their
-    ids. For each block the index is scanned where it lies: tasks keep k rows per query of the broadcast block,
-    so the index is never shuffled or copied, and the block is released before the next one.
+    return dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, schema)
+
+
+VISIT = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("chunk", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in ("places", "queries", "bounds")]])
+
+
+def visits(blocks: DataFrame, cells: Cells, k: int, pivots: dict | None = None) -> DataFrame:
+    """(block, chunk, places, queries, bounds): the chunks that queries of a block must be compared with.
+
+    Without a column ``bounds`` in ``blocks`` a query visits its home: the chunk of its own cell with distances from
+    the pivot most like its own, and the next ones until there are ``k`` vectors. With bounds, distances of the k-th
+    neighbour found so far, it visits every other chunk whose vectors may be as near: a vector at distance s from a pivot is no nearer to a query
+    at distance d from it than |d - s|.
     """
-    index = index.select(F.col("doc_id").cast("long"), "embedding").filter(comparable(F.col("embedding")))
-    queries = written(queries.select("query_id", "embedding").filter(comparable(F.col("embedding"))), "queries")
-    found_schema = T.StructType([
-        queries.schema["query_id"], T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType()),
-    ])
-    id_bytes = F.coalesce(F.octet_length(F.to_json(F.struct("query_id"))), F.lit(0))
-    size = queries.agg(F.sum(id_bytes + 8 * (F.size("embedding") + 2 * k))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    nearest_first = Window.partitionBy("query_id").orderBy("distance", "doc_id")
-    parts = []
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        found, shared = _scan_index(index, block, k, found_schema)
-        hits = found.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= k)
-        parts.append(written(hits, "hits"))
-        if shared is not None:
-            shared.destroy()
-    release(queries)
-    return reduce(DataFrame.union, parts)
-
-
-def _scan_index(index, queries, k, schema):
-    start, merge, by_length, rows = _top_k(k)
-    if not len(queries):
-        return index.sparkSession.createDataFrame([], schema), None
-    ids = queries["query_id"].chunk(0)
-    blocks = {n: (ids.take(at), vectors) for n, at, _, vectors in by_length(np.arange(len(ids)), queries["embedding"].chunk(0))}
-    shared = index.sparkSession.sparkContext.broadcast(blocks)
-
-    def scan(batches):
+    pivots = cells.matrix() if pivots is None else pivots
+    listed = cells.chunks.select("chunk", "dim", "cell", "low", "high", "n").toPandas()  # bounded: cells.MOST_CHUNKS rows
+    tables = {}
+    for dim, own in listed.sort_values(["dim", "cell", "low", "chunk"]).groupby("dim"):
+        tables[int(dim)] = tuple(own[c].to_numpy() for c in ("chunk", "cell", "low", "high", "n"))
+    shared = cells.chunks.sparkSession.sparkContext.broadcast((tables, pivots))
+    distances, _, _ = _geometry()
+    bounded = "bounds" in blocks.columns
+    names = VISIT.names
+
+    def homes(cell, reach, table, far):
+        """Chunks for one query, nearest first by what the triangle inequality says, until they hold k vectors."""
+        chunk, cells_, low, high, n = table
+        a, b = np.searchsorted(cells_, [cell, cell + 1])
+        if n[a:b].sum() >= k:
+            gap = np.maximum(low[a:b] - reach, reach - high[a:b])
+            order = a + np.argsort(np.maximum(gap, 0), kind="stable")
+        else:  # a small cell: all chunks in the order of their bounds
+            d = far()[cells_]
+            order = np.argsort(np.maximum(np.maximum(low - d, d - high), 0), kind="stable")
+        return order[:int(np.searchsorted(np.cumsum(n[order]), k)) + 1]
+
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        best = {n: start(len(own)) for n, (own, _) in shared.value.items()}
+        tables, pivots = shared.value
         for batch in batches:
-            for n, _, doc_ids, vectors in by_length(batch["doc_id"].to_numpy(), batch["embedding"]):
-                if n in best:
-                    merge(best[n], shared.value[n][1], doc_ids, vectors)
-        for n, (own, _) in shared.value.items():
-            yield pa.RecordBatch.from_pydict(rows(best[n], own))
+            for row in batch.to_pylist():
+                table = tables.get(row["dim"])
+                if table is None:
+                    continue
+                chunk, cells_, low, high, n = table
+                matrix = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                own, reach = np.frombuffer(row["cells"], "<i4"), np.frombuffer(row["reaches"], "<f8")
+                centres = pivots.get(row["dim"])
+                far = distances(matrix, centres) if centres is not None else np.zeros((len(matrix), 1))
+                home = [homes(c, r, table, lambda i=i: far[i]) for i, (c, r) in enumerate(zip(own, reach))]
+                if not bounded:
+                    bound = np.full(len(matrix), np.inf)
+                    places = np.repeat(np.arange(len(matrix)), [len(h) for h in home])
+                    which = np.concatenate(home)
+                else:
+                    bound = np.frombuffer(row["bounds"], "<f8")
+                    slack = 1e-9 * (far + np.where(np.isfinite(bound), bound, 0)[:, None])
+                    found = []
+                    for c in np.unique(cells_):
+                        a, b = np.searchsorted(cells_, [c, c + 1])
+                        d, most = far[:, c, None], (bound + slack[:, c])[:, None]
+                        if centres is None:
+                            near = np.ones((len(matrix), b - a), bool)
+                        else:
+                            near = (low[None, a:b] - d <= most) & (d - high[None, a:b] <= most)
+                        p, w = np.nonzero(near)
+                        found.append((p, w + a))
+                    places, which = (np.concatenate(x) for x in zip(*found))
+                    seen = np.repeat(np.arange(len(matrix)), [len(h) for h in home]) * len(chunk) + np.concatenate(home)
+                    new = ~np.isin(places * len(chunk) + which, seen)
+                    places, which = places[new], which[new]
+                order = np.argsort(which, kind="stable")
+                places, which = places[order], which[order]
+                starts = np.flatnonzero(np.diff(which, prepend=-1)).tolist()
+                for a, b in zip(starts, [*starts[1:], len(which)]):
+                    p = places[a:b]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([row["block"]], pa.int64()), pa.array([int(chunk[which[a]])], pa.int64()),
+                        *[pa.array([x.tobytes()], pa.binary()) for x in (p.astype("<i4"), matrix[p], bound[p])]], names)
+
+    return blocks.mapInArrow(run, VISIT)
+
+
+HIT = T.StructType([
+    T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+
 
-    return index.mapInArrow(scan, schema), shared
+def _compare(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The up to ``k`` nearest vectors of each visited chunk that are no farther than the query's bound."""
+    start, merge, _, _ = _top_k(k)
+    joined = asked.join(cells.chunks.select("chunk", "dim", "ids", "vectors"), "chunk")
+    names = HIT.names
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last = np.iinfo(np.int64).max
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                dim = column["dim"][i].as_py()
+                queries = np.frombuffer(column["queries"][i].as_buffer(), "<f8").reshape(-1, dim)
+                ids = column["ids"][i].values.to_numpy()
+                raw = column["vectors"][i].as_buffer()
+                vectors = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(ids) else "<f8").astype(np.float64).reshape(-1, dim)
+                dist, who = start(len(queries))
+                dist[:] = np.frombuffer(column["bounds"][i].as_buffer(), "<f8")[:, None]
+                merge((dist, who), queries, ids, vectors)
+                at, nth = np.nonzero(np.isfinite(dist) & (who != last))
+                places = np.frombuffer(column["places"][i].as_buffer(), "<i4")[at]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(at), column["block"][i].as_py()), pa.int64()), pa.array(places, pa.int32()),
+                    pa.array(who[at, nth], pa.int64()), pa.array(dist[at, nth], pa.float64())], names)
+
+    return joined.mapInArrow(run, HIT)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    first = Window.partitionBy("block", "place").orderBy("distance", "doc_id")
+    return hits.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+
+
+def _with_bounds(blocks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """Blocks with the distance of the k-th hit of every query, infinity for a query with fewer."""
+    kth = hits.filter(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("place", "distance")).alias("kth"))  # a block's queries
+    joined = blocks.join(kth, "block", "left")
+    schema = T.StructType([*blocks.schema.fields, T.StructField("bounds", T.BinaryType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            bounds = []
+            for keys, kth in zip(batch.column("keys"), batch.column("kth").to_pylist()):
+                bound = np.full(len(keys.values), np.inf)
+                for hit in kth or ():
+                    bound[hit["place"]] = hit["distance"]
+                bounds.append(bound.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bounds, pa.binary())], schema.names)
+
+    return joined.mapInArrow(run, schema)
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES, cells: Cells | None = None) -> DataFrame:
+    """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank), stored in the shared folder.
+
+    ``index`` needs (doc_id long, embedding), ``queries`` (query_id of any type, unique, embedding); ties go to the
+    smaller doc_id. A query is compared with the vectors of its own length; rows without a vector of finite
+    numbers are left out on both sides (``left_out`` counts them), and so are queries without any hit.
+
+    The index is dealt to cells around pivots (``cells``: those of a stored index, else made here and deleted afterwards), in
+    chunks of known distances from the pivot. Queries are packed in blocks of neighbours. In a first job every query
+    is compared with its home chunk, which bounds the distance of its k-th neighbour; in a second one, for all blocks, with
+    those other chunks that the triangle inequality does not rule out. Queries travel to the chunks by a join on the chunk, so
+    a task holds one chunk and the queries of one block, and chunks with many visitors are split like any skewed join.
+    """
+    made = cells is None
+    cells = build_cells(index) if made else cells
+    pivots = cells.matrix()
+    blocks = written(_blocks(queries.select("query_id", "embedding"), pivots, block_bytes), "query-blocks")
+    home = written(_best(_compare(visits(blocks, cells, k, pivots), cells, k), k), "home-hits")
+    away = _compare(visits(_with_bounds(blocks, home, k), cells, k, pivots), cells, k)
+    hits = _best(home.drop("rank").union(away), k)
+    keys = blocks.select("block", F.posexplode("keys").alias("place", "query_id"))
+    result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")
+    for table in (blocks, home):
+        release(table)
+    if made:
+        cells.release()
+    return result

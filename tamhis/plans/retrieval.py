@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamhis.functions import chat
-from tamhis.operators.nearest import comparable, nearest
+from tamhis.operators.cells import Cells, comparable
+from tamhis.operators.nearest import nearest
 from tamhis.workspace import written
 
 
@@ -22,12 +23,13 @@ def build_index(records: DataFrame, encoder, doc_id: str = "row_id") -> DataFram
     return written(encoder.encode(documents(records, doc_id), "doc_text").select("doc_id", "doc_text", "embedding"), "index")
 
 
-def retrieve_context(index: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
+def retrieve_context(index: DataFrame, queries: DataFrame, k: int = 2, cells: Cells | None = None) -> DataFrame:
     """(query_id, context): the k nearest document texts, nearest first, a blank line between them.
 
-    ``index`` must be a stored table: its vectors and its texts are read in separate passes.
+    ``index`` must be a stored table: its vectors and its texts are read in separate passes. With its ``cells``, as
+    ``write_index`` stores them, its vectors are not dealt again.
     """
-    hits = nearest(index, queries, k)
+    hits = nearest(index, queries, k, cells=cells)
     texts = hits.join(index.select("doc_id", "doc_text"), "doc_id")
     ranked = F.array_sort(F.collect_list(F.struct("rank", "doc_text")))  # k entries
     return texts.groupBy("query_id").agg(
@@ -35,7 +37,7 @@ def retrieve_context(index: DataFrame, queries: DataFrame, k: int = 2) -> DataFr
     )
 
 
-def rag_prompts(requests: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
+def rag_prompts(requests: DataFrame, index: DataFrame, k: int = 2, cells: Cells | None = None) -> DataFrame:
     """Add ``prompt`` to requests (message, embedding ..).
 
     Every request gets the context of its own vector; equal vectors are looked up once. The requests are stored
@@ -48,7 +50,7 @@ def rag_prompts(requests: DataFrame, index: DataFrame, k: int = 2) -> DataFrame:
     requests = written(requests.withColumn(key, keyed), "requests")
     queries = requests.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("query_id")).agg(
         F.any_value("embedding").alias("embedding"))  # equal up to the digest
-    contexts = retrieve_context(index, queries, k).withColumnRenamed("query_id", key)
+    contexts = retrieve_context(index, queries, k, cells).withColumnRenamed("query_id", key)
     plain = chat.render_messages(chat.prompt_messages(F.col("message")))
     found = chat.render_messages(chat.prompt_messages(F.col("message"), F.coalesce("context", F.lit(""))))
     return (

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.functions.text import is_blank
+from tamhis.operators.cells import Cells
 from tamhis.schemas import INDEX, INSTRUCTION, RAW_QA, TRAINING_TEXT
 from tamhis.sources.order import in_file_order
 from tamhis.workspace import release, written
@@ -109,6 +110,11 @@ def read_index(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(INDEX).parquet(path)
 
 
+def read_cells(spark: SparkSession, path) -> Cells:
+    """The cells of a stored index, for ``nearest`` and ``rag_prompts``."""
+    return Cells.read(spark, f"{path}/_cells")
+
+
 def head(df: DataFrame, n: int = 5, order_by: str = "row_id") -> DataFrame:
     """The first ``n`` rows; planned as a top-n, not as a sort."""
     return df.orderBy(order_by).limit(n)

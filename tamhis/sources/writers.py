@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tamhis.operators.cells import build_cells
 from tamhis.operators.requests import report_lines
 from tamhis.schemas import INDEX, INSTRUCTION
 
@@ -25,8 +26,16 @@ def write_instructions(df: DataFrame, path: str, order_by=None) -> int:
     return written.get["n"]
 
 
-def write_index(df: DataFrame, path: str) -> None:
+def write_index(df: DataFrame, path: str, cells: bool = True) -> None:
+    """Overwrite ``path`` with the rows of an index, and its folder ``_cells`` with their vectors dealt to cells.
+
+    ``readers.read_index`` reads the rows, ``readers.read_cells`` the cells, which spare every search the dealing.
+    """
     df.select(*[F.col(f.name).cast(f.dataType) for f in INDEX]).write.mode("overwrite").parquet(path)
+    if cells:
+        made = build_cells(df.sparkSession.read.schema(INDEX).parquet(path))
+        made.write(f"{path}/_cells")
+        made.release()
 
 
 def write_training(df: DataFrame, path: str) -> None:

@@ -513,6 +513,8 @@ SELECT min(row_id) AS row_id, q, arg_min(a, row_id) AS a FROM pairs GROUP BY q""
     SELECT split, count(*) AS n FROM parts GROUP BY split""",
     "curate_marks": f"WITH {curated(gates(personal=(), marks=MARKS))} SELECT row_id, instruction, input, output FROM curated",
     "normalize_marks": text_rule(normalized("text", MARKS)),
+    "knn_all_top2": f"""WITH {SPOILED}, queries AS (SELECT doc_id AS query_id, embedding FROM items), {nearest('items', 'queries')}
+    SELECT query_id, doc_id, round(distance, 6) AS distance, rank FROM hits""",
     "knn_top2": f"""WITH {SPOILED},
     parts AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings),
     sums AS (SELECT label, pos, avg(v) AS v FROM parts GROUP BY ALL),

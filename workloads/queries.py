@@ -21,7 +21,9 @@ from tamhis.plans import profile as PP
 from tamhis.plans import retrieval as PR
 from tamhis.plans import training as PT
 from tamhis.profiles import LATIN
-from tamhis.sources.readers import head, read_index, read_jsonl_strict, read_jsonl_tolerant, read_jsonl_within, read_raw_qa, read_training_csv
+from tamhis.sources.readers import (
+    head, read_cells, read_index, read_jsonl_strict, read_jsonl_tolerant, read_jsonl_within, read_raw_qa, read_training_csv,
+)
 from tamhis.sources.writers import write_index, write_instructions, write_training
 from tamhis.streaming.curation import curate_stream
 from tamhis.streaming.requests import prompt_stream
@@ -408,6 +410,15 @@ def knn_top2(spark, sf_dir):
     return _rounded(nearest(vectors, A.label_means(spark, sf_dir), 2).withColumn("rank", F.col("rank").cast("long")))
 
 
+def knn_all_top2(spark, sf_dir):
+    """The two nearest vectors to every vector, by the cells of a stored index."""
+    path = fresh_path(spark, "index")
+    write_index(A.spoiled_vectors(spark, sf_dir).withColumn("doc_text", F.lit("")), path)
+    index = read_index(spark, path)
+    hits = nearest(index, index.select(F.col("doc_id").alias("query_id"), "embedding"), 2, cells=read_cells(spark, path))
+    return _rounded(hits.withColumn("rank", F.col("rank").cast("long")))
+
+
 def rag_prompts(spark, sf_dir):
     asked = R.validate_requests(A.requests(spark, sf_dir)).filter("status = 200")
     asked = A.with_query_vectors(asked.select("request_id", "conv_id", "message"), spark, sf_dir)
@@ -526,6 +537,7 @@ QUERIES = {
     "curate_marks": curate_marks,
     "normalize_marks": normalize_marks,
     "knn_top2": knn_top2,
+    "knn_all_top2": knn_all_top2,
     "rag_prompts": rag_prompts,
     "tfidf_embed": tfidf_embed,
     "tfidf_rag_prompts": tfidf_rag_prompts,
