@@ -1,7 +1,5 @@
 """Vectors dealt to cells around pivots: an index whose parts a search can leave out by the triangle inequality."""
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,33 +27,36 @@ def comparable(c: Column) -> Column:
     return F.coalesce(finite & (F.size(c) > 0), F.lit(False))
 
 
-@dataclass
 class Cells:
     """``chunks`` (chunk, dim, cell, low, high, n, ids, vectors): up to some thousand vectors of one cell, whose distances
-    from the pivot lie between ``low`` and ``high``. ``pivots`` (dim, cell, pivot)."""
+    from the pivot lie between ``low`` and ``high``. ``pivots``: the pivots of each length of vector, of bounded volume."""
 
-    chunks: DataFrame
-    pivots: DataFrame
+    def __init__(self, chunks: DataFrame, pivots: dict[int, np.ndarray]):
+        self.chunks, self.pivots, self._listed = chunks, pivots, None
 
     def write(self, path: str) -> None:
+        flat = [(int(dim), c, [float(x) for x in v]) for dim, matrix in self.pivots.items() for c, v in enumerate(matrix)]
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.pivots.write.mode("overwrite").parquet(f"{path}/pivots")
+        self.chunks.sparkSession.createDataFrame(flat, PIVOT).write.mode("overwrite").parquet(f"{path}/pivots")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> "Cells":
-        return Cells(spark.read.schema(CHUNK).parquet(f"{path}/chunks"), spark.read.schema(PIVOT).parquet(f"{path}/pivots"))
+        found: dict = {}
+        for row in spark.read.schema(PIVOT).parquet(f"{path}/pivots").orderBy("dim", "cell").collect():
+            found.setdefault(row["dim"], []).append(row["pivot"])
+        return Cells(spark.read.schema(CHUNK).parquet(f"{path}/chunks"), {dim: np.array(rows) for dim, rows in found.items()})
 
     def release(self) -> None:
-        """Delete the tables if ``build_cells`` stored them."""
+        """Delete the chunks if ``build_cells`` stored them."""
         release(self.chunks)
-        release(self.pivots)
 
-    def matrix(self) -> dict[int, np.ndarray]:
-        """The pivots of each length of vector; their volume is bounded."""
-        found: dict = {}
-        for row in self.pivots.orderBy("dim", "cell").collect():
-            found.setdefault(row["dim"], []).append(row["pivot"])
-        return {dim: np.array(rows) for dim, rows in found.items()}
+    def listed(self) -> dict[int, tuple]:
+        """(chunk, cell, low, high, n) of all chunks of each length, by cell and distance: their number is bounded (MOST_CHUNKS,
+        and a rest for each cell and task)."""
+        if self._listed is None:
+            rows = self.chunks.select("dim", "cell", "low", "chunk", "high", "n").toPandas().sort_values(["dim", "cell", "low", "chunk"])
+            self._listed = {int(dim): tuple(own[c].to_numpy() for c in ("chunk", "cell", "low", "high", "n")) for dim, own in rows.groupby("dim")}
+        return self._listed
 
 
 def _geometry():
@@ -128,18 +129,22 @@ def _choose_pivots(vectors: DataFrame) -> tuple[dict[int, np.ndarray], int]:
     with the smallest hashes): the centres of a few rounds of k-means.
     """
     counts = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    sizes = sorted(((r["n"], r["dim"]) for r in counts.collect()), reverse=True)
+    h, share = F.xxhash64("embedding"), F.lit(-1)
+    most = {dim: min(SAMPLE, PIVOT_BYTES // dim + 1) for _, dim in sizes[:LENGTHS]}
+    for n, dim in sizes[:LENGTHS]:
+        share = F.when(F.size("embedding") == dim, int(min(1.0, 1.2 * most[dim] / n) * (1 << 30))).otherwise(share)
+    sample = vectors.filter(F.pmod(h, F.lit(1 << 30)) <= share).groupBy(h.alias("h")).agg(F.any_value("embedding").alias("v"))
+    points: dict = {dim: [] for dim in most}
+    for _, v in sorted((r["h"], r["v"]) for r in sample.collect()):
+        if len(points[len(v)]) < most[len(v)]:
+            points[len(v)].append(v)
     found = {}
-    for dim, n in [tuple(r) for r in counts.orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()]:
-        rows = min(SAMPLE, PIVOT_BYTES // dim + 1)
-        own, h = vectors.filter(F.size("embedding") == dim), F.xxhash64("embedding")
-        if n > 1.2 * rows:
-            own = own.filter(F.pmod(h, F.lit(1 << 30)) <= int(1.2 * rows / n * (1 << 30)))
-        sample = own.groupBy(h.alias("h")).agg(F.any_value("embedding").alias("v")).orderBy("h").limit(rows)
-        points = np.array([r["v"] for r in sample.collect()], np.float64).reshape(-1, dim)
-        k = max(1, min(MOST_PIVOTS, int(n ** 0.5), PIVOT_BYTES // (8 * dim), len(points)))
-        if len(points):
-            found[dim] = _centres(points, k)
+    for n, dim in sizes[:LENGTHS]:
+        matrix = np.array(points[dim], np.float64)
+        if len(matrix):
+            found[dim] = _centres(matrix, max(1, min(MOST_PIVOTS, int(n ** 0.5), PIVOT_BYTES // (8 * dim), len(matrix))))
+    total = sum(n for n, _ in sizes)
     return found, total
 
 
@@ -208,6 +213,4 @@ def build_cells(index: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Cells:
         if held is not None and held.num_rows:
             yield out([chunk(held)])
 
-    chunks = written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, CHUNK), "chunks")
-    flat = [(int(dim), c, [float(x) for x in v]) for dim, matrix in pivots.items() for c, v in enumerate(matrix)]
-    return Cells(chunks, written(index.sparkSession.createDataFrame(flat, PIVOT), "pivots"))
+    return Cells(written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, CHUNK), "chunks"), pivots)

@@ -153,7 +153,7 @@ VISIT = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("chunk", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in ("places", "queries", "bounds")]])
 
 
-def visits(blocks: DataFrame, cells: Cells, k: int, pivots: dict | None = None) -> DataFrame:
+def visits(blocks: DataFrame, cells: Cells, k: int) -> DataFrame:
     """(block, chunk, places, queries, bounds): the chunks that queries of a block must be compared with.
 
     Without a column ``bounds`` in ``blocks`` a query visits its home: the chunk of its own cell with distances from
@@ -161,12 +161,7 @@ def visits(blocks: DataFrame, cells: Cells, k: int, pivots: dict | None = None)
     neighbour found so far, it visits every other chunk whose vectors may be as near: a vector at distance s from a pivot is no nearer to a query
     at distance d from it than |d - s|.
     """
-    pivots = cells.matrix() if pivots is None else pivots
-    listed = cells.chunks.select("chunk", "dim", "cell", "low", "high", "n").toPandas()  # bounded: cells.MOST_CHUNKS rows
-    tables = {}
-    for dim, own in listed.sort_values(["dim", "cell", "low", "chunk"]).groupby("dim"):
-        tables[int(dim)] = tuple(own[c].to_numpy() for c in ("chunk", "cell", "low", "high", "n"))
-    shared = cells.chunks.sparkSession.sparkContext.broadcast((tables, pivots))
+    shared = cells.chunks.sparkSession.sparkContext.broadcast((cells.listed(), cells.pivots))
     distances, _, _ = _geometry()
     bounded = "bounds" in blocks.columns
     names = VISIT.names
@@ -309,10 +304,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
     """
     made = cells is None
     cells = build_cells(index) if made else cells
-    pivots = cells.matrix()
-    blocks = written(_blocks(queries.select("query_id", "embedding"), pivots, block_bytes), "query-blocks")
-    home = written(_best(_compare(visits(blocks, cells, k, pivots), cells, k), k), "home-hits")
-    away = _compare(visits(_with_bounds(blocks, home, k), cells, k, pivots), cells, k)
+    blocks = written(_blocks(queries.select("query_id", "embedding"), cells.pivots, block_bytes), "query-blocks")
+    home = written(_best(_compare(visits(blocks, cells, k), cells, k), k), "home-hits")
+    away = _compare(visits(_with_bounds(blocks, home, k), cells, k), cells, k)
     hits = _best(home.drop("rank").union(away), k)
     keys = blocks.select("block", F.posexplode("keys").alias("place", "query_id"))
     result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")

@@ -37,13 +37,13 @@ def test_most_chunks_are_left_out_and_no_neighbour_is_lost(spark, clustered, k):
     index, asked = frame(spark, "doc_id", docs).repartition(4), frame(spark, "query_id", queries)
     cells = C.build_cells(index, chunk_rows=64)
     chunks = cells.chunks.collect()
-    assert sum(c.n for c in chunks) == len(docs) and max(c.n for c in chunks) <= 64 and len(cells.matrix()[8]) > 40
+    assert sum(c.n for c in chunks) == len(docs) and max(c.n for c in chunks) <= 64 and len(cells.pivots[8]) > 40
     for c in chunks[::20]:  # the stored distances hold for what a chunk contains
-        pivot = cells.matrix()[8][c.cell]
+        pivot = cells.pivots[8][c.cell]
         far = np.sqrt(((np.frombuffer(c.vectors, "<f4").reshape(-1, 8).astype(float) - pivot) ** 2).sum(axis=1))
         assert far.min() == pytest.approx(c.low) and far.max() == pytest.approx(c.high)
     assert found(N.nearest(index, asked, k, cells=cells)) == brute(queries, docs, k)
-    blocks = N.written(N._blocks(asked, cells.matrix(), 1 << 20), "b")
+    blocks = N.written(N._blocks(asked, cells.pivots, 1 << 20), "b")
     home = N.visits(blocks, cells, k)
     hits = N.written(N._best(N._compare(home, cells, k), k), "h")
     away = N.visits(N._with_bounds(blocks, hits, k), cells, k)

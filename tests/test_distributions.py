@@ -70,6 +70,99 @@ def test_kde(vc, values):
         assert np.allclose(table["x"], x) and np.allclose(table["density"], want)
 
 
+@pytest.fixture(scope="module")
+def real(spark):
+    """Continuous columns: nearly every value is distinct."""
+    rng = np.random.default_rng(8)
+    return {
+        "normal": rng.normal(3, 2, 4000), "heavy": np.exp(rng.normal(0, 5, 4000)), "stamps": 1.7e9 + rng.random(4000) * 1e5,
+        "mixed": np.concatenate([-np.exp(rng.normal(0, 30, 500)), np.zeros(1500), np.exp(rng.normal(0, 30, 500)), [5e-324, -5e-324, 1e308]]),
+        "powers": 2.0 ** rng.integers(-60, 60, 3000), "two": np.array([1.5, np.nextafter(1.5, 2)]), "one": np.array([-7.25]),
+    }
+
+
+@pytest.fixture(scope="module")
+def real_vc(spark, real):
+    df = spark.createDataFrame([(s, float(v)) for s, vs in real.items() for v in vs], "s string, v double").repartition(6)
+    return D.value_counts(df, {s: F.when(F.col("s") == s, F.col("v")) for s in real}).cache()
+
+
+def test_selected_quantiles_of_real_numbers(real_vc, real):
+    shares = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = by_series(D.selected(real_vc, ["series"], shares))
+    assert set(got) == set(real)
+    for s, v in real.items():
+        row = got[s].iloc[0]
+        assert row["total"] == len(v) and (row["lo"], row["hi"]) == (v.min(), v.max())
+        exact = np.sort(v)
+        at = np.array(shares) * (len(v) - 1)
+        low, high = exact[np.floor(at).astype(int)], exact[np.ceil(at).astype(int)]
+        assert list(row["quantiles"]) == pytest.approx((low + (high - low) * (at - np.floor(at))).tolist(), rel=1e-12)
+        assert row["mean"] == pytest.approx(v.mean(), rel=1e-9)
+        if len(v) > 1 and s not in ("two", "mixed"):
+            assert row["std"] == pytest.approx(v.std(ddof=1), rel=1e-9)
+
+
+def test_quantiles_are_selected_not_sorted(real_vc):
+    df = D.describe(real_vc)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    orders = [line for line in plan.splitlines() if "Window [" in line and "value#" in line.rpartition("[")[2]]
+    assert orders and all("_part#" in line for line in orders)  # values are only ordered within a part of a range
+    # what is left to sort: of 4,000 timestamps close together, those in a few of 4,096 parts
+    stamps = real_vc.filter("series = 'stamps'")
+    number, _ = D._floating_range(F.col("value"))
+    assert stamps.select(number.alias("r")).distinct().count() <= 2
+    lo, hi = stamps.agg(F.min("value"), F.max("value")).first()
+    part = D._part(F.col("value"), F.lit(lo), F.lit(hi))
+    assert stamps.groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] < 20
+
+
+def test_ranges_grow_with_the_values(spark):
+    edges = [0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-3, 1.0, np.nextafter(2.0, 1), 2.0, 1e22, 2.0 ** 52, 1.7e308, float("inf")]
+    values = sorted({s * e for e in edges for s in (-1.0, 1.0)} | {float(x) for k in range(-40, 40) for x in (2.0 ** k, np.nextafter(2.0 ** k, 0), 1.37 * 2.0 ** k)})
+    number, edge = D._floating_range(F.col("v"))
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", number.alias("r"), edge.alias("e")).orderBy("v").collect()
+    assert [r.r for r in rows] == sorted(r.r for r in rows)
+    assert all(abs(r.e) <= abs(r.v) and abs(r.v - r.e) <= abs(r.v) / 500 for r in rows if 1e-300 < abs(r.v) < float("inf"))
+
+
+def test_kde_of_real_numbers(real_vc, real):
+    """The distance from the sum over all values stays below the stated bound."""
+    keep = ["normal", "heavy", "stamps"]
+    got = by_series(D.kde(real_vc.filter(F.col("series").isin(keep)), points=120))
+    for s in keep:
+        v = real[s]
+        bw = v.std(ddof=1) * len(v) ** -0.2
+        table = got[s].sort_values("point")
+        x = table["x"].to_numpy()
+        assert len(x) == 120 and x[0] == pytest.approx(v.min() - 3 * bw, rel=1e-9)
+        exact = np.exp(-0.5 * ((x[:, None] - v) / bw) ** 2).sum(axis=1) / (len(v) * bw * math.sqrt(2 * math.pi))
+        height = 1 / (bw * math.sqrt(2 * math.pi))
+        assert np.abs(table["density"] - exact).max() < 2e-9 * height  # x itself is rounded: timestamps have 1e-7 of a second
+        if s != "stamps":
+            assert np.abs(table["density"] - exact).max() < 1e-11 * height
+
+
+def test_kde_rows_do_not_multiply(real_vc):
+    """Neither the boxes nor what they reach come near distinct values times points."""
+    for s, most in (("normal", 4000), ("stamps", 4000), ("heavy", 6000)):
+        vc = real_vc.filter(F.col("series") == s)
+        shape = D.spread(vc, ["series"]).select(
+            "series", "total", F.col("lo").alias("min"), (F.col("std") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("bw"),
+            F.col("lo").alias("start"), ((F.col("hi") - F.col("lo")) / 199.0).alias("step"))
+        boxes = D._boxes(vc, shape, ["series"])
+        assert boxes.count() <= 400 and D._reached(boxes, 200).count() <= most  # of 800,000
+
+
+def test_histogram_of_real_numbers(real_vc, real):
+    got = by_series(D.histogram(real_vc.filter("series in ('normal', 'stamps', 'one')"), whole=False))
+    for s in ("normal", "stamps"):
+        counts, edges = np.histogram(real[s], bins="auto")
+        table = got[s].sort_values("bin")
+        assert table["n"].tolist() == counts.tolist() and np.allclose(table["left"], edges[:-1])
+    assert got["one"]["n"].tolist() == [1]
+
+
 def test_boxplot(vc, values):
     got = by_series(D.boxplot(vc))
     for s, v in values.items():

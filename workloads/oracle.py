@@ -378,6 +378,22 @@ filed AS (
   FROM (SELECT *, CASE row_id % 16 WHEN 3 THEN 'a' WHEN 0 THEN 'c' WHEN 1 THEN 'd' WHEN 2 THEN 'd' WHEN 4 THEN 'e' ELSE 'b' END AS file FROM raw))"""
 
 
+EVENT_VALUES = "vals AS (SELECT event_type AS series, value FROM events WHERE value IS NOT NULL AND NOT isnan(value))"
+
+
+def histogram(rule: str) -> str:
+    """Counts of the bins of vals; ``rule`` makes a bin's width of the automatic one."""
+    return f"""widths AS (
+      SELECT *, hi - lo AS span, least(greatest(2.0::DOUBLE * (q3 - q1) / pow(cnt, 1.0::DOUBLE / 3), (hi - lo) / sqrt(cnt) / 2), (hi - lo) / (log2(cnt) + 1)) AS rule FROM stats),
+    shape AS (SELECT series, lo, CASE WHEN span > 0 THEN ceil(span / {rule}) ELSE 1 END::BIGINT AS bins, span FROM widths),
+    edges AS (
+      SELECT series, bin, bins, lo + bin * (span / bins) AS l, lo + (bin + 1) * (span / bins) AS r
+      FROM (SELECT *, unnest(range(bins)) AS bin FROM shape)),
+    counted AS (
+      SELECT e.series, bin, round(l, 6) AS "left", round(r, 6) AS "right", count(v.value) AS n
+      FROM edges e LEFT JOIN vals v ON v.series = e.series AND (v.value >= l OR bin = 0) AND (v.value < r OR bin = bins - 1) GROUP BY ALL)"""
+
+
 ORACLE_SQL = {
     "curate_qa": f"WITH {CURATED} SELECT row_id, instruction, input, output FROM curated",
     "scan_raw": f"WITH {RAW} SELECT row_id, {RAW_COLUMNS} FROM raw",
@@ -465,14 +481,13 @@ SELECT min(row_id) AS row_id, q, arg_min(a, row_id) AS a FROM pairs GROUP BY q""
     "top_words_answers": top_words("reply"),
     "top_words_questions": top_words("question"),
     "corr_matrix": correlations(NUMERIC_COLUMNS),
-    "length_histogram": f"""WITH {CHARS}, {stats('series')}, widths AS (
-      SELECT *, hi - lo AS span, least(greatest(2.0::DOUBLE * (q3 - q1) / pow(cnt, 1.0::DOUBLE / 3), (hi - lo) / sqrt(cnt) / 2), (hi - lo) / (log2(cnt) + 1)) AS rule FROM stats),
-    shape AS (SELECT series, lo, CASE WHEN span > 0 THEN ceil(span / greatest(rule, 1.0)) ELSE 1 END::BIGINT AS bins, span FROM widths),
-    edges AS (
-      SELECT series, bin, bins, lo + bin * (span / bins) AS l, lo + (bin + 1) * (span / bins) AS r
-      FROM (SELECT *, unnest(range(bins)) AS bin FROM shape))
-    SELECT e.series, bin, round(l, 6) AS "left", round(r, 6) AS "right", count(v.value) AS n
-    FROM edges e LEFT JOIN vals v ON v.series = e.series AND (v.value >= l OR bin = 0) AND (v.value < r OR bin = bins - 1) GROUP BY ALL""",
+    "length_histogram": f"""WITH {CHARS}, {stats('series')}, {histogram('greatest(rule, 1.0)')} SELECT * FROM counted""",
+    "histogram_events": f"""WITH {EVENT_VALUES}, {stats('series')}, {histogram('rule')}
+      SELECT series AS event_type, 'value' AS series, bin, "left", "right", n FROM counted""",
+    "kde_events": f"""WITH {EVENT_VALUES}, {stats('series')}, {kde(200, 3.0, 'curve')}
+      SELECT series AS event_type, 'value' AS series, point, round(x, 6) AS x, round(density, 9) AS density FROM curve""",
+    "boxplot_events": f"""WITH {EVENT_VALUES}, {stats('series')}, boxes AS (WITH {boxplot('series').strip()})
+      SELECT series AS event_type, 'value' AS series, * EXCLUDE (series) FROM boxes""",
     "boxplot_overall": f"WITH {CHARS}, {stats('series')}, {boxplot('series')}",
     "top_category_boxplot": f"""WITH {TOP6}, vals AS (SELECT category, 'Question' AS series, question_len::DOUBLE AS value FROM top6),
       {stats('category')}, {boxplot('category')}""",

@@ -315,6 +315,23 @@ def corr_matrix(spark, sf_dir):
     return _rounded(PP.correlations(A.raw_qa(spark, sf_dir)))
 
 
+def _event_counts(spark, sf_dir):
+    """Values of the events, a continuous column: nearly every value is distinct."""
+    return D.value_counts(A.table(spark, sf_dir, "events"), {"value": F.col("value")}, ["event_type"])
+
+
+def histogram_events(spark, sf_dir):
+    return _rounded(D.histogram(_event_counts(spark, sf_dir), ["event_type", "series"], whole=False))
+
+
+def kde_events(spark, sf_dir):
+    return _rounded(D.kde(_event_counts(spark, sf_dir), ["event_type", "series"]), density=9)
+
+
+def boxplot_events(spark, sf_dir):
+    return _rounded(D.boxplot(_event_counts(spark, sf_dir), ["event_type", "series"]))
+
+
 def length_histogram(spark, sf_dir):
     return _rounded(D.histogram(PP.char_lengths(_lengths(spark, sf_dir))))
 
@@ -518,6 +535,9 @@ QUERIES = {
     "top_words_questions": top_words_questions,
     "corr_matrix": corr_matrix,
     "length_histogram": length_histogram,
+    "histogram_events": histogram_events,
+    "kde_events": kde_events,
+    "boxplot_events": boxplot_events,
     "boxplot_overall": boxplot_overall,
     "top_category_boxplot": top_category_boxplot,
     "top_category_mean_ci": top_category_mean_ci,
