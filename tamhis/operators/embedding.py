@@ -8,25 +8,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.functions.text import WS
+from tamhis.workspace import written
 
 
 def lower_words(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), f"{WS}++"), "")
 
 
-def _hashing(dim: int):
+def _hashing(dim: int, limit: int = 400_000):
     """Arrow helper as a closure, shipped by value: lists of words -> (row, bucket) of every word.
 
-    A word's bucket is the first 16 bits of its md5 modulo ``dim``. Only the distinct words of a batch
-    are hashed.
+    A word's bucket is the first 16 bits of its md5 modulo ``dim``. Each distinct word is hashed once for all batches of
+    a task, as long as no more than ``limit`` are known.
     """
     from hashlib import md5
 
+    class Buckets(dict):
+        def __missing__(self, word):
+            self[word] = bucket = int(md5(word.encode()).hexdigest()[:4], 16) % dim
+            return bucket
+
+    known = Buckets()
+
     def row_and_bucket(words: pa.Array):
         coded = words.flatten().dictionary_encode()
-        bucket = np.array(
-            [int(md5(w.encode()).hexdigest()[:4], 16) % dim for w in coded.dictionary.to_pylist()], dtype=np.int64
-        )
+        if len(known) > limit:
+            known.clear()
+        bucket = np.fromiter(map(known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
         return row, bucket[coded.indices.to_numpy()]
 
@@ -124,25 +132,89 @@ class TfidfEncoder:
         return self.dense(self.weights(self.counts(df, column, "_tf"), "_tf", "_weights").drop("_tf"), "_weights")
 
 
+#: Texts that are gathered and sorted by length before they go to a model: so many rows or characters.
+WINDOW_ROWS, WINDOW_CHARS = 4096, 8 << 20
+#: Texts of at least a COMMON part of all rows (there are no more than COMMON) get their vectors by broadcast.
+COMMON = 1000
+
+
 class BatchEncoder:
-    """Any model encoder: ``make()`` returns a function from a list of texts to a list of vectors.
+    """Any model encoder: ``make()`` returns a function from a list of texts to a list (or matrix) of vectors.
 
-    ``make`` runs once per task, on the executor, so the model is loaded there and used for all
-    batches of the task.
+    ``make`` runs once per task, on the executor, so the model is loaded there and used for all batches of the task. The
+    model gets ``batch`` texts at a time, of similar length: texts are gathered in a bounded window and sorted by
+    length, so that a model which pads its batches pads little. With ``arrow`` it gets an Arrow array of
+    strings instead of a list; a matrix or an Arrow list array is taken over as it is, without a Python number.
     """
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, batch: int = 64, arrow: bool = False):
+        self.make, self.batch, self.arrow = make, batch, arrow
 
-    def encode(self, df: DataFrame, column: str) -> DataFrame:
-        make = self.make
-        schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    def vectors(self, texts: DataFrame, column: str) -> DataFrame:
+        """``texts`` with ``embedding`` in place of their text, in any order; the other columns must be simple."""
+        make, size, arrow, rows, chars = self.make, self.batch, self.arrow, WINDOW_ROWS, WINDOW_CHARS
+        narrow = texts.select(*[c for c in texts.columns if c != column], column)
+        schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+        names = schema.names
+
+        def listed(found):
+            import numpy as np
+            import pyarrow as pa
+
+            kind = pa.list_(pa.float32())
+            if isinstance(found, (pa.Array, pa.ChunkedArray)):
+                found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+                return found.cast(kind)
+            if not isinstance(found, np.ndarray) and len({len(v) for v in found}) > 1:
+                return pa.array([np.asarray(v, np.float32) for v in found], kind)
+            matrix = np.ascontiguousarray(found, np.float32)
+            matrix = matrix.reshape(len(matrix), -1)
+            return pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, max(1, matrix.shape[1]), dtype=np.int32)[:len(matrix) + 1]
+                                            if matrix.shape[1] else np.zeros(len(matrix) + 1, np.int32), matrix.ravel())
+
+        def windows(batches):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            held, n, volume = [], 0, 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, size):
+                    part = batch.slice(at, size)
+                    held.append(part)
+                    n, volume = n + part.num_rows, volume + (pc.sum(pc.utf8_length(part.columns[-1])).as_py() or 0)
+                    if n >= rows or volume >= chars:
+                        yield pa.Table.from_batches(held).combine_chunks()
+                        held, n, volume = [], 0, 0
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
 
         def run(batches):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
             model = make()
-            for batch in batches:
-                texts = ["" if t is None else t for t in batch[column]]
-                vectors = [[float(x) for x in v] for v in model(texts)] if texts else []
-                yield batch.assign(embedding=vectors)
+            for window in windows(batches):
+                window = window.take(pc.sort_indices(pc.utf8_length(window.columns[-1]))).combine_chunks()
+                for part in window.to_batches(max_chunksize=size):
+                    own = part.columns[-1]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], listed(model(own if arrow else own.to_pylist()))], names)
+
+        return narrow.mapInArrow(run, schema)
 
-        return df.mapInPandas(run, schema)
+    def encode(self, df: DataFrame, column: str) -> DataFrame:
+        """Add ``embedding`` (array of float); null counts as the empty text.
+
+        Each distinct text, told by its 128-bit digest, is encoded once and its vector stored in the shared folder; the
+        rows get the vectors by a join, so columns of any type pass by Python. Vectors of the most common texts are
+        broadcast, and their rows take no part in the shuffle's keys: copies cost neither the model nor one task anything.
+        """
+        df = df.drop("embedding")
+        keyed = df.withColumn("_key", F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")))))
+        texts = keyed.groupBy("_key").agg(F.any_value(F.coalesce(F.col(column), F.lit(""))).alias("_text"), F.count(F.lit(1)).alias("_n"))
+        found = written(self.vectors(texts, "_text"), "vectors")
+        total = found.agg(F.sum("_n")).first()[0] or 0
+        common = found.filter(F.col("_n") >= max(2, -(-total // COMMON))).select("_key", F.col("embedding").alias("_common"))
+        # a row that has its vector gets a key of its own, which matches nothing and lies anywhere
+        own = F.unhex(F.md5(F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))))
+        known = keyed.join(F.broadcast(common), "_key", "left").withColumn("_key", F.when(F.col("_common").isNull(), F.col("_key")).otherwise(own))
+        return known.join(found.drop("_n"), "_key", "left").select(*df.columns, F.coalesce("_common", "embedding").alias("embedding"))

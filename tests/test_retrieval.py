@@ -110,6 +110,51 @@ def test_batch_encoder_loads_the_model_once_per_task(spark):
     assert [r.embedding[0] for r in got] == list(range(10)) and got[0].t == ""
 
 
+def test_batch_encoder_sees_each_text_once_and_pads_little(spark, tmp_path):
+    log = str(tmp_path)
+
+    def make():
+        import os
+        import uuid
+
+        def model(texts):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as file:
+                file.write("\n".join(texts))
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return model
+
+    rows = [(i, "common" if i % 3 == 0 else None if i % 31 == 0 else "t" * (i * 7 % 400 + 1), [i, i + 1], {"k": str(i)}, (i, "s")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, t string, a array<long>, m map<string,string>, s struct<x:long,y:string>").repartition(5)
+    got = BatchEncoder(make, batch=16).encode(df, "t")
+    assert got.columns == [*df.columns, "embedding"]
+    found = {r.id: r for r in got.collect()}
+    assert len(found) == 3000
+    for i, t, a, m, s in rows:
+        r = found[i]
+        assert (r.a, r.m, tuple(r.s), r.t, r.embedding) == (a, m, s, t, [float(len(t or "")), 1.0])
+    batches = [f.read_text().split("\n") for f in tmp_path.iterdir()]
+    seen = [t for b in batches for t in b]
+    assert len(seen) == len(set(seen)) == len({t or "" for _, t, *_ in rows})  # a counting model sees each text once
+    assert all(len(b) <= 16 for b in batches)
+    padded = sum(len(b) * max(map(len, b)) for b in batches)
+    assert padded < 1.25 * sum(map(len, seen))  # texts of similar length go together
+
+
+def test_batch_encoder_takes_arrow_and_ragged_vectors(spark):
+    def arrow():
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        return lambda texts: pa.FixedSizeListArray.from_arrays(pc.utf8_length(texts).cast(pa.float32()), 1)
+
+    df = spark.createDataFrame([(1, "ab"), (2, ""), (3, None), (4, "ab")], "id long, t string")
+    assert {r.id: r.embedding for r in BatchEncoder(arrow, arrow=True).encode(df, "t").collect()} == {1: [2.0], 2: [0.0], 3: [0.0], 4: [2.0]}
+    ragged = BatchEncoder(lambda: lambda texts: [[1.0] * len(t) for t in texts]).encode(df, "t").collect()
+    assert {r.id: r.embedding for r in ragged} == {1: [1.0, 1.0], 2: [], 3: [], 4: [1.0, 1.0]}
+    assert BatchEncoder(arrow, arrow=True).encode(df.limit(0), "t").count() == 0
+
+
 def test_documents_skip_blank_sides(spark):
     df = spark.createDataFrame(
         [(1, " q", "in ", " a "), (2, "", " ", "a"), (3, "q", "", " "), (4, None, "x", "a"), (5, "q", None, "a")],
