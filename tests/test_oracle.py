@@ -1,5 +1,9 @@
 """Every registered query against its SQL, and the shape of the plans."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -29,6 +33,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("blocked", ["tamhis.llm", "corpus_pipeline", "tokenizers", "xxhash", "public_tokenizers", "duckdb"])
+def test_the_other_queries_survive_a_missing_optional_package(blocked):
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))], out.stderr
+
+
 def plan(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
