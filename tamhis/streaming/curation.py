@@ -15,15 +15,18 @@ CURATED = T.StructType([
     T.StructField("input", T.StringType()),
     T.StructField("output", T.StringType()),
 ])
-#: 128-bit digests of the stored questions, in folders by their first byte.
-KEYS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("prefix", T.IntegerType())])
+#: 128-bit digests of the stored questions.
+KEYS = T.StructType([T.StructField("key", T.BinaryType())])
+
+#: Batches of up to so many different questions probe the stored digests for each.
+PROBES = 1024
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 KEY_BYTES = 64  # generous size of a 16-byte key in a hash table
 
 
 def key_table(spark, path: str) -> BatchTable:
-    return BatchTable(spark, f"{path.rstrip('/')}-keys", KEYS, "prefix")
+    return BatchTable(spark, f"{path.rstrip('/')}-keys", KEYS, "key")
 
 
 def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageProfile = ARABIC) -> BatchTable:
@@ -31,31 +34,35 @@ def curate_stream(raw: DataFrame, path: str, checkpoint: str, profile: LanguageP
 
     Gates run on the stream. Per batch the first row of each question survives unless an
     earlier batch already has the question; with files that arrive in row order the table equals the
-    batch result. Questions are also stored as 128-bit digests in a table of their own, by the digest's first byte, and a
-    batch reads only the folders of the digests it has: at most 16 bytes per stored row. The stored keys are first
+    batch result. Questions are also stored as 128-bit digests in a table of their own, sorted, a file per batch or
+    per eight million. A batch of few questions probes it: only the row groups whose range and Bloom filter admit one of its
+    digests are read. A larger one reads at most 16 bytes per stored row: the stored keys are first
     reduced to those of the batch; a batch counted to be small is broadcast, and the stored keys are then
     scanned without a shuffle. ``compact`` of the returned table and of ``key_table`` merges the batches' files.
     """
     table, keys = BatchTable(raw.sparkSession, path, CURATED), key_table(raw.sparkSession, path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("key", F.unhex(F.md5("q")))
-        batch = batch.withColumn("prefix", F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("int")).persist()
+        batch = batch.withColumn("key", F.unhex(F.md5("q"))).persist()
         try:
-            few = batch.count() * KEY_BYTES <= BROADCAST_BYTES
-            small = F.broadcast if few else (lambda df: df)
-            asked = batch.select("key", "prefix").distinct()
-            present = [r[0] for r in asked.select("prefix").distinct().collect()]  # 256 at most
-            earlier = keys.earlier(batch_id).filter(F.col("prefix").isin(present)).select("key")
-            seen = small(earlier.join(small(asked.select("key")), "key", "left_semi"))
+            rows = batch.count()
+            small = F.broadcast if rows * KEY_BYTES <= BROADCAST_BYTES else (lambda df: df)
+            asked = batch.select("key").distinct()
+            some = [r["key"] for r in asked.limit(PROBES + 1).collect()]
+            if len(some) <= PROBES:
+                seen = small(keys.probe(batch_id, some))
+            else:
+                seen = small(keys.earlier(batch_id).join(small(asked), "key", "left_semi"))
             first = first_per_key(batch, "q", "row_id").join(seen, "key", "left_anti").persist()
             try:
                 table.write(as_records(first, profile), batch_id)
-                keys.write(first.repartition(F.col("prefix")), batch_id)
+                keys.write(first, batch_id, rows)
             finally:
                 first.unpersist()
         finally:
             batch.unpersist()
 
+    # lists up to this long are handed to the reader value by value
+    raw.sparkSession.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", PROBES)
     run_available(valid_pairs(raw, profile), handle, checkpoint)
     return table

@@ -4,19 +4,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Rows of a file, and bytes of a row group, of a table that is sorted to be probed.
+FILE_ROWS, GROUP_BYTES = 8_000_000, 1 << 20
+
+
 class BatchTable:
     """Parquet table with one ``batch_id`` folder per micro-batch.
 
     A batch that runs again after a failure overwrites its own folder and, by reading only
     ``earlier`` batches, computes the same rows: each batch takes effect once. ``compact`` merges old batches into one
     folder, ``upto-`` its last batch, which takes the place of all batches up to it as soon as it is complete.
+
+    A table ``sorted_by`` a column is made to be probed for single values: each folder has one file per eight million rows,
+    range-partitioned and sorted, in small row groups with statistics and Bloom filters of the column, so that
+    ``probe`` reads only the row groups that can hold a value.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: str | None = None):
-        self.spark, self.path, self.schema, self.partition_by = spark, path, schema, partition_by
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, sorted_by: str | None = None):
+        self.spark, self.path, self.schema, self.sorted_by = spark, path, schema, sorted_by
+
+    def write(self, df: DataFrame, batch_id: int, rows: int | None = None) -> None:
+        """Store a batch; ``rows``, a bound of its size, decides the number of files of a sorted table."""
+        self._write(df, str(batch_id), rows)
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        self._write(df, str(batch_id))
+    def probe(self, batch_id: int, values: list[bytes]) -> DataFrame:
+        """The rows of earlier batches whose sorted column is one of some hundred values."""
+        wanted = ", ".join(f"X'{bytes(v).hex()}'" for v in values)
+        return self.earlier(batch_id).filter(f"{self.sorted_by} IN ({wanted})" if values else "false")
 
     def read(self) -> DataFrame:
         return self._stored(None)
@@ -34,15 +48,21 @@ class BatchTable:
         old = sorted(batches)[:-1]
         if len(old) + bool(upto) < 2:
             return
-        self._write(self._stored(old[-1] + 1), f"upto-{old[-1]}")
+        stored = self._stored(old[-1] + 1)
+        self._write(stored, f"upto-{old[-1]}", stored.count() if self.sorted_by else None)
         for b in old:
             self._delete(str(b))
         for u in upto:
             self._delete(f"upto-{u}")
 
-    def _write(self, df: DataFrame, folder: str) -> None:
-        writer = df.select(*self.schema.names).write.mode("overwrite")
-        (writer.partitionBy(self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/batch_id={folder}")
+    def _write(self, df: DataFrame, folder: str, rows: int | None) -> None:
+        df, options = df.select(*self.schema.names), {}
+        if self.sorted_by:
+            files = max(1, -(-(FILE_ROWS if rows is None else rows) // FILE_ROWS))
+            df = (df.repartitionByRange(files, self.sorted_by) if files > 1 else df.coalesce(1)).sortWithinPartitions(self.sorted_by)
+            options = {"parquet.block.size": GROUP_BYTES, f"parquet.bloom.filter.enabled#{self.sorted_by}": "true",
+                       f"parquet.bloom.filter.expected.ndv#{self.sorted_by}": GROUP_BYTES // 16}
+        df.write.mode("overwrite").options(**options).parquet(f"{self.path}/batch_id={folder}")
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

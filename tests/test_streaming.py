@@ -5,7 +5,7 @@ from tamhis.plans.curate import valid_pairs, curate
 from tamhis.plans.retrieval import plain_prompts
 from tamhis.profiles import LATIN
 from tamhis.schemas import REQUEST
-from tamhis.streaming import curation
+from tamhis.streaming import curation, sink
 from tamhis.streaming.curation import CURATED, KEYS, curate_stream, key_table
 from tamhis.streaming.requests import prompt_stream
 from tamhis.streaming.sink import BatchTable
@@ -50,25 +50,54 @@ def test_a_batch_that_runs_twice_takes_effect_once(spark, tmp_path):
 
 
 def test_compaction_keeps_the_rows_and_the_newest_batch(spark, tmp_path):
-    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "prefix")
+    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "key")
     for b in range(4):
-        table.write(spark.createDataFrame([(bytes([b, k]), k) for k in range(3)], KEYS), b)
+        table.write(spark.createDataFrame([(bytes([b, k]),) for k in range(3)], KEYS), b)
     for _ in range(2):
         table.compact()
         assert table.batches() == [3] and table.read().count() == 12 and table.earlier(3).count() == 9
-    table.write(spark.createDataFrame([(b"x", 1)], KEYS), 3)  # runs again
-    table.write(spark.createDataFrame([(b"y", 2)], KEYS), 4)
-    assert table.read().count() == 11 and table.read().filter("prefix = 1").count() == 4
+    table.write(spark.createDataFrame([(b"x",)], KEYS), 3)  # runs again
+    table.write(spark.createDataFrame([(b"y",)], KEYS), 4)
+    assert table.read().count() == 11 and table.probe(5, [b"x", b"q", bytes([1, 2])]).count() == 2
     table.compact()
     assert table.batches() == [4] and sorted(p.name for p in (tmp_path / "t").glob("batch*")) == ["batch_id=4", "batch_id=upto-3"]
-    assert table.read().count() == 11
-
-
-def test_a_batch_reads_only_the_folders_of_its_keys(spark, tmp_path):
-    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "prefix")
-    table.write(spark.createDataFrame([(bytes([k]), k) for k in range(40)], KEYS), 0)
-    plan = table.earlier(1).filter("prefix in (3, 7)")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [prefix" in plan
+    assert table.read().count() == 11 and table.probe(5, []).count() == 0
+
+
+def scanned(df):
+    """Rows that the scans of a query gave out."""
+    df.collect()
+    leaves, found = df._jdf.queryExecution().executedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        found += leaves.apply(i).metrics().apply("numOutputRows").value()
+    return found
+
+
+def test_probes_skip_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "GROUP_BYTES", 64 << 10)
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", 1024)
+    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "key")
+    rows = 200_000
+    table.write(spark.range(rows).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key")).repartition(8), 0, rows)
+    assert len(list((tmp_path / "t" / "batch_id=0").glob("part-*"))) == 1  # a batch is one file
+    wanted = [bytes(r.key) for r in spark.range(0, rows, 50_000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key")).collect()]
+    hit = table.probe(1, wanted)
+    assert sorted(bytes(r.key) for r in hit.collect()) == sorted(wanted)
+    assert scanned(hit) < rows / 5  # the other row groups are skipped
+    other = [bytes(r.key) for r in spark.range(rows, rows + 4).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("key")).collect()]
+    assert scanned(table.probe(1, other)) < rows / 10  # most by their Bloom filter
+
+
+@pytest.mark.parametrize("probes", [0, 100, 1 << 20])
+def test_any_number_of_probes_gives_the_same_table(spark, tmp_path, monkeypatch, probes):
+    monkeypatch.setattr(curation, "PROBES", probes)
+    raw = A.raw_qa(spark, SF)
+    for part, (low, high) in enumerate([(0, 400), (400, 600), (600, 1000)]):
+        land(raw.filter((F.col("row_id") >= low) & (F.col("row_id") < high)), str(tmp_path / "in"), part)
+    table = curate_stream(stream(spark, raw.schema, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), LATIN)
+    assert sorted(tuple(r) for r in table.read().collect()) == sorted(tuple(r) for r in curate(raw, LATIN).collect())
+    files = list((tmp_path / "out-keys").glob("batch_id=*/part-*"))
+    assert 1 <= len(files) <= 3  # a handful, not one for every first byte
 
 
 def test_curation_after_compaction(spark, tmp_path):
