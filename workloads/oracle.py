@@ -482,6 +482,10 @@ SELECT min(row_id) AS row_id, q, arg_min(a, row_id) AS a FROM pairs GROUP BY q""
     "top_words_questions": top_words("question"),
     "corr_matrix": correlations(NUMERIC_COLUMNS),
     "length_histogram": f"""WITH {CHARS}, {stats('series')}, {histogram('greatest(rule, 1.0)')} SELECT * FROM counted""",
+    "scatter_sample": f"""WITH {RAW}, points AS (
+      SELECT row_id, category, length(coalesce(question, q_body)) AS x, length(coalesce(reply, a_body)) AS y FROM raw)
+    SELECT * FROM points WHERE x IS NOT NULL AND y IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('42:' || row_id), row_id) <= 40""",
     "histogram_events": f"""WITH {EVENT_VALUES}, {stats('series')}, {histogram('rule')}
       SELECT series AS event_type, 'value' AS series, bin, "left", "right", n FROM counted""",
     "kde_events": f"""WITH {EVENT_VALUES}, {stats('series')}, {kde(200, 3.0, 'curve')}

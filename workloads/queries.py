@@ -15,6 +15,7 @@ from tamhis.operators import requests as R
 from tamhis.operators.chat import render_conversations
 from tamhis.operators.embedding import BatchEncoder, TfidfEncoder
 from tamhis.operators.nearest import nearest
+from tamhis.operators.sampling import hash_sample
 from tamhis.operators.split import split_exact
 from tamhis.plans import curate as PC
 from tamhis.plans import profile as PP
@@ -315,6 +316,13 @@ def corr_matrix(spark, sf_dir):
     return _rounded(PP.correlations(A.raw_qa(spark, sf_dir)))
 
 
+def scatter_sample(spark, sf_dir):
+    """Raw points of question and answer length: forty of each category, picked by hash."""
+    raw = A.raw_qa(spark, sf_dir).select("row_id", "category", F.length(F.coalesce("question", "q_body")).cast("long").alias("x"),
+                                         F.length(F.coalesce("reply", "a_body")).cast("long").alias("y"))
+    return hash_sample(written(raw.filter("x is not null and y is not null"), "points"), "row_id", 40, ["category"])
+
+
 def _event_counts(spark, sf_dir):
     """Values of the events, a continuous column: nearly every value is distinct."""
     return D.value_counts(A.table(spark, sf_dir, "events"), {"value": F.col("value")}, ["event_type"])
@@ -535,6 +543,7 @@ QUERIES = {
     "top_words_questions": top_words_questions,
     "corr_matrix": corr_matrix,
     "length_histogram": length_histogram,
+    "scatter_sample": scatter_sample,
     "histogram_events": histogram_events,
     "kde_events": kde_events,
     "boxplot_events": boxplot_events,
