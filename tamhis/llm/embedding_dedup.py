@@ -15,13 +15,12 @@ THRESHOLD = 0.98
 SHARD_ROWS = 16_384
 #: First beam of a search; it is doubled until the audit of a task passes.
 BEAM = 32
-#: Queries are compared with all vectors of the shard until so many, and this part of them, have a link. On these a beam must
-#: find all links and this share of the nearest eight before the graph is asked for the other queries.
-AUDIT, AUDIT_PART, AUDIT_NEAREST, AUDIT_RECALL = 64, 1 / 128, 8, 0.95
-#: Queries that are compared with all vectors at a time.
-BLOCK = 512
-#: A beam that has been widened to more than this part of a shard is replaced by products with the whole shard.
-WIDEST = 1 / 16
+#: A beam is audited on so many queries, or this part of them, by products with the whole shard, and on so many planted
+#: vectors: copies of nodes turned until their cosine is this part of the way from the threshold to one. It passes if it finds
+#: all links of the former and this share of the latter.
+AUDIT, AUDIT_PART, PLANTED, PLANTED_AT, AUDIT_RECALL = 64, 1 / 128, 128, 0.1, 0.98
+#: A beam that would be wider than this part of a shard, or this many times the first, is replaced by products with the shard.
+WIDEST, WIDENINGS = 1 / 16, 8
 
 
 def usable(v: Column) -> Column:
@@ -100,26 +99,21 @@ def _search(threshold: float):
         reps, own_reps = index.column("rep").to_numpy(), asked.column("rep").to_numpy()
         own = np.arange(len(reps)) if len(reps) == len(own_reps) and (reps == own_reps).all() else None
         order = np.argsort((own_reps * np.int64(-7046029254386353131)) ^ np.int64(0x5851F42D), kind="stable")
-        need, linked, done = max(AUDIT, int(len(order) * AUDIT_PART)), np.empty(0, np.int64), 0
-        hits = []
-        while done < len(order) and len(linked) < need:
-            block = order[done:done + BLOCK]
-            q, node = _all(units, queries[block], threshold)
-            hits.append((block[q], node))
-            linked = np.concatenate([linked, np.unique(block[q[own_reps[block[q]] != reps[node]]])])
-            done += BLOCK
-        rest = order[done:]
-        if len(rest):  # where links are rarer, all queries have been compared and nothing is left to the graph
-            sample = linked[:need]
-            exact = queries[sample] @ units.T
-            nearest = np.argsort(-exact, axis=1)[:, :AUDIT_NEAREST]
-            part = lambda which: None if own is None else own[which]
-            beam, widest = BEAM, max(BEAM, len(reps) * WIDEST)
-            while beam <= widest and not _audit(exact, nearest, graph, queries[sample], part(sample), beam, floor):
-                beam *= 2
-            q, node = _hits(graph, queries[rest], part(rest), beam, floor) if beam <= widest else _all(units, queries[rest], threshold)
-            hits.append((rest[q], node))
-        q, node = (np.concatenate(x) for x in zip(*hits))
+        sample = order[:max(AUDIT, int(len(order) * AUDIT_PART))]
+        exact = queries[sample] @ units.T
+        planted, targets = _planted(units, threshold + (1 - threshold) * PLANTED_AT)
+        beam, widest = BEAM, max(BEAM * WIDENINGS, len(reps) * WIDEST)
+        while beam <= widest and not _audit(exact, graph, queries[sample], None if own is None else own[sample], planted, targets, beam, floor):
+            beam *= 2
+        found = [_hits(graph, queries, own, beam, floor) if beam <= widest else _all(units, queries, floor)]
+        q, node = np.nonzero(exact >= floor)
+        found.append((sample[q], node))
+        stray = graph.stray()  # no search can lead to these
+        q, node = _all(units[stray], queries, floor)
+        found.append((q, stray[node]))
+        q, node = (np.concatenate(x) for x in zip(*found))
+        pair = np.unique(q * len(reps) + node)
+        q, node = pair // len(reps), pair % len(reps)
         cosine = np.concatenate([np.einsum("id,id->i", queries[q[k:k + 65536]], units[node[k:k + 65536]])
                                  for k in range(0, len(q), 65536)]) if len(q) else np.empty(0)
         keep = (cosine >= threshold) & (own_reps[q] != reps[node])
@@ -159,15 +153,26 @@ def _links(reps: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, sa
 _LINKS = ["rep", "n", "root"]
 
 
-def _audit(exact, nearest, graph, queries, own, beam, floor) -> bool:
-    """Whether a beam finds all links of the sampled queries and most of their nearest vectors."""
-    q, node = _hits(graph, queries, own, beam, floor)
+def _planted(units: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at the given cosine from some nodes, in directions that depend on the shard's size alone, and these nodes."""
+    draw = np.random.default_rng(len(units))
+    targets = draw.choice(len(units), min(PLANTED, len(units)), replace=False)
+    side = draw.standard_normal((len(targets), units.shape[1]))
+    side -= np.einsum("id,id->i", side, units[targets])[:, None] * units[targets]
+    length = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    side = np.where(length > 1e-9, side / np.maximum(length, 1e-9), 0)  # no other direction in one dimension
+    out = cosine * units[targets] + np.sqrt(1 - cosine * cosine) * side
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True)), targets
+
+
+def _audit(exact, graph, queries, own, planted, targets, beam, floor) -> bool:
+    """Whether a beam finds all links of the sampled queries and most planted ones."""
     got = np.zeros(exact.shape, bool)
-    got[q, node] = True
+    got[_hits(graph, queries, own, beam, floor)] = True
     if (~got & (exact >= floor + 1e-4)).any():
         return False
-    ids, _ = graph.search(queries, beam, own)
-    return (ids[:, :, None] == nearest[:, None, :]).any(axis=1).mean() >= AUDIT_RECALL
+    q, node = _hits(graph, planted, None, beam, floor)
+    return len(np.unique(q[node == targets[q]])) >= AUDIT_RECALL * len(targets)
 
 
 def _all(units, queries, threshold):
@@ -186,10 +191,11 @@ def near_duplicate_vectors(vectors: DataFrame, key: str = "vec_id", embedding: s
     are one node with a size; rows that repeat a key are vectors of their own that share its component.
 
     Each label's vectors are cut into shards of about ``SHARD_ROWS``, so a label may hold any share of the rows. A task
-    builds one shard's graph; every shard is then asked for every block of its label's vectors. Queries are compared exactly
-    until enough of them have links to audit the graph with; the others are searched, with beams that widen until the
-    audit passes (a graph that never passes is replaced by blocked products). A pair of shards with fewer linked queries is
-    compared exactly as a whole.
+    builds one shard's graph; every shard is then asked for every block of its label's vectors. The graph answers all
+    queries, with beams that widen until an audit passes: all links of a sample of queries, told by products with
+    the whole shard, and nearly all of the copies planted just above the threshold must be found, so the audit has something
+    to find where links are rare. A graph that does not pass with its widest beam is replaced by blocked products. Nodes that
+    no link leads to are compared with all queries. A link of the sample is kept whoever found it.
     """
     v = col(embedding).cast("array<double>")
     rows = vectors.select(col(key).cast("long").alias("key"), v.alias("vector"), col(label).cast("string").alias("label"))

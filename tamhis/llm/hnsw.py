@@ -144,6 +144,16 @@ class Hnsw:
         ids[rows], sims[rows] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1)
         todo[rows] = np.take_along_axis(all_todo, order, 1)
 
+    def stray(self) -> np.ndarray:
+        """Nodes that cannot be reached from the entry in the lowest layer."""
+        seen, edge = np.zeros(len(self.vectors), bool), np.array([self.entry])
+        while len(edge):
+            seen[edge] = True
+            around = self.layers[0][edge].ravel()
+            edge = np.unique(around[around >= 0])
+            edge = edge[~seen[edge]]
+        return np.flatnonzero(~seen)
+
     def search(self, queries: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and cosines of the ``beam`` best nodes found for every query, best first.
 

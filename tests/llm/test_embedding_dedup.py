@@ -103,3 +103,37 @@ def test_link_recall_over_many_shards(spark, monkeypatch):
     want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
     assert want.sum() > 2000 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
     print("link recall", sum(got.values()), "of", want.sum())
+
+
+def _shard(first, vectors, shards=1, seed=9):
+    n = len(vectors)
+    return pa.table({"grp": ["g"] * n, "shard": [0] * n, "shards": [shards] * n, "rep": np.arange(first, first + n), "size": [1] * n,
+                     "vector": [v.tolist() for v in vectors], "draw": np.random.default_rng(seed).integers(0, 1 << 62, n)})
+
+
+@pytest.mark.parametrize("kind", ["218 without links", "5000 without links", "5000 with rare links", "5000 with many links", "two shards, rare links"])
+def test_the_graph_answers_the_queries(monkeypatch, kind):
+    """Counts the queries that are compared by products with the whole shard, and the links that are found."""
+    own = np.random.default_rng(11)
+    n = int(kind.split()[0]) if kind[0] != "t" else 3000
+    x = own.standard_normal((n, 64))
+    if "rare" in kind:  # one in two hundred
+        x[: n // 200] = x[n // 2: n // 2 + n // 200] + own.standard_normal((n // 200, 64)) * 0.15
+    if "many" in kind:
+        for i in range(n // 2):
+            x[i] = x[n // 2 + i % 700] + own.standard_normal(64) * 0.1
+    asked, first = x, 0
+    if kind[0] == "t":
+        asked, first = own.standard_normal((n, 64)), 10_000
+        asked[:30] = x[500:530] + own.standard_normal((30, 64)) * 0.15
+    products = []
+    plain = E._all
+    monkeypatch.setattr(E, "_all", lambda units, queries, floor: (products.append(len(queries) * len(units)), plain(units, queries, floor))[1])
+    index = E._build(_shard(0, x))
+    found = E._search(0.98)(index, index if not first else _shard(first, asked)).to_pydict()
+    assert sum(products) < 0.1 * n * len(asked)  # the graph has answered over nine tenths
+    unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, asked)]
+    want = (unit[1] @ unit[0].T >= 0.98).sum() - (0 if first else n)
+    got = sum(found["n"]) // (2 if first else 1)
+    assert got <= want and got >= 0.95 * want and (want > 20 or "without" in kind)
+    print(kind, "links", got, "of", want)
