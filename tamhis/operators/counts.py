@@ -1,5 +1,7 @@
 """Counts, categories, words and column profiles."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +80,44 @@ def category_share(df: DataFrame, k: int = 6, column: str = "category", other: s
     )
 
 
+#: Values that a frequent-items summary keeps, and those of them that are counted again.
+TRACKED, CANDIDATES = 10_000, 1000
+
+
+def _summary_error(tracked: int) -> float:
+    """Largest part of all rows by which a summary of so many values may misjudge a count: 3.5 to the size of its table, which
+    is the power of two that so many values fill to three quarters."""
+    return 3.5 / (1 << math.ceil(math.log2(tracked / 0.75)))
+
+
+def top_values(df: DataFrame, column: str, k: int, tracked: int = TRACKED, candidates: int = CANDIDATES) -> tuple[DataFrame, bool]:
+    """The ``k`` most frequent values with their exact counts (``column``, n), and whether the summary proved them.
+
+    A first pass builds mergeable frequent-items summaries of fixed size, one a task, so no vocabulary is shuffled.
+    Their candidates are counted exactly in a second pass: map-side, some thousand rows a task. No other value can be more
+    frequent than the summary's estimate of the last candidate or its error bound; if the k-th count is above both, the
+    result is proven. Else (a flat distribution, or few values) everything is counted, as ``top`` of plain counts.
+    """
+    values = df.select(column).filter(F.col(column).isNotNull())
+    found = values.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{column}`, {candidates}, {tracked})").alias("top")).first()
+    listed = [(r["item"], r["count"]) for r in found["top"]]
+    if listed:
+        names = df.sparkSession.createDataFrame([(v,) for v, _ in listed], values.schema)
+        exact = top(values.join(F.broadcast(names), column, "left_semi").groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, k)
+        schema, rows = exact.schema, exact.collect()
+        bound = max(found["n"] * _summary_error(tracked), listed[-1][1] if len(listed) == candidates else 0)
+        if len(rows) == k and rows[-1]["n"] > bound:
+            return df.sparkSession.createDataFrame(rows, schema), True
+    return top(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, k), False
+
+
 def top_words(df: DataFrame, column: str, k: int = 10, longer_than: int = 2) -> DataFrame:
-    """Most frequent words of a text column; case and punctuation are kept.
+    """Most frequent words of a text column; case and punctuation are kept. ``df`` is read twice.
 
     Splitting leaves empty strings at the ends, which the length filter drops.
     """
     words = df.select(F.explode(F.split(column, f"{X.WS}++")).alias("word"))
-    counts = words.filter(F.length("word") > longer_than).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return top(counts, "word", k)
+    return top_values(words.filter(F.length("word") > longer_than), "word", k)[0]
 
 
 def correlations(df: DataFrame, columns) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tamhis.operators import counts as N
@@ -43,3 +46,40 @@ def test_column_profile_and_duplicates(spark):
     assert [tuple(r) for r in staged] == [("s", "y", "double", 3, 2, 1)]
     assert tuple(N.duplicate_rows(df, ["x", "y"]).first()) == (5, 3, 2)
     assert tuple(N.duplicate_rows(df.limit(0), ["x", "y"]).first()) == (0, 0, 0)
+
+
+def _plain_top(values, k):
+    from collections import Counter
+    return sorted(Counter(v for v in values if v is not None).items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_top_values_of_a_skewed_vocabulary_are_proven(spark):
+    rng = random.Random(1)
+    values = [f"common{min(int(rng.expovariate(0.5)), 30)}" if rng.random() < 0.4 else f"rare{rng.randint(0, 60_000)}" for _ in range(40_000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, None]], "v string").repartition(6)
+    got, proven = N.top_values(df, "v", 5, tracked=500, candidates=50)
+    assert proven and [tuple(r) for r in got.collect()] == _plain_top(values, 5)
+
+
+def test_top_values_of_a_flat_vocabulary_are_counted(spark):
+    rng = random.Random(2)
+    values = [f"w{rng.randint(0, 20_000)}" for _ in range(30_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(6)
+    got, proven = N.top_values(df, "v", 10, tracked=500, candidates=50)
+    assert not proven and [tuple(r) for r in got.collect()] == _plain_top(values, 10)
+
+
+@pytest.mark.parametrize("values", [[], [None], ["a"], ["a", "b", "b"], ["x"] * 100 + ["y"] * 100 + ["z"] * 100])
+def test_top_values_of_few(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got, _ = N.top_values(df, "v", 2)
+    assert [tuple(r) for r in got.collect()] == _plain_top(values, 2) and got.columns == ["v", "n"]
+
+
+def test_the_vocabulary_is_not_shuffled(spark):
+    """A proven result is as many rows as were asked for; nothing of the words is left in the plan."""
+    df = spark.createDataFrame([("the cat the dog the cat and more",)] * 500, "t string")
+    got = N.top_words(df, "t", 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert [tuple(r) for r in got.collect()] == [("the", 1500), ("cat", 1000)]
