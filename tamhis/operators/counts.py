@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamhis.functions import text as X
@@ -111,12 +111,17 @@ def top_values(df: DataFrame, column: str, k: int, tracked: int = TRACKED, candi
     return top(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, k), False
 
 
+def words_of(text: Column) -> Column:
+    """Array of the parts of a text between white space, an empty one at either end if there is white space."""
+    return F.split(text, f"{X.WS}++")
+
+
 def top_words(df: DataFrame, column: str, k: int = 10, longer_than: int = 2) -> DataFrame:
     """Most frequent words of a text column; case and punctuation are kept. ``df`` is read twice.
 
     Splitting leaves empty strings at the ends, which the length filter drops.
     """
-    words = df.select(F.explode(F.split(column, f"{X.WS}++")).alias("word"))
+    words = df.select(F.explode(words_of(F.col(column))).alias("word"))
     return top_values(words.filter(F.length("word") > longer_than), "word", k)[0]
 
 

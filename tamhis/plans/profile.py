@@ -1,11 +1,14 @@
 """Profile of a raw question/answer table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamhis.functions import text as X
 from tamhis.operators import counts as N
 from tamhis.operators import distributions as D
+from tamhis.operators.curation import digest
+from tamhis.streaming.sink import BatchTable
 from tamhis.workspace import written
 
 #: Display labels of the length columns.
@@ -35,8 +38,8 @@ def columns(raw: DataFrame) -> DataFrame:
 
 
 def lengths(raw: DataFrame, question: str = "question", reply: str = "reply",
-            none_as_text: bool = False) -> DataFrame:
-    """(row_id, category, four measures) of the rows that have a reply.
+            none_as_text: bool = False, keep=()) -> DataFrame:
+    """(row_id, category, four measures, the columns ``keep``) of the rows that have a reply.
 
     ``none_as_text`` counts a missing text as the word 'None' instead of leaving it out.
     """
@@ -47,6 +50,7 @@ def lengths(raw: DataFrame, question: str = "question", reply: str = "reply",
         X.char_count(F.col(reply), none_as_text).alias("reply_len"),
         X.word_count(F.col(question), none_as_text).alias("question_word_count"),
         X.word_count(F.col(reply), none_as_text).alias("answer_word_count"),
+        *keep,
     )
 
 
@@ -106,6 +110,25 @@ def top_category_counts(measures: DataFrame) -> DataFrame:
     return D.value_counts(N.in_top_categories(measures, 6), {"Question": F.col("question_len")}, ["category"])
 
 
+def _summaries(measures: DataFrame) -> dict[str, DataFrame]:
+    """The summaries of a stored measure table."""
+    chars = char_lengths(measures)
+    return {
+        "describe": D.describe(numeric_counts(measures)),
+        "histogram": D.histogram(chars),
+        "histogram_curve": D.kde(chars, cut=0.0),
+        "kde": D.kde(chars),
+        "ecdf": D.ecdf(chars),
+        "boxplot": D.boxplot(chars),
+        "violin": D.violin(chars),
+        "scatter": D.grid_counts(measures, [("question_len", "reply_len")]),
+        "pair_matrix": pair_matrix(measures),
+        "pair_diagonal": D.kde(numeric_counts(measures)),
+        "top_category_boxplot": D.boxplot(top_category_counts(measures), ["category"]),
+        "top_category_mean": D.mean_interval(N.in_top_categories(measures, 6), "reply_len", "category"),
+    }
+
+
 def profile(raw: DataFrame) -> dict[str, DataFrame]:
     """All summaries by name; all but the first two are about the answered rows.
 
@@ -115,26 +138,75 @@ def profile(raw: DataFrame) -> dict[str, DataFrame]:
     kept = answered(raw)
     measures = written(lengths(raw), "measures")
     data_columns = [c for c in raw.columns if c != "row_id"]
-    chars = char_lengths(measures)
     return {
         "column_profile": columns(raw),
         "duplicate_rows": N.duplicate_rows(raw, data_columns),
-        "describe": D.describe(numeric_counts(measures)),
+        **_summaries(measures),
         "describe_counts": body_counts(raw),
-        "histogram": D.histogram(chars),
-        "histogram_curve": D.kde(chars, cut=0.0),
-        "kde": D.kde(chars),
-        "ecdf": D.ecdf(chars),
-        "boxplot": D.boxplot(chars),
-        "violin": D.violin(chars),
-        "scatter": D.grid_counts(measures, [("question_len", "reply_len")]),
-        "pair_matrix": pair_matrix(measures),
-        "pair_diagonal": D.kde(numeric_counts(measures)),
         "category_counts": categories(raw),
         "category_share": N.category_share(kept),
-        "top_category_boxplot": D.boxplot(top_category_counts(measures), ["category"]),
-        "top_category_mean": D.mean_interval(N.in_top_categories(measures, 6), "reply_len", "category"),
         "correlations": correlations(raw),
         "top_words_questions": N.top_words(kept, "question"),
         "top_words_answers": N.top_words(kept, "reply"),
     }
+
+
+_LONG, _TEXT = T.LongType(), T.StringType()
+#: What is kept of a landed batch: numbers, digests and counts, no texts but the words.
+MEASURES = T.StructType([
+    T.StructField("row_id", _LONG), T.StructField("category", _TEXT), *[T.StructField(c, _LONG) for c in NUMERIC],
+    T.StructField("q_body_count", T.DoubleType()), T.StructField("a_body_count", T.DoubleType())])
+COLUMNS = T.StructType([*[T.StructField(c, _TEXT) for c in ("stage", "column", "dtype")], *[T.StructField(c, _LONG) for c in ("n", "non_null", "nulls")]])
+DIGESTS = T.StructType([T.StructField("d", T.BinaryType()), T.StructField("n", _LONG)])
+WORDS = T.StructType([T.StructField("field", _TEXT), T.StructField("word", _TEXT), T.StructField("n", _LONG)])
+
+
+class ProfileStore:
+    """The profile of a table that grows by batches, kept in ``path``.
+
+    ``add`` reads a batch's texts once and stores what its summaries need: a narrow row of measures for each answered row,
+    counts of nulls per column, of rows per 128-bit digest and of words per field. All of it merges by union or by
+    sums, so ``profile`` has the entries of ``profile`` over all rows without a second look at old texts. A batch that is
+    added again replaces itself.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        def table(name, schema):
+            return BatchTable(spark, f"{path.rstrip('/')}/{name}", schema)
+
+        self.measures, self.columns = table("measures", MEASURES), table("columns", COLUMNS)
+        self.digests, self.words = table("digests", DIGESTS), table("words", WORDS)
+
+    def add(self, raw: DataFrame, batch_id: int) -> None:
+        kept = answered(raw)
+        data_columns = [c for c in raw.columns if c != "row_id"]
+        bodies = ("q_body_count", "a_body_count")
+        self.measures.write(lengths(raw, keep=bodies).select(*[F.col(f.name).cast(f.dataType) for f in MEASURES]), batch_id)
+        self.columns.write(columns(raw), batch_id)
+        self.digests.write(raw.groupBy(digest(*data_columns).alias("d")).agg(F.count(F.lit(1)).alias("n")), batch_id)
+        fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), N.words_of(F.col(c)).alias("words")) for c in ("question", "reply")]))
+        words = kept.select(fields.alias("f")).select("f.field", F.explode("f.words").alias("word")).filter(F.length("word") > 2)
+        self.words.write(words.groupBy("field", "word").agg(F.count(F.lit(1)).alias("n")), batch_id)
+
+    def profile(self) -> dict[str, DataFrame]:
+        measures, stored = self.measures.read(), self.words.read()
+        bodies = ["q_body_count", "a_body_count"]
+
+        def top_words(field, k=10):
+            return N.top(stored.filter(F.col("field") == field).groupBy("word").agg(F.sum("n").alias("n")), "word", k)
+
+        counted = self.digests.read().groupBy("d").agg(F.sum("n").alias("n"))
+        described = measures.select(*bodies, "question_word_count", "answer_word_count")
+        return {
+            "column_profile": self.columns.read().groupBy("stage", "column", "dtype").agg(*[F.sum(c).alias(c) for c in ("n", "non_null", "nulls")]),
+            "duplicate_rows": counted.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
+                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")),
+            **_summaries(measures),
+            "describe_counts": D.describe(D.value_counts(described, {c: F.col(c) for c in described.columns})),
+            "category_counts": N.category_counts(measures, none_label="None"),
+            "category_share": N.category_share(measures),
+            "correlations": N.correlations(measures, [*bodies, "question_len", "reply_len"]),
+            "top_words_questions": top_words("question"),
+            "top_words_answers": top_words("reply"),
+        }

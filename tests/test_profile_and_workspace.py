@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tamhis.plans.profile import profile
-from tamhis.workspace import shared_dir
+from tamhis.plans.profile import ProfileStore, profile
+from tamhis.workspace import shared_dir, written
 from workloads import adapters as A
 from workloads.queries import QUERIES
 
@@ -70,3 +71,20 @@ def test_a_cluster_needs_a_shared_folder():
         with pytest.raises(RuntimeError):
             shared_dir(_Session(master))
     assert shared_dir(_Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+
+
+def test_a_profile_kept_by_batches_equals_that_of_all_rows(spark, tmp_path):
+    raw = written(A.raw_qa(spark, "/root/testdata/sf0.001"), "raw")
+    store = ProfileStore(spark, str(tmp_path / "profile"))
+    assert store.profile()["duplicate_rows"].first() == (0, 0, 0)
+    for batch, (low, high) in enumerate([(0, 50), (50, 60), (60, 10 ** 9)]):
+        part = raw.filter((F.col("row_id") >= low) & (F.col("row_id") < high))
+        store.add(part, batch)
+        if batch == 1:
+            store.add(part, batch)  # runs again and takes effect once
+    got, want = store.profile(), profile(raw)
+    assert set(got) == set(want)
+    for entry in want:
+        assert same_rows(got[entry].select(want[entry].columns), want[entry]), entry
+    # no texts are stored but the words
+    assert not {"question", "reply", "q_body", "a_body"} & {c for t in (store.measures, store.columns, store.digests, store.words) for c in t.schema.names}

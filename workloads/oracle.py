@@ -482,6 +482,8 @@ SELECT min(row_id) AS row_id, q, arg_min(a, row_id) AS a FROM pairs GROUP BY q""
     "top_words_questions": top_words("question"),
     "corr_matrix": correlations(NUMERIC_COLUMNS),
     "length_histogram": f"""WITH {CHARS}, {stats('series')}, {histogram('greatest(rule, 1.0)')} SELECT * FROM counted""",
+    "describe_by_batches": f"WITH {NUMBERS}, {stats('series')} {DESCRIBED.format(keys='series')}",
+    "top_words_by_batches": top_words("reply"),
     "scatter_sample": f"""WITH {RAW}, points AS (
       SELECT row_id, category, length(coalesce(question, q_body)) AS x, length(coalesce(reply, a_body)) AS y FROM raw)
     SELECT * FROM points WHERE x IS NOT NULL AND y IS NOT NULL
