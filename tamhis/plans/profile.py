@@ -110,27 +110,32 @@ def top_category_counts(measures: DataFrame) -> DataFrame:
     return D.value_counts(N.in_top_categories(measures, 6), {"Question": F.col("question_len")}, ["category"])
 
 
-def _summaries(measures: DataFrame) -> dict[str, DataFrame]:
-    """The summaries of a stored measure table."""
+def _built(entries: dict, only) -> dict[str, DataFrame]:
+    """The named entries (all), each made by its function."""
+    return {name: make() for name, make in entries.items() if only is None or name in only}
+
+
+def _summaries(measures: DataFrame) -> dict:
+    """Makers of the summaries of a stored measure table."""
     chars = char_lengths(measures)
     return {
-        "describe": D.describe(numeric_counts(measures)),
-        "histogram": D.histogram(chars),
-        "histogram_curve": D.kde(chars, cut=0.0),
-        "kde": D.kde(chars),
-        "ecdf": D.ecdf(chars),
-        "boxplot": D.boxplot(chars),
-        "violin": D.violin(chars),
-        "scatter": D.grid_counts(measures, [("question_len", "reply_len")]),
-        "pair_matrix": pair_matrix(measures),
-        "pair_diagonal": D.kde(numeric_counts(measures)),
-        "top_category_boxplot": D.boxplot(top_category_counts(measures), ["category"]),
-        "top_category_mean": D.mean_interval(N.in_top_categories(measures, 6), "reply_len", "category"),
+        "describe": lambda: D.describe(numeric_counts(measures)),
+        "histogram": lambda: D.histogram(chars),
+        "histogram_curve": lambda: D.kde(chars, cut=0.0),
+        "kde": lambda: D.kde(chars),
+        "ecdf": lambda: D.ecdf(chars),
+        "boxplot": lambda: D.boxplot(chars),
+        "violin": lambda: D.violin(chars),
+        "scatter": lambda: D.grid_counts(measures, [("question_len", "reply_len")]),
+        "pair_matrix": lambda: pair_matrix(measures),
+        "pair_diagonal": lambda: D.kde(numeric_counts(measures)),
+        "top_category_boxplot": lambda: D.boxplot(top_category_counts(measures), ["category"]),
+        "top_category_mean": lambda: D.mean_interval(N.in_top_categories(measures, 6), "reply_len", "category"),
     }
 
 
-def profile(raw: DataFrame) -> dict[str, DataFrame]:
-    """All summaries by name; all but the first two are about the answered rows.
+def profile(raw: DataFrame, only=None) -> dict[str, DataFrame]:
+    """All summaries (or those named in ``only``) by name; all but the first two are about the answered rows.
 
     The texts are read for the profile tables and once for the narrow measure table, which is written
     to the shared folder; the distribution summaries read that.
@@ -138,17 +143,17 @@ def profile(raw: DataFrame) -> dict[str, DataFrame]:
     kept = answered(raw)
     measures = written(lengths(raw), "measures")
     data_columns = [c for c in raw.columns if c != "row_id"]
-    return {
-        "column_profile": columns(raw),
-        "duplicate_rows": N.duplicate_rows(raw, data_columns),
+    return _built({
+        "column_profile": lambda: columns(raw),
+        "duplicate_rows": lambda: N.duplicate_rows(raw, data_columns),
         **_summaries(measures),
-        "describe_counts": body_counts(raw),
-        "category_counts": categories(raw),
-        "category_share": N.category_share(kept),
-        "correlations": correlations(raw),
-        "top_words_questions": N.top_words(kept, "question"),
-        "top_words_answers": N.top_words(kept, "reply"),
-    }
+        "describe_counts": lambda: body_counts(raw),
+        "category_counts": lambda: categories(raw),
+        "category_share": lambda: N.category_share(kept),
+        "correlations": lambda: correlations(raw),
+        "top_words_questions": lambda: N.top_words(kept, "question"),
+        "top_words_answers": lambda: N.top_words(kept, "reply"),
+    }, only)
 
 
 _LONG, _TEXT = T.LongType(), T.StringType()
@@ -188,25 +193,30 @@ class ProfileStore:
         words = kept.select(fields.alias("f")).select("f.field", F.explode("f.words").alias("word")).filter(F.length("word") > 2)
         self.words.write(words.groupBy("field", "word").agg(F.count(F.lit(1)).alias("n")), batch_id)
 
-    def profile(self) -> dict[str, DataFrame]:
+    def profile(self, only=None) -> dict[str, DataFrame]:
+        """The entries of ``profile`` (or those named in ``only``) over all batches."""
         measures, stored = self.measures.read(), self.words.read()
         bodies = ["q_body_count", "a_body_count"]
+        described = measures.select(*bodies, "question_word_count", "answer_word_count")
+
+        def duplicates():
+            counted = self.digests.read().groupBy("d").agg(F.sum("n").alias("n"))
+            return counted.agg(
+                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
+                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
         def top_words(field, k=10):
             return N.top(stored.filter(F.col("field") == field).groupBy("word").agg(F.sum("n").alias("n")), "word", k)
 
-        counted = self.digests.read().groupBy("d").agg(F.sum("n").alias("n"))
-        described = measures.select(*bodies, "question_word_count", "answer_word_count")
-        return {
-            "column_profile": self.columns.read().groupBy("stage", "column", "dtype").agg(*[F.sum(c).alias(c) for c in ("n", "non_null", "nulls")]),
-            "duplicate_rows": counted.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
-                F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates")),
+        return _built({
+            "column_profile": lambda: self.columns.read().groupBy("stage", "column", "dtype").agg(
+                *[F.sum(c).alias(c) for c in ("n", "non_null", "nulls")]),
+            "duplicate_rows": duplicates,
             **_summaries(measures),
-            "describe_counts": D.describe(D.value_counts(described, {c: F.col(c) for c in described.columns})),
-            "category_counts": N.category_counts(measures, none_label="None"),
-            "category_share": N.category_share(measures),
-            "correlations": N.correlations(measures, [*bodies, "question_len", "reply_len"]),
-            "top_words_questions": top_words("question"),
-            "top_words_answers": top_words("reply"),
-        }
+            "describe_counts": lambda: D.describe(D.value_counts(described, {c: F.col(c) for c in described.columns})),
+            "category_counts": lambda: N.category_counts(measures, none_label="None"),
+            "category_share": lambda: N.category_share(measures),
+            "correlations": lambda: N.correlations(measures, [*bodies, "question_len", "reply_len"]),
+            "top_words_questions": lambda: top_words("question"),
+            "top_words_answers": lambda: top_words("reply"),
+        }, only)
