@@ -104,13 +104,14 @@ def _floating_range(value: Column) -> tuple[Column, Column]:
     finite = (size > 0) & (size < float("inf"))
     number = F.when(finite, (power + 1100) * FINE + step).when(size > 0, F.lit(2200 * FINE)).otherwise(F.lit(0)).cast("long")
     edge = F.when(finite, scale * (1.0 + step / FINE)).otherwise(size)
-    return F.when(value < 0, -number).otherwise(number), F.when(value < 0, -edge).otherwise(edge)
+    # never null, and said so: else a join on it puts a null filter below one branch's shuffle only, which is then run twice
+    return F.coalesce(F.when(value < 0, -number).otherwise(number), F.lit(0)), F.when(value < 0, -edge).otherwise(edge)
 
 
 def _part(value: Column, lo: Column, hi: Column) -> Column:
     """Which of ``PARTS`` equal parts of [lo, hi] a value lies in."""
     share = (value - lo) / (hi - lo)
-    return F.when(hi > lo, F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0)).cast("long")
+    return F.coalesce(F.when(hi > lo, F.least(F.floor(share * PARTS), F.lit(PARTS - 1))).cast("long"), F.lit(0))
 
 
 def _holding(ranks: Column, before: Column, n: Column) -> Column:
