@@ -59,7 +59,8 @@ class BatchTable:
         df, options = df.select(*self.schema.names), {}
         if self.sorted_by:
             files = max(1, -(-(FILE_ROWS if rows is None else rows) // FILE_ROWS))
-            df = (df.repartitionByRange(files, self.sorted_by) if files > 1 else df.coalesce(1)).sortWithinPartitions(self.sorted_by)
+            # shuffled even into one file: a task that only gathers partitions would read all columns of a stored batch
+            df = (df.repartitionByRange(files, self.sorted_by) if files > 1 else df.repartition(1)).sortWithinPartitions(self.sorted_by)
             options = {"parquet.block.size": GROUP_BYTES, f"parquet.bloom.filter.enabled#{self.sorted_by}": "true",
                        f"parquet.bloom.filter.expected.ndv#{self.sorted_by}": GROUP_BYTES // 16}
         df.write.mode("overwrite").options(**options).parquet(f"{self.path}/batch_id={folder}")

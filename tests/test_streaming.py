@@ -128,3 +128,18 @@ def test_gates_run_on_a_stream_without_state(spark, tmp_path):
     query = pairs.writeStream.format("memory").queryName("pairs").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("pairs").count() == valid_pairs(raw, LATIN).count() > 0
+
+
+def test_tasks_that_hold_a_batch_send_only_its_keys(spark, tmp_path):
+    """Each partition of a batch is read by a task of its own, also when all keys go to one file."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes([TaskContext.get().partitionId()])] * batch.num_rows)], ["key"])
+
+    table = BatchTable(spark, str(tmp_path / "t"), KEYS, "key")
+    table.write(spark.range(0, 80, 1, 8).mapInArrow(run, KEYS), 0, 80)
+    assert table.read().count() == 80 and table.read().distinct().count() == 8
+    assert len(list((tmp_path / "t" / "batch_id=0").glob("*.parquet"))) == 1
