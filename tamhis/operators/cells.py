@@ -12,6 +12,8 @@ from tamhis.workspace import release, written
 SAMPLE, MOST_PIVOTS, PIVOT_BYTES, LENGTHS = 20_000, 1024, 16 << 20, 8
 #: Vectors of a chunk, at least; it grows with the index so that there are no more than MOST_CHUNKS.
 CHUNK_ROWS, MOST_CHUNKS = 4096, 1 << 18
+#: Chunks, or blocks of queries, of a stored file.
+FILE_ROWS = 16
 
 CHUNK = T.StructType([
     T.StructField("chunk", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType()),
@@ -36,7 +38,7 @@ class Cells:
 
     def write(self, path: str) -> None:
         flat = [(int(dim), c, [float(x) for x in v]) for dim, matrix in self.pivots.items() for c, v in enumerate(matrix)]
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        self.chunks.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/chunks")
         self.chunks.sparkSession.createDataFrame(flat, PIVOT).write.mode("overwrite").parquet(f"{path}/pivots")
 
     @staticmethod
@@ -213,4 +215,4 @@ def build_cells(index: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Cells:
         if held is not None and held.num_rows:
             yield out([chunk(held)])
 
-    return Cells(written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, CHUNK), "chunks"), pivots)
+    return Cells(written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, CHUNK), "chunks", rows_per_file=FILE_ROWS), pivots)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.operators.cells import Cells, _geometry, build_cells, comparable, deal
+from tamhis.operators.cells import FILE_ROWS, Cells, _geometry, build_cells, comparable, deal
 from tamhis.workspace import release, written
 
 #: Queries of a block have at most so many bytes.
@@ -289,6 +289,104 @@ def _with_bounds(blocks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def _aimed(blocks: DataFrame, cells: Cells) -> DataFrame:
+    """Blocks with ``wanted``: the chunks that may hold a vector within the bound of one of their queries."""
+    shared = cells.chunks.sparkSession.sparkContext.broadcast((cells.listed(), cells.pivots))
+    distances, _, _ = _geometry()
+    schema = T.StructType([
+        *[f for f in blocks.schema.fields if f.name in ("block", "dim", "vectors", "bounds")], T.StructField("wanted", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        tables, pivots = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dim"] not in tables:
+                    continue
+                chunk, cells_, low, high, _ = tables[row["dim"]]
+                centres = pivots.get(row["dim"])
+                near = np.ones(len(chunk), bool)
+                if centres is not None:
+                    matrix = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                    far, bound = distances(matrix, centres), np.frombuffer(row["bounds"], "<f8")[:, None]
+                    for c in np.unique(cells_):
+                        a, b = np.searchsorted(cells_, [c, c + 1])
+                        d = far[:, c, None]
+                        most = bound + 1e-9 * (d + np.where(np.isfinite(bound), bound, 0))
+                        near[a:b] = ((low[None, a:b] - d <= most) & (d - high[None, a:b] <= most)).any(axis=0)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["block"]], pa.int64()), pa.array([row["dim"]], pa.int32()), pa.array([row["vectors"]], pa.binary()),
+                    pa.array([row["bounds"]], pa.binary()), pa.array([chunk[near]], pa.list_(pa.int64()))], schema.names)
+
+    return blocks.select("block", "dim", "vectors", "bounds").mapInArrow(run, schema)
+
+
+#: Blocks whose best hits a task of the second job keeps; the least recently met is handed out when there are more.
+KEPT_BLOCKS = 256
+
+
+def _sweep(aimed: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The up to ``k`` nearest vectors no farther than each query's bound, for every block and part of the chunks.
+
+    Blocks and chunks are two stored tables, and a task reads one part of each: nothing is shuffled but the hits. A task
+    folds the chunks that a block meets into one running list, whose k-th distance tightens the bound as it goes.
+    """
+    start, merge, _, _ = _top_k(k)
+    distances, _, _ = _geometry()
+    shared = aimed.sparkSession.sparkContext.broadcast(cells.pivots)
+    chunks = cells.chunks.select("chunk", "cell", "low", "high", "ids", F.col("vectors").alias("found"))
+    pairs = aimed.join(chunks, F.array_contains("wanted", F.col("chunk")))
+    pairs = pairs.select("block", "dim", "vectors", "bounds", "cell", "low", "high", "ids", "found")
+    names, most = HIT.names, KEPT_BLOCKS
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, pivots, held = np.iinfo(np.int64).max, shared.value, {}
+
+        def out(block):
+            _, dist, who = held.pop(block)
+            at, nth = np.nonzero(np.isfinite(dist) & (who != last))
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), block), pa.int64()), pa.array(at, pa.int32()),
+                pa.array(who[at, nth], pa.int64()), pa.array(dist[at, nth], pa.float64())], names)
+
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                block, dim = column["block"][i].as_py(), column["dim"][i].as_py()
+                if block in held:
+                    held[block] = held.pop(block)
+                else:
+                    if len(held) == most:
+                        yield out(next(iter(held)))
+                    queries = np.frombuffer(column["vectors"][i].as_buffer(), "<f8").reshape(-1, dim).copy()
+                    dist, who = start(len(queries))
+                    # a little more than the bound, so that the hit which made it comes again
+                    dist[:] = np.frombuffer(column["bounds"][i].as_buffer(), "<f8")[:, None] * (1 + 1e-9) + 1e-300
+                    held[block] = queries, dist, who
+                queries, dist, who = held[block]
+                near = np.arange(len(queries))
+                if dim in pivots:
+                    d = distances(queries, pivots[dim][column["cell"][i].as_py()][None])[:, 0]
+                    bound = dist[:, -1] + 1e-9 * (d + np.where(np.isfinite(dist[:, -1]), dist[:, -1], 0))
+                    near = np.flatnonzero((column["low"][i].as_py() - d <= bound) & (d - column["high"][i].as_py() <= bound))
+                if not len(near):
+                    continue
+                ids, raw = column["ids"][i].values.to_numpy(), column["found"][i].as_buffer()
+                vectors = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(ids) else "<f8").astype(np.float64).reshape(-1, dim)
+                best = dist[near], who[near]
+                merge(best, queries[near], ids, vectors)
+                dist[near], who[near] = best
+        while held:
+            yield out(next(iter(held)))
+
+    return pairs.mapInArrow(run, HIT)
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int = BLOCK_BYTES, cells: Cells | None = None) -> DataFrame:
     """The ``k`` nearest index rows per query: (query_id, doc_id, distance, rank), stored in the shared folder.
 
@@ -298,19 +396,19 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
 
     The index is dealt to cells around pivots (``cells``: those of a stored index, else made here and deleted afterwards), in
     chunks of known distances from the pivot. Queries are packed in blocks of neighbours. In a first job every query
-    is compared with its home chunk, which bounds the distance of its k-th neighbour; in a second one, for all blocks, with
-    those other chunks that the triangle inequality does not rule out. Queries travel to the chunks by a join on the chunk, so
-    a task holds one chunk and the queries of one block, and chunks with many visitors are split like any skewed join.
+    travels to its home chunk, which bounds the distance of its k-th neighbour. In a second one every block meets all
+    chunks that the triangle inequality does not rule out: each task reads a part of the stored blocks and a part of the
+    stored chunks, so queries and vectors are not shuffled again, however many chunks a query must see.
     """
     made = cells is None
     cells = build_cells(index) if made else cells
     blocks = written(_blocks(queries.select("query_id", "embedding"), cells.pivots, block_bytes), "query-blocks")
     home = written(_best(_compare(visits(blocks, cells, k), cells, k), k), "home-hits")
-    away = _compare(visits(_with_bounds(blocks, home, k), cells, k), cells, k)
-    hits = _best(home.drop("rank").union(away), k)
+    aimed = written(_aimed(_with_bounds(blocks, home, k), cells), "aimed-blocks", rows_per_file=FILE_ROWS)
+    hits = _best(_sweep(aimed, cells, k), k)
     keys = blocks.select("block", F.posexplode("keys").alias("place", "query_id"))
     result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")
-    for table in (blocks, home):
+    for table in (blocks, home, aimed):
         release(table)
     if made:
         cells.release()

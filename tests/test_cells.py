@@ -85,3 +85,26 @@ def test_far_away_and_equal_vectors(spark):
     queries = np.array([[1e6, 0], [0, 0], [-1e6, 1]], np.float32)
     got = N.nearest(frame(spark, "doc_id", docs), frame(spark, "query_id", queries), 3)
     assert found(got) == brute(queries, docs, 3)
+
+
+@pytest.mark.parametrize("kept", [1, 256])
+def test_vectors_are_not_shuffled_to_all_chunks(spark, monkeypatch, kept):
+    """Blocks and chunks meet where they are stored; only hits are shuffled."""
+    rng = np.random.default_rng(8)
+    docs, queries = rng.normal(size=(900, 48)).astype(np.float32), rng.normal(size=(40, 48)).astype(np.float32)
+    docs[100:200] = queries[0]  # copies: ties by id
+    index, asked = frame(spark, "doc_id", docs), frame(spark, "query_id", queries)
+    monkeypatch.setattr(N, "KEPT_BLOCKS", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        cells = C.build_cells(index, chunk_rows=32)
+        assert found(N.nearest(index, asked, 3, block_bytes=4000, cells=cells)) == brute(queries, docs, 3)
+        blocks = N._blocks(asked, cells.pivots, 4000)
+        infinite = blocks.withColumn("bounds", F.expr(f"unhex(repeat('{np.array([np.inf], '<f8').tobytes().hex()}', size(keys)))"))
+        aimed = N.written(N._aimed(infinite, cells), "aimed", rows_per_file=2)
+        swept = N._sweep(aimed, cells, 3)
+        plan = swept._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+        assert len(aimed.inputFiles()) > 1 and swept.count() >= 3 * len(queries)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
