@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 
 from tamhis.workspace import release, written
 
-#: Pivots are chosen from so many vectors; their number is the root of the number of vectors, within these bounds. So many
-#: lengths of vector, the most frequent, get pivots.
-SAMPLE, MOST_PIVOTS, PIVOT_BYTES, LENGTHS = 20_000, 1024, 16 << 20, 8
+#: Pivots are chosen from so many vectors, of so many bytes in all; their number is the root of the number
+#: of vectors, within these bounds. So many lengths of vector, the most frequent, get pivots.
+SAMPLE, SAMPLE_BYTES, MOST_PIVOTS, PIVOT_BYTES, LENGTHS = 20_000, 16 << 20, 1024, 16 << 20, 8
 #: Vectors of a chunk, at least; it grows with the index so that there are no more than MOST_CHUNKS.
 CHUNK_ROWS, MOST_CHUNKS = 4096, 1 << 18
 #: Chunks, or blocks of queries, of a stored file.
@@ -133,17 +133,16 @@ def _choose_pivots(vectors: DataFrame) -> tuple[dict[int, np.ndarray], int]:
     counts = vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     sizes = sorted(((r["n"], r["dim"]) for r in counts.collect()), reverse=True)
     h, share = F.xxhash64("embedding"), F.lit(-1)
-    most = {dim: min(SAMPLE, PIVOT_BYTES // dim + 1) for _, dim in sizes[:LENGTHS]}
+    most = {dim: min(SAMPLE, SAMPLE_BYTES // (8 * dim * min(LENGTHS, len(sizes))) + 1) for _, dim in sizes[:LENGTHS]}
     for n, dim in sizes[:LENGTHS]:
         share = F.when(F.size("embedding") == dim, int(min(1.0, 1.2 * most[dim] / n) * (1 << 30))).otherwise(share)
-    sample = vectors.filter(F.pmod(h, F.lit(1 << 30)) <= share).groupBy(h.alias("h")).agg(F.any_value("embedding").alias("v"))
-    points: dict = {dim: [] for dim in most}
-    for _, v in sorted((r["h"], r["v"]) for r in sample.collect()):
-        if len(points[len(v)]) < most[len(v)]:
-            points[len(v)].append(v)
+    sample = vectors.filter(F.pmod(h, F.lit(1 << 30)) <= share).groupBy(h.alias("h")).agg(
+        F.any_value("embedding").alias("v")).toArrow().sort_by("h")  # as Arrow: no Python numbers
+    _, _, by_length = _geometry()
+    points = {dim: matrix[:most[dim]] for dim, _, matrix in by_length(sample.column("v").combine_chunks())}
     found = {}
     for n, dim in sizes[:LENGTHS]:
-        matrix = np.array(points[dim], np.float64)
+        matrix = points.get(dim, ())
         if len(matrix):
             found[dim] = _centres(matrix, max(1, min(MOST_PIVOTS, int(n ** 0.5), PIVOT_BYTES // (8 * dim), len(matrix))))
     total = sum(n for n, _ in sizes)

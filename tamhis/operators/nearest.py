@@ -10,6 +10,8 @@ from tamhis.workspace import release, written
 
 #: Queries of a block have at most so many bytes.
 BLOCK_BYTES = 1 << 20
+#: Differences of vectors that are computed at a time, and rows of vectors that go to Python in one batch, in bytes.
+GAP_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
 
 
 def _top_k(k):
@@ -23,7 +25,7 @@ def _top_k(k):
     import pyarrow as pa
 
     last = np.iinfo(np.int64).max
-    tile = 1024
+    tile, gap_bytes = 1024, GAP_BYTES
     eps = 1e-9  # far above the rounding error of the product, relative to |q|^2 + |v|^2
 
     def start(n):
@@ -68,8 +70,9 @@ def _top_k(k):
                 if not len(qi):
                     continue
                 exact = np.empty(len(qi))
-                for p0 in range(0, len(qi), 65536):
-                    some = slice(p0, p0 + 65536)
+                step = max(1, gap_bytes // (8 * queries.shape[1]))
+                for p0 in range(0, len(qi), step):
+                    some = slice(p0, p0 + step)
                     gap = queries[q0 + qi[some]] - vectors[v0 + vi[some]]
                     exact[some] = np.sqrt((gap * gap).sum(axis=1))
                 touched = np.unique(qi)
@@ -402,12 +405,18 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
     """
     made = cells is None
     cells = build_cells(index) if made else cells
+    conf, batch_bytes = queries.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(batch_bytes)
     blocks = written(_blocks(queries.select("query_id", "embedding"), cells.pivots, block_bytes), "query-blocks")
-    home = written(_best(_compare(visits(blocks, cells, k), cells, k), k), "home-hits")
-    aimed = written(_aimed(_with_bounds(blocks, home, k), cells), "aimed-blocks", rows_per_file=FILE_ROWS)
-    hits = _best(_sweep(aimed, cells, k), k)
-    keys = blocks.select("block", F.posexplode("keys").alias("place", "query_id"))
-    result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")
+    conf.set(batch_bytes, BATCH_BYTES)
+    try:
+        home = written(_best(_compare(visits(blocks, cells, k), cells, k), k), "home-hits")
+        aimed = written(_aimed(_with_bounds(blocks, home, k), cells), "aimed-blocks", rows_per_file=FILE_ROWS)
+        hits = _best(_sweep(aimed, cells, k), k)
+        keys = blocks.select("block", F.posexplode("keys").alias("place", "query_id"))
+        result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")
+    finally:
+        conf.set(batch_bytes, before)
     for table in (blocks, home, aimed):
         release(table)
     if made:

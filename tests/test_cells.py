@@ -87,6 +87,17 @@ def test_far_away_and_equal_vectors(spark):
     assert found(got) == brute(queries, docs, 3)
 
 
+def test_pivots_are_chosen_from_a_sample_of_bounded_bytes(spark, monkeypatch):
+    seen, centres = [], C._centres
+    monkeypatch.setattr(C, "_centres", lambda points, k: seen.append(points.nbytes) or centres(points, k))
+    monkeypatch.setattr(C, "SAMPLE_BYTES", 1 << 16)
+    docs = np.random.default_rng(7).normal(size=(900, 64)).astype(np.float32)
+    index = frame(spark, "doc_id", docs).union(frame(spark, "doc_id", docs[:300, :32], 2000))
+    pivots, total = C._choose_pivots(index)
+    assert total == 1200 and set(pivots) == {32, 64} and len(seen) == 2
+    assert sum(seen) <= (1 << 16) + 8 * (32 + 64)
+
+
 @pytest.mark.parametrize("kept", [1, 256])
 def test_vectors_are_not_shuffled_to_all_chunks(spark, monkeypatch, kept):
     """Blocks and chunks meet where they are stored; only hits are shuffled."""
@@ -108,3 +119,13 @@ def test_vectors_are_not_shuffled_to_all_chunks(spark, monkeypatch, kept):
         assert len(aimed.inputFiles()) > 1 and swept.count() >= 3 * len(queries)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_distances_are_computed_in_bounded_slices(monkeypatch):
+    rng = np.random.default_rng(9)
+    docs, queries = rng.normal(size=(500, 16)), rng.normal(size=(70, 16))
+    monkeypatch.setattr(N, "GAP_BYTES", 1000)
+    start, merge, _, _ = N._top_k(3)
+    dist, who = start(len(queries))
+    merge((dist, who), queries, np.arange(500), docs)
+    assert {(q, r + 1): (int(who[q, r]), round(float(dist[q, r]), 9)) for q in range(70) for r in range(3)} == brute(queries, docs, 3)
