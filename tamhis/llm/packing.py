@@ -23,6 +23,18 @@ TOKENIZER_BYTES = 64 << 20
 CHUNKS = 1_500_000
 
 
+class Numbers(dict):
+    """Numbers words as they are first met, and lists the words ``new`` since the list was last emptied."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     """Token ids of texts; each distinct white-space separated chunk is encoded once per (bounded) table.
 
@@ -32,7 +44,7 @@ class Encoder:
 
     def __init__(self, content: str, limit: int = CHUNKS):
         self.tokenizer = Tokenizer.from_str(content)
-        self.chunks, self.ids, self.limit = {}, Lists(np.uint32), limit
+        self.chunks, self.ids, self.limit = Numbers(), Lists(np.uint32), limit
 
     def _learn(self, new: list) -> None:
         """Encode new chunks as one line; character offsets tell which chunk an id belongs to."""
@@ -45,18 +57,18 @@ class Encoder:
         before = self.ids.flat.n
         self.ids.flat.extend(np.array(found.ids, np.uint32))
         self.ids.start.extend(before + ends)
-        self.chunks.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
 
     def encode(self, texts: list) -> list[np.ndarray]:
         split = [_fold(t).split() if t else [] for t in texts]
         if len(self.chunks) >= self.limit:
             self.chunks.clear()
             self.ids.clear()
-        new = set().union(*split).difference(self.chunks)
-        if new:
-            self._learn(list(new))
         number = self.chunks.__getitem__
-        return [self.ids.gather(np.fromiter(map(number, s), np.int64, len(s)))[0] for s in split]
+        numbers = [np.fromiter(map(number, s), np.int64, len(s)) for s in split]
+        if self.chunks.new:
+            self._learn(self.chunks.new)
+            self.chunks.new = []
+        return [self.ids.gather(n)[0] for n in numbers]
 
 
 def _fold(text: bytes) -> bytes:

@@ -58,3 +58,11 @@ def test_every_id_is_packed_once(spark, monkeypatch, group):
             assert p.ids_crc32 == zlib.crc32(ids[p.start:p.start + p.length].tobytes())
         assert {s for p in own for s in range(p.start, p.start + p.length)} == set(range(len(ids)))
     assert P.pack(docs.limit(0), P.read_tokenizer(PATH)).count() == 0
+
+
+def test_words_are_numbered_in_one_pass():
+    """A known word costs one look-up; a new one is listed once, by its number, until it is learnt."""
+    numbers = P.Numbers()
+    assert [numbers[w] for w in (b"a", b"b", b"a", b"c", b"b")] == [0, 1, 0, 2, 1] and numbers.new == [b"a", b"b", b"c"]
+    numbers.new = []
+    assert [numbers[w] for w in (b"c", b"d")] == [2, 3] and numbers.new == [b"d"]
