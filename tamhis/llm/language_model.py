@@ -12,43 +12,40 @@ down to the word frequencies themselves, (c + 0.5) / (N + 0.5 (V + 1)), so all p
 automaton: a history that occurs is a state, an n-gram an arc with its weight, and every state has a failure arc to the
 next shorter history that carries log m / (c(h) + m).
 
-The counts cover every training text and grow with the corpus, so no task holds them all. Documents are cut into shards
-of bounded text; each shard asks for the words and n-grams that it holds. N-grams travel as 64-bit hashes of their words'
-hashes, packed by range of the hash; a range is summed up in one place, and its answers go back to the shards. A
-shard reads its texts a bounded part at a time, each part with the sub-automaton of just its own n-grams.
+The counts cover every training text and grow with the corpus, so no task holds them all. Every text is read once, into
+shards of bounded text that hold their words' 64-bit hashes and each text as numbers of words. A shard asks for the
+counts of its words, then of its pairs, then of its triples, by 64-bit hashes of the words' hashes. The hashes travel sorted,
+as differences and by ranges; a range is summed up in one place, and its answers go back without the hashes, in the order in which the
+shard has asked. A triple is asked for only if both its pairs are in the training texts and in other shards too:
+the shard itself counts the others, of which it has every copy. A shard reads its texts a bounded part at a time, each part with the
+sub-automaton of just its own n-grams.
 """
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.llm.common import col, first_rows, largest, map_texts, text_slices
-from tamhis.workspace import written
+from tamhis.llm.common import col, first_rows, largest, text_slices
+from tamhis.workspace import shuffles_released, written
 
 #: So many of the most frequent words are classes of their own; None: all words.
 CLASSES = None
 #: By length of the history: how many occurrences the shorter history is worth.
 PRIORS = (0, 300.0, 300.0)
-#: Text of a shard, in bytes.
-SHARD_BYTES = 16 << 20
+#: Text of a shard, in bytes, and its words; the last text goes beyond them.
+SHARD_BYTES, SHARD_WORDS = 16 << 20, 3_000_000
 #: Text whose n-grams make one range of hashes, in bytes, and the least number of ranges.
 RANGE_BYTES, LEAST_RANGES = 8 << 20, 64
-#: Files of more than a shard whose cuts are broadcast.
+#: Without effect since shards are no longer cut by file.
 CUT_FILES = 100_000
-#: Different words and n-grams that a counting task holds before it hands them on.
-TASK_WORDS, TASK_GRAMS = 400_000, 3_000_000
-#: N-grams that are collected before they are folded into a task's table.
-FOLD_GRAMS = 1_000_000
-#: Different words whose class or count a task keeps at hand.
-WORDS_HELD = 150_000
 #: Texts are read in lanes of so many words that advance together.
 LANE = 64
 #: Words that are numbered together, and the longest piece of a text among them; numbers have ``BITS`` bits.
@@ -57,6 +54,8 @@ END, RARE = 0, 1  # class numbers, and the keys that stand for them among the wo
 NO_WORD = 2  # a key that no word has
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _NUMBER, _TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+_ASKED = "range long, shard long, keys binary, n binary"
+_ANSWERED = "shard long, range long, answers binary, owned long, distinct long"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -69,52 +68,94 @@ def word_key(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else max(h, NO_WORD + 1)
 
 
-def sharded(docs: DataFrame, key: str, text: str, learn) -> tuple[DataFrame, int]:
-    """(key, text, learn, shard): the texts of a file, cut by a hash into shards of about ``SHARD_BYTES``; bytes of all texts.
+class _Numbers(dict):
+    """Words by order of first sight."""
 
-    File and text alone decide, so every pass over the same rows sees the same shards however it is split into tasks.
-    Rows that come from no file are cut in the same way.
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up, in as few bytes each as the largest needs: all lowest bytes, then all next ones, compressed."""
+    numbers = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    packer = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return bytes([numbers.itemsize]) + packer.compress(planes) + packer.flush()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel()
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Different numbers in order. np.unique puts them into a hash table first, which takes several times as long."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=~numbers[:1]) != 0]
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+_SHARD = [("shard", T.LongType()), ("ends", T.LongType()), ("bytes", T.LongType()), *[(c, T.BinaryType()) for c in (
+    "sizes", "learn", "words", "trained", "seen", "tokens")]]
+
+
+def sharded(docs: DataFrame, key: str, text: str, learn) -> DataFrame:
+    """One row per shard: consecutive texts of a task, up to ``SHARD_BYTES`` and ``SHARD_WORDS``.
+
+    keys, sizes (words) and learn of every text; the different words' keys in order, the end (0) first, how often each is in
+    training texts (``trained``) and in all; the words of all texts, as places in the order of falling frequency.
     """
-    rows = docs.select(col(key).alias("key"), col(text).cast("string").cast("binary").alias("text"), learn.alias("learn"),
-                       F.input_file_name().alias("file"))
-    size = F.sum(F.length("text"))
-    sizes = written(rows.groupBy("file").agg(F.ceil(size / F.lit(SHARD_BYTES)).alias("parts"), size.alias("bytes")), "files")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    cut = sizes.filter("parts > 1").drop("bytes")
-    if cut.count() <= CUT_FILES:
-        rows = rows.join(F.broadcast(cut), "file", "left")
-    else:  # too many to broadcast: every file is cut like the largest, which is as right with more shards
-        rows = rows.withColumn("parts", F.lit(cut.agg(F.max("parts")).first()[0]))
-    part = F.pmod(F.xxhash64("key", "text"), F.coalesce("parts", F.lit(1)))
-    return rows.select("key", "text", "learn", F.xxhash64("file", part).alias("shard")), total
-
-
-def _count_words(batches):
-    """(shard, word, n): training count of every word a task has seen in a shard; 0 for words of other texts only."""
-    def flush():
-        for shard, (counts, others) in tables.items():
-            only = others.difference(counts)
-            keys = [word_key(w) for w in counts] + [word_key(w) for w in only]
-            n = [*counts.values(), *[0] * len(only)]
-            if ends[shard]:
-                keys.append(END)
-                n.append(ends[shard] - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(keys), shard)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())],
-                ["shard", "word", "n"])
-        tables.clear()
-        ends.clear()
-
-    tables, ends = {}, {}
-    for batch in batches:
-        for part in text_slices(batch, 0):
-            for text, learn, shard in zip(*(c.to_pylist() for c in part.columns)):
-                counts, others = tables.setdefault(shard, (Counter(), set()))
-                ends[shard] = ends.get(shard, 1) + (1 if learn else 0)
-                (counts if learn else others).update(words_of(text))
-            if sum(len(c) + len(o) for c, o in tables.values()) >= TASK_WORDS:
-                yield from flush()
-    yield from flush()
+    rows = docs.select(col(key).alias("key"), col(text).cast("string").cast("binary").alias("text"), learn.alias("learn"))
+    schema = T.StructType([T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), *[T.StructField(*f) for f in _SHARD]])
+
+    def run(batches):
+        def shard():
+            size = np.array([len(x) for x in lines])
+            use = np.array(learns, bool)
+            found = np.fromiter(map(word_key, numbers), np.int64, len(numbers)).view(np.uint64)
+            words, place = np.unique(np.concatenate([np.array([END], np.uint64), found]), return_inverse=True)
+            tokens = place[1:][np.concatenate(lines)]
+            seen = np.bincount(tokens, minlength=len(words))
+            trained = np.bincount(tokens[np.repeat(use, size)], minlength=len(words))
+            trained[END] = use.sum()
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-seen, kind="stable")] = np.arange(len(words))
+            own = pa.concat_arrays(keys)
+            row = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
+            row += [pa.array([n], pa.int64()) for n in (task << 32 | made, int(use.sum()), volume)]
+            row += [pa.array([x], pa.binary()) for x in (
+                _pack(size), _pack(use.astype(np.uint8)), _pack_sorted(words), _pack(trained), _pack(seen), _pack(rank[tokens]))]
+            return pa.RecordBatch.from_arrays(row, schema.names)
+
+        task, made = TaskContext.get().partitionId(), 0
+        numbers, lines, learns, keys, volume, count = _Numbers(), [], [], [], 0, 0
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                start = 0
+                for i, (text, use) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    found = words_of(text)
+                    lines.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                    learns.append(use)
+                    volume, count = volume + len(text or b""), count + len(found)
+                    if volume >= SHARD_BYTES or count >= SHARD_WORDS:
+                        keys.append(part.column(0).slice(start, i + 1 - start))
+                        yield shard()
+                        start, made = i + 1, made + 1
+                        numbers, lines, learns, keys, volume, count = _Numbers(), [], [], [], 0, 0
+                if start < part.num_rows:
+                    keys.append(part.column(0).slice(start))
+        if lines:
+            yield shard()
+
+    return rows.mapInArrow(run, schema)
 
 
 def class_grams(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,127 +183,150 @@ def triple_keys(pairs: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _mixed(pairs * np.uint64(0xD6E8FEB86659FD93) + c)
 
 
-def _narrow(numbers: np.ndarray) -> bytes:
-    """Numbers from 0 up in as few bytes each as the largest needs."""
-    return numbers.astype(np.min_scalar_type(int(numbers.max()))).tobytes()
+def _follower_keys(words: np.ndarray) -> np.ndarray:
+    """Keys by which the number of different words after a word is asked for."""
+    return _mixed(words ^ np.uint64(0xA0761D6478BD642F))
+
+
+class _Shard:
+    """A shard's texts as one line of word keys: an end, then every text with an end after it."""
+
+    def __init__(self, table: pa.Table, own_class: dict | None):
+        packed = {c: table.column(c)[0].as_py() for c in ("sizes", "learn", "words", "trained", "seen", "tokens")}
+        self.sizes, self.learn = _unpack(packed["sizes"]).astype(np.int64), _unpack(packed["learn"]) > 0
+        self.words, self.trained = _unpack_sorted(packed["words"]), _unpack(packed["trained"]).astype(np.int64)
+        order = np.argsort(-_unpack(packed["seen"]).astype(np.int64), kind="stable")
+        self.tokens = order[_unpack(packed["tokens"])]
+        self.classes = self.words  # keys of the words' classes
+        if own_class is not None:
+            own = np.array([k == END or k in own_class for k in self.words.view(np.int64).tolist()], bool)
+            self.classes = np.where(own, self.words, np.uint64(RARE))
+
+    def count_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different pairs in order of their keys, and how often each is in the shard's training texts."""
+        inside = np.ones(len(self.tokens) + len(self.sizes) + 1, bool)
+        inside[0] = inside[np.cumsum(self.sizes + 1)] = False
+        self.line = np.zeros(len(inside), np.uint64)
+        self.line[inside] = self.classes[self.tokens]
+        self.used = np.repeat(self.learn, self.sizes + 1)  # of all but the first end
+        self.at = pair_keys(self.line[:-1], self.line[1:])
+        self.pairs, self.pair_of = np.unique(self.at, return_inverse=True)
+        self.own_pairs = np.bincount(self.pair_of[self.used], minlength=len(self.pairs))
+        return self.pairs, self.own_pairs
+
+    def settle(self, words: np.ndarray, pairs: np.ndarray) -> None:
+        """Take the answers for the words and the pairs; find out what else is to be asked for."""
+        self.word_counts = _settled(words, self.trained)[0]
+        self.count_pairs()
+        self.pair_counts, owner = _settled(pairs, self.own_pairs)
+        shared = (pairs > 0) & (self.pair_counts > 0)
+        whole = self.line[1:-1] != END  # triples that lie in one text
+        self.open = whole & shared[self.pair_of[:-1]] & shared[self.pair_of[1:]]
+        self.closed = whole & ~self.open & self.used[1:]
+        # only words that are more frequent than the prior can have more followers than it
+        self.heads = _distinct(self.classes[(self.word_counts > PRIORS[1]) | (self.classes == RARE)])
+        first = np.empty(len(self.pairs), np.uint64)
+        first[self.pair_of] = self.line[:-1]
+        first = first[owner]
+        place, found = Automaton._arcs(self.heads, first)
+        followers = np.bincount(place[found], minlength=len(self.heads))
+        triples = triple_keys(self.at[:-1][self.open], self.line[2:][self.open])
+        keys = np.concatenate([triples, _follower_keys(self.heads)])
+        self.rest, self.rest_of = np.unique(keys, return_inverse=True)
+        n = np.concatenate([self.used[1:][self.open].astype(np.int64), followers])
+        self.own_rest = np.bincount(self.rest_of, n, len(self.rest)).astype(np.int64)
+
+    def grams(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """With the answers for the rest: n-grams of the training texts in order, their counts, and the followers of ``heads``."""
+        rest_counts, _ = _settled(rest, self.own_rest)
+        closed, n = np.unique(triple_keys(self.at[:-1][self.closed], self.line[2:][self.closed]), return_counts=True)
+        keys, counts = np.concatenate([self.pairs, self.rest, closed]), np.concatenate([self.pair_counts, rest_counts, n])
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        order = np.argsort(keys)
+        return keys[order], counts[order], rest_counts[self.rest_of[len(self.rest_of) - len(self.heads):]]
+
+
+def _settled(answers: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all shards, and which of them the shard is the one to report."""
+    shared = answers > 0
+    return np.where(shared, (answers >> 1) - 1, own), np.where(shared, answers & 1, own) > 0
+
+
+def _asks(shard: int, keys: np.ndarray, n: np.ndarray, ranges: int) -> pa.Table:
+    """A row for every range of hashes in which a shard has keys."""
+    place = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(place, prepend=np.uint64(1 << 63)))
+    cuts = [slice(*c) for c in zip(first, [*first[1:], len(keys)])]
+    return pa.table([pa.array(place[first].astype(np.int64)), pa.array([shard] * len(cuts), pa.int64()),
+                     pa.array([_pack_sorted(keys[c]) for c in cuts], pa.binary()), pa.array([_pack(n[c]) for c in cuts], pa.binary())],
+                    ["range", "shard", "keys", "n"])
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64)
-
-
-def _summed(keys: np.ndarray, n: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys in order, the sum of n and the head of each."""
+def _answer(asked: pa.Table) -> pa.Table:
+    """For every shard that asks in a range, in the order of its keys: 0 if no other shard asks for the key, else twice the sum
+    of all counts plus one, and 1 more for the shard that reports it (the first that counts any). And what it reports."""
+    shards, keys, n = ([x.as_py() for x in asked.column(c)] for c in ("shard", "keys", "n"))
+    keys = [_unpack_sorted(k) for k in keys]
+    ends = np.cumsum([0, *map(len, keys)])
+    keys, n = np.concatenate(keys), np.concatenate([_unpack(x) for x in n]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(n[order], first) if len(first) else n, heads[order[first]]
-
+    keys, n = keys[order], n[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    total = np.add.reduceat(n, first)[group]
+    shared = (np.diff(first, append=len(keys)) > 1)[group]
+    counting = np.flatnonzero(n)
+    owner = np.zeros(len(keys), np.int64)
+    owner[counting[np.diff(group[counting], prepend=-1) > 0]] = 1
+    answers, owned = np.empty((2, len(keys)), np.int64)
+    answers[order], owned[order] = np.where(shared, 2 * (total + 1) + owner, 0), total * owner
+    cuts = [slice(*c) for c in zip(ends[:-1], ends[1:])]
+    return pa.table([pa.array(shards, pa.int64()), asked.column("range"), pa.array([_pack(answers[c]) for c in cuts], pa.binary()),
+                     pa.array([int(owned[c].sum()) for c in cuts], pa.int64()),
+                     pa.array([int(np.count_nonzero(owned[c])) for c in cuts], pa.int64())],
+                    ["shard", "range", "answers", "owned", "distinct"])
+
+
+def _answers(table: pa.Table, step: int) -> np.ndarray:
+    """The answers of one step to a shard, in the order of its keys."""
+    found = table.filter(pc.equal(table.column("step"), step)).sort_by("range")
+    return np.concatenate([np.empty(0, np.int64), *[_unpack(x.as_py()).astype(np.int64) for x in found.column("answers")]])
+
+
+def _ask_words(ranges):
+    def run(batches):
+        for batch in batches:
+            for shard, words, trained in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                yield from _asks(shard, _unpack_sorted(words), _unpack(trained), ranges).to_batches()
 
-_NOTHING = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return run
 
 
-def _count_grams(shared, ranges):
-    """(range, shards, which, heads, head, grams, counts) of a task: the n-grams of a range of hashes, the shards that hold
-    them, the first words of pairs, and the training counts (0 for those of other texts only)."""
+def _ask_pairs(shared, ranges):
     def run(batches):
-        own_class, known = shared.value, {}
-
-        def keys_of(text):
-            found = words_of(text)
-            if len(known) > WORDS_HELD:
-                known.clear()
-            for w in set(found).difference(known):
-                k = word_key(w)
-                known[w] = k if own_class is None or k in own_class else RARE
-            line = np.empty(len(found) + 2, np.int64)
-            line[0] = line[-1] = END
-            line[1:-1] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-            return line.view(np.uint64)
-
-        def fold(shard):
-            """Fold what has been collected of a shard into its table."""
-            table, own, others = held[shard]
-            parts = [table]
-            for arrays, used in ((own, 1), (others, 0)):
-                parts += [(keys, np.full(len(keys), used), heads) for keys, heads in arrays]
-            held[shard] = (_summed(*(np.concatenate(x) for x in zip(*parts))), [], [])
-
-        def flush():
-            shards = np.array(list(held), np.int64)
-            for shard in held:
-                fold(shard)
-            tables = [held[s][0] for s in held]
-            keys, n, heads = (np.concatenate(x) for x in zip(*tables))
-            which = np.repeat(np.arange(len(shards)), [len(t[0]) for t in tables])
-            held.clear()
-            place = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-            order = np.argsort(place, kind="stable")
-            place, keys, n, heads, which = place[order], keys[order], n[order], heads[order], which[order]
-            at, first = np.unique(place, return_index=True)
-            rows = []
-            for start, stop in zip(first, [*first[1:], len(keys)]):
-                here, index = np.unique(which[start:stop], return_inverse=True)
-                first_words, head = np.unique(heads[start:stop], return_inverse=True)
-                rows.append((shards[here].tobytes(), _narrow(index), first_words.tobytes(), _narrow(head),
-                             keys[start:stop].tobytes(), _narrow(n[start:stop])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(at.astype(np.int64)), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(6)]],
-                ["range", "shards", "which", "heads", "head", "grams", "counts"])
-
-        held, size = {}, 0
         for batch in batches:
-            for part in text_slices(batch, 0):
-                for text, learn, shard in zip(*(c.to_pylist() for c in part.columns)):
-                    line = keys_of(text)
-                    pairs = pair_keys(line[:-1], line[1:])
-                    _, own, others = held.setdefault(shard, (_NOTHING, [], []))
-                    triples = triple_keys(pairs[:-1], line[2:])
-                    (own if learn else others).extend(
-                        ((pairs, line[:-1]), (triples, np.full(len(triples), NO_WORD, np.uint64))))
-                    size += 2 * len(pairs)
-                    if size >= FOLD_GRAMS:
-                        for k in held:
-                            fold(k)
-                        size = 0
-                if sum(len(t[0][0]) for t in held.values()) >= TASK_GRAMS:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                yield from _asks(row.column("shard")[0].as_py(), *_Shard(row, shared.value).count_pairs(), ranges).to_batches()
 
     return run
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """(shard, grams, counts) with the training counts over all shards of the n-grams of one range, for every shard that holds
-    them, and a row (heads, followers) with the number of its different pairs by first word."""
-    keys, shards, heads, counts = [], [], [], []
-    for own, which, words, head, grams, n in zip(*(asked.column(c).to_pylist() for c in asked.column_names[1:])):
-        keys.append(np.frombuffer(grams, np.uint64))
-        shards.append(np.frombuffer(own, np.int64)[_wide(which, len(keys[-1]))])
-        heads.append(np.frombuffer(words, np.int64)[_wide(head, len(keys[-1]))])
-        counts.append(_wide(n, len(keys[-1])))
-    keys, shards, heads, counts = map(np.concatenate, (keys, shards, heads, counts))
-    names, shards = np.unique(shards, return_inverse=True)
-    order = np.lexsort((shards, keys))
-    keys, shards, heads, counts = keys[order], shards[order], heads[order], counts[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    total = np.add.reduceat(counts, np.nonzero(new)[0])[np.cumsum(new) - 1]
-    first, followers = np.unique(heads[new & (total > 0) & (heads != NO_WORD)], return_counts=True)
-    once = (new | np.concatenate([[True], shards[1:] != shards[:-1]])) & (total > 0)
-    keys, shards, total = keys[once], shards[once], total[once]
-    order = np.argsort(shards, kind="stable")
-    keys, total = keys[order], total[order]
-    ends = np.searchsorted(shards[order], np.arange(len(names) + 1))
-    some = np.nonzero(ends[1:] > ends[:-1])[0]
-    cuts = [slice(ends[i], ends[i + 1]) for i in some]
-    none, longs = [None] * len(cuts), pa.list_(pa.int64())
-    return pa.table([pa.array([*names[some].tolist(), None], pa.int64()),
-                     pa.array([*(keys[c].tobytes() for c in cuts), None], pa.binary()),
-                     pa.array([*(_narrow(total[c]) for c in cuts), None], pa.binary()),
-                     pa.array([*none, first], longs), pa.array([*none, followers], longs)],
-                    ["shard", "grams", "counts", "heads", "followers"])
+def _ask_rest(shared, ranges):
+    """Asks for the triples of pairs that other shards have too, and for the followers of frequent words."""
+    def run(row: pa.Table, answers: pa.Table) -> pa.Table:
+        shard = _Shard(row, shared.value)
+        shard.settle(_answers(answers, 0), _answers(answers, 1))
+        return _asks(row.column("shard")[0].as_py(), shard.rest, shard.own_rest, ranges)
+
+    return run
+
+
+def _reported_words(row: pa.Table, answers: pa.Table) -> pa.Table:
+    """(word, c): counts of the training words that a shard is the one to report."""
+    words = _unpack_sorted(row.column("words")[0].as_py())
+    counts, owner = _settled(_answers(answers, 0), _unpack(row.column("trained")[0].as_py()).astype(np.int64))
+    return pa.table([pa.array(words[owner].view(np.int64)), pa.array(counts[owner])], ["word", "c"])
 
 
 class Automaton:
@@ -362,55 +426,36 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
     probability is 1 and both scores 0. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    rows, volume = sharded(docs, key, text, F.coalesce(learn, F.lit(False)))
-    seen = rows.select("text", "learn", "shard").mapInArrow(_count_words, "shard long, word long, n long")
-    every = Window.partitionBy("word")
-    words = written(seen.withColumns({
-        "c": F.sum("n").over(every), "head": F.row_number().over(every.orderBy("shard")) == 1,
-    }).filter("c > 0").drop("n"), "words")
-    heads = words.filter("head")
-    total, distinct = heads.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
-    ends = heads.filter(F.col("word") == END).select("c").first()
-    ends = ends[0] if ends else 0
-    own_class, rare = None, (0, 0.5 / (total + 0.5 * (distinct + 1)), 0)  # count, probability, followers
-    if CLASSES is not None:
-        top = first_rows(heads.filter(F.col("word") != END), CLASSES, largest(F.col("c")), F.desc("c"), F.col("word"))
-        own_class = dict(top.select("word", "c").collect())
-        counts = np.array([ends, *own_class.values()], np.float64)
-        rare = total - counts.sum(), 1 - ((counts + 0.5) / (total + 0.5 * (distinct + 1))).sum()
-    shared = spark.sparkContext.broadcast(own_class)
-    ranges = max(LEAST_RANGES, -(-volume // RANGE_BYTES))
-    asked = rows.select("text", "learn", "shard").mapInArrow(
-        _count_grams(shared, ranges), "range long, shards binary, which binary, heads binary, head binary, grams binary, counts binary")
-    grams = written(asked.groupBy("range").applyInArrow(
-        _answer, "shard long, grams binary, counts binary, heads array<long>, followers array<long>"), "grams")
-    pairs = grams.filter("shard IS NULL").select(F.explode(F.arrays_zip("heads", "followers")).alias("p"))
-    followers = written(pairs.groupBy(F.col("p.heads").alias("word")).agg(F.sum("p.followers").alias("followers")).filter(
-        F.col("followers") > PRIORS[1]), "followers")
-    if CLASSES is not None:
-        after = followers.filter(F.col("word") == RARE).first()
-        rare += (after[1] if after else 0,)
-    none = F.lit(None)
-    words = words.join(followers, "word", "left")
-    answers = words.select("shard", "word", "c", "followers", none.cast("binary").alias("grams"), none.cast("binary").alias("counts")).union(
-        grams.filter("shard IS NOT NULL").select("shard", *[none.cast("long")] * 3, "grams", "counts"))
-    out = T.StructType([T.StructField(key, rows.schema["key"].dataType)] + [
+    with shuffles_released(spark):
+        shards = written(sharded(docs, key, text, F.coalesce(learn, F.lit(False))), "shards", rows_per_file=1)
+        volume, ends = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+        ranges = max(LEAST_RANGES, -(-volume // RANGE_BYTES))
+
+        def answered(asked: DataFrame, step: int) -> DataFrame:
+            return written(asked.groupBy("range").applyInArrow(_answer, _ANSWERED), "answers").withColumn("step", F.lit(step))
+
+        words = answered(shards.select("shard", "words", "trained").mapInArrow(_ask_words(ranges), _ASKED), 0)
+        total, distinct = words.agg(F.coalesce(F.sum("owned"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        own_class, rare = None, (0, 0.5 / (total + 0.5 * (distinct + 1)))  # count, probability
+        if CLASSES is not None:
+            heads = written(shards.select("shard", "words", "trained").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(
+                _reported_words, "word long, c long"), "words")
+            top = first_rows(heads.filter(F.col("word") != END), CLASSES, largest(F.col("c")), F.desc("c"), F.col("word"))
+            own_class = dict(top.select("word", "c").collect())
+            counts = np.array([ends, *own_class.values()], np.float64)
+            rare = total - counts.sum(), 1 - ((counts + 0.5) / (total + 0.5 * (distinct + 1))).sum()
+        shared = spark.sparkContext.broadcast(own_class)
+        answers = words
+        if total:
+            lines = shards.drop("keys", "ends", "bytes")
+            answers = words.union(answered(lines.mapInArrow(_ask_pairs(shared, ranges), _ASKED), 1))
+            asked = lines.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_ask_rest(shared, ranges), _ASKED)
+            answers = answers.union(answered(asked, 2))
+    out = T.StructType([T.StructField(key, docs.select(col(key)).schema[0].dataType)] + [
         T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")] + [
         T.StructField(n, T.DoubleType()) for n in ("base_score", "score")])
     scorer = _scorer(shared, int(ends), rare, int(total), int(distinct), out.names)
-    packed = map_texts(rows, "text", ["shard", "key"], [("packed", T.BinaryType())],
-                       lambda: lambda found: [[zlib.compress(t or b"", 1) for t in found]])
-    return packed.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(scorer, out)
-
-
-def _table(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """Keys in order, each once (several tasks may have asked for a shard), and their columns."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    return [keys[first], *(c[order[first]] for c in columns)]
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(scorer, out)
 
 
 def _look_up(table: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -432,9 +477,9 @@ def _read_part(line: np.ndarray, size: np.ndarray, given: np.ndarray, count_of,
     counts[RARE], probs[RARE], followers[RARE] = rare
     pairs, triples = _packed(line)
     ends = np.cumsum(size)[:-1]
-    pairs = np.unique(np.delete(pairs, ends - 1))
+    pairs = _distinct(np.delete(pairs, ends - 1))
     # no triple goes over the end of a line; a line has two classes at least
-    triples = np.unique(np.delete(triples, np.concatenate([ends - 2, ends - 1]))) if len(triples) else triples
+    triples = _distinct(np.delete(triples, np.concatenate([ends - 2, ends - 1]))) if len(triples) else triples
     pair_counts, = _look_up(grams, pair_keys(alphabet[pairs >> BITS], alphabet[pairs & _NUMBER]), gram_counts)
     inner = triples >> BITS
     before = pair_keys(alphabet[inner >> BITS], alphabet[inner & _NUMBER])
@@ -447,72 +492,53 @@ def _read_part(line: np.ndarray, size: np.ndarray, given: np.ndarray, count_of,
 def _scorer(shared, ends, rare, total, distinct, names):
     scale = total + 0.5 * (distinct + 1)
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        own_class = shared.value
-        is_word = answers.column("word").is_valid()
-        of_words = answers.select(["word", "c", "followers"]).filter(is_word)
-        word_ids, word_counts, followers = _table(
-            of_words.column("word").to_numpy().view(np.uint64), of_words.column("c").to_numpy(),
-            pc.fill_null(of_words.column("followers"), 0).to_numpy())
-        packed = answers.select(["grams", "counts"]).filter(pc.invert(is_word))
-        parts = [(np.frombuffer(g, np.uint64), c) for g, c in zip(*(packed.column(n).to_pylist() for n in ("grams", "counts")))]
-        del of_words, packed
-        parts.sort(key=lambda p: p[0][0])  # ranges follow each other
-        grams = np.concatenate([np.empty(0, np.uint64), *[p[0] for p in parts]])
-        gram_counts = np.concatenate([np.empty(0, np.int64), *[_wide(c, len(g)) for g, c in parts]])
-        del parts
-        known, size, keys = {}, np.empty(0, np.int64), np.empty(0, np.uint64)
+    def score(row: pa.Table, answers: pa.Table) -> pa.Table:
+        shard = _Shard(row, shared.value)
+        size, followers = np.zeros(len(shard.words), np.int64), np.zeros(len(shard.words), np.int64)
+        rare_class = *rare, 0
+        if total:
+            shard.settle(_answers(answers, 0), _answers(answers, 1))
+            grams, gram_counts, found = shard.grams(_answers(answers, 2))
+            size = shard.word_counts
+            place, known = Automaton._arcs(shard.words, shard.heads)
+            followers[place[known]] = found[known]
+            rare_class = *rare, int(found[shard.heads == RARE].sum())
+        tokens, sizes, words = shard.tokens, shard.sizes, shard.words
+        keys = np.where(size > 0, shard.classes, np.uint64(RARE))
+        del shard
         end_base = math.log10((ends + 0.5) / scale)
-        columns = [[] for _ in names[1:]]
-        scores = np.zeros(len(texts))
+        base = np.log10((size + 0.5) / scale)
+        inner = np.where(keys == RARE, base - math.log10(rare[1]), 0.0) if total else np.zeros(len(base))
+        columns = [sizes + 1, [], [total] * len(sizes), [], np.zeros(len(sizes))]
+        scores = columns[4]
         waiting, held = [], 0  # (text's number, line, classes given), and their words
 
         def count_of(alphabet):
-            return _look_up(word_ids, alphabet, word_counts, followers)
+            return _look_up(words, alphabet, size, followers)
 
         def read():
             owner, lines, given = zip(*waiting)
             by_line = _read_part(np.concatenate(lines), np.array([len(x) for x in lines]), np.array(given), count_of, grams,
-                                 gram_counts, rare, scale)
+                                 gram_counts, rare_class, scale)
             np.add.at(scores, np.array(owner), by_line)
             waiting.clear()
 
-        for part in (p for b in texts.select(["key", "packed"]).to_batches() for p in text_slices(b, 1)):
-            found = [words_of(zlib.decompress(t)) for t in part.column(1).to_pylist()]
-            if len(known) > WORDS_HELD:
-                known, size, keys = {}, size[:0], keys[:0]
-            new = list(set().union(*found).difference(known))
-            new_keys = np.array([word_key(w) for w in new], np.int64).view(np.uint64)
-            new_size, _ = count_of(new_keys)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            own = new_size > 0
-            if own_class is not None:
-                own = np.array([k in own_class for k in new_keys.view(np.int64).tolist()], bool)
-            size = np.concatenate([size, new_size])
-            keys = np.concatenate([keys, np.where(own, new_keys, np.uint64(RARE))])
-            lines = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in found]
-            del found, new, new_keys, new_size
-            base = np.log10((size + 0.5) / scale)
-            inner = np.where(keys == RARE, base - math.log10(rare[1]), 0.0) if total else np.zeros(len(base))
-            for x in lines:
-                if total:
-                    number = len(columns[0])
-                    scores[number] += inner[x].sum()
-                    line = np.concatenate([np.zeros(1, np.uint64), keys[x], np.zeros(1, np.uint64)])
-                    for k in range(0, len(x) + 1, LINE_WORDS):  # words k to k + LINE_WORDS after one or two before them
-                        waiting.append((number, line[max(0, k - 1): k + 1 + LINE_WORDS], 2 if k else 1))
-                        held += len(waiting[-1][1])
-                        if held >= PART_WORDS:
-                            read()
-                            held = 0
-                columns[0].append(len(x) + 1)
-                columns[1].append(int((size[x] > 0).sum()) + int(ends > 0))
-                columns[2].append(total)
-                columns[3].append(float(base[x].sum()) + end_base)
+        for number, x in enumerate(np.split(tokens, np.cumsum(sizes)[:-1])):
+            if total:
+                scores[number] += inner[x].sum()
+                line = np.concatenate([np.zeros(1, np.uint64), keys[x], np.zeros(1, np.uint64)])
+                for k in range(0, len(x) + 1, LINE_WORDS):  # words k to k + LINE_WORDS after one or two before them
+                    waiting.append((number, line[max(0, k - 1): k + 1 + LINE_WORDS], 2 if k else 1))
+                    held += len(waiting[-1][1])
+                    if held >= PART_WORDS:
+                        read()
+                        held = 0
+            columns[1].append(int((size[x] > 0).sum()) + int(ends > 0))
+            columns[3].append(float(base[x].sum()) + end_base)
         if waiting:
             read()
-        columns[4] = scores
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-        return pa.table([texts.column("key"), *[pa.array(v, k) for v, k in zip(columns, kinds)]], names)
+        own = pa.concat_arrays([c.flatten() for c in row.column("keys").chunks])
+        return pa.table([own, *[pa.array(v, k) for v, k in zip(columns, kinds)]], names)
 
     return score

@@ -107,3 +107,79 @@ def test_rare_words_have_ngrams_of_their_own(spark, monkeypatch, part, line):
     for i, row in enumerate(want):
         assert got[i][:3] == row[:3] and got[i][3:] == pytest.approx(row[3:], rel=1e-9)
     assert got[3][4] > got[4][4] + 0.1  # the same words in an order that was seen
+
+
+def folder_bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_counts_are_written_in_less_than_the_texts(spark):
+    from pathlib import Path
+
+    from tamhis.workspace import shared_dir
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"word{i}" for i in range(20_000)])
+    texts = [" ".join(words[(rng.pareto(1.0, 400) * 5).astype(int) % len(words)]) for _ in range(1_500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = folder_bytes(folder)
+    assert L.score_texts(docs, F.col("doc_id") % 5 != 1).count() == len(texts)
+    assert 0 < folder_bytes(folder) - before < 0.3 * sum(map(len, texts))  # 0.4 with the hashes in the answers
+
+
+def test_shuffles_are_released_only_within(spark):
+    from tamhis.workspace import shuffles_released
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), shuffles_released(spark):
+        assert spark.conf.get(name) == "true"
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("shard", [1000, 16 << 20])
+def test_frequent_words_lean_on_their_followers(spark, monkeypatch, shard):
+    monkeypatch.setattr(L, "SHARD_BYTES", shard)
+    texts = [" ".join(f"the n{i}" for i in range(k, k + 450)) for k in range(0, 400, 50)] + ["the n3 the n4", "the zebra the n900", "", None]
+    learn = [i not in (3, 9) for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(zip(texts, learn))], "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r.score for r in L.score_texts(docs.repartition(4), F.col("learn")).collect()}
+    lines = [["</s>", *(t or "").split(), "</s>"] for t in texts]
+    known = [x for x, u in zip(lines, learn) if u]
+    count, grams = Counter(w for x in known for w in x[1:]), Counter(g for x in known for n in (2, 3) for g in zip(*(x[k:] for k in range(n))))
+    followers = Counter(g[0] for g in grams if len(g) == 2)
+    assert followers["the"] > 600
+    scale = count.total() + 0.5 * (len(count) + 1)
+
+    def p2(a, x):
+        m = max(300, followers[a])
+        return (grams[a, x] + m * (count[x] + 0.5) / scale) / (count[a] + m)
+
+    def p3(a, b, x):
+        m = max(300, min(grams[a, b], followers[b]))
+        return (grams[a, b, x] + m * p2(b, x)) / (grams[a, b] + m)
+
+    for i, x in enumerate(lines):
+        want = math.log10(p2(*x[:2])) + sum(math.log10(p3(*x[k - 2:k + 1])) for k in range(2, len(x)))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_sums_over_shards():
+    asked = [(7, [3, 5, 9], [2, 0, 1]), (8, [5, 9], [0, 4]), (9, [11], [6]), (10, [2, 12], [0, 0])]
+    rows = [L._asks(s, np.array(k, np.uint64), np.array(n), 1) for s, k, n in asked]
+    got = {r["shard"]: r for r in L._answer(L.pa.concat_tables(rows)).to_pylist()}
+    settled = {s: L._settled(L._unpack(got[s]["answers"]).astype(np.int64), np.array(n)) for s, _, n in asked}
+    assert {s: x[0].tolist() for s, x in settled.items()} == {7: [2, 0, 5], 8: [0, 5], 9: [6], 10: [0, 0]}
+    assert sum(r["owned"] for r in got.values()) == 13 and sum(r["distinct"] for r in got.values()) == 3
+    assert sum(int(x[1].sum()) for x in settled.values()) == 3
+    assert L._asks(1, np.empty(0, np.uint64), np.empty(0, np.int64), 64).num_rows == 0
+
+
+def test_texts_without_words(spark):
+    docs = spark.createDataFrame([("a", ""), ("b", None), (None, " ")], "doc_id string, text string")
+    got = L.score_texts(docs, F.lit(True)).collect()
+    assert sorted((r.doc_id or "", r.n_tokens, r.n_known, r.train_tokens) for r in got) == [("", 1, 1, 3), ("a", 1, 1, 3), ("b", 1, 1, 3)]
+    p = 3.5 / 4
+    assert all(r.base_score == pytest.approx(math.log10(p)) and r.score == pytest.approx(math.log10((3 + 300 * p) / 303)) for r in got)
