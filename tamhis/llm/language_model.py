@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.llm.common import col, first_rows, largest, text_slices
-from tamhis.workspace import shuffles_released, written
+from tamhis.workspace import settings, shuffles_released, written
 
 #: So many of the most frequent words are classes of their own; None: all words.
 CLASSES = None
@@ -432,7 +432,9 @@ def score_texts(docs: DataFrame, learn, key: str = "doc_id", text: str = "text")
         ranges = max(LEAST_RANGES, -(-volume // RANGE_BYTES))
 
         def answered(asked: DataFrame, step: int) -> DataFrame:
-            return written(asked.groupBy("range").applyInArrow(_answer, _ANSWERED), "answers").withColumn("step", F.lit(step))
+            # an Arrow batch is all that a task reads, so it is to read few shards
+            with settings(spark, {"spark.sql.files.maxPartitionBytes": str(SHARD_BYTES)}):
+                return written(asked.groupBy("range").applyInArrow(_answer, _ANSWERED), "answers").withColumn("step", F.lit(step))
 
         words = answered(shards.select("shard", "words", "trained").mapInArrow(_ask_words(ranges), _ASKED), 0)
         total, distinct = words.agg(F.coalesce(F.sum("owned"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
