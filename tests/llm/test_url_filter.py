@@ -68,6 +68,17 @@ def test_trees_learn_from_labelled_urls(spark):
     assert {r.score for r in one.collect()} == {1.0}
 
 
+def test_trees_and_suffix_rates_cover_all_labelled_urls(spark):
+    # only the suffix tells the class; 1,500 suffixes and 6,000 urls a class
+    rows = [(f"http://s{i:04d}.org/{j}", i % 2) for i in range(1500) for j in range(8)]
+    urls = spark.createDataFrame(rows, "url string, truth int")
+    model = U.UrlModel(urls.withColumnRenamed("truth", "label"))
+    assert model.suffixes.filter("n = 2").count() == 1500
+    assert model.trees.trees[0]._call_java("rootNode").impurityStats().count() == len(rows)
+    got = model.scores(urls.withColumns({"host": U.host(F.col("url")), "path": U.path(F.col("url"))})).collect()
+    assert len(got) == len(rows) and all((r.score >= 0.5) == bool(r.truth) for r in got)
+
+
 def test_no_python_in_the_plan(spark):
     plan = op6_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
