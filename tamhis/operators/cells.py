@@ -12,7 +12,7 @@ from tamhis.workspace import release, written
 SAMPLE, SAMPLE_BYTES, MOST_PIVOTS, PIVOT_BYTES, LENGTHS = 20_000, 16 << 20, 1024, 16 << 20, 8
 #: Vectors of a chunk, at least; it grows with the index so that there are no more than MOST_CHUNKS.
 CHUNK_ROWS, MOST_CHUNKS = 4096, 1 << 18
-#: Chunks, or blocks of queries, of a stored file.
+#: Chunks of a stored file.
 FILE_ROWS = 16
 
 CHUNK = T.StructType([
@@ -31,10 +31,11 @@ def comparable(c: Column) -> Column:
 
 class Cells:
     """``chunks`` (chunk, dim, cell, low, high, n, ids, vectors): up to some thousand vectors of one cell, whose distances
-    from the pivot lie between ``low`` and ``high``. ``pivots``: the pivots of each length of vector, of bounded volume."""
+    from the pivot lie between ``low`` and ``high``. ``pivots``: the pivots of each length of vector, of bounded volume.
+    ``packs``: chunks side by side, while a search keeps them stored."""
 
     def __init__(self, chunks: DataFrame, pivots: dict[int, np.ndarray]):
-        self.chunks, self.pivots, self._listed = chunks, pivots, None
+        self.chunks, self.pivots, self.packs, self._listed = chunks, pivots, None, None
 
     def write(self, path: str) -> None:
         flat = [(int(dim), c, [float(x) for x in v]) for dim, matrix in self.pivots.items() for c, v in enumerate(matrix)]
@@ -214,4 +215,4 @@ def build_cells(index: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Cells:
         if held is not None and held.num_rows:
             yield out([chunk(held)])
 
-    return Cells(written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, CHUNK), "chunks", rows_per_file=FILE_ROWS), pivots)
+    return Cells(written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, CHUNK), "chunks", FILE_ROWS, "none"), pivots)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamhis.functions.text import WS
-from tamhis.workspace import written
+from tamhis.workspace import small_buffers, written
 
 
 def lower_words(c: Column) -> Column:
@@ -42,7 +42,7 @@ def _hashing(dim: int, limit: int = 400_000):
 
 
 #: Dense vectors that are made at a time, in bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 
 class TfidfEncoder:
@@ -76,7 +76,8 @@ class TfidfEncoder:
 
     def fit_counts(self, df: DataFrame, column: str = "tf") -> "TfidfEncoder":
         present = F.concat(F.array(F.lit(-1)), F.transform(column, lambda x: x["bucket"]))
-        found = dict(df.select(F.explode(present).alias("b")).groupBy("b").agg(F.count(F.lit(1))).collect())
+        with small_buffers(df.sparkSession):
+            found = dict(df.select(F.explode(present).alias("b")).groupBy("b").agg(F.count(F.lit(1))).collect())
         n = found.pop(-1, 0)
         df_of = np.array([found.get(b, 0) for b in range(self.dim)], dtype=np.float64)
         self.idf = np.log((n + 1.0) / (df_of + 1.0))

@@ -1,32 +1,37 @@
 """Exact nearest neighbours by Euclidean distance, over the cells of an index."""
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamhis.operators.cells import FILE_ROWS, Cells, _geometry, build_cells, comparable, deal
-from tamhis.workspace import release, written
+from tamhis.operators.cells import Cells, _geometry, build_cells, comparable, deal
+from tamhis.workspace import release, settings, small_buffers, written
 
 #: Queries of a block have at most so many bytes.
 BLOCK_BYTES = 1 << 20
-#: Differences of vectors that are computed at a time, and rows of vectors that go to Python in one batch, in bytes.
-GAP_BYTES, BATCH_BYTES = 16 << 20, 8 << 20
+#: Differences of vectors that are computed at a time, in bytes.
+GAP_BYTES = 4 << 20
+#: Vectors of the index, and queries, that meet in one step of the second job have at most so many bytes; less where that
+#: leaves fewer than two packs for a core, but no less than the smallest number.
+PACK_BYTES, ASKED_BYTES, LEAST_PACK = 4 << 20, 8 << 20, 1 << 20
+#: Bytes of either that a task reads: a query has hits in every part of the index, so there are no more parts than needed.
+LEAST_PART, MOST_PART = 16 << 20, 64 << 20
 
 
 def _top_k(k):
     """Numpy kernel as closures, which are shipped by value: executors need only numpy and pyarrow.
 
     ``merge(best, queries, ids, vectors)`` folds a block of documents into the running k best
-    (distance, id) per query. Distances are screened by one matrix product and recomputed exactly for
-    the few pairs that can still enter, so ties are broken by id on exact values.
+    (distance, id) per query. Distances are screened by one matrix product, in single precision with its error
+    bound where that tells them apart, and recomputed exactly for the few pairs that can still enter, so ties are
+    broken by id on exact values.
     """
     import numpy as np
     import pyarrow as pa
 
     last = np.iinfo(np.int64).max
     tile, gap_bytes = 1024, GAP_BYTES
-    eps = 1e-9  # far above the rounding error of the product, relative to |q|^2 + |v|^2
 
     def start(n):
         return np.full((n, k), np.inf), np.full((n, k), last, dtype=np.int64)
@@ -42,27 +47,56 @@ def _top_k(k):
         mask[order] = place < k
         return mask
 
+    def side(vectors, centre, kind, scale):
+        """(vectors from the centre, scaled, with a column of ones; |v|^2 of those not scaled), in slices."""
+        out, norms = np.empty((len(vectors), vectors.shape[1] + 1), kind), np.empty(len(vectors))
+        for a in range(0, len(vectors), tile):
+            moved = vectors[a:a + tile] - centre
+            norms[a:a + tile] = np.einsum("ij,ij->i", moved, moved)
+            out[a:a + tile, :-1] = moved * scale
+        out[:, -1] = 1
+        return out, norms
+
     def merge(best, queries, ids, vectors):
         dist, who = best
-        q_norm = (queries * queries).sum(axis=1)
-        v_norm = (vectors * vectors).sum(axis=1)
-        # probes . targets = |v|^2 - 2qv - eps |v|^2: a lower bound of the squared distance without the
-        # query's own part, from one product
-        probes = np.hstack([-2.0 * queries, np.ones((len(queries), 1))])
-        targets = np.hstack([vectors, (1.0 - eps) * v_norm[:, None]])
-        spread = 2.0 * eps * (q_norm + v_norm.max()) + 1e-12
+        dim, centre = queries.shape[1], vectors.mean(axis=0)
+        # far above the rounding error of a product, relative to |q|^2 + |v|^2
+        fine, rough = 1e-9, (dim + 16) * 2.0 ** -22
+        most = max(np.abs(queries).max(initial=0.0), np.abs(vectors).max(initial=0.0))
+        shift = 1e-12 + 1e-13 * dim * most * most  # what moving the origin to the vectors' middle may change
+        kinds = [(np.float32, rough)] if rough < 1e-2 and most < 1e12 else []
+        kinds.append((np.float64, fine))
+        asked: dict = {}
+
+        def screened(v0, part, kind, eps):
+            """Pairs whose product does not rule them out. probes . targets = |v|^2 - 2qv - eps |v|^2: a lower bound of the
+            squared distance without the query's own part."""
+            if kind not in asked:
+                asked[kind] = side(queries, centre, kind, -2.0)
+            if (kind, v0) not in found:
+                targets, v_norm = side(vectors[v0:v0 + tile], centre, kind, 1.0)
+                targets[:, -1] = (1.0 - eps) * v_norm
+                found[kind, v0] = targets.T, v_norm.max()
+            (probes, q_norm), (targets, v_most) = asked[kind], found[kind, v0]
+            low = probes[part] @ targets
+            limit = dist[part, -1] ** 2 - (1.0 - eps) * q_norm[part] + shift
+            open_ = np.isinf(limit)
+            if open_.any() and low.shape[1] >= k:
+                kth = np.partition(low[open_], k - 1, axis=1)[:, k - 1]
+                limit[open_] = kth + (2.0 * eps * (q_norm[part][open_] + v_most) + shift)
+            if kind is np.float32:
+                limit = np.nextafter(limit.astype(kind), kind(np.inf))
+            pairs = np.flatnonzero(low <= limit[:, None])  # flat, because numpy skips its zeros faster
+            return low, *np.divmod(pairs, low.shape[1])
+
         for v0 in range(0, len(ids), tile):
-            block = targets[v0:v0 + tile].T
-            useful = None
+            useful, found = None, {}
             for q0 in range(0, len(queries), tile):
                 part = slice(q0, q0 + tile)
-                low = probes[part] @ block
-                limit = dist[part, -1] ** 2 - (1.0 - eps) * q_norm[part] + 1e-12
-                open_ = np.isinf(limit)
-                if open_.any() and block.shape[1] >= k:
-                    kth = np.partition(low[open_], k - 1, axis=1)[:, k - 1]
-                    limit[open_] = kth + spread[part][open_]
-                qi, vi = np.nonzero(low <= limit[:, None])
+                for kind, eps in kinds:
+                    low, qi, vi = screened(v0, part, kind, eps)
+                    if len(qi) <= max(64, 2 * k * len(low), low.size // 64):
+                        break  # single precision tells them apart
                 if len(qi) > 8 * k * len(low):  # many ties: most are copies that cannot enter
                     if useful is None:
                         useful = first_copies(ids[v0:v0 + tile], vectors[v0:v0 + tile])
@@ -195,14 +229,17 @@ def visits(blocks: DataFrame, cells: Cells, k: int) -> DataFrame:
                 matrix = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
                 own, reach = np.frombuffer(row["cells"], "<i4"), np.frombuffer(row["reaches"], "<f8")
                 centres = pivots.get(row["dim"])
-                far = distances(matrix, centres) if centres is not None else np.zeros((len(matrix), 1))
-                home = [homes(c, r, table, lambda i=i: far[i]) for i, (c, r) in enumerate(zip(own, reach))]
+
+                def away(part):
+                    return distances(part, centres) if centres is not None else np.zeros((len(part), 1))
+
+                home = [homes(c, r, table, lambda i=i: away(matrix[i:i + 1])[0]) for i, (c, r) in enumerate(zip(own, reach))]
                 if not bounded:
                     bound = np.full(len(matrix), np.inf)
                     places = np.repeat(np.arange(len(matrix)), [len(h) for h in home])
                     which = np.concatenate(home)
                 else:
-                    bound = np.frombuffer(row["bounds"], "<f8")
+                    bound, far = np.frombuffer(row["bounds"], "<f8"), away(matrix)
                     slack = 1e-9 * (far + np.where(np.isfinite(bound), bound, 0)[:, None])
                     found = []
                     for c in np.unique(cells_):
@@ -292,56 +329,162 @@ def _with_bounds(blocks: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _aimed(blocks: DataFrame, cells: Cells) -> DataFrame:
-    """Blocks with ``wanted``: the chunks that may hold a vector within the bound of one of their queries."""
-    shared = cells.chunks.sparkSession.sparkContext.broadcast((cells.listed(), cells.pivots))
-    distances, _, _ = _geometry()
+PACK = T.StructType([
+    T.StructField("pack", T.LongType()), T.StructField("dim", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("cells", "lows", "highs", "sizes", "ids", "found")]])
+
+
+def _pack_bytes(most: int, volume: int, spark: SparkSession) -> int:
+    return max(LEAST_PACK, min(most, volume // (2 * spark.sparkContext.defaultParallelism)))
+
+
+def _volume(cells: Cells) -> int:
+    return sum(8 * dim * int(table[-1].sum()) for dim, table in cells.listed().items())
+
+
+def _parts(asked: int, held: int, spark: SparkSession) -> dict[str, str]:
+    """Settings by which a task reads parts of packs of the given volumes, four tasks for a core where there is enough."""
+    part = int((asked * held / (4 * spark.sparkContext.defaultParallelism)) ** 0.5)
+    part = max(LEAST_PART, min(MOST_PART, part))
+    return {"spark.sql.files.maxPartitionBytes": str(part), "spark.sql.files.openCostInBytes": "65536", "spark.sql.files.minPartitionNum": "1"}
+
+
+def _packs(cells: Cells) -> DataFrame:
+    """(pack, dim, cells, lows, highs, sizes, ids, found): chunks of one length of vector side by side, stored once for all
+    uses of ``cells`` until they are released."""
+    if cells.packs is not None:
+        return cells.packs
+    names, pack_bytes = PACK.names, _pack_bytes(PACK_BYTES, _volume(cells), cells.chunks.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number, held, volume, size = TaskContext.get().partitionId() << 32, [], 0, None
+
+        def out():
+            nonlocal number
+            number += 1
+            meta = [np.array(x, t).tobytes() for x, t in zip(zip(*(row[:4] for row in held)), ("<i4", "<f8", "<f8", "<i8"))]
+            packed = [*meta, b"".join(row[4] for row in held), b"".join(row[5] for row in held)]
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], names)
+
+        for batch in batches:
+            column = {n: batch.column(n) for n in batch.schema.names}
+            for i in range(batch.num_rows):
+                dim, raw = column["dim"][i].as_py(), column["vectors"][i].as_py()
+                ids = column["ids"][i].values.to_numpy()
+                if held and (dim != size or volume + 8 * dim * len(ids) > pack_bytes):
+                    yield out()
+                    held, volume = [], 0
+                size, volume = dim, volume + 8 * dim * len(ids)
+                held.append((*[column[n][i].as_py() for n in ("cell", "low", "high")], len(ids), ids.astype("<i8").tobytes(), raw))
+        if held:
+            yield out()
+
+    chunks = cells.chunks.select("dim", "cell", "low", "high", "ids", "vectors")
+    cells.packs = written(chunks.mapInArrow(run, PACK), "packs", 1, "none")
+    return cells.packs
+
+
+def _ruled_out():
+    """Numpy helper as a closure, shipped by value: which queries may find a vector within their bound in a chunk."""
+    import numpy as np
+
+    def far(queries, centres):
+        """(least, most) distances from the centres, from one product with its error bound."""
+        q_norm, c_norm = (np.einsum("ij,ij->i", x, x)[:, None] for x in (queries, centres))
+        both = q_norm + c_norm.T
+        square, off = both - 2.0 * (queries @ centres.T), (queries.shape[1] + 16) * 2.0 ** -51 * both
+        return np.sqrt(np.maximum(square - off, 0)), np.sqrt(np.maximum(square, 0) + off)
+
+    def near(least, most, low, high, bound):
+        bound = bound + 1e-9 * (most + np.where(np.isfinite(bound), bound, 0))
+        return (low - most <= bound) & (least - high <= bound)
+
+    return far, near
+
+
+def _aimed(blocks: DataFrame, cells: Cells, pack_bytes: int = 0) -> DataFrame:
+    """(queries, dim, blocks, counts, vectors, bounds, wanted): blocks side by side, up to so many bytes, and the packs of
+    chunks that may hold a vector within the bound of one of their queries."""
+    listed: dict = {}
+    for row in _packs(cells).select("dim", "pack", "cells", "lows", "highs").toLocalIterator():  # their number is bounded, as in Cells.listed
+        listed.setdefault(row["dim"], []).append((row["pack"], *[np.frombuffer(row[n], t) for n, t in (("cells", "<i4"), ("lows", "<f8"), ("highs", "<f8"))]))
+    tables = {dim: (np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]), *[np.concatenate([r[j] for r in rows]) for j in (1, 2, 3)])
+              for dim, rows in listed.items()}
+    shared = blocks.sparkSession.sparkContext.broadcast((tables, cells.pivots))
+    far, near = _ruled_out()
     schema = T.StructType([
-        *[f for f in blocks.schema.fields if f.name in ("block", "dim", "vectors", "bounds")], T.StructField("wanted", T.ArrayType(T.LongType()))])
+        T.StructField("queries", T.LongType()), T.StructField("dim", T.IntegerType()),
+        *[T.StructField(n, T.BinaryType()) for n in ("blocks", "counts", "vectors", "bounds")], T.StructField("wanted", T.ArrayType(T.LongType()))])
+    names = schema.names
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         tables, pivots = shared.value
+        number, held, volume, size = TaskContext.get().partitionId() << 32, [], 0, None
+
+        def out():
+            nonlocal number
+            number += 1
+            counts = np.array([len(row[2]) // 8 for row in held], "<i8")
+            wanted = np.unique(np.concatenate([row[3] for row in held]))
+            return pa.RecordBatch.from_arrays([
+                pa.array([number], pa.int64()), pa.array([size], pa.int32()), pa.array([np.array([row[0] for row in held], "<i8").tobytes()], pa.binary()),
+                pa.array([counts.tobytes()], pa.binary()), *[pa.array([b"".join(row[j] for row in held)], pa.binary()) for j in (1, 2)],
+                pa.array([wanted], pa.list_(pa.int64()))], names)
+
         for batch in batches:
             for row in batch.to_pylist():
-                if row["dim"] not in tables:
+                dim = row["dim"]
+                if dim not in tables:
                     continue
-                chunk, cells_, low, high, _ = tables[row["dim"]]
-                centres = pivots.get(row["dim"])
-                near = np.ones(len(chunk), bool)
-                if centres is not None:
-                    matrix = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-                    far, bound = distances(matrix, centres), np.frombuffer(row["bounds"], "<f8")[:, None]
-                    for c in np.unique(cells_):
-                        a, b = np.searchsorted(cells_, [c, c + 1])
-                        d = far[:, c, None]
-                        most = bound + 1e-9 * (d + np.where(np.isfinite(bound), bound, 0))
-                        near[a:b] = ((low[None, a:b] - d <= most) & (d - high[None, a:b] <= most)).any(axis=0)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["block"]], pa.int64()), pa.array([row["dim"]], pa.int32()), pa.array([row["vectors"]], pa.binary()),
-                    pa.array([row["bounds"]], pa.binary()), pa.array([chunk[near]], pa.list_(pa.int64()))], schema.names)
+                pack, cells_, low, high = tables[dim]
+                wanted = np.unique(pack)
+                if dim in pivots:
+                    least, most = far(np.frombuffer(row["vectors"], "<f8").reshape(-1, dim), pivots[dim])
+                    bound, some = np.frombuffer(row["bounds"], "<f8")[:, None], np.zeros(len(pack), bool)
+                    for a in range(0, len(pack), 1024):
+                        c = cells_[a:a + 1024]
+                        some[a:a + 1024] = near(least[:, c], most[:, c], low[None, a:a + 1024], high[None, a:a + 1024], bound).any(axis=0)
+                    wanted = np.unique(pack[some])
+                if held and (dim != size or volume + len(row["vectors"]) > pack_bytes):
+                    yield out()
+                    held, volume = [], 0
+                size, volume = dim, volume + len(row["vectors"])
+                held.append((row["block"], row["vectors"], row["bounds"], wanted))
+        if held:
+            yield out()
 
-    return blocks.select("block", "dim", "vectors", "bounds").mapInArrow(run, schema)
+    return blocks.select("block", "dim", "vectors", "bounds").sortWithinPartitions("dim", "block").mapInArrow(run, schema)
 
 
-#: Blocks whose best hits a task of the second job keeps; the least recently met is handed out when there are more.
-KEPT_BLOCKS = 256
+#: Packs of queries whose best hits a task of the second job keeps: pairs come pack by pack.
+KEPT_BLOCKS = 1
 
 
 def _sweep(aimed: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """The up to ``k`` nearest vectors no farther than each query's bound, for every block and part of the chunks.
+    """The up to ``k`` nearest vectors no farther than each query's bound, for every pack of queries and part of the chunks.
 
-    Blocks and chunks are two stored tables, and a task reads one part of each: nothing is shuffled but the hits. A task
-    folds the chunks that a block meets into one running list, whose k-th distance tightens the bound as it goes.
+    Packs of queries and of chunks are two stored tables, and a task reads a part of each: nothing is shuffled but the hits.
+    A task folds the chunks that a query meets into one running list, whose k-th distance tightens the bound as it goes.
+    Where the bounds rule out little, a pack meets a pack in one product, else chunk by chunk with the queries left. The
+    product of the two tables goes through all chunks of the task for one pack of queries after the other, so the queries
+    themselves go to Python with the first of these chunks only.
     """
     start, merge, _, _ = _top_k(k)
-    distances, _, _ = _geometry()
+    far, near = _ruled_out()
     shared = aimed.sparkSession.sparkContext.broadcast(cells.pivots)
-    chunks = cells.chunks.select("chunk", "cell", "low", "high", "ids", F.col("vectors").alias("found"))
-    pairs = aimed.join(chunks, F.array_contains("wanted", F.col("chunk")))
-    pairs = pairs.select("block", "dim", "vectors", "bounds", "cell", "low", "high", "ids", "found")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in the part that a task reads
+    packs = _packs(cells).drop("dim").withColumn("first", place == 0)
+    pairs = aimed.join(packs.hint("shuffle_replicate_nl"), F.col("first") | F.array_contains("wanted", F.col("pack")))
+    asked = [F.when(F.col("first"), F.col(n)).alias(n) for n in ("blocks", "counts", "vectors", "bounds")]
+    pairs = pairs.select("queries", "dim", *asked, F.array_contains("wanted", F.col("pack")).alias("meet"),
+                         *[F.when(F.array_contains("wanted", F.col("pack")), F.col(n)).alias(n) for n in PACK.names[2:]])
     names, most = HIT.names, KEPT_BLOCKS
 
     def run(batches):
@@ -350,40 +493,57 @@ def _sweep(aimed: DataFrame, cells: Cells, k: int) -> DataFrame:
 
         last, pivots, held = np.iinfo(np.int64).max, shared.value, {}
 
-        def out(block):
-            _, dist, who = held.pop(block)
+        def out(number):
+            _, dist, who, block, place = held.pop(number)
             at, nth = np.nonzero(np.isfinite(dist) & (who != last))
             return pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(at), block), pa.int64()), pa.array(at, pa.int32()),
+                pa.array(block[at], pa.int64()), pa.array(place[at], pa.int32()),
                 pa.array(who[at, nth], pa.int64()), pa.array(dist[at, nth], pa.float64())], names)
 
+        def some(queries, dist, who, rows, ids, vectors):
+            if len(rows) == len(queries):
+                merge((dist, who), queries, ids, vectors)
+            elif len(rows):
+                best = dist[rows], who[rows]
+                merge(best, queries[rows], ids, vectors)
+                dist[rows], who[rows] = best
+
         for batch in batches:
             column = {n: batch.column(n) for n in batch.schema.names}
             for i in range(batch.num_rows):
-                block, dim = column["block"][i].as_py(), column["dim"][i].as_py()
-                if block in held:
-                    held[block] = held.pop(block)
-                else:
-                    if len(held) == most:
+                number, dim = column["queries"][i].as_py(), column["dim"][i].as_py()
+                if column["vectors"][i].is_valid:
+                    while len(held) >= most:
                         yield out(next(iter(held)))
-                    queries = np.frombuffer(column["vectors"][i].as_buffer(), "<f8").reshape(-1, dim).copy()
+                    queries = np.frombuffer(column["vectors"][i].as_buffer(), "<f8").reshape(-1, dim)
+                    counts = np.frombuffer(column["counts"][i].as_buffer(), "<i8")
                     dist, who = start(len(queries))
                     # a little more than the bound, so that the hit which made it comes again
                     dist[:] = np.frombuffer(column["bounds"][i].as_buffer(), "<f8")[:, None] * (1 + 1e-9) + 1e-300
-                    held[block] = queries, dist, who
-                queries, dist, who = held[block]
-                near = np.arange(len(queries))
-                if dim in pivots:
-                    d = distances(queries, pivots[dim][column["cell"][i].as_py()][None])[:, 0]
-                    bound = dist[:, -1] + 1e-9 * (d + np.where(np.isfinite(dist[:, -1]), dist[:, -1], 0))
-                    near = np.flatnonzero((column["low"][i].as_py() - d <= bound) & (d - column["high"][i].as_py() <= bound))
-                if not len(near):
+                    place = np.arange(len(queries)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    held[number] = queries.copy(), dist, who, np.repeat(np.frombuffer(column["blocks"][i].as_buffer(), "<i8"), counts), place
+                if not column["meet"][i].as_py():
                     continue
-                ids, raw = column["ids"][i].values.to_numpy(), column["found"][i].as_buffer()
-                vectors = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(ids) else "<f8").astype(np.float64).reshape(-1, dim)
-                best = dist[near], who[near]
-                merge(best, queries[near], ids, vectors)
-                dist[near], who[near] = best
+                part = {n: np.frombuffer(column[n][i].as_buffer(), t) for n, t in (
+                    ("cells", "<i4"), ("lows", "<f8"), ("highs", "<f8"), ("sizes", "<i8"), ("ids", "<i8"))}
+                queries, dist, who, _, _ = held[number]
+                raw = column["found"][i].as_buffer()
+                vectors = np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * len(part["ids"]) else "<f8").reshape(-1, dim)
+                if dim not in pivots:
+                    some(queries, dist, who, np.arange(len(queries)), part["ids"], vectors.astype(np.float64, copy=False))
+                    continue
+                known, own = np.unique(part["cells"], return_inverse=True)
+                low, high = far(queries, pivots[dim][known])
+                meets = near(low[:, own], high[:, own], part["lows"], part["highs"], dist[:, -1:])
+                active = np.flatnonzero(meets.any(axis=1))
+                if 2 * (meets.sum(axis=0) * part["sizes"]).sum() >= len(active) * len(vectors):
+                    some(queries, dist, who, active, part["ids"], vectors.astype(np.float64, copy=False))
+                    continue
+                ends = np.cumsum(part["sizes"])
+                for j in np.flatnonzero(meets.any(axis=0)):
+                    s, c = slice(ends[j] - part["sizes"][j], ends[j]), own[j]
+                    rows = np.flatnonzero(meets[:, j] & near(low[:, c], high[:, c], part["lows"][j], part["highs"][j], dist[:, -1]))
+                    some(queries, dist, who, rows, part["ids"][s], vectors[s].astype(np.float64, copy=False))
         while held:
             yield out(next(iter(held)))
 
@@ -399,26 +559,26 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 2, block_bytes: int =
 
     The index is dealt to cells around pivots (``cells``: those of a stored index, else made here and deleted afterwards), in
     chunks of known distances from the pivot. Queries are packed in blocks of neighbours. In a first job every query
-    travels to its home chunk, which bounds the distance of its k-th neighbour. In a second one every block meets all
-    chunks that the triangle inequality does not rule out: each task reads a part of the stored blocks and a part of the
-    stored chunks, so queries and vectors are not shuffled again, however many chunks a query must see.
+    travels to its home chunk, which bounds the distance of its k-th neighbour. In a second one every query meets all
+    chunks that the triangle inequality does not rule out: blocks and chunks are stored side by side in larger packs, and
+    each task reads a part of the ones and of the others, so that queries and vectors are not shuffled again, however many
+    chunks a query must see, and much is computed for what is read.
     """
     made = cells is None
-    cells = build_cells(index) if made else cells
-    conf, batch_bytes = queries.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = conf.get(batch_bytes)
-    blocks = written(_blocks(queries.select("query_id", "embedding"), cells.pivots, block_bytes), "query-blocks")
-    conf.set(batch_bytes, BATCH_BYTES)
-    try:
+    with small_buffers(queries.sparkSession):
+        cells = build_cells(index) if made else cells
+        blocks = written(_blocks(queries.select("query_id", "embedding"), cells.pivots, block_bytes), "query-blocks", compression="none")
         home = written(_best(_compare(visits(blocks, cells, k), cells, k), k), "home-hits")
-        aimed = written(_aimed(_with_bounds(blocks, home, k), cells), "aimed-blocks", rows_per_file=FILE_ROWS)
+        volume = blocks.agg(F.sum(F.size("keys").cast("long") * F.col("dim") * 8)).first()[0] or 0
+        pack_bytes = _pack_bytes(ASKED_BYTES, volume, queries.sparkSession)
+        aimed = written(_aimed(_with_bounds(blocks, home, k), cells, pack_bytes), "aimed-blocks", 1, "none")
         hits = _best(_sweep(aimed, cells, k), k)
         keys = blocks.select("block", F.posexplode("keys").alias("place", "query_id"))
-        result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")
-    finally:
-        conf.set(batch_bytes, before)
-    for table in (blocks, home, aimed):
+        with settings(queries.sparkSession, _parts(volume, _volume(cells), queries.sparkSession)):
+            result = written(hits.join(keys, ["block", "place"]).select("query_id", "doc_id", "distance", "rank"), "hits")
+    for table in (blocks, home, aimed, _packs(cells)):
         release(table)
+    cells.packs = None
     if made:
         cells.release()
     return result

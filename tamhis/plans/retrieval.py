@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tamhis.functions import chat
 from tamhis.operators.cells import Cells, comparable
 from tamhis.operators.nearest import nearest
-from tamhis.workspace import written
+from tamhis.workspace import small_buffers, written
 
 
 def documents(records: DataFrame, doc_id: str = "row_id") -> DataFrame:
@@ -20,7 +20,8 @@ def documents(records: DataFrame, doc_id: str = "row_id") -> DataFrame:
 def build_index(records: DataFrame, encoder, doc_id: str = "row_id") -> DataFrame:
     """(doc_id, doc_text, embedding), stored in the shared folder: searches read it in several passes, and each
     document should be encoded once. ``write_index`` keeps it elsewhere."""
-    return written(encoder.encode(documents(records, doc_id), "doc_text").select("doc_id", "doc_text", "embedding"), "index")
+    with small_buffers(records.sparkSession):
+        return written(encoder.encode(documents(records, doc_id), "doc_text").select("doc_id", "doc_text", "embedding"), "index")
 
 
 def retrieve_context(index: DataFrame, queries: DataFrame, k: int = 2, cells: Cells | None = None) -> DataFrame:
@@ -47,7 +48,8 @@ def rag_prompts(requests: DataFrame, index: DataFrame, k: int = 2, cells: Cells
     vector, key = F.col("embedding"), "_vector"
     keyed = F.when(comparable(vector), F.concat_ws(
         ":", F.size(vector), F.xxhash64(vector), F.xxhash64(F.lit(1), vector)))
-    requests = written(requests.withColumn(key, keyed), "requests")
+    with small_buffers(requests.sparkSession):
+        requests = written(requests.withColumn(key, keyed), "requests")
     queries = requests.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("query_id")).agg(
         F.any_value("embedding").alias("embedding"))  # equal up to the digest
     contexts = retrieve_context(index, queries, k, cells).withColumnRenamed("query_id", key)

@@ -129,3 +129,38 @@ def test_distances_are_computed_in_bounded_slices(monkeypatch):
     dist, who = start(len(queries))
     merge((dist, who), queries, np.arange(500), docs)
     assert {(q, r + 1): (int(who[q, r]), round(float(dist[q, r]), 9)) for q in range(70) for r in range(3)} == brute(queries, docs, 3)
+
+
+def test_many_blocks_and_chunks_meet_in_few_pairs(spark, monkeypatch):
+    """What a pair reads is large against the pair; queries go to Python once for each part of the chunks."""
+    rng = np.random.default_rng(10)
+    docs, queries = rng.normal(size=(900, 48)).astype(np.float32), rng.normal(size=(200, 48)).astype(np.float32)
+    rows, store = {}, N.written
+
+    def counted(df, name, *more, **other):
+        rows[name] = (out := store(df, name, *more, **other)).count()
+        return out
+
+    cells = C.build_cells(frame(spark, "doc_id", docs), chunk_rows=16)
+    monkeypatch.setattr(N, "written", counted)
+    asked = frame(spark, "query_id", queries)
+    assert found(N.nearest(asked, asked, 3, block_bytes=2000, cells=cells)) == brute(queries, docs, 3)
+    assert cells.packs is None and cells.chunks.count() > 56 and rows["query-blocks"] > 20
+    assert rows["aimed-blocks"] * rows["packs"] <= 64
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e5, 1e20, 1e100])
+@pytest.mark.parametrize("away", [0.0, 1.0, 1e4])
+def test_single_precision_loses_no_neighbour(scale, away):
+    rng = np.random.default_rng(11)
+    docs, queries = rng.normal(size=(3000, 32)) + away, rng.normal(size=(50, 32)) + away
+    docs[500:900] = queries[7] + 1e-9 * rng.normal(size=(400, 32))  # nearer to each other than single precision tells
+    docs[1000:2500:3] = docs[999]  # copies
+    docs, queries = docs * scale, queries * scale
+    start, merge, _, _ = N._top_k(4)
+    best = start(len(queries))
+    for a in (0, 1500):
+        merge(best, queries, np.arange(a, a + 1500), docs[a:a + 1500])
+    gaps = np.sqrt(((queries[:, None, :] - docs[None]) ** 2).sum(axis=2))
+    order = np.argsort(gaps, axis=1, kind="stable")[:, :4]
+    assert np.allclose(best[0], np.take_along_axis(gaps, order, 1), rtol=1e-9, atol=0) and (best[1] == order).all()
